@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandweave.llm.chat import chat_digest
 from strandweave.llm.common import table
 from strandweave.llm.minhash_dedup import NearDedup, near_duplicates
+from strandweave.llm.sharding import shard_digest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,8 +18,19 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearDedup(width=2))
 
 
+def op4_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_digest(table(spark, sf_dir, "documents"))
+
+
+def op7_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations by turn, and conversation -7 of control strings."""
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.sql(f"SELECT -7L AS conv_id, turn, role, '{hard}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    return chat_digest(table(spark, sf_dir, "conversations"), extra)
+
+
 def queries() -> dict[str, Query]:
-    found = [op3_minhash_near_dedup]
+    found = [op3_minhash_near_dedup, op4_external_shuffle, op7_reply_tree_chat]
     return {f.__name__: f for f in found}
 
 
@@ -47,5 +60,23 @@ FROM s LEFT JOIN m ON m.node = s.doc_id
 """
 
 
+_OP7 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k,
+    length(regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')) AS shown
+  FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY k)) AS loss_sha256,
+  CAST(sum(12 + length(role) + 1 + shown + 11) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_dedup": _OP3}
+    return {"op3_minhash_near_dedup": _OP3, "op7_reply_tree_chat": _OP7}

@@ -53,15 +53,23 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     Words are maximal runs of bytes other than 0x20 and 0x09-0x0D, with A-Z
     lower-cased.
     """
+    return word_spans(texts, _SPACE)[:2]
+
+
+def word_spans(texts: list[bytes], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As word_hashes, with words parted by the bytes that ``parts`` marks; also where in the
+    texts, joined with one byte between them, words start and end.
+    """
     buf = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    inside = ~_SPACE[buf]
+    inside = ~parts[buf]
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
     starts = np.flatnonzero(edge == 1)
     ends = np.cumsum([len(t) + 1 for t in texts])
     bounds = np.concatenate([[0], np.searchsorted(starts, ends)])
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64), bounds
-    length = np.flatnonzero(edge == -1) - starts
+        return np.zeros(0, dtype=np.uint64), bounds, starts, starts
+    stops = np.flatnonzero(edge == -1)
+    length = stops - starts
     first = np.cumsum(length) - length
     body = _LOWER[buf[inside]]
     off = np.arange(len(body)) - np.repeat(first, length)
@@ -70,7 +78,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         at = off >= k * _BLOCK
         value[at] *= np.uint64(_STEP)
     hashes = np.add.reduceat(value, first) + length.astype(np.uint64)
-    return mix(hashes), bounds
+    return mix(hashes), bounds, starts, stops
 
 
 def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
