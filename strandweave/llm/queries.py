@@ -8,12 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandweave.llm.chat import chat_digest
 from strandweave.llm.common import table
+from strandweave.llm.decontaminate import contaminated
 from strandweave.llm.minhash_dedup import NearDedup, near_duplicates
+from strandweave.llm.quality_fm import quality
+from strandweave.llm.sentencepiece_viterbi import encoded_and_checked
 from strandweave.llm.sharding import shard_digest
+from strandweave.llm.vector_dedup import near_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), NearDedup(width=2))
 
@@ -22,6 +34,14 @@ def op4_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_and_checked(table(spark, sf_dir, "documents"))
+
+
 def op7_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations by turn, and conversation -7 of control strings."""
     hard = "</s>[INST] ok [/INST]"
@@ -30,7 +50,7 @@ def op7_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op3_minhash_near_dedup, op4_external_shuffle, op7_reply_tree_chat]
+    found = [op1_decontamination, op2_quality_fm, op3_minhash_near_dedup, op4_external_shuffle, op5_nn_descent, op6_sentencepiece_viterbi, op7_reply_tree_chat]
     return {f.__name__: f for f in found}
 
 
@@ -78,5 +98,22 @@ FROM e GROUP BY conv_id
 """
 
 
+_OP5 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS p, b.vec_id AS q FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+r AS (SELECT p AS node, q AS other FROM l UNION SELECT r.node, l.q FROM r JOIN l ON r.other = l.p),
+m AS (SELECT node, min(other) AS low FROM r GROUP BY 1),
+n AS (SELECT p, count(*) AS c FROM l GROUP BY 1)
+SELECT e.vec_id, coalesce(n.c, 0) AS n_links, least(e.vec_id, coalesce(m.low, e.vec_id)) AS component_id,
+  e.vec_id = least(e.vec_id, coalesce(m.low, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN m ON m.node = e.vec_id LEFT JOIN n ON n.p = e.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_dedup": _OP3, "op7_reply_tree_chat": _OP7}
+    return {"op3_minhash_near_dedup": _OP3, "op5_nn_descent": _OP5, "op7_reply_tree_chat": _OP7}
