@@ -7,9 +7,11 @@ verified on the full shingle sets.
 
 Copies cost one row each: texts with the same shingle set become one node
 before banding. Within a bucket, nodes are compared with one centre, not with
-each other; links found join components; only pairs of a bucket that still lie
-in different components are compared further. So a group of copies, however
-large, costs a multiple of its size, and no link between components is lost.
+each other: with the node whose buckets hold most nodes, which is the text that
+the others were made from if it is there. Links found join components; only
+pairs of a bucket that still lie in different components, and whose sizes let
+them reach the threshold, are compared further. So a group of copies, however
+large, costs little more than its size, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm.common import batches, semi, stage, unstage
@@ -37,7 +39,8 @@ class NearDedup:
     rows: int = 5
     bands: int = 45
     batch: int = 25
-    miss: float = 1e-9
+    miss: float = 1e-5
+    block: int = 256
     seed: int = 17
 
     @property
@@ -143,74 +146,109 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "
     signed = stage(texts.mapInArrow(_signer(p), "id long, n long, f1 long, f2 long, sig binary"), "sig")
     sets = signed.where("n > 0 and id is not null")
     first = sets.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
-    nodes = sets.join(first.select(F.col("rep").alias("id"), "f1", "f2", "n"), ["id", "f1", "f2", "n"]).select("id", "sig").distinct()
+    nodes = sets.join(first.select(F.col("rep").alias("id"), "f1", "f2", "n"), ["id", "f1", "f2", "n"]).select("id", "n", "sig").distinct()
 
     key = F.explode(F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda k: F.xxhash64(k, F.expr("sig").substr(k * (4 * p.rows) + 1, F.lit(4 * p.rows)))))
-    banded = nodes.select("id", key.alias("key"))
-    full = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    shared = stage(banded.join(full, "key"), "bucket")
-    sigs = stage(nodes.join(shared.select("id").distinct(), "id", "left_semi"), "nodes")
-
-    links, labels = None, None
-    for turn in range(4):
-        left = shared if labels is None else _apart(shared, labels)
-        if turn:
-            by = left.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("twice"))
-            pairs_left = by.agg(F.coalesce(F.sum("twice"), F.lit(0))).first()[0] / 2
-            if not pairs_left:
-                unstage(left)
-                break
-            last = turn == 3 or pairs_left <= 4 * shared.count() + 100_000
-        else:
-            last = False
-        pairs = _all_apart(left) if last else _centred(left, turn)
-        found = _verified(texts, pairs, sigs, p)
-        links = found if links is None else links.unionByName(found)
-        if labels is not None:
-            unstage(left)
+    banded = nodes.select("id", "n", key.alias("key"))
+    full = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    met = stage(banded.join(full, "key"), "bucket")
+    hub = met.groupBy("id").agg(F.sum("c").alias("met"))
+    shared = stage(met.join(hub, "id").select("key", "id", "n", "met"), "bucket")
+    unstage(met)
+    sigs = stage(nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", "sig"), "nodes")
+
+    mid = _centres(shared)
+    star = shared.join(mid, "key").where(F.col("id") != F.col("mid")).where(_sizes_fit(p.percent))
+    links = _verified(texts, _pruned(star.select(F.least("id", "mid").alias("a"), F.greatest("id", "mid").alias("b")).distinct(), sigs, p), p)
+    labels = components(links)
+    more = _apart(shared, mid, labels, sigs, p)
+    if more is not None:
+        links = links.unionByName(_verified(texts, more, p))
         labels = components(links)
-        if last:
-            break
 
     own = sets.join(first, ["f1", "f2", "n"]).select("id", "rep")
     placed = own.join(labels, own["rep"] == labels["node"], "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    if labels is not None:
+    if own.distinct().groupBy("id").count().where("count > 1").take(1):
         # several texts of one id can sit in several components: join those too
         many = own.join(labels, own["rep"] == labels["node"], "left").select(F.col("id").alias("a"), F.coalesce("component", "rep").alias("b")).where("a <> b")
-        doubled = own.distinct().groupBy("id").count().where("count > 1").limit(1).count()
-        if doubled:
-            joined = components(many.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-            placed = own.select("id").distinct().join(joined, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component_id"))
+        joined = components(many.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        placed = own.select("id").distinct().join(joined, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("id", "n").join(placed, "id", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Bucket rows with components, of buckets that hold more than one."""
-    rows = shared.join(labels, shared["id"] == labels["node"], "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    return stage(rows.join(mixed, "key"), "apart")
-
+def _sizes_fit(percent: int) -> Column:
+    """|A and B| is at most the smaller size and |A or B| at least the larger."""
+    return (100 * F.col("n") >= percent * F.col("n2")) & (100 * F.col("n2") >= percent * F.col("n"))
 
-def _centred(rows: DataFrame, turn: int) -> DataFrame:
-    """Each bucket's nodes against one of them: the smallest id at first, later one chosen by hash."""
-    rank = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-    mid = rows.groupBy("key").agg(F.min(F.struct(rank.alias("r"), F.col("id").alias("mid"))).alias("m")).select("key", "m.mid")
-    return rows.join(mid, "key").where("id <> mid").select(F.least("id", "mid").alias("a"), F.greatest("id", "mid").alias("b")).distinct()
 
+def _centres(shared: DataFrame) -> DataFrame:
+    """(key, mid, n2): of each bucket the node that meets most nodes."""
+    rank = F.struct((-F.col("met")).alias("r"), F.col("id").alias("mid"), F.col("n").alias("n2"))
+    return shared.groupBy("key").agg(F.min(rank).alias("m")).select("key", "m.mid", "m.n2")
 
-def _all_apart(rows: DataFrame) -> DataFrame:
-    """The pairs of a bucket that lie in different components."""
-    other = rows.select("key", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
-    return rows.join(other, "key").where("comp < comp2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
-
-def _verified(texts: DataFrame, pairs: DataFrame, sigs: DataFrame, p: NearDedup) -> DataFrame:
-    """Pairs that pass the batch-wise comparison and then the full sets."""
+def _pruned(pairs: DataFrame, sigs: DataFrame, p: NearDedup) -> DataFrame:
     a = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa"))
     b = sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
-    close = stage(pairs.join(a, "a").join(b, "b").mapInArrow(_pruner(p), "a long, b long"), "close")
+    return pairs.join(a, "a").join(b, "b").mapInArrow(_pruner(p), "a long, b long")
+
+
+def _apart(shared: DataFrame, mid: DataFrame, labels: DataFrame, sigs: DataFrame, p: NearDedup) -> DataFrame | None:
+    """The pairs that share a bucket's centre, lie in different components and survive the batch-wise comparison.
+
+    Nodes around a centre are compared in blocks, so that no row is made for a
+    pair that doesn't survive, and a large group is the work of many tasks.
+    """
+    rows = shared.join(labels, shared["id"] == labels["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    around = stage(rows.join(mixed, "key").join(mid.select("key", "mid"), "key").select("mid", "id", "n", "comp").distinct(), "apart")
+    count = around.count()
+    if not count:
+        return None
+    parts = around.groupBy("mid").agg(F.ceil(F.count("*") / p.block).cast("int").alias("parts"))
+    dealt = around.join(parts, "mid").join(sigs, "id").withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    few = F.pmod(F.xxhash64("mid"), F.lit(max(64, count // 1024)))
+    dealt = dealt.select(F.when(F.col("parts") == 1, few).otherwise(F.xxhash64("mid", F.least("side", "o"), F.greatest("side", "o"))).alias("g"), "mid", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "id", "n", "comp", "sig")
+    return dealt.groupBy("g").applyInArrow(_blocks(p), "a long, b long").distinct()
+
+
+def _blocks(p: NearDedup):
+    need = p.min_matches()
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("mid", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        mid, i, j, side, ids, n, comp = (np.asarray(t[c]).astype(np.int64) for c in ("mid", "i", "j", "side", "id", "n", "comp"))
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint32).reshape(len(ids), -1)
+        cuts = np.concatenate([[0], np.flatnonzero((np.diff(mid) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1, [len(ids)]])
+        out: list[list[np.ndarray]] = [[], []]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            x, y = np.triu_indices(hi - lo, 1)
+            x, y = x + lo, y + lo
+            fit = (comp[x] != comp[y]) & (100 * n[x] >= p.percent * n[y]) & (100 * n[y] >= p.percent * n[x])
+            if i[lo] != j[lo]:
+                fit &= side[x] != side[y]
+            x, y = x[fit], y[fit]
+            seen = np.zeros(len(x), dtype=np.int64)
+            for k, least in enumerate(need):
+                cut = slice(k * p.batch, (k + 1) * p.batch)
+                seen += (sig[x, cut] == sig[y, cut]).sum(axis=1)
+                stay = seen >= least
+                x, y, seen = x[stay], y[stay], seen[stay]
+                if not len(x):
+                    break
+            out[0].append(np.minimum(ids[x], ids[y]))
+            out[1].append(np.maximum(ids[x], ids[y]))
+        return pa.table([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["a", "b"])
+
+    return compare
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, p: NearDedup) -> DataFrame:
+    """Pairs that link by their full sets."""
+    close = stage(pairs, "close")
     ids = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = stage(semi(texts, ids, "id").mapInArrow(_setter(p.width), "id long, items binary"), "sets")
     a = sets.select(F.col("id").alias("a"), F.col("items").alias("xa"))
