@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from strandweave.llm.chat import chat_digest
 from strandweave.llm.common import table
 from strandweave.llm.decontaminate import contaminated
+from strandweave.llm.licenses import TEMPLATES, bigrams, license_hits
 from strandweave.llm.minhash_dedup import NearDedup, near_duplicates
+from strandweave.llm.pii import replaced
 from strandweave.llm.quality_fm import quality
+from strandweave.llm.secrets import secrets
 from strandweave.llm.sentencepiece_viterbi import encoded_and_checked
 from strandweave.llm.sharding import shard_digest
 from strandweave.llm.vector_dedup import near_vectors
@@ -49,8 +52,20 @@ def op7_reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(table(spark, sf_dir, "conversations"), extra)
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replaced(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced")
+
+
+def op9_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
+def op10_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_hits(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_decontamination, op2_quality_fm, op3_minhash_near_dedup, op4_external_shuffle, op5_nn_descent, op6_sentencepiece_viterbi, op7_reply_tree_chat]
+    found = [op1_decontamination, op2_quality_fm, op3_minhash_near_dedup, op4_external_shuffle, op5_nn_descent, op6_sentencepiece_viterbi, op7_reply_tree_chat, op8_pii_surrogates, op9_secret_forest, op10_license_dice]
     return {f.__name__: f for f in found}
 
 
@@ -115,5 +130,40 @@ FROM embeddings e LEFT JOIN m ON m.node = e.vec_id LEFT JOIN n ON n.p = e.vec_id
 """
 
 
+def _op10() -> str:
+    rows = ", ".join(f"('{k}', {sum(c.values())}, '{b}', {n})" for k, c in ((k, bigrams(t)) for k, t in TEMPLATES.items()) for b, n in c.items())
+    return rf"""
+WITH t(license_id, b, bigram, n) AS (VALUES {rows}),
+units AS (
+  SELECT doc_id, 'line' AS unit, unnest(string_split(text, chr(10))) AS body, unnest(range(len(string_split(text, chr(10))))) AS no
+  FROM documents WHERE text <> ''
+  UNION ALL
+  SELECT * FROM (
+    SELECT doc_id, 'paragraph' AS unit, unnest(regexp_split_to_array(text, '
+[ 	]*
+')) AS body,
+      unnest(range(len(regexp_split_to_array(text, '
+[ 	]*
+')))) AS no
+    FROM documents WHERE text <> '') WHERE contains(trim(body, chr(10)), chr(10))
+  UNION ALL
+  SELECT doc_id, 'file', text, 0 FROM documents WHERE regexp_matches(text, '
+[ 	]*
+')),
+w AS (SELECT doc_id, unit, no, list_filter(regexp_split_to_array(lower(body), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM units),
+g AS (
+  SELECT doc_id, unit, no, len(w) - 1 AS a, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram
+  FROM w WHERE len(w) > 1),
+m AS (SELECT doc_id, unit, no, a, bigram, count(*) AS m FROM g GROUP BY ALL),
+k AS (
+  SELECT doc_id, unit, no, a, license_id, b, sum(least(m, n)) AS k FROM m JOIN t USING (bigram) GROUP BY ALL),
+d AS (
+  SELECT *, 2 * CAST(k AS DOUBLE) / (a + b) AS dice,
+    row_number() OVER (PARTITION BY doc_id, unit, no ORDER BY 2 * CAST(k AS DOUBLE) / (a + b) DESC, license_id) AS r
+  FROM k)
+SELECT doc_id, unit, CAST(no AS BIGINT) AS unit_no, license_id, dice FROM d WHERE r = 1 AND dice >= 0.8
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_dedup": _OP3, "op5_nn_descent": _OP5, "op7_reply_tree_chat": _OP7}
+    return {"op3_minhash_near_dedup": _OP3, "op5_nn_descent": _OP5, "op7_reply_tree_chat": _OP7, "op10_license_dice": _op10()}
