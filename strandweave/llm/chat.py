@@ -52,8 +52,9 @@ def branches(nodes: DataFrame, top: int) -> DataFrame:
     longest = max(2, now.count()).bit_length() + 1
     while len(levels) <= longest and now.where("up is not null").take(1):
         ahead = now.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("total").alias("t2"), F.col("depth").alias("d2"))
-        both = now.join(ahead, ["tree", "up"], "left")
-        now = stage(both.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth")), "jump")
+        below = now.where("up is not null").join(ahead, ["tree", "up"])
+        below = below.select("tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("t2")).alias("total"), (F.col("depth") + F.col("d2")).alias("depth"))
+        now = stage(now.where("up is null").unionByName(below), "jump")
         levels.append(now)
     parents = levels[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct()
     leaves = now.where("up is null").join(parents, ["tree", "node"], "left_anti")
