@@ -32,7 +32,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GAP = "▁"
 _UNITS = re.compile(f"{GAP}*[^{GAP}]+|{GAP}+")
 #: A memo of unit encodings has two generations of at most so many entries.
-MEMO = 120_000
+MEMO = 250_000
 
 
 class Pieces:
@@ -47,7 +47,8 @@ class Pieces:
         self.tails = {p[k:] for p in ids for k in range(len(p))}
         self.bridges = {p[k : k + 2] for p in ids for k in range(len(p) - 1)}
         self._split: dict[str, tuple[str, str]] = {}
-        self._side: dict[tuple[str, str], bool] = {}
+        self._side: dict[int, bool] = {}
+        self.spelling = {i: piece for piece, i in ids.items()}
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -87,14 +88,14 @@ class Pieces:
             found = self._split[piece] = (parts[0], parts[1])
         return found
 
-    def stay_apart(self, left: str, right: str) -> bool:
-        """True if merging ``left + right`` ends with just these two pieces."""
-        key = (left, right)
+    def stay_apart(self, left: int, right: int) -> bool:
+        """True if merging the two pieces' text ends with just these two."""
+        key = left << 32 | right
         found = self._side.get(key)
         if found is None:
-            if len(self._side) > MEMO:
+            if len(self._side) > 4 * MEMO:
                 self._side.clear()
-            found = self._side[key] = self._apart(left, right)
+            found = self._side[key] = self._apart(self.spelling[left], self.spelling[right])
         return found
 
     def _apart(self, left: str, right: str) -> bool:
@@ -120,10 +121,6 @@ class Streaming:
     def __init__(self, pieces: Pieces):
         self.p = pieces
 
-    def _ids(self, piece: str) -> Iterable[int]:
-        found = self.p.ids.get(piece)
-        return (found,) if found is not None else [self.p.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
-
     def encode(self, unit: str) -> Iterator[int]:
         """Ids of ``unit``, committed in order. Memory: the window and the text since the last commit.
 
@@ -131,33 +128,11 @@ class Streaming:
         path has a boundary: what is left of it is committed at once.
         """
         p = self.p
-        ids, scores, tails, bridges, side, widest, merges = p.ids, p.scores, p.tails, p.bridges, p._side, p.longest, p.kind == "merges"
-        base, back, last, best = 0, [0], [""], [0.0]  # of boundaries from base on
-        n = len(unit)
+        bridges, widest = p.bridges, p.longest
+        base, n = 0, len(unit)
+        back, last, best = [0], [-1], [0.0]  # of boundaries from base on: where the last piece begins, its id, the score
         for i in range(1, n + 1):
-            j, top = i - 1, -np.inf
-            chosen, at = unit[j:i], j  # a character without a piece stands alone, in bytes
-            if not merges:
-                top = best[j - base] + scores.get(chosen, p.floor)
-            while j >= base:
-                piece = unit[j:i]
-                if piece not in tails:
-                    break
-                if piece in ids:
-                    if merges:
-                        before = last[j - base]
-                        fits = not before or side.get((before, piece))
-                        if fits is None:
-                            fits = p.stay_apart(before, piece)
-                        if fits:
-                            chosen, at = piece, j
-                            break
-                    elif (score := best[j - base] + scores[piece]) > top:
-                        chosen, at, top = piece, j, score
-                j -= 1
-            back.append(at)
-            last.append(chosen)
-            best.append(top)
+            self._extend(unit, i, base, back, last, best)
             if i == n:
                 break
             if unit[i - 1 : i + 1] not in bridges:
@@ -167,12 +142,72 @@ class Streaming:
             else:
                 continue
             if meet > base:
-                yield from self._walk(base, back, last, meet)
+                yield from self._walk(unit, base, back, last, meet)
                 cut = meet - base
                 back, last, best, base = back[cut:], last[cut:], best[cut:], meet
                 if meet == i:
-                    last[0] = ""
-        yield from self._walk(base, back, last, n)
+                    last[0] = -1
+        yield from self._walk(unit, base, back, last, n)
+
+    def _extend(self, unit: str, i: int, base: int, back: list[int], last: list[int], best: list[float]) -> None:
+        """The surviving path of boundary ``i``. A character without a piece stands alone, as id -1."""
+        p = self.p
+        get, tails, scores, merges = p.ids.get, p.tails, p.scores, p.kind == "merges"
+        j, chosen, at, top = i - 1, -1, i - 1, -np.inf
+        if not merges:
+            top = best[j - base] + scores.get(unit[j:i], p.floor)
+        while j >= base:
+            piece = unit[j:i]
+            if piece not in tails:
+                break
+            found = get(piece)
+            if found is not None:
+                if merges:
+                    before = last[j - base]
+                    if before < 0 or p.stay_apart(before, found):
+                        chosen, at = found, j
+                        break
+                elif (score := best[j - base] + scores[piece]) >= top:
+                    chosen, at, top = found, j, score
+            j -= 1
+        back.append(at)
+        last.append(chosen)
+        best.append(top)
+
+    def short(self, unit: str) -> bytes:
+        """As :meth:`encode` for a unit shorter than the window needs to move, as 32-bit integers.
+
+        Written out for merges, since nearly all units come here.
+        """
+        p = self.p
+        if p.kind != "merges":
+            return array("i", self.encode(unit)).tobytes()
+        get, tails, side = p.ids.get, p.tails, p._side.get
+        back, last = [0], [-1]
+        for i in range(1, len(unit) + 1):
+            j = at = i - 1
+            chosen = -1
+            while j >= 0:
+                piece = unit[j:i]
+                if piece not in tails:
+                    break
+                found = get(piece)
+                if found is not None:
+                    before = last[j]
+                    if before < 0:
+                        chosen, at = found, j
+                        break
+                    fits = side(before << 32 | found)
+                    if fits is None:
+                        fits = p.stay_apart(before, found)
+                        side = p._side.get
+                    if fits:
+                        chosen, at = found, j
+                        break
+                j -= 1
+            back.append(at)
+            last.append(chosen)
+        return array("i", self._walk(unit, 0, back, last, len(unit))).tobytes()
 
     def _meet(self, base: int, back: list[int], i: int) -> int:
         """The last boundary that the paths of all live boundaries share."""
@@ -183,13 +218,17 @@ class Streaming:
             live.add(max(base, back[far - base]))
         return live.pop()
 
-    def _walk(self, base: int, back: list[int], last: list[str], end: int) -> Iterator[int]:
-        path = []
+    def _walk(self, unit: str, base: int, back: list[int], last: list[int], end: int) -> list[int]:
+        path: list[int] = []
         while end > base:
-            path.append(last[end - base])
-            end = back[end - base]
-        for piece in reversed(path):
-            yield from self._ids(piece)
+            at, found = back[end - base], last[end - base]
+            if found >= 0:
+                path.append(found)
+            else:
+                path += [self.p.byte_ids[b] for b in reversed(unit[at:end].encode("utf-8", "surrogatepass"))]
+            end = at
+        path.reverse()
+        return path
 
 
 class Codec:
@@ -218,9 +257,11 @@ class Codec:
                     start = i
                     known = self.memo.get(part) or self.older.get(part)
                     if known is None:
-                        known = array("i", self.stream.encode(part)).tobytes()
                         if len(part) <= 48:
+                            known = self.stream.short(part)
                             self._keep(part, known)
+                        else:
+                            known = array("i", self.stream.encode(part)).tobytes()
                     parts.append(known)
             if len(parts) == 1:
                 return parts[0]
@@ -296,8 +337,24 @@ def decode(encoded: DataFrame, model: str = DEFAULT_MODEL, out_col: str = "decod
     return encoded.mapInArrow(run, schema)
 
 
-def encoded_and_checked(docs: DataFrame, model: str = DEFAULT_MODEL) -> DataFrame:
-    """(doc_id, n_ids, ids, round_trip): the ids, and whether they spell the text again exactly."""
-    both = decode(encode(docs, model), model)
-    n = F.coalesce(F.size("ids"), F.lit(0))
-    return both.select("doc_id", F.when(F.col("ids").isNull(), 0).otherwise(n).cast("long").alias("n_ids"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+def encoded_and_checked(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_ids, ids, round_trip): the ids, and whether they spell the text again exactly.
+
+    :func:`encode` and :func:`decode` in one pass over the texts.
+    """
+    batches(docs.sparkSession)
+    pieces = Pieces.load(model)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(pieces)
+        for rb in it:
+            texts = rb.column(1).to_pylist()
+            found = [codec.encode(t or "") for t in texts]
+            same = [codec.decode(np.frombuffer(f, dtype=np.int32).tolist()) == (t or "") for f, t in zip(found, texts, strict=True)]
+            ends = np.cumsum([0, *map(len, found)]) // 4
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), dtype=np.int32)), mask=rb.column(1).is_null())
+            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array(np.diff(ends).astype(np.int64)), lists, pa.array(same, pa.bool_())], names=[id_col, "n_ids", "ids", "round_trip"])
+
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
+    kind = rows.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_ids long, ids array<int>, round_trip boolean")
