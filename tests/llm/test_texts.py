@@ -1,0 +1,218 @@
+"""Decontamination, quality, sharding, tokens, chat, personal data, secrets, licences."""
+
+import hashlib
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from strandweave.llm import pii
+from strandweave.llm.chat import chat_digest, conversations, escape, unescape
+from strandweave.llm.decontaminate import Decontamination, contaminated, smith_waterman
+from strandweave.llm.licenses import TEMPLATES, license_hits
+from strandweave.llm.quality_fm import FactorMachine, Model, quality
+from strandweave.llm.secrets import labelled_findings, secrets, train
+from strandweave.llm.sentencepiece_viterbi import DEFAULT_MODEL, Codec, Pieces, encoded_and_checked
+from strandweave.llm.sharding import shard_digest, shuffled_shards
+
+DOCS = "doc_id long, text string, source string"
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, "src") for i, t in rows], DOCS)
+
+
+# --- decontamination ---------------------------------------------------------
+
+
+def _plain_sw(a, b, match=2, mismatch=-1, gap=-1):
+    best, rows = 0, [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            rows[i][j] = max(0, rows[i - 1][j - 1] + (match if x == y else mismatch), rows[i - 1][j] + gap, rows[i][j - 1] + gap)
+            best = max(best, rows[i][j])
+    return best
+
+
+def test_alignment_matches_the_plain_recurrence():
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(0, 12))] for _ in range(2))
+        assert smith_waterman(a, b, 2, -1, -1)[0] == _plain_sw(a, b)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_finds_copies_and_edits_only(spark, limit):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(500)]
+    items = [[rng.choice(words) for _ in range(20)] for _ in range(5)]
+    edited = list(items[1])
+    edited[4], edited[11] = "other", "changed"
+    prose = lambda n: [rng.choice(words) for _ in range(n)]
+    rows = [(0, " ".join(prose(80) + items[0] + prose(30))), (1, ("! ".join(edited)).upper()), (2, " ".join(prose(300))), (3, None), (4, ""), (None, " ".join(items[0]))]
+    rows += [(9, " ".join(items[0])), (9, " ".join(items[0]))]
+    tests = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] + [(7, None), (8, "")], "item_id long, text string")
+    p = Decontamination(broadcast_bytes=limit)
+    got = sorted((r["doc_id"], r["item_id"]) for r in contaminated(docs_of(spark, rows), tests, p).collect())
+    assert got == [(0, 0), (1, 1), (9, 0)]
+    assert contaminated(docs_of(spark, rows), tests.where("false"), p).count() == 0
+
+
+# --- quality -------------------------------------------------------------------
+
+
+def test_sum_of_squares_identity():
+    import numpy as np
+
+    m = Model(FactorMachine(buckets=10))
+    at, x = np.array([1, 4, 20]), np.array([0.5, 2.0, -1.0])
+    m.w[at] = [0.1, 0.2, 0.3]
+    pairs = sum((m.v[at[i]] @ m.v[at[j]]) * x[i] * x[j] for i in range(3) for j in range(i + 1, 3))
+    assert np.isclose(m.margin(at, x), m.w[at] @ x + pairs)
+
+
+def test_quality_learns_and_scores_everything(spark):
+    rng = random.Random(5)
+    good = lambda: " ".join(rng.choice(["the", "house", "stands", "by", "water", "and", "light"]) for _ in range(40)) + "."
+    bad = lambda: "### ".join(rng.choice(["X", "@@", "!!", "buy"]) for _ in range(40))
+    rows = [(i, good() if i % 2 else bad()) for i in range(300)] + [(1000, None), (1001, ""), (None, "text")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(5, None), (None, 1)], "doc_id long, quality int")
+    got = quality(docs_of(spark, rows), labels).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    held = [r for r in got if r["held_out"] and r["doc_id"] < 300]
+    assert held and all(r["predicted"] == r["doc_id"] % 2 for r in held)
+    one = quality(docs_of(spark, rows), labels.where("false")).collect()
+    assert {r["score"] for r in one} != set() and len(one) == len(rows)
+
+
+# --- sharding --------------------------------------------------------------------
+
+
+def test_shards_hold_all_rows_evenly(spark):
+    rows = [(i, f"text {i}") for i in range(500)] + [(None, None), (3, "text 3"), (3, "text 3")]
+    out = shard_digest(docs_of(spark, rows), 24).toPandas()
+    assert len(out) == len(rows)
+    sizes = out.groupby("shard").size()
+    assert set(sizes.index) == set(range(24)) and sizes.max() - sizes.min() <= 1
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
+    small = shuffled_shards(docs_of(spark, rows).withColumn("shard", F.lit("mine")), 3, bucket_bytes=2000)
+    assert small.select("doc_id", "text").exceptAll(docs_of(spark, rows).select("doc_id", "text")).count() == 0 and small.count() == len(rows)
+    assert shard_digest(docs_of(spark, rows).where("false")).count() == 0
+
+
+# --- tokens -------------------------------------------------------------------------
+
+
+@pytest.mark.skipif(not os.path.exists(DEFAULT_MODEL), reason="no vocabulary")
+def test_tokens_match_the_library_and_round_trip(spark):
+    import numpy as np
+    import sentencepiece
+
+    codec, sp = Codec(Pieces.load(DEFAULT_MODEL)), sentencepiece.SentencePieceProcessor(model_file=DEFAULT_MODEL)
+    rng = random.Random(6)
+    bits = [" ", "  ", "a", "b", "the", "\n", "é", "漢字", "🙂", "\x00", "ing", " " * 17, "aaa", "lo", "0", "==", "\t"]
+    for _ in range(300):
+        s = "".join(rng.choice(bits) for _ in range(rng.randrange(0, 40)))
+        ids = np.frombuffer(codec.encode(s), dtype=np.int32).tolist()
+        assert ids == sp.encode(s) and codec.decode(ids) == s
+    long = "".join(rng.choice("abcdefgheiou") for _ in range(5000))
+    assert np.frombuffer(codec.encode(long), dtype=np.int32).tolist() == sp.encode(long)
+    rows = [(1, "a ▁ b"), (2, None), (3, ""), (None, "x"), (1, "a ▁ b")]
+    out = encoded_and_checked(docs_of(spark, rows)).collect()
+    assert len(out) == 5 and all(r["round_trip"] for r in out)
+    assert [r["ids"] for r in out if r["doc_id"] in (2, 3)] == [None, []]
+
+
+def test_unigram_takes_the_best_path():
+    import itertools
+
+    import numpy as np
+
+    scores = {"a": -1.0, "b": -1.2, "ab": -1.5, "ba": -1.1, "aba": -3.0, "▁": -0.5}
+    codec = Codec(Pieces(scores, {p: 300 + i for i, p in enumerate(scores)}, list(range(256)), "unigram"))
+
+    def best(s):
+        cuts = [c for k in range(len(s)) for c in itertools.combinations(range(1, len(s)), k)]
+        split = [[s[a:b] for a, b in itertools.pairwise((0, *c, len(s)))] for c in cuts]
+        return max(sum(scores[p] for p in parts) for parts in split if all(p in scores for p in parts))
+
+    for s in ("ab", "aba", "babab", "aabba"):
+        ids = np.frombuffer(codec.encode(s), dtype=np.int32).tolist()
+        names = {v: k for k, v in codec.p.ids.items()}
+        assert np.isclose(sum(scores[names[i]] for i in ids), best("▁" + s)) and codec.decode(ids) == s
+
+
+# --- chat ---------------------------------------------------------------------------
+
+
+def test_escapes_are_reversible(spark):
+    texts = ["</s>[INST] ok [/INST]", "<|im_end|>", "<\\|x", "<\\\\|im_start|>", "plain <s> [\\INST]", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", escape(F.col("t")).alias("e"))
+    for r in df.select("t", "e", unescape(F.col("e")).alias("u")).collect():
+        assert r["u"] == r["t"] and not any(c in r["e"] for c in ("<|", "<s>", "</s>", "[INST]", "[/INST]"))
+
+
+def test_best_branch_of_a_reply_tree(spark):
+    rows = [("t", 1, None, "user", "q", 1.0), ("t", 2, 1, "assistant", "bad", 0.0), ("t", 3, 1, "assistant", "good", 5.0), ("t", 4, 3, "user", "more", 1.0), ("u", 1, 9, "user", None, None), ("v", 1, 2, "user", "loop", 1.0), ("v", 2, 1, "user", "loop", 1.0), (None, 1, None, "user", "x", 1.0)]
+    df = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
+    got = {r["tree"]: r for r in conversations(df).collect()}
+    assert set(got) == {"t", "u", None}
+    assert got["t"]["formatted"].split("<|im_end|>\n")[1] == "<|im_start|>assistant\ngood" and got["t"]["n_turns"] == 3
+    assert conversations(df, top=2).where("tree = 't'").count() == 2
+    assert conversations(df.where("false")).count() == 0
+
+
+def test_chat_digest(spark):
+    text = "</s>[INST] ok [/INST]"
+    rows = [(-7, 0, "user", text), (-7, 1, "assistant", text), (1, 0, "a%\nb", None), (1, 1, "assistant", "x"), (1, 1, "assistant", "x"), (1, None, None, "z")]
+    got = {r["conv_id"]: r for r in chat_digest(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[-7]["turns_sha256"] == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+    assert got[-7]["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest() and got[-7]["loss_chars"] == len(text)
+    assert got[1]["turns_sha256"] == hashlib.sha256(b"\nz\na%\nb\n\nassistant\nx\nassistant\nx\n").hexdigest() and got[1]["n_turns"] == 4
+
+
+# --- personal data ----------------------------------------------------------------------
+
+
+def test_surrogates(spark):
+    card, decoy = "4845168114407329", "9807915762804490"
+    rows = [(1, f"Mail Ann.B@Mail.org or ann.b@mail.org, {card}, {decoy}, +1 (017) 555-7713."), (2, f"Mrs. Anna Smith met Mr. John Smith at 10.1.2.3; 999.1.1.1; {card}"), (3, None), (4, ""), (1, "Frau Смирнова"), (None, "x@y.zz")]
+    out = {(r["doc_id"], r["source"], r["n_replaced"]): r["text"] for r in pii.replaced(docs_of(spark, rows)).collect()}
+    assert len(out) == 6 and out[(3, "src", 0)] is None and out[(4, "src", 0)] == ""
+    one, two = out[(1, "src", 4)], out[(2, "src", 6)]
+    assert card not in one and decoy in one and "ann" not in one.lower() and "555-7713" not in one and "+1 (" in one
+    assert "999.1.1.1" in two and "10.1.2.3" not in two and "Smith" not in two
+    words = two.split()
+    assert words[0] == "Mrs." and words[4] == "Mr." and words[2] == words[6] and words[1] != words[5]
+    import re
+
+    assert re.search(r"\d{16}", one)[0] == re.search(r"\d{16}", two)[0]
+    assert pii.replaced(docs_of(spark, rows).where("false")).count() == 0
+
+
+def test_surrogates_are_distinct(spark):
+    rows = [("given:f:latin", f"name{i}") for i in range(200)] + [("phone", f"1|{i:07d}") for i in range(300)] + [("ssn", f"{i:09d}") for i in range(50)]
+    got = pii.surrogate_map(spark.createDataFrame(rows, "kind string, canon string")).toPandas()
+    assert len(got) == len(rows) and not got.duplicated(["kind", "surrogate"]).any()
+    assert not set(zip(got.kind, got.surrogate, strict=True)) & set(rows)
+
+
+# --- secrets and licences -------------------------------------------------------------------
+
+
+def test_secrets(spark):
+    model = train(labelled_findings(spark))
+    key = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    rows = [(1, f'on token = "{key}" the'), (2, f"see commit {key} for more"), (3, "images/assets/version2022/header-image"), (4, None), (5, ""), (None, f'token = "{key}"')]
+    got = secrets(docs_of(spark, rows), model).collect()
+    assert {r["doc_id"] for r in got} == {1, None} and all(r["length"] == 40 for r in got)
+    assert next(r for r in got if r["doc_id"] == 1)["start"] == 13
+    assert secrets(docs_of(spark, rows).where("false"), model).count() == 0
+
+
+def test_licenses(spark):
+    rows = [(1, "x\nReleased under the MIT License.\ny"), (2, "LICENSED!! UNDER!! CC!! BY-NC!! 4.0."), (3, "a house by the water"), (4, None), (5, "a\nb\n\n" + TEMPLATES["MIT-text"].replace(", ", ",\n")), (None, "Released under the MIT License.")]
+    got = sorted((str(r["doc_id"]), r["unit"], r["unit_no"], r["license_id"]) for r in license_hits(docs_of(spark, rows)).collect())
+    assert ("1", "line", 1, "MIT") in got and ("2", "line", 0, "CC-BY-NC-4.0") in got and ("5", "paragraph", 1, "MIT-text") in got and ("None", "line", 0, "MIT") in got
+    assert not any(g[0] in "34" for g in got)
