@@ -161,10 +161,9 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "
     star = shared.join(mid, "key").where(F.col("id") != F.col("mid")).where(_sizes_fit(p.percent))
     links = _verified(texts, _pruned(star.select(F.least("id", "mid").alias("a"), F.greatest("id", "mid").alias("b")).distinct(), sigs, p), p)
     labels = components(links)
-    more = _apart(shared, mid, labels, sigs, p)
+    more = _apart(texts, shared, mid, labels, sigs, p)
     if more is not None:
-        links = links.unionByName(_verified(texts, more, p))
-        labels = components(links)
+        labels = components(links.unionByName(more))
 
     own = sets.join(first, ["f1", "f2", "n"]).select("id", "rep")
     placed = own.join(labels, own["rep"] == labels["node"], "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
@@ -195,11 +194,13 @@ def _pruned(pairs: DataFrame, sigs: DataFrame, p: NearDedup) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInArrow(_pruner(p), "a long, b long")
 
 
-def _apart(shared: DataFrame, mid: DataFrame, labels: DataFrame, sigs: DataFrame, p: NearDedup) -> DataFrame | None:
-    """The pairs that share a bucket's centre, lie in different components and survive the batch-wise comparison.
+def _apart(texts: DataFrame, shared: DataFrame, mid: DataFrame, labels: DataFrame, sigs: DataFrame, p: NearDedup) -> DataFrame | None:
+    """Links between components, among nodes that share a bucket's centre.
 
-    Nodes around a centre are compared in blocks, so that no row is made for a
-    pair that doesn't survive, and a large group is the work of many tasks.
+    Nodes around a centre are compared in blocks, first by signatures, batch by
+    batch, then those left by their full sets. No row is made for a pair: each
+    block yields a spanning forest of its links, and a large group is the work
+    of many tasks.
     """
     rows = shared.join(labels, shared["id"] == labels["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
@@ -211,26 +212,41 @@ def _apart(shared: DataFrame, mid: DataFrame, labels: DataFrame, sigs: DataFrame
     dealt = around.join(parts, "mid").join(sigs, "id").withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     few = F.pmod(F.xxhash64("mid"), F.lit(max(64, count // 1024)))
-    dealt = dealt.select(F.when(F.col("parts") == 1, few).otherwise(F.xxhash64("mid", F.least("side", "o"), F.greatest("side", "o"))).alias("g"), "mid", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "id", "n", "comp", "sig")
-    return dealt.groupBy("g").applyInArrow(_blocks(p), "a long, b long").distinct()
+    group = F.when(F.col("parts") == 1, few).otherwise(F.xxhash64("mid", F.least("side", "o"), F.greatest("side", "o"))).alias("g")
+    dealt = dealt.select(group, "mid", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "id", "n", "comp", "sig")
+    close = stage(dealt.groupBy("g").applyInArrow(_close_blocks(p), "g long, mid long, i int, j int, side int, id long, n long, comp long"), "close")
+    sets = semi(texts, close.select("id").distinct(), "id").mapInArrow(_setter(p.width), "id long, items binary")
+    found = close.join(sets, "id").groupBy("g").applyInArrow(_linked_blocks(p), "a long, b long").distinct()
+    return stage(found, "links")
 
 
-def _blocks(p: NearDedup):
+def _by_block(t: pa.Table) -> Iterator[pa.Table]:
+    t = t.sort_by([("mid", "ascending"), ("i", "ascending"), ("j", "ascending")])
+    mid, i, j = (np.asarray(t[c]).astype(np.int64) for c in ("mid", "i", "j"))
+    cuts = np.concatenate([[0], np.flatnonzero((np.diff(mid) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1, [len(mid)]])
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        yield t.slice(lo, hi - lo)
+
+
+def _eligible(t: pa.Table, p: NearDedup) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block in different components, of sizes that fit, and of different sides where it has two."""
+    side, n, comp = (np.asarray(t[c]).astype(np.int64) for c in ("side", "n", "comp"))
+    x, y = np.triu_indices(t.num_rows, 1)
+    fit = (comp[x] != comp[y]) & (100 * n[x] >= p.percent * n[y]) & (100 * n[y] >= p.percent * n[x])
+    if t["i"][0].as_py() != t["j"][0].as_py():
+        fit &= side[x] != side[y]
+    return x[fit], y[fit]
+
+
+def _close_blocks(p: NearDedup):
     need = p.min_matches()
+    names = ["g", "mid", "i", "j", "side", "id", "n", "comp"]
 
     def compare(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("mid", "ascending"), ("i", "ascending"), ("j", "ascending")])
-        mid, i, j, side, ids, n, comp = (np.asarray(t[c]).astype(np.int64) for c in ("mid", "i", "j", "side", "id", "n", "comp"))
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint32).reshape(len(ids), -1)
-        cuts = np.concatenate([[0], np.flatnonzero((np.diff(mid) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1, [len(ids)]])
-        out: list[list[np.ndarray]] = [[], []]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            x, y = np.triu_indices(hi - lo, 1)
-            x, y = x + lo, y + lo
-            fit = (comp[x] != comp[y]) & (100 * n[x] >= p.percent * n[y]) & (100 * n[y] >= p.percent * n[x])
-            if i[lo] != j[lo]:
-                fit &= side[x] != side[y]
-            x, y = x[fit], y[fit]
+        out = []
+        for block in _by_block(t):
+            x, y = _eligible(block, p)
+            sig = np.frombuffer(b"".join(block["sig"].to_pylist()), dtype=np.uint32).reshape(block.num_rows, -1)
             seen = np.zeros(len(x), dtype=np.int64)
             for k, least in enumerate(need):
                 cut = slice(k * p.batch, (k + 1) * p.batch)
@@ -239,13 +255,53 @@ def _blocks(p: NearDedup):
                 x, y, seen = x[stay], y[stay], seen[stay]
                 if not len(x):
                     break
-            out[0].append(np.minimum(ids[x], ids[y]))
-            out[1].append(np.maximum(ids[x], ids[y]))
-        return pa.table([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["a", "b"])
+            out.append(block.select(names).take(pa.array(np.unique(np.concatenate([x, y])))))
+        return pa.concat_tables(out)
 
     return compare
 
 
+def _linked_blocks(p: NearDedup):
+    def link(t: pa.Table) -> pa.Table:
+        out: list[list[int]] = [[], []]
+        for block in _by_block(t):
+            ids, comp = np.asarray(block["id"]), np.asarray(block["comp"])
+            x, y = _eligible(block, p)
+            if not len(x):
+                continue
+            sets = [np.frombuffer(b, dtype=np.uint64) for b in block["items"].to_pylist()]
+            size = np.array([len(s) for s in sets])
+            _, token = np.unique(np.concatenate(sets), return_inverse=True)
+            row = np.repeat(np.arange(len(sets)), size)
+            order = np.argsort(token, kind="stable")
+            token, row = token[order], row[order]
+            both = np.zeros((len(sets), len(sets)), dtype=np.int64)
+            for low in range(0, int(token[-1]) + 1, 4096):  # shared shingles of all pairs, some columns at a time
+                a, b = np.searchsorted(token, [low, low + 4096])
+                has = np.zeros((len(sets), 4096), dtype=np.float32)
+                has[row[a:b], token[a:b] - low] = 1
+                both += (has @ has.T).astype(np.int64)
+            shared = both[x, y]
+            linked = (100 * shared >= p.percent * (size[x] + size[y] - shared)) & (shared > 0)
+            root = {c: c for c in comp.tolist()}
+            for a, b in zip(x[linked].tolist(), y[linked].tolist(), strict=True):
+                u, v = (_root(root, int(comp[k])) for k in (a, b))
+                if u != v:
+                    root[u] = v
+                    out[0].append(min(int(ids[a]), int(ids[b])))
+                    out[1].append(max(int(ids[a]), int(ids[b])))
+        return pa.table([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
+
+    return link
+
+
+def _root(root: dict[int, int], k: int) -> int:
+    while root[k] != k:
+        root[k] = root[root[k]]
+        k = root[k]
+    return k
+
+
 def _verified(texts: DataFrame, pairs: DataFrame, p: NearDedup) -> DataFrame:
     """Pairs that link by their full sets."""
     close = stage(pairs, "close")
