@@ -219,7 +219,7 @@ def mate_pairing(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     ctes("segments")
     + """, z AS (SELECT *, count(*) OVER w AS n, min(map_q) OVER w AS low_q, max(q_end) OVER w AS size FROM segments WINDOW w AS (PARTITION BY read_id)),
-a AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY q_begin, seg_no) AS k FROM z WHERE n > 1 AND n - 1 <= 2 AND low_q >= 20),
+a AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY q_begin, seg_no) AS k FROM z WHERE n > 1 AND n <= 2 AND low_q >= 20),
 j AS (
   SELECT a.read_id, a.template_id AS t1, b.template_id AS t2, a.ref_begin AS b1, a.ref_end AS e1, b.ref_begin AS b2, b.ref_end AS e2, a.is_reverse AS r1, b.is_reverse AS r2, a.q_begin AS q1, a.q_end AS p1,
     CASE WHEN a.is_reverse <> b.is_reverse THEN a.size - b.q_end ELSE b.q_begin END AS q2, CASE WHEN a.is_reverse <> b.is_reverse THEN a.size - b.q_begin ELSE b.q_end END AS p2

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandweave.functions.columns import INVERTED, LARGE, NOT_DECIDED, SWAPPED, breakend_alt
 from strandweave.operators.intervals import bin_join
 from strandweave.options import CallOptions
+from strandweave.session import settled
 
 
 def voted(bps: DataFrame, o: CallOptions, depth_threshold: Column | float) -> DataFrame:
@@ -67,12 +68,13 @@ def duplications(bps: DataFrame, dels: DataFrame, o: CallOptions) -> tuple[DataF
     duplication.
     """
     tol = o.adj_tol
+    bps, dels = settled(bps), settled(dels)
     dup = bps.where((F.col("orientation") == SWAPPED) & ~F.col("filtered")).select(F.col("bp_id").alias("dup_id"), "template_id", F.col("final_left").alias("left_pos"), F.col("final_right").alias("right_pos"), *_CARRIED)
     near = dels.select(F.col("bp_id").alias("del_id"), "template_id", F.col("begin_pos").alias("db"), F.col("end_pos").alias("de"), F.col("imprecise").alias("rough"))
     around = dup.select("dup_id", "template_id", (F.col("left_pos") - tol).alias("l1"), (F.col("left_pos") + tol).alias("l2"), (F.col("right_pos") - tol).alias("r1"), (F.col("right_pos") + tol).alias("r2"))
     at_left = bin_join(around, near, ["template_id"], ("l1", "l2"), ("db", "db")).withColumn("side", F.lit(1))
     at_right = bin_join(around, near, ["template_id"], ("r1", "r2"), ("de", "de")).withColumn("side", F.lit(2))
-    hits = at_left.unionByName(at_right).groupBy("dup_id", "del_id", "db", "de", "rough").agg(F.sum("side").alias("sides"))
+    hits = settled(at_left.unionByName(at_right).groupBy("dup_id", "del_id", "db", "de", "rough").agg(F.sum("side").alias("sides")))
 
     def kept(cond: Column, pos: str) -> Column:
         return F.collect_list(F.when(cond, F.col(pos)))
@@ -122,10 +124,12 @@ def translocations(calls: DataFrame, o: CallOptions) -> DataFrame:
     """
     tol = o.adj_tol
     order = W.orderBy("template_id", "begin_pos", "end_pos", "bp_id")
+    calls = settled(calls)
     dups = calls.where(F.col("sv_type").startswith("DUP")).withColumn("ord", F.row_number().over(order))
+    dups = settled(dups)
     i = dups.where("target_pos is not null").select([F.col(x).alias(f"i_{x}") for x in dups.columns if x != "template_id"] + ["template_id", (F.col("begin_pos") - tol).alias("lo"), (F.col("begin_pos") + tol).alias("hi")])
     j = dups.where("target_pos is not null").select([F.col(x).alias(f"j_{x}") for x in dups.columns if x != "template_id"] + ["template_id"])
-    pair = bin_join(i, j, ["template_id"], ("lo", "hi"), ("j_target_pos", "j_target_pos"), (F.col("i_ord") < F.col("j_ord")) & (F.abs(F.col("j_end_pos") - F.col("i_target_pos")) <= tol))
+    pair = settled(bin_join(i, j, ["template_id"], ("lo", "hi"), ("j_target_pos", "j_target_pos"), (F.col("i_ord") < F.col("j_ord")) & (F.abs(F.col("j_end_pos") - F.col("i_target_pos")) <= tol)))
     made = pair.select(
         F.col("i_bp_id").alias("bp_id"), F.lit("TRA").alias("sv_type"), F.col("i_begin_pos").alias("begin_pos"), F.col("i_end_pos").alias("end_pos"), F.col("i_target_pos").alias("target_pos"),
         F.when((F.col("i_status") == "PASS") | (F.col("j_status") == "PASS"), "PASS").otherwise(F.col("i_status")).alias("status"), "template_id",
@@ -137,7 +141,7 @@ def translocations(calls: DataFrame, o: CallOptions) -> DataFrame:
     tra = calls.where("sv_type = 'TRA'").unionByName(made.select(calls.columns)).withColumn("tra", F.row_number().over(order))
     span = tra.where("status = 'PASS' and begin_pos <= end_pos").select("tra", "template_id", F.col("begin_pos").alias("tb"), F.col("end_pos").alias("te"))
     inner = dups.where("status <> 'MERGED' and begin_pos <= end_pos").select("ord", "template_id", F.col("begin_pos").alias("db"), F.col("end_pos").alias("de"), "se", "pe", "ce")
-    held = bin_join(span, inner, ["template_id"], ("tb", "te"), ("db", "de")).groupBy("ord").agg(F.min("tra").alias("tra"), *[F.first(x).alias(x) for x in ("se", "pe", "ce")])
+    held = settled(bin_join(span, inner, ["template_id"], ("tb", "te"), ("db", "de")).groupBy("ord").agg(F.min("tra").alias("tra"), *[F.first(x).alias(x) for x in ("se", "pe", "ce")]))
     gain = held.groupBy("tra").agg(*[F.sum(x).alias(f"more_{x}") for x in ("se", "pe", "ce")])
     tra = tra.join(gain, "tra", "left").withColumns({x: F.col(x) + F.coalesce(f"more_{x}", F.lit(0)) for x in ("se", "pe", "ce")})
     absorbed = held.select("ord").withColumn("gone", F.lit(True))

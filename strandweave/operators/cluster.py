@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions.columns import index_quantile
 from strandweave.operators.intervals import islands
+from strandweave.session import settled
 
 KEYS = ["template_id", "orientation"]
 
@@ -23,7 +24,7 @@ def clustered(evidence: DataFrame, tol: int, passes: int = 0, keys: list[str] =
     rows = islands(rows, [*keys, "left_island"], "right_pos", "right_pos", tol, "right_island")
     done, names = 1, ["left_island", "right_island"]
     while not passes or done < passes:
-        cols = [*keys, *names]
+        rows, cols = settled(rows), [*keys, *names]
         more = islands(rows, cols, "left_pos", "left_pos", tol, "__l")
         more = islands(more, [*cols, "__l"], "right_pos", "right_pos", tol, "__r")
         if not passes:
@@ -35,15 +36,15 @@ def clustered(evidence: DataFrame, tol: int, passes: int = 0, keys: list[str] =
     return rows
 
 
-def breakpoints(evidence: DataFrame, tol: int, passes: int = 0) -> DataFrame:
+def breakpoints(evidence: DataFrame, tol: int, passes: int = 0, keys: list[str] = KEYS) -> DataFrame:
     """One row per cluster: hull, medians and support by kind (0 split, 1 pair, 2 clip).
 
     Exact positions come from split and clip evidence; a cluster of pairs only
     lies between its hull's inner ends and is imprecise.
     """
-    rows = clustered(evidence, tol, passes)
+    rows = clustered(evidence, tol, passes, keys)
     exact = "CASE WHEN kind <> 1 THEN {} END"
-    out = rows.groupBy(*KEYS, "left_island", "right_island").agg(
+    out = rows.groupBy(*keys, "left_island", "right_island").agg(
         F.count("*").alias("supp"),
         F.count_if(F.col("kind") == 0).alias("se"),
         F.count_if(F.col("kind") == 1).alias("pe"),

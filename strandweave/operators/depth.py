@@ -52,7 +52,7 @@ def background_positions(lengths: DataFrame, key: str, shares: DataFrame, sample
     total = shares.agg(F.sum("n").alias("all"))
     count = F.ceil(F.lit(samples) * F.col("n") / F.col("all")).cast("int")
     each = shares.join(F.broadcast(total)).join(lengths, key).select(key, "length", F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
-    return each.select(key, ((F.col("i") * 48271 + 11) % F.col("length")).alias("pos"))
+    return each.select(key, ((F.col("i").cast("long") * 48271 + 11) % F.col("length")).alias("pos"))
 
 
 def depth_at(depth: DataFrame, points: DataFrame, key: str, pos: str) -> DataFrame:

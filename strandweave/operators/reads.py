@@ -55,7 +55,7 @@ def insert_bounds(reads: DataFrame, deviations: float = 9.0, sample: int = 100_0
     proper = reads.where(usable("flag") & has_flag("flag", PROPER)).orderBy("ordinal").limit(sample).select(F.abs("tlen").alias("size"))
     median = proper.agg(index_quantile("size", 0.5).alias("median"))
     off = proper.join(F.broadcast(median)).select("median", F.abs(F.col("size") - F.col("median")).alias("off"))
-    mad = off.groupBy("median").agg(index_quantile("off", 0.5).alias("mad"))
+    mad = median.join(F.broadcast(off.agg(index_quantile("off", 0.5).alias("mad"))))
     return mad.select("median", "mad", (F.col("median") - deviations * F.col("mad")).alias("low"), (F.col("median") + deviations * F.col("mad")).alias("high"))
 
 
@@ -101,7 +101,7 @@ def split_evidence(segments: DataFrame, o: CallOptions) -> DataFrame:
     """
     whole = W.partitionBy("read_id")
     rows = segments.withColumns({"n": F.count("*").over(whole), "low_q": F.min("map_q").over(whole), "size": F.max("q_end").over(whole)})
-    rows = rows.where((F.col("n") - 1 <= o.max_split) & (F.col("n") > 1) & (F.col("low_q") >= o.min_map_q))
+    rows = rows.where((F.col("n") <= o.max_split) & (F.col("n") > 1) & (F.col("low_q") >= o.min_map_q))
     me = F.struct("template_id", "ref_begin", "ref_end", "is_reverse", "q_begin", "q_end")
     rows = rows.select("read_id", "size", me.alias("a"), F.lead(me).over(whole.orderBy("q_begin", "seg_no")).alias("b")).where("b is not null")
     a, b = F.col("a"), F.col("b")
