@@ -618,52 +618,48 @@ def kmer_count(spark: SparkSession, sf: str) -> DataFrame:
     return seqsearch.kmers(view(spark, sf, "dna"), 4).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
-def _needles(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "dna").where("length(seq) between 60 and 4000")
-
-
 @query()
 def fuzzy_infix_search(spark: SparkSession, sf: str) -> DataFrame:
     """Of each sequence a stretch with one letter changed, found again in it."""
     piece = F.substring("seq", 11, 40)
     needle = F.concat(F.substring(piece, 1, 15), F.translate(F.substring(piece, 16, 1), "ACGT", "CGTA"), F.substring(piece, 17, 24))
-    pairs = _needles(spark, sf).select(F.col("seq_id").alias("qid"), F.col("seq_id").alias("rid"), needle.alias("needle"), F.col("seq").alias("hay"))
+    pairs = view(spark, sf, "dna").select(F.col("seq_id").alias("qid"), F.col("seq_id").alias("rid"), needle.alias("needle"), F.col("seq").alias("hay"))
     return seqsearch.searched(pairs, O.clip_error_rate)
 
 
 @query(
     ctes("dna")
-    + """, q AS (SELECT seq_id, substr(seq, 11, 60) AS seq FROM dna WHERE length(seq) BETWEEN 80 AND 600), t AS (SELECT seq_id, seq FROM dna WHERE length(seq) BETWEEN 80 AND 600),
+    + """, q AS (SELECT item_id AS seq_id, upper(regexp_replace(lower(text), '[^acgt]', '', 'g')) AS seq FROM benchmark),
 a AS (SELECT seq_id AS qid, i AS qp, substr(seq, CAST(i + 1 AS INT), 20) AS k FROM (SELECT seq_id, seq, unnest(range(length(seq) - 19)) AS i FROM q WHERE length(seq) >= 20)),
-b AS (SELECT seq_id AS tid, i AS tp, substr(seq, CAST(i + 1 AS INT), 20) AS k FROM (SELECT seq_id, seq, unnest(range(length(seq) - 19)) AS i FROM t))
+b AS (SELECT seq_id AS tid, i AS tp, substr(seq, CAST(i + 1 AS INT), 20) AS k FROM (SELECT seq_id, seq, unnest(range(length(seq) - 19)) AS i FROM dna WHERE length(seq) >= 20))
 SELECT qid, tid, CAST(tp - qp AS INT) AS diagonal, count(*) AS seeds FROM a JOIN b USING (k) GROUP BY 1, 2, 3"""
 )
 def kmer_seed_search(spark: SparkSession, sf: str) -> DataFrame:
-    t = view(spark, sf, "dna").where("length(seq) between 80 and 600")
-    return seqsearch.seeded(t.withColumn("seq", F.substring("seq", 11, 60)), t, 20)
+    items = view(spark, sf, "benchmark").select(F.col("item_id").alias("seq_id"), F.upper(F.regexp_replace(F.lower("text"), "[^acgt]", "")).alias("seq"))
+    return seqsearch.seeded(items, view(spark, sf, "dna"), 20)
 
 
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    seq = view(spark, sf, "dna").where("length(seq) >= 100")
+    seq = view(spark, sf, "dna").where("seq <> ''")
     n = F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / 64).cast("int"))).alias("chunk_no")
     return seq.select(F.col("seq_id").cast("int").alias("template_id"), "seq", n).select("template_id", "chunk_no", F.substring(F.col("seq"), F.col("chunk_no") * 64 + 1, F.lit(64)).alias("seq"))
 
 
-@query(ctes("dna") + " SELECT seq_id AS rid, substr(seq, CAST(seq_id % 90 + 1 AS INT), 150) AS seq FROM dna WHERE length(seq) >= 100")
+@query(ctes("dna") + " SELECT seq_id AS rid, substr(seq, CAST(seq_id % 90 + 1 AS INT), 150) AS seq FROM dna")
 def reference_region(spark: SparkSession, sf: str) -> DataFrame:
-    wanted = view(spark, sf, "dna").where("length(seq) >= 100").select(F.col("seq_id").alias("rid"), F.col("seq_id").cast("int").alias("template_id"), (F.col("seq_id") % 90).alias("begin_pos"), (F.col("seq_id") % 90 + 150).alias("end_pos"))
+    wanted = view(spark, sf, "dna").select(F.col("seq_id").alias("rid"), F.col("seq_id").cast("int").alias("template_id"), (F.col("seq_id") % 90).alias("begin_pos"), (F.col("seq_id") % 90 + 150).alias("end_pos"))
     return seqsearch.regions(_chunks(spark, sf), wanted, 64).select("rid", "seq")
 
 
 @query(
     ctes("dna")
-    + """, r AS (SELECT CAST(seq_id % 5 AS INT) AS template_id, seq_id % 50 AS b, substr(seq, 1, 40) AS seq FROM dna),
+    + """, r AS (SELECT CAST(seq_id % 5 AS INT) AS template_id, seq_id % 50 AS b, seq FROM dna),
 e AS (SELECT template_id, b + i AS pos, substr(seq, CAST(i + 1 AS INT), 1) AS base FROM (SELECT template_id, b, seq, unnest(range(length(seq))) AS i FROM r)),
 c AS (SELECT template_id, pos, base, count(*) AS n FROM e GROUP BY ALL)
 SELECT template_id, pos, arg_min(base, (-n, base)) AS base, CAST(sum(n) AS BIGINT) AS depth FROM c GROUP BY 1, 2"""
 )
 def consensus_pileup(spark: SparkSession, sf: str) -> DataFrame:
-    rows = view(spark, sf, "dna").select((F.col("seq_id") % 5).cast("int").alias("template_id"), (F.col("seq_id") % 50).alias("begin_pos"), F.substring("seq", 1, 40).alias("seq"))
+    rows = view(spark, sf, "dna").select((F.col("seq_id") % 5).cast("int").alias("template_id"), (F.col("seq_id") % 50).alias("begin_pos"), "seq")
     return seqsearch.pileup(rows)
 
 
@@ -680,10 +676,10 @@ def evidence_cube(spark: SparkSession, sf: str) -> DataFrame:
     return _evidence(spark, sf).cube("orientation", "kind").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level"))
 
 
-@query(ctes("reads", "evidence") + " SELECT template_id, pos, last_value(depth IGNORE NULLS) OVER (PARTITION BY template_id ORDER BY pos, src ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS nearest, src FROM (SELECT template_id, CAST(begin_pos AS BIGINT) AS pos, read_id AS depth, 0 AS src FROM reads WHERE read_id % 10 = 0 UNION ALL SELECT template_id, left_pos % 30000, NULL, 1 FROM evidence WHERE ev_id % 50 = 0) QUALIFY src = 1")
+@query(ctes("reads", "evidence") + " SELECT template_id, pos, last_value(depth IGNORE NULLS) OVER (PARTITION BY template_id ORDER BY pos, src, depth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS nearest, src FROM (SELECT template_id, CAST(begin_pos AS BIGINT) AS pos, read_id AS depth, 0 AS src FROM reads UNION ALL SELECT template_id, left_pos % 30000, NULL, 1 FROM evidence) QUALIFY src = 1")
 def asof_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """The last read that begins at or before each point, by one ordered pass over both."""
-    known = view(spark, sf, "reads").where("read_id % 10 = 0").select("template_id", F.col("begin_pos").cast("long").alias("pos"), F.col("read_id").alias("depth"), F.lit(0).alias("src"))
-    asked = _evidence(spark, sf).where("ev_id % 50 = 0").select("template_id", (F.col("left_pos") % 30000).alias("pos"), F.lit(None).cast("long").alias("depth"), F.lit(1).alias("src"))
-    order = W.partitionBy("template_id").orderBy("pos", "src").rowsBetween(W.unboundedPreceding, W.currentRow)
+    known = view(spark, sf, "reads").select("template_id", F.col("begin_pos").cast("long").alias("pos"), F.col("read_id").alias("depth"), F.lit(0).alias("src"))
+    asked = _evidence(spark, sf).select("template_id", (F.col("left_pos") % 30000).alias("pos"), F.lit(None).cast("long").alias("depth"), F.lit(1).alias("src"))
+    order = W.partitionBy("template_id").orderBy("pos", "src", "depth").rowsBetween(W.unboundedPreceding, W.currentRow)
     return known.unionByName(asked).withColumn("nearest", F.last("depth", ignorenulls=True).over(order)).where("src = 1").select("template_id", "pos", "nearest", "src")
