@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions.columns import index_quantile
 from strandweave.operators.intervals import islands
-from strandweave.session import settled
+from strandweave.session import settled, ship
 
 KEYS = ["template_id", "orientation"]
 
@@ -69,6 +69,7 @@ def replayed(evidence: DataFrame, tol: int, order: str = "ev_id") -> DataFrame:
     on the order, so islands of the canonical clustering of hulls are the
     finest exact unit: records of different left islands never meet.
     """
+    ship(evidence.sparkSession)
     rows = islands(evidence, KEYS, "left_pos", "left_pos", 2 * tol, "__island")
     schema = "template_id int, orientation int, cluster long, supp long, min_left long, max_left long, min_right long, max_right long"
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions.columns import base_entropy, gc_content
+from strandweave.session import ship
 
 
 def regions(chunks: DataFrame, wanted: DataFrame, chunk_size: int) -> DataFrame:
@@ -100,6 +101,7 @@ def searched(pairs: DataFrame, error: float) -> DataFrame:
             rows = [(q, r, *hit) for q, r, needle, hay in pdf[["qid", "rid", "needle", "hay"]].itertuples(index=False) if needle and hay for hit in approximate_hits(hay, needle, error)]
             yield pd.DataFrame(rows, columns=["qid", "rid", "hit_begin", "hit_end", "edits"])
 
+    ship(pairs.sparkSession)
     return pairs.mapInPandas(run, "qid long, rid long, hit_begin long, hit_end long, edits long")
 
 

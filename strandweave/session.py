@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def local_session(cpus: str = "*", partitions: int = 8, memory: str = "4g") -> SparkSession:
     """A session for tests and the bench; on a cluster, bring your own."""
@@ -32,3 +36,17 @@ def settled(df: DataFrame) -> DataFrame:
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints")
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers once per application, so that they need no copy of it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp()) / "strandweave.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    _SHIPPED.add(sc.applicationId)

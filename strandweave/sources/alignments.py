@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from strandweave.session import ship
+
 BAM_SCHEMA = "ordinal long, rid int, begin_pos int, map_q int, flag int, next_rid int, next_pos int, tlen int, cigar string, qname string, seq string, qual string, tags map<string,string>"
 _OPS, _BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
 
@@ -265,6 +267,7 @@ class FastaSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(BamSource)
     spark.dataSource.register(FastaSource)
 
