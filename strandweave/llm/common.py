@@ -11,6 +11,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandweave.session import ship
+
 _STAGED: list[tuple[SparkSession, str]] = []
 
 #: A table is broadcast only if its counted size stays under this many bytes.
@@ -85,7 +87,8 @@ def text_or_empty(col: str) -> Column:
 
 
 def batches(spark: SparkSession) -> None:
-    """Rows per Arrow batch: texts may be long, and a worker holds one batch."""
+    """Prepare for Arrow functions: the package goes to the workers, and a batch is small, since texts may be long."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 

@@ -322,6 +322,7 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id",
 
 def decode(encoded: DataFrame, model: str = DEFAULT_MODEL, out_col: str = "decoded") -> DataFrame:
     """``encoded`` and the text that its ``ids`` spell; null ids give null."""
+    batches(encoded.sparkSession)
     pieces = Pieces.load(model)
     names, place = [*encoded.columns, out_col], encoded.columns.index("ids")
 
