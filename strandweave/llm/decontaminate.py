@@ -1,14 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Word n-grams of the test items are counted over the whole corpus. Of every few
-neighbouring n-grams of an item the rarest becomes a seed, so that every
-stretch of an item holds one, and words that are common everywhere seldom do.
-A seed that occurs in a text brings the passage around it; passages are joined
-to items by their seeds, and each pair is aligned word by word.
+"""Benchmark decontamination: seeds that no hit can avoid, then Smith-Waterman alignment.
+
+Seeds are pairs of words, neighbours or next but one. An alignment that scores
+enough has few edits, so of each item it holds a known number of pairs with at
+most one edit between the two words. That number less one of an item's places
+may therefore go without a seed: those whose pairs are most frequent in the
+corpus. All other places seed, so every hit holds a seed, however dense its
+edits are. Items too short for pairs seed by single words in the same way. A
+seed that occurs in a text brings the passage around it; passages are joined to
+items by their seeds, and each pair is aligned word by word.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,8 +36,6 @@ _PART[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
 class Decontamination:
     """Parameters. A hit is a pair whose alignment scores at least ``ratio`` of a perfect one."""
 
-    gram: int = 3
-    window: int = 3
     ratio: float = 0.5
     match: int = 2
     mismatch: int = -1
@@ -49,44 +51,66 @@ def plain(text: str | None) -> bytes:
     return low.encode("utf-8", "replace")
 
 
-def _grams(texts: list[bytes], n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(text's index, n-gram hashes by first word, byte starts, byte ends); a text of fewer words has one n-gram, all of it."""
+def _needed(words: int, p: Decontamination) -> tuple[int, int, int]:
+    """For an item of so many words: (pairs, single words, words of a text) of a hit, the least, the least and the most.
+
+    With m words matched, e edits fit if match * m - cost * e reaches the score.
+    Of the m - 1 pairs of neighbours in the alignment, k have at most one edit
+    between them and g of these none, so e >= (k - g) + 2 * (m - 1 - k), and
+    2 * k >= k + g >= 2 * (m - 1) - e.
+    """
+    score, cost = p.ratio * p.match * words, min(-p.mismatch, -p.gap)
+    least = max(1, math.ceil(score / p.match - 1e-9))
+    pairs = min(2 * (m - 1) - (p.match * m - score) / cost for m in (least, words))
+    return max(0, math.ceil(pairs / 2 - 1e-9)), least, words + math.ceil((p.match * words - score) / cost)
+
+
+def _grams(texts: list[bytes], single: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text's index, seed hashes, number of their first word, byte starts and ends of words): pairs of words, and single words if asked for."""
+    odd = np.uint64(0x9E3779B97F4A7C15)
     for a, b in chunks(texts):
         hashes, bounds, starts, ends = word_spans(texts[a:b], _PART)
         offsets = np.cumsum([0, *[len(t) + 1 for t in texts[a:b]]])
-        m = len(hashes) - n + 1
-        rolled = hashes[: max(m, 0)].copy()
-        for j in range(1, n):
-            rolled = mix(rolled * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + m]) if m > 0 else rolled
+        kinds = [(d, mix(hashes[:-d] * odd + hashes[d:]).view(np.int64)) for d in (1, 2) if len(hashes) > d]
+        if single:
+            kinds.append((0, mix(hashes + odd).view(np.int64)))
         for i in range(b - a):
             lo, hi = int(bounds[i]), int(bounds[i + 1])
-            if hi - lo >= n:
-                yield a + i, rolled[lo : hi - n + 1], starts[lo:hi] - offsets[i], ends[lo:hi] - offsets[i]
-            elif hi > lo:
-                acc = hashes[lo : lo + 1].copy()
-                for j in range(lo + 1, hi):
-                    acc = mix(acc * np.uint64(31) + hashes[j : j + 1])
-                yield a + i, acc, starts[lo:hi] - offsets[i], ends[lo:hi] - offsets[i]
+            if hi > lo:
+                own = [(g[lo : hi - d], np.arange(hi - lo - d)) for d, g in kinds if hi - lo > d]
+                g, at = (np.concatenate(c) for c in zip(*own, strict=True)) if own else (np.zeros(0, dtype=np.int64),) * 2
+                yield a + i, g, at, starts[lo:hi] - offsets[i], ends[lo:hi] - offsets[i]
 
 
 def _texts(rb: pa.RecordBatch, at: int) -> list[bytes]:
     return [plain(t) for t in rb.column(at).to_pylist()]
 
 
-def _exploded(n: int):
-    """Rows to (id, pos, gram): every n-gram with its place."""
+def _exploded(single: bool):
+    """Rows to (id, pos, gram): every seed hash with its place."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in it:
-            for i, g, _, _ in _grams(_texts(rb, 1), n):
-                yield pa.RecordBatch.from_arrays([pa.array([rb.column(0)[i].as_py()] * len(g), pa.int64()), pa.array(np.arange(len(g), dtype=np.int32)), pa.array(g.astype(np.int64))], names=["id", "pos", "gram"])
+            for i, g, at, _, _ in _grams(_texts(rb, 1), single):
+                yield pa.RecordBatch.from_arrays([pa.array([rb.column(0)[i].as_py()] * len(g), pa.int64()), pa.array(at.astype(np.int32)), pa.array(g)], names=["id", "pos", "gram"])
 
     return run
 
 
-def _longest(items: DataFrame) -> int:
-    """Words of the longest item, at most its characters."""
-    return int(items.agg(F.max(F.length("text"))).first()[0] or 0) // 2 + 1
+def _item_grams(p: Decontamination):
+    """Rows of items to (id, part, pos, gram, spare, single, reach): what may seed them, and how many places need not."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in it:
+            for i, g, at, starts, _ in _grams(_texts(rb, 1), True):
+                n = len(starts)
+                pairs, words, reach = _needed(n, p)
+                # single words stand last
+                keep = slice(0, len(g) - n) if pairs else slice(len(g) - n, len(g))
+                own = [pa.array([x] * len(g[keep]), kind) for x, kind in ((rb.column(0)[i].as_py(), pa.int64()), (rb.column(2)[i].as_py(), pa.int64()), ((pairs or words) - 1, pa.int32()), (not pairs, pa.bool_()), (reach, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*own[:2], pa.array(at[keep].astype(np.int32)), pa.array(g[keep]), *own[2:]], names=["id", "part", "pos", "gram", "spare", "single", "reach"])
+
+    return run
 
 
 def _known(grams: DataFrame, limit: int) -> np.ndarray | None:
@@ -97,38 +121,50 @@ def _known(grams: DataFrame, limit: int) -> np.ndarray | None:
     return np.sort(np.asarray(one.toArrow()["gram"]).astype(np.int64))
 
 
-def _within(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(sorted_keys, keys)
-    at[at == len(sorted_keys)] = 0
-    return sorted_keys[at] == keys if len(sorted_keys) else np.zeros(len(keys), dtype=bool)
+class _Among:
+    """Places of the hashes that are in a sorted array; a table of their low bits rejects most others first."""
+
+    def __init__(self, known: np.ndarray):
+        self.known = known
+        self.mask = (1 << min(26, max(16, len(known).bit_length() + 6))) - 1
+        self.bits = np.zeros(self.mask + 1, dtype=bool)
+        self.bits[known & self.mask] = True
 
+    def __call__(self, g: np.ndarray) -> np.ndarray:
+        near = np.flatnonzero(self.bits[g & self.mask])
+        if not len(near):
+            return near
+        at = np.searchsorted(self.known, g[near])
+        at[at == len(self.known)] = 0
+        return near[self.known[at] == g[near]]
 
-def _frequencies(docs: DataFrame, grams: DataFrame, p: Decontamination) -> DataFrame:
-    """(gram, df): occurrences over all of ``docs`` of the items' n-grams."""
+
+def _frequencies(docs: DataFrame, grams: DataFrame, single: bool, p: Decontamination) -> DataFrame:
+    """(gram, df): occurrences over all of ``docs`` of the items' seed hashes."""
     known = _known(grams, p.broadcast_bytes)
     if known is None:
-        everything = docs.mapInArrow(_exploded(p.gram), "id long, pos int, gram long")
+        everything = docs.mapInArrow(_exploded(single), "id long, pos int, gram long")
         return everything.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(known), dtype=np.int64)
+        among, total = _Among(known), np.zeros(len(known), dtype=np.int64)
         for rb in it:
-            for _, g, _, _ in _grams(_texts(rb, 1), p.gram):
-                g = g.astype(np.int64)
-                np.add.at(total, np.searchsorted(known, g[_within(known, g)]), 1)
+            for _, g, _, _, _ in _grams(_texts(rb, 1), single):
+                np.add.at(total, np.searchsorted(known, g[among(g)]), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(known[at]), pa.array(total[at])], names=["gram", "df"])
 
     return docs.mapInArrow(count, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
 
 
-def _passages(docs: DataFrame, seeds: DataFrame, reach: int, p: Decontamination) -> DataFrame:
+def _passages(docs: DataFrame, seeds: DataFrame, reach: int, single: bool, p: Decontamination) -> DataFrame:
     """(id, start, passage, grams): text around the seeds, runs that touch taken together."""
 
-    def cut(i: int, g: np.ndarray, hit: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: bytes) -> Iterator[tuple]:
-        breaks = np.flatnonzero(np.diff(hit) > 2 * reach) + 1
+    def cut(i: int, g: np.ndarray, at: np.ndarray, hit: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: bytes) -> Iterator[tuple]:
+        hit = hit[np.argsort(at[hit], kind="stable")]
+        breaks = np.flatnonzero(np.diff(at[hit]) > 2 * reach) + 1
         for part in np.split(hit, breaks):
-            lo, hi = max(0, int(part[0]) - reach), min(len(starts) - 1, int(part[-1]) + reach)
+            lo, hi = max(0, int(at[part[0]]) - reach), min(len(starts) - 1, int(at[part[-1]]) + reach)
             yield i, lo, text[starts[lo] : ends[hi]].decode("utf-8", "replace"), np.unique(g[part])
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -140,29 +176,29 @@ def _passages(docs: DataFrame, seeds: DataFrame, reach: int, p: Decontamination)
     if known is not None:
 
         def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            among = _Among(known)
             for rb in it:
                 ids, texts, rows = rb.column(0).to_pylist(), _texts(rb, 1), []
-                for i, g, starts, ends in _grams(texts, p.gram):
-                    g = g.astype(np.int64)
-                    hit = np.flatnonzero(_within(known, g))
+                for i, g, at, starts, ends in _grams(texts, single):
+                    hit = among(g)
                     if len(hit):
-                        rows += cut(ids[i], g, hit, starts, ends, texts[i])
+                        rows += cut(ids[i], g, at, hit, starts, ends, texts[i])
                 yield batch(rows)
 
         return docs.mapInArrow(scan, schema)
 
-    # too many seeds to send along: all n-grams meet them in a join, and the texts hit are read again
-    every = docs.mapInArrow(_exploded(p.gram), "id long, pos int, gram long").join(seeds.select("gram").distinct(), "gram", "left_semi")
-    places = every.groupBy("id").agg(F.array_sort(F.collect_set("pos")).alias("hits"))
+    # too many seeds to send along: all hashes meet them in a join, and the texts hit are read again
+    every = docs.mapInArrow(_exploded(single), "id long, pos int, gram long").join(seeds.select("gram").distinct(), "gram", "left_semi")
+    places = every.groupBy("id").agg(F.array_sort(F.collect_set("gram")).alias("hits"))
     found = docs.join(places, "id").select("id", "text", "hits")
 
     def scan_hits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in it:
             ids, texts, hits, rows = rb.column(0).to_pylist(), _texts(rb, 1), rb.column(2).to_pylist(), []
-            for i, g, starts, ends in _grams(texts, p.gram):
-                at = np.array([h for h in hits[i] if h < len(g)], dtype=np.int64)
-                if len(at):
-                    rows += cut(ids[i], g.astype(np.int64), at, starts, ends, texts[i])
+            for i, g, at, starts, ends in _grams(texts, single):
+                hit = np.flatnonzero(np.isin(g, np.array(hits[i], dtype=np.int64)))
+                if len(hit):
+                    rows += cut(ids[i], g, at, hit, starts, ends, texts[i])
             yield batch(rows)
 
     return found.mapInArrow(scan_hits, schema)
@@ -198,6 +234,16 @@ def smith_waterman(item: list[str], passage: list[str], match: int, mismatch: in
     return best, *span
 
 
+def _may_hit(item: list[str], passage: list[str], p: Decontamination) -> bool:
+    """False if the passage lacks the pairs or words that a hit needs."""
+    pairs, words, _ = _needed(len(item), p)
+    held = set(passage)
+    if sum(w in held for w in item) < words:
+        return False
+    near = set(zip(passage, passage[1:], strict=False)) | set(zip(passage, passage[2:], strict=False))
+    return sum((w, x) in near or (w, y) in near for w, x, y in zip(item, item[1:], [*item[2:], None], strict=False)) >= pairs
+
+
 def contaminated(docs: DataFrame, items: DataFrame, p: Decontamination = Decontamination(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """(doc_id, item_id, score, ratio, start, stop): each text's best alignment with each item it holds.
 
@@ -209,17 +255,16 @@ def contaminated(docs: DataFrame, items: DataFrame, p: Decontamination = Deconta
     batches(docs.sparkSession)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     tests = items.where(F.col(item_col).isNotNull() & F.col("text").isNotNull()).select(F.col(item_col).cast("long").alias("id"), F.col("text").cast("string").alias("text")).distinct()
-    grams = stage(tests.mapInArrow(_exploded(p.gram), "id long, pos int, gram long"), "grams")
-    rarity = grams.join(_frequencies(texts, grams, p), "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    # the rarest n-gram of every window of neighbours
-    in_order = W.partitionBy("id").orderBy("pos")
-    ahead = in_order.rowsBetween(0, p.window - 1)
-    chosen = rarity.withColumn("low", F.min(F.struct("df", "gram")).over(ahead)).withColumn("last", F.max("pos").over(W.partitionBy("id")))
-    whole = (F.col("pos") + p.window - 1 <= F.col("last")) | (F.col("pos") == 0)
-    seeds = stage(chosen.where(whole).select("id", F.col("low.gram").alias("gram")).distinct(), "seeds")
-
-    reach = _longest(tests)
-    passages = _passages(texts, seeds, reach, p)
+    kinds = "id long, part long, pos int, gram long, spare int, single boolean, reach int"
+    grams = stage(tests.withColumn("part", F.xxhash64("text")).mapInArrow(_item_grams(p), kinds), "grams")
+    single, reach = grams.agg(F.coalesce(F.bool_or("single"), F.lit(False)), F.coalesce(F.max("reach"), F.lit(0))).first()
+    rarity = grams.join(_frequencies(texts, grams, single, p), "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    # the places whose hashes are most frequent needn't seed, as many as a hit can do without
+    place = W.partitionBy("id", "part", "pos")
+    ranked = rarity.withColumn("cost", F.sum("df").over(place)).withColumn("rank", F.dense_rank().over(W.partitionBy("id", "part").orderBy(F.desc("cost"), "pos")))
+    seeds = stage(ranked.where("rank > spare").select("id", "gram").distinct(), "seeds")
+
+    passages = _passages(texts, seeds, reach, single, p)
     pairs = passages.withColumn("gram", F.explode("grams")).select("id", "start", "passage", "gram").join(seeds.select(F.col("id").alias("item"), "gram"), "gram")
     pairs = pairs.groupBy("id", "start", "passage", "item").agg(F.count("*").alias("seeds"))
     pairs = pairs.join(tests.select(F.col("id").alias("item"), F.col("text").alias("wanted")), "item").select("id", "item", "start", "passage", "wanted")
@@ -229,9 +274,11 @@ def contaminated(docs: DataFrame, items: DataFrame, p: Decontamination = Deconta
         for rb in it:
             rows = []
             for i, item, start, passage, wanted in zip(*(c.to_pylist() for c in rb.columns), strict=True):
-                want = cut.findall(plain(wanted).decode())
-                score, a, b = smith_waterman(want, cut.findall(passage), p.match, p.mismatch, p.gap)
-                if want and score >= p.ratio * p.match * len(want):
+                want, have = cut.findall(plain(wanted).decode()), cut.findall(passage)
+                if not _may_hit(want, have, p):
+                    continue
+                score, a, b = smith_waterman(want, have, p.match, p.mismatch, p.gap)
+                if score >= p.ratio * p.match * len(want):
                     rows.append((i, item, score, score / (p.match * len(want)), start + a, start + b))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["id", "item", "score", "ratio", "start", "stop"])

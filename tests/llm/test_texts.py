@@ -59,6 +59,25 @@ def test_finds_copies_and_edits_only(spark, limit):
     assert contaminated(docs_of(spark, rows), tests.where("false"), p).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_densely_edited_copies_are_found_as_by_brute_force(spark, limit):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    items = [[rng.choice(words) for _ in range(n)] for n in (1, 2, 3, 4, 7, 12, 24, 40)]
+    texts = []
+    for item in items:
+        for step in (2, 3, 4, 5):
+            texts.append([w if k % step else f"new{k}" for k, w in enumerate(item, 1)])
+            texts.append([x for k, w in enumerate(item, 1) for x in ([w] if k % step else [w, f"in{k}"])])
+            texts.append([w for k, w in enumerate(item, 1) if k % step])
+        texts += [[x for w in item for x in (w, "between")], [w if rng.random() > 0.25 else "odd" for w in item]]
+    texts = [[rng.choice(words) for _ in range(30)] + t + ["plain"] * 9 for t in texts]
+    want = sorted((d, i, _plain_sw(items[i], t)) for d, t in enumerate(texts) for i in range(len(items)) if _plain_sw(items[i], t) >= len(items[i]))
+    tests = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = contaminated(docs_of(spark, [(d, " ".join(t)) for d, t in enumerate(texts)]), tests, Decontamination(broadcast_bytes=limit))
+    assert sorted((r["doc_id"], r["item_id"], r["score"]) for r in got.collect()) == want
+
+
 # --- quality -------------------------------------------------------------------
 
 
