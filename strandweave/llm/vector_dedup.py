@@ -10,8 +10,11 @@
 5. A list full of linked neighbours says nothing of those beyond it. Lists are
    therefore enlarged to the whole component, compared in blocks in double
    precision, which yields every node's number of links.
-6. An audit compares a sample of nodes with all nodes; while the links found
-   are short of the target, lists grow and descent goes on.
+6. An audit compares samples of nodes with all nodes, drawn by the size of
+   their component and judged by their number of links, so that large groups
+   don't stand for small ones. While any class is short of the target, lists
+   grow and descent goes on. Where that would cost more than comparing all with
+   all, or the rounds are used up, an exact pass finds the links that are left.
 """
 
 from __future__ import annotations
@@ -25,13 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import batches, stage, unstage
+from strandweave.llm.common import BROADCAST_LIMIT_BYTES, batches, stage, unstage
 from strandweave.llm.graph import components
 
 
 @dataclass(frozen=True)
 class Descent:
-    """Parameters. ``audit`` nodes at most are compared with all; ``blocks`` rows are compared at once."""
+    """Parameters. Of each class of component sizes ``audit`` nodes at most are compared with all, of nodes
+    without links eight times as many; ``block`` rows of a component are compared at once, ``chunk_bytes``
+    of vectors with all in the exact pass.
+    """
 
     threshold: float = 0.95
     neighbours: int = 8
@@ -43,6 +49,7 @@ class Descent:
     recall: float = 0.99
     block: int = 256
     seed: int = 5
+    chunk_bytes: int = BROADCAST_LIMIT_BYTES
 
 
 def _unit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,13 +221,21 @@ def _counted(nodes: DataFrame, labels: DataFrame, p: Descent) -> DataFrame:
     return found.groupBy("id").agg(F.sum("others").alias("others"))
 
 
-def _recall(nodes: DataFrame, counted: DataFrame, p: Descent) -> float:
-    """Share of the links of at most ``p.audit`` nodes that were found, by comparing them with all nodes."""
-    sample = nodes.orderBy(F.xxhash64("id", F.lit(p.seed)), "id").limit(p.audit)
-    mine = sample.select("id", "vec").toArrow()
+def _recall(nodes: DataFrame, labels: DataFrame, counted: DataFrame, p: Descent) -> float:
+    """Least share, over classes of link counts, of a node's links that were found, by comparing samples with all nodes.
+
+    Samples are drawn by component size, and weighted by how many nodes each stands for.
+    """
+    sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
+    sized = labels.join(sizes, "component").select(F.col("node").alias("id"), F.floor(F.log2("size")).cast("int").alias("s"))
+    placed = nodes.select("id", "vec").join(sized, "id", "left").withColumn("s", F.coalesce("s", F.lit(0)))
+    many = {r["s"]: r["count"] for r in placed.groupBy("s").count().collect()}
+    order = W.partitionBy("s").orderBy(F.xxhash64("id", F.lit(p.seed)), "id")
+    drawn = placed.withColumn("r", F.row_number().over(order)).where((F.col("r") <= p.audit) | ((F.col("s") == 0) & (F.col("r") <= 8 * p.audit)))
+    mine = drawn.select("id", "vec", "s").toArrow()
     if not mine.num_rows:
         return 1.0
-    asked, ids = _matrix(mine["vec"]), np.asarray(mine["id"])
+    asked, ids, strata = _matrix(mine["vec"]), np.asarray(mine["id"]), np.asarray(mine["s"])
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(ids), dtype=np.int64)
@@ -233,8 +248,58 @@ def _recall(nodes: DataFrame, counted: DataFrame, p: Descent) -> float:
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "true"])
 
     true = nodes.mapInArrow(count, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
-    row = true.join(counted, "id", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("others", F.lit(0))))).first()
-    return row[1] / row[0] if row[0] else 1.0
+    rows = true.where(F.col("true") > 0).join(counted, "id", "left").select("id", "true", F.least("true", F.coalesce("others", F.lit(0))).alias("found")).toArrow()
+    if not rows.num_rows:
+        return 1.0
+    stands = {s: many[s] / n for s, n in zip(*np.unique(strata, return_counts=True), strict=True)}
+    weight_of = dict(zip(ids.tolist(), (stands[s] for s in strata), strict=True))
+    wanted, share = np.asarray(rows["true"]), np.asarray(rows["found"]) / np.asarray(rows["true"])
+    weight, kind = np.array([weight_of[i] for i in rows["id"].to_pylist()]), np.floor(np.log2(wanted)).astype(int)
+    return float(min(np.average(share[kind == c], weights=weight[kind == c]) for c in np.unique(kind)))
+
+
+def _chunks(nodes: DataFrame, count: int, p: Descent) -> int:
+    """Chunks in which the exact pass takes the nodes."""
+    total = nodes.agg(F.sum(F.length("vec") + F.lit(8))).first()[0] or 0
+    return max(1, min(count, -(-total // p.chunk_bytes)))
+
+
+def _all_links(nodes: DataFrame, parts: int, p: Descent) -> DataFrame:
+    """(u, v): links that join all that are at the threshold, from comparing all nodes with each chunk in double precision.
+
+    A task keeps which nodes of the chunk it has joined, so it makes no more links than it has rows and the chunk nodes.
+    """
+    out = None
+    for part in range(parts):
+        mine = nodes.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).select("id", "vec").toArrow()
+        if not mine.num_rows:
+            continue
+
+        def compare(it: Iterator[pa.RecordBatch], own=np.asarray(mine["id"]), vec=_matrix(mine["vec"])) -> Iterator[pa.RecordBatch]:  # noqa: B008
+            label, single = np.arange(len(own)), vec.astype(np.float32)
+            for rb in it:
+                x, ids = _matrix(rb.column("vec")), np.asarray(rb.column("id"))
+                width = min(x.shape[1], vec.shape[1])
+                u, v = [], []
+                for k in range(0, len(x), 256):
+                    y, here = x[k : k + 256, :width], ids[k : k + 256]
+                    maybe = y.astype(np.float32) @ single[:, :width].T >= p.threshold - 1e-4
+                    maybe &= here[:, None] != own[None, :]
+                    for r in np.flatnonzero(maybe.any(axis=1)):
+                        cols = np.flatnonzero(maybe[r])
+                        cols = cols[vec[cols, :width] @ y[r] >= p.threshold]
+                        if not len(cols):
+                            continue
+                        groups, first = np.unique(label[cols], return_index=True)
+                        u += [here[r]] * len(first)
+                        v += own[cols[first]].tolist()
+                        if len(groups) > 1:
+                            label[np.isin(label, groups)] = groups[0]
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        found = stage(nodes.select("id", "vec").mapInArrow(compare, "u long, v long"), "links")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def near_vectors(vectors: DataFrame, p: Descent = Descent(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -271,7 +336,14 @@ def near_vectors(vectors: DataFrame, p: Descent = Descent(), id_col: str = "vec_
                 unstage(t)
         labels = stage(components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))), "labels")
         counted = stage(_counted(nodes, labels, p), "counted")
-        if _recall(nodes, counted, p) >= p.recall:
+        if _recall(nodes, labels, counted, p) >= p.recall:
+            break
+        parts = _chunks(nodes, count, p)
+        # a round reads each vector some 4 * k times, the exact pass once for each chunk
+        if turn == p.more_rounds or parts <= 4 * k:
+            every = links.unionByName(_all_links(nodes, parts, p))
+            labels = stage(components(every.select(F.col("u").alias("a"), F.col("v").alias("b"))), "labels")
+            counted = stage(_counted(nodes, labels, p), "counted")
             break
         k *= 2
 

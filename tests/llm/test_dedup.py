@@ -8,7 +8,7 @@ import pytest
 
 from strandweave.llm.graph import components
 from strandweave.llm.minhash_dedup import NearDedup, drop_near_duplicates, near_duplicates
-from strandweave.llm.vector_dedup import near_vectors
+from strandweave.llm.vector_dedup import Descent, near_vectors
 
 DOCS = "doc_id long, text string, id string, n int, sig string"
 
@@ -97,6 +97,22 @@ def test_vectors_match_brute_force(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (300, 301, 302, 303, 304, None))
 
 
+@pytest.mark.parametrize("chunk", [16 << 20, 1 << 15])
+def test_pairs_beside_a_large_group_of_vectors(spark, chunk):
+    rng = np.random.default_rng(2)
+    hot = rng.normal(size=32) + rng.normal(scale=0.1, size=(300, 32))
+    lone = rng.normal(size=(150, 32))
+    v = np.concatenate([hot, lone, lone[:100] + rng.normal(scale=0.2, size=(100, 32))])
+    n = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = n @ n.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert near[300:].sum() > 150
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    p = Descent(trees=1, leaf=8, neighbours=2, rounds=1, more_rounds=0, chunk_bytes=chunk)
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(df, p).collect()}
+    assert got == dict(enumerate(near.sum(axis=1)))
+
+
 @pytest.mark.parametrize("rows", [[], [(1, [1.0, 0.0], 0)]])
 def test_few_vectors(spark, rows):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
