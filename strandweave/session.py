@@ -29,11 +29,13 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once into the shared checkpoint folder.
 
     For results that several branches of a plan read, and for loops. The
-    folder is ``spark.checkpoint.dir``; only where that is unset, a temporary
-    one is used.
+    folder is ``spark.checkpoint.dir``; where that is unset, a local run uses
+    a temporary one, and on a cluster this raises.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints")
     return df.checkpoint()
 
