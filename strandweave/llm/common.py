@@ -22,12 +22,15 @@ BROADCAST_LIMIT_BYTES = 16 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it. Only where that is unset (tests, local
-    runs) a folder under the temp directory is used.
+    ``spark.checkpoint.dir`` names it. Where that is unset, a local run uses a
+    folder under the temp directory; on a cluster, where no executor would see
+    it, this raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{tempfile.gettempdir()}/checkpoints"
 
 
@@ -82,14 +85,34 @@ def semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(side, key, "left_semi")
 
 
-def text_or_empty(col: str) -> Column:
-    return F.coalesce(F.col(col), F.lit(""))
+#: A key with more than this many rows, and a thousandth of them all, is joined by broadcast.
+HOT_ROWS = 4096
+
+
+def join_once(big: DataFrame, small: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of ``big`` with ``small``, which has each key once and in ``weight`` how many rows of ``big`` hold it.
+
+    Keys that hold more than a thousandth of all ``total`` rows would land in
+    one task each. There are under a thousand of them for each row's number of
+    keys, so they are broadcast; the rest is shuffled, hot rows left out.
+    """
+    limit = max(HOT_ROWS, total // 1000)
+    hot = F.broadcast(small.where(F.col(weight) > limit).withColumn("__hot", F.lit(True)))
+    rest = big.join(hot.select(*keys, "__hot"), keys, "left").where("__hot is null").drop("__hot")
+    return big.join(hot.drop("__hot"), keys).unionByName(rest.join(small.where(F.col(weight) <= limit), keys))
 
 
 def batches(spark: SparkSession) -> None:
-    """Prepare for Arrow functions: the package goes to the workers, and a batch is small, since texts may be long."""
+    """Prepare for Arrow functions: the package goes to the workers, and batches of the session stay small.
+
+    Texts may be long, so a batch is bounded in rows and in bytes; lower limits of the session are kept.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 16 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

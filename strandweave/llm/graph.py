@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import stage, unstage
+from strandweave.llm.common import join_once, stage, unstage
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -24,8 +24,8 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     state = _state(now)
     while True:
         both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where(v > u).select(F.col("m").alias("u"), v).distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("weight"))
+        large = join_once(both, low, ["u"], "weight", 2 * state[0]).where(v > u).select(F.col("m").alias("u"), v).distinct()
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         pairs = large.join(low, "v").select("u", "v", "m")
         # (v, m) and (u, m) for every u above v's smallest neighbour m

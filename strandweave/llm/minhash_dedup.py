@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import batches, semi, stage, unstage
+from strandweave.llm.common import batches, join_once, semi, stage, unstage
 from strandweave.llm.graph import components
 from strandweave.llm.textops import mix, shingle_sets
 
@@ -145,27 +145,29 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = stage(texts.mapInArrow(_signer(p), "id long, n long, f1 long, f2 long, sig binary"), "sig")
     sets = signed.where("n > 0 and id is not null")
-    first = sets.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
+    first = stage(sets.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "first")
+    total = first.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     nodes = sets.join(first.select(F.col("rep").alias("id"), "f1", "f2", "n"), ["id", "f1", "f2", "n"]).select("id", "n", "sig").distinct()
 
     key = F.explode(F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda k: F.xxhash64(k, F.expr("sig").substr(k * (4 * p.rows) + 1, F.lit(4 * p.rows)))))
     banded = nodes.select("id", "n", key.alias("key"))
     full = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    met = stage(banded.join(full, "key"), "bucket")
+    met = stage(join_once(banded, full.withColumn("weight", F.col("c")), ["key"], "weight", total).drop("weight"), "bucket")
     hub = met.groupBy("id").agg(F.sum("c").alias("met"))
     shared = stage(met.join(hub, "id").select("key", "id", "n", "met"), "bucket")
     unstage(met)
     sigs = stage(nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", "sig"), "nodes")
 
     mid = _centres(shared)
-    star = shared.join(mid, "key").where(F.col("id") != F.col("mid")).where(_sizes_fit(p.percent))
+    star = join_once(shared, mid, ["key"], "weight", total).where(F.col("id") != F.col("mid")).where(_sizes_fit(p.percent))
     links = _verified(texts, _pruned(star.select(F.least("id", "mid").alias("a"), F.greatest("id", "mid").alias("b")).distinct(), sigs, p), p)
     labels = components(links)
-    more = _apart(texts, shared, mid, labels, sigs, p)
+    more = _apart(texts, shared, mid, labels, sigs, total, p)
     if more is not None:
         labels = components(links.unionByName(more))
 
-    own = sets.join(first, ["f1", "f2", "n"]).select("id", "rep")
+    # a set that very many texts share would be a hot key
+    own = join_once(sets.select("id", "f1", "f2", "n"), first, ["f1", "f2", "n"], "copies", total).select("id", "rep")
     placed = own.join(labels, own["rep"] == labels["node"], "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     if own.distinct().groupBy("id").count().where("count > 1").take(1):
         # several texts of one id can sit in several components: join those too
@@ -183,9 +185,9 @@ def _sizes_fit(percent: int) -> Column:
 
 
 def _centres(shared: DataFrame) -> DataFrame:
-    """(key, mid, n2): of each bucket the node that meets most nodes."""
+    """(key, mid, n2, weight): of each bucket the node that meets most nodes, and how many nodes it has."""
     rank = F.struct((-F.col("met")).alias("r"), F.col("id").alias("mid"), F.col("n").alias("n2"))
-    return shared.groupBy("key").agg(F.min(rank).alias("m")).select("key", "m.mid", "m.n2")
+    return stage(shared.groupBy("key").agg(F.min(rank).alias("m"), F.count("*").alias("weight")).select("key", "m.mid", "m.n2", "weight"), "mid")
 
 
 def _pruned(pairs: DataFrame, sigs: DataFrame, p: NearDedup) -> DataFrame:
@@ -194,7 +196,7 @@ def _pruned(pairs: DataFrame, sigs: DataFrame, p: NearDedup) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInArrow(_pruner(p), "a long, b long")
 
 
-def _apart(texts: DataFrame, shared: DataFrame, mid: DataFrame, labels: DataFrame, sigs: DataFrame, p: NearDedup) -> DataFrame | None:
+def _apart(texts: DataFrame, shared: DataFrame, mid: DataFrame, labels: DataFrame, sigs: DataFrame, total: int, p: NearDedup) -> DataFrame | None:
     """Links between components, among nodes that share a bucket's centre.
 
     Nodes around a centre are compared in blocks, first by signatures, batch by
@@ -204,12 +206,13 @@ def _apart(texts: DataFrame, shared: DataFrame, mid: DataFrame, labels: DataFram
     """
     rows = shared.join(labels, shared["id"] == labels["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
     mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    around = stage(rows.join(mixed, "key").join(mid.select("key", "mid"), "key").select("mid", "id", "n", "comp").distinct(), "apart")
+    centred = join_once(rows, mid.join(mixed, "key").select("key", "mid", "weight"), ["key"], "weight", total)
+    around = stage(centred.select("mid", "id", "n", "comp").distinct(), "apart")
     count = around.count()
     if not count:
         return None
-    parts = around.groupBy("mid").agg(F.ceil(F.count("*") / p.block).cast("int").alias("parts"))
-    dealt = around.join(parts, "mid").join(sigs, "id").withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    parts = around.groupBy("mid").agg(F.ceil(F.count("*") / p.block).cast("int").alias("parts"), F.count("*").alias("weight"))
+    dealt = join_once(around, parts, ["mid"], "weight", total).join(sigs, "id").withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     few = F.pmod(F.xxhash64("mid"), F.lit(max(64, count // 1024)))
     group = F.when(F.col("parts") == 1, few).otherwise(F.xxhash64("mid", F.least("side", "o"), F.greatest("side", "o"))).alias("g")

@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import BROADCAST_LIMIT_BYTES, batches, stage, unstage
+from strandweave.llm.common import BROADCAST_LIMIT_BYTES, batches, join_once, stage, unstage
 from strandweave.llm.graph import components
 
 
 @dataclass(frozen=True)
 class Descent:
-    """Parameters. Of each class of component sizes ``audit`` nodes at most are compared with all, of nodes
+    """Parameters. Of each class of component sizes about ``audit`` nodes are compared with all, of nodes
     without links eight times as many; ``block`` rows of a component are compared at once, ``chunk_bytes``
     of vectors with all in the exact pass.
     """
@@ -149,9 +149,9 @@ def _leaves(nodes: DataFrame, p: Descent, bits: int) -> DataFrame:
 
 def _first_graph(nodes: DataFrame, count: int, p: Descent) -> DataFrame:
     bits = max(0, int(np.ceil(np.log2(max(1, count / p.leaf)))))
-    placed = _leaves(nodes, p, bits)
-    size = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (2 * p.leaf)).alias("parts"))
-    dealt = placed.join(size, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.col("parts")))
+    placed = stage(_leaves(nodes, p, bits), "leaves")
+    size = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (2 * p.leaf)).alias("parts"), F.count("*").alias("weight"))
+    dealt = join_once(placed, size, ["tree", "leaf"], "weight", p.trees * count).withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.col("parts")))
 
     def compare(t: pa.Table) -> pa.Table:
         out: tuple[list, ...] = ([], [], [], [])
@@ -190,17 +190,17 @@ def _descend(nodes: DataFrame, graph: DataFrame, k: int, count: int, p: Descent)
     return rows.groupBy("g").applyInArrow(compare, _EDGES)
 
 
-def _counted(nodes: DataFrame, labels: DataFrame, p: Descent) -> DataFrame:
+def _counted(nodes: DataFrame, labels: DataFrame, count: int, p: Descent) -> DataFrame:
     """(id, others): links of each node to rows of other nodes, over its whole component, in blocks."""
     member = nodes.join(labels, nodes["id"] == labels["node"]).select("component", "id", "vec", "times")
-    parts = member.groupBy("component").agg(F.ceil(F.count("*") / p.block).cast("int").alias("parts"))
-    dealt = member.join(parts, "component").withColumn("b", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    parts = labels.groupBy("component").agg(F.ceil(F.count("*") / p.block).cast("int").alias("parts"), F.count("*").alias("weight"))
+    dealt = join_once(member, parts, ["component"], "weight", count).drop("weight").withColumn("b", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     pair = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")
-    rows = dealt.select("component", "id", "vec", "times", "b", pair).select("component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "id", "vec", "times")
-    # small components share a group, so that a group isn't a handful of rows
-    rows = rows.withColumn("g", F.when((F.col("i") == 0) & (F.col("j") == 0), F.pmod(F.xxhash64("component"), F.lit(64))).otherwise(F.xxhash64("component", "i", "j")))
+    rows = dealt.select("component", "id", "vec", "times", "parts", "b", pair).select("component", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "id", "vec", "times", "parts")
+    # components of one block share groups, as many as keep a group to about 2,048 rows; larger ones have a group for each pair of blocks
+    rows = rows.withColumn("g", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("component"), F.lit(max(64, count // 2048)))).otherwise(F.xxhash64("component", "i", "j")))
 
-    def count(t: pa.Table) -> pa.Table:
+    def links(t: pa.Table) -> pa.Table:
         t = t.sort_by([("component", "ascending"), ("i", "ascending"), ("j", "ascending")])
         keys = np.stack([np.asarray(t[c]).astype(np.int64) for c in ("component", "i", "j")])
         cuts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [keys.shape[1]]])
@@ -217,27 +217,30 @@ def _counted(nodes: DataFrame, labels: DataFrame, p: Descent) -> DataFrame:
                 got.append(near @ times)
         return pa.table([pa.array(np.concatenate(ids)), pa.array(np.concatenate(got).astype(np.int64))], names=["id", "others"])
 
-    found = rows.groupBy("g").applyInArrow(count, "id long, others long")
+    found = rows.drop("parts").groupBy("g").applyInArrow(links, "id long, others long")
     return found.groupBy("id").agg(F.sum("others").alias("others"))
 
 
-def _recall(nodes: DataFrame, labels: DataFrame, counted: DataFrame, p: Descent) -> float:
+def _recall(nodes: DataFrame, labels: DataFrame, counted: DataFrame, count: int, p: Descent) -> float:
     """Least share, over classes of link counts, of a node's links that were found, by comparing samples with all nodes.
 
     Samples are drawn by component size, and weighted by how many nodes each stands for.
     """
-    sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
-    sized = labels.join(sizes, "component").select(F.col("node").alias("id"), F.floor(F.log2("size")).cast("int").alias("s"))
+    sizes = labels.groupBy("component").agg(F.count("*").alias("size")).withColumn("weight", F.col("size"))
+    sized = join_once(labels, sizes, ["component"], "weight", count).select(F.col("node").alias("id"), F.floor(F.log2("size")).cast("int").alias("s"))
     placed = nodes.select("id", "vec").join(sized, "id", "left").withColumn("s", F.coalesce("s", F.lit(0)))
     many = {r["s"]: r["count"] for r in placed.groupBy("s").count().collect()}
-    order = W.partitionBy("s").orderBy(F.xxhash64("id", F.lit(p.seed)), "id")
-    drawn = placed.withColumn("r", F.row_number().over(order)).where((F.col("r") <= p.audit) | ((F.col("s") == 0) & (F.col("r") <= 8 * p.audit)))
+    if not many:
+        return 1.0
+    # about audit nodes of each class, by a hash of the id
+    share = F.create_map(*[F.lit(x) for c, n in many.items() for x in (c, min(1.0, p.audit * (8 if c == 0 else 1) / n))])
+    drawn = placed.where(F.pmod(F.xxhash64("id", F.lit(p.seed)), F.lit(1 << 30)) < F.element_at(share, F.col("s")) * float(1 << 30))
     mine = drawn.select("id", "vec", "s").toArrow()
     if not mine.num_rows:
         return 1.0
     asked, ids, strata = _matrix(mine["vec"]), np.asarray(mine["id"]), np.asarray(mine["s"])
 
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def true_links(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(ids), dtype=np.int64)
         for rb in it:
             x = _matrix(rb.column("vec"))
@@ -247,7 +250,7 @@ def _recall(nodes: DataFrame, labels: DataFrame, counted: DataFrame, p: Descent)
             total += near @ np.asarray(rb.column("times"))
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "true"])
 
-    true = nodes.mapInArrow(count, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
+    true = nodes.mapInArrow(true_links, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
     rows = true.where(F.col("true") > 0).join(counted, "id", "left").select("id", "true", F.least("true", F.coalesce("others", F.lit(0))).alias("found")).toArrow()
     if not rows.num_rows:
         return 1.0
@@ -316,8 +319,9 @@ def near_vectors(vectors: DataFrame, p: Descent = Descent(), id_col: str = "vec_
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     unit = stage(rows.mapInArrow(_unit, "id long, vec binary"), "unit")
     nodes = stage(unit.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("times")), "vectors")
-    members = unit.join(nodes.select("vec", F.col("id").alias("rep"), "times"), "vec").select("id", "rep", "times")
-    count = nodes.count()
+    count, total = nodes.agg(F.count("*"), F.coalesce(F.sum("times"), F.lit(0))).first()
+    # a vector that very many rows hold would be a hot key
+    members = join_once(unit, nodes.select("vec", F.col("id").alias("rep"), F.col("times").alias("weight"), "times"), ["vec"], "weight", total).select("id", "rep", "times")
 
     k = p.neighbours
     found = stage(_first_graph(nodes, count, p), "graph")
@@ -335,15 +339,15 @@ def near_vectors(vectors: DataFrame, p: Descent = Descent(), id_col: str = "vec_
             for t in old:
                 unstage(t)
         labels = stage(components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))), "labels")
-        counted = stage(_counted(nodes, labels, p), "counted")
-        if _recall(nodes, labels, counted, p) >= p.recall:
+        counted = stage(_counted(nodes, labels, count, p), "counted")
+        if _recall(nodes, labels, counted, count, p) >= p.recall:
             break
         parts = _chunks(nodes, count, p)
         # a round reads each vector some 4 * k times, the exact pass once for each chunk
         if turn == p.more_rounds or parts <= 4 * k:
             every = links.unionByName(_all_links(nodes, parts, p))
             labels = stage(components(every.select(F.col("u").alias("a"), F.col("v").alias("b"))), "labels")
-            counted = stage(_counted(nodes, labels, p), "counted")
+            counted = stage(_counted(nodes, labels, count, p), "counted")
             break
         k *= 2
 
