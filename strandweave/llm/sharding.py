@@ -14,43 +14,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import stage
+from strandweave.llm.common import small_enough, stage
 
 #: Buckets whose offsets one task adds up.
 _GROUP = 4096
+#: Cells by which the records are measured before they are scattered; a bucket is a stretch of them.
+_CELLS = 1 << 20
 
 
-def shuffled_shards(docs: DataFrame, shards: int = 24, seed: int = 1, bucket_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shuffled_shards(docs: DataFrame, shards: int = 24, seed: int = 1, bucket_bytes: int = 8 << 20, memory_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``shard`` (0 to shards - 1) and ``slot`` (from 0, without gaps), shuffled.
 
-    Law ``rows``: shards' counts differ by one at most. Which bucket a record
-    goes to depends on seed, id and text; its place there on the seed. The
-    shuffled records are written once, and all that follows reads that table,
-    so a task that is run again can't deal a record twice or lose it. Null ids
-    and texts are records like others; repeated rows each get a slot. An input
-    column named shard or slot is replaced. An empty table gives an empty
-    result. A bucket holds about ``bucket_bytes`` of text; a longer text is a
-    bucket's share by itself.
+    Law ``rows``: shards' counts differ by one at most. Where a record goes
+    depends on seed, id and text alone, so any number of tasks gives the same
+    result, also when a task runs again; records of equal id and text may
+    change places with one another. Null ids and texts are records like
+    others; repeated rows each get a slot. An input column named shard or slot
+    is replaced. An empty table gives an empty result.
+
+    A bucket holds about ``bucket_bytes`` of text, and more, up to
+    ``memory_bytes`` (a share of an executor's memory), where there would be
+    over 4,096 of them. A longer text is a bucket by itself. Rows that
+    repeat id and text so often that they fill buckets are dealt to several by
+    their place in the input.
     """
     docs = docs.drop("shard", "slot")
     names = docs.columns
-    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 64
-    total = docs.agg(F.sum(size)).first()[0] or 0
-    buckets = max(1, ceil(total / bucket_bytes))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(buckets))
-    scattered = docs.select(bucket.alias("__bucket"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__record")).repartition(buckets, "__bucket")
-    gathered = scattered.groupBy("__bucket").agg(F.collect_list("__record").alias("__all"))
-    dealt = stage(gathered.select("__bucket", F.posexplode(F.shuffle("__all", F.lit(seed))).alias("__place", "__record")), "shuffled")
+    key = F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    size = F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)).cast("long") + 64
+    cells = stage(docs.groupBy(F.pmod(key, F.lit(_CELLS)).alias("cell")).agg(F.sum(size).alias("bytes"), F.count("*").alias("rows"), F.max(size).alias("longest")), "cells")
+    total, n = cells.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    buckets = min(_CELLS, max(1, min(ceil(total / bucket_bytes), 4096), ceil(total / memory_bytes)))
+    of_cell = F.expr(f"cast(cell * {buckets} div {_CELLS} as int)")
+    # buckets that repeated rows fill: as many as there is room for at most half of all
+    wide = 2 * max(bucket_bytes, ceil(total / buckets))
+    full = cells.groupBy(of_cell.alias("__bucket")).agg(F.sum("bytes").alias("b"), F.max("longest").alias("longest"), F.sum("rows").alias("r")).where((F.col("b") - F.col("longest") > wide) & (F.col("r") > 1))
+    full = stage(full.select("__bucket", F.ceil(F.col("b") / wide).cast("int").alias("__parts")), "full")
+
+    rows = docs.select(F.pmod(key, F.lit(_CELLS)).alias("cell"), key.alias("__key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__record"))
+    rows = rows.select(of_cell.alias("__bucket"), "__key", "__record")
+    if full.take(1):
+        side = F.broadcast(full) if small_enough(full, 16) else full
+        part = F.pmod(F.xxhash64("__row", F.lit(seed)), F.coalesce("__parts", F.lit(1))).cast("int")
+        rows = rows.withColumn("__row", F.monotonically_increasing_id()).join(side, "__bucket", "left").withColumn("__part", part).drop("__row", "__parts")
+    else:
+        rows = rows.withColumn("__part", F.lit(0))
+    # each partition's buckets in order and each bucket's records by hash, so that the shuffle's draws fall alike in every run
+    gathered = rows.repartition(buckets, "__bucket", "__part").groupBy("__bucket", "__part").agg(F.collect_list(F.struct("__key", "__record")).alias("__all")).sortWithinPartitions("__bucket", "__part")
+    order = F.transform(F.array_sort(F.transform("__all", lambda r, i: F.struct(r["__key"].alias("k"), i.alias("i")))), lambda x: x["i"])
+    dealt = gathered.select("__bucket", "__part", "__all", F.shuffle(order, F.lit(seed)).alias("__order"))
+    record = F.transform("__order", lambda i: F.get("__all", i)["__record"])
+    dealt = stage(dealt.select("__bucket", "__part", F.posexplode(record).alias("__place", "__record")), "shuffled")
 
-    counts = dealt.groupBy("__bucket").agg(F.count("*").alias("c")).withColumn("g", F.floor(F.col("__bucket") / _GROUP))
+    counts = dealt.groupBy("__bucket", "__part").agg(F.count("*").alias("c")).withColumn("g", F.floor(F.col("__bucket") / _GROUP))
     groups = counts.groupBy("g").agg(F.sum("c").alias("gc"))
     groups = groups.withColumn("before", F.sum("gc").over(W.orderBy("g")) - F.col("gc")).select("g", "before")
-    inside = W.partitionBy("g").orderBy("__bucket")
-    starts = counts.join(groups, "g").select("__bucket", (F.col("before") + F.sum("c").over(inside) - F.col("c")).alias("__start"))
+    inside = W.partitionBy("g").orderBy("__bucket", "__part")
+    starts = counts.join(groups, "g").select("__bucket", "__part", (F.col("before") + F.sum("c").over(inside) - F.col("c")).alias("__start"))
+    starts = stage(starts, "starts")
 
-    n = dealt.count()
-    place = F.col("__start") + F.col("__place")
-    out = dealt.join(starts, "__bucket").withColumn("__at", place).withColumn("shard", F.expr(f"cast(__at * {shards} div {max(n, 1)} as int)"))
+    side = F.broadcast(starts) if small_enough(starts, 24) else starts
+    out = dealt.join(side, ["__bucket", "__part"]).withColumn("__at", F.col("__start") + F.col("__place")).withColumn("shard", F.expr(f"cast(__at * {shards} div {max(n, 1)} as int)"))
     first = F.expr(f"(cast(shard as bigint) * {n} + {shards - 1}) div {shards}")
     return out.select(*[F.col(f"__record.`{c}`").alias(c) for c in names], "shard", (F.col("__at") - first).alias("slot"))
 

@@ -120,6 +120,29 @@ def test_shards_hold_all_rows_evenly(spark):
     assert shard_digest(docs_of(spark, rows).where("false")).count() == 0
 
 
+def test_shards_depend_on_the_seed_and_not_on_tasks(spark):
+    rows = [(i, f"text {i} " * (i % 7)) for i in range(400)] + [(None, None)] * 3 + [(5, "x" * 40_000)]
+    places, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for tasks, files in (("4", 1), ("7", 5), ("7", 3)):
+            spark.conf.set("spark.sql.shuffle.partitions", tasks)
+            out = shuffled_shards(docs_of(spark, rows).repartition(files), 3, bucket_bytes=4000)
+            places.append(sorted((str(r["doc_id"]), r["shard"], r["slot"]) for r in out.collect()))
+        assert places[0] == places[1] == places[2]
+        other = shuffled_shards(docs_of(spark, rows), 3, seed=2, bucket_bytes=4000)
+        assert sorted((str(r["doc_id"]), r["shard"], r["slot"]) for r in other.collect()) != places[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_repeated_rows_fill_several_buckets(spark):
+    rows = [(1, "same text")] * 600 + [(i, f"text {i}") for i in range(100)] + [(9, "y" * 30_000)]
+    out = shuffled_shards(docs_of(spark, rows), 5, bucket_bytes=3000).toPandas()
+    assert len(out) == len(rows) and all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
+    shares = (out.doc_id == 1).groupby(out.shard).mean()
+    assert shares.min() > 0.5  # spread over all shards
+
+
 # --- tokens -------------------------------------------------------------------------
 
 
