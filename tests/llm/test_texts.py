@@ -238,6 +238,52 @@ def test_surrogates_are_distinct(spark):
     got = pii.surrogate_map(spark.createDataFrame(rows, "kind string, canon string")).toPandas()
     assert len(got) == len(rows) and not got.duplicated(["kind", "surrogate"]).any()
     assert not set(zip(got.kind, got.surrogate, strict=True)) & set(rows)
+    assert got[got.kind == "phone"].surrogate.str.fullmatch(r"1\|\d{7}").all() and got[got.kind == "ssn"].surrogate.str.fullmatch(r"9\d{8}").all()
+
+
+def test_exhausted_formats_grow(spark):
+    rows = [("phone", f"|{i}") for i in range(10)] + [("ssn", f"{i:02d}") for i in range(60)]
+    got = pii.surrogate_map(spark.createDataFrame(rows, "kind string, canon string"), pii.Surrogates(draws=2)).toPandas()
+    assert len(got) == len(rows) and not got.duplicated(["kind", "surrogate"]).any()
+    assert got.surrogate.str.fullmatch(r"\|?\d+").all() and not set(zip(got.kind, got.surrogate, strict=True)) & set(rows)
+
+
+def _replaced(spark, *texts):
+    rows = sorted(pii.replaced(docs_of(spark, list(enumerate(texts)))).collect(), key=lambda r: r["doc_id"])
+    return [(r["text"], r["n_replaced"]) for r in rows]
+
+
+def test_names_keep_to_one_surrogate_in_a_text(spark):
+    one, two, three = _replaced(spark, "Mrs. Anna Smith came. Anna Smith left. Dr. Anna Smith slept; Annabel Smithers too.", "Dr. Elvira Maria Lopez and Frau Elvira Maria Lopez met Mr. John F. Kennedy.", "Smith alone, Anna alone, a mister and a drive")
+    words = one[0].replace(".", "").split()
+    assert words[1:3] == words[4:6] == words[8:10] and "Anna Smith " not in one[0] and "Annabel Smithers" in one[0] and one[1] == 6
+    words = two[0].replace(".", "").split()
+    assert words[1:4] == words[6:9] and not {"Elvira", "Maria", "Lopez", "John", "Kennedy"} & set(words) and " F. " not in two[0]
+    assert three == ("Smith alone, Anna alone, a mister and a drive", 0)
+
+
+def test_telephone_forms(spark):
+    numbers = ["+4915112345678", "+15551234567", "+49 30 1234567", "555 123 4567", "(555) 123-4567", "+44 20 7946 0958"]
+    same = _replaced(spark, "call +15551234567 or +1 (555) 123-4567 now")[0][0]
+    got = _replaced(spark, *[f"call {n} now" for n in numbers])
+    for number, (text, count) in zip(numbers, got, strict=True):
+        assert count == 1 and number not in text and len(text) == len(f"call {number} now")
+        assert "".join(c for c in text if not c.isdigit()) == "".join(c for c in f"call {number} now" if not c.isdigit())
+    digits = ["".join(c for c in w if c.isdigit()) for w in same.split(" or ")]
+    assert digits[0] == digits[1]
+    assert _replaced(spark, "in 2024 1234 rows, 12, 13 and 3.14159265358979")[0][1] == 0
+
+
+@pytest.mark.parametrize("text", ["x@" + "a." * 100_000 + "a", "x@" + "a." * 50_000 + ".b", "a" * 1_000_000 + "@b.org", "1 " * 500_000, "+1" + " 22" * 300_000, "Mrs. " + "Anna " * 200_000, "1." * 500_000, "Mr. " * 250_000, "." * 1_000_000])
+def test_very_long_texts(spark, text):
+    (out, count), = _replaced(spark, text)
+    assert isinstance(out, str) and (count == 0) == (out == text)
+
+
+def test_columns_that_clash(spark):
+    rows = spark.createDataFrame([(1, "a@b.org", 7, "k", [1])], "doc_id long, text string, n_replaced int, kind string, __row array<int>")
+    got = pii.replaced(rows).collect()[0]
+    assert got["n_replaced"] == 1 and got["kind"] == "k" and got["__row"] == [1] and "a@b" not in got["text"]
 
 
 # --- secrets and licences -------------------------------------------------------------------
