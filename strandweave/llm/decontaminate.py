@@ -6,8 +6,8 @@ most one edit between the two words. That number less one of an item's places
 may therefore go without a seed: those whose pairs are most frequent in the
 corpus. All other places seed, so every hit holds a seed, however dense its
 edits are. Items too short for pairs seed by single words in the same way. A
-seed that occurs in a text brings the passage around it; passages are joined to
-items by their seeds, and each pair is aligned word by word.
+seed that occurs in a text brings the passage around it, as wide as its item
+needs, and each pair of passage and item is aligned word by word.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import BROADCAST_LIMIT_BYTES, batches, stage
+from strandweave.llm.common import BROADCAST_LIMIT_BYTES, HOT_ROWS, batches, stage
 from strandweave.llm.textops import chunks, mix, word_spans
 
 _MARKS = re.compile(r"[^\w\x00-\x7f]|_")
@@ -157,51 +157,88 @@ def _frequencies(docs: DataFrame, grams: DataFrame, single: bool, p: Decontamina
     return docs.mapInArrow(count, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
 
 
-def _passages(docs: DataFrame, seeds: DataFrame, reach: int, single: bool, p: Decontamination) -> DataFrame:
-    """(id, start, passage, grams): text around the seeds, runs that touch taken together."""
+#: Passages are passed on in batches of about so many bytes.
+_BATCH_BYTES = 4 << 20
 
-    def cut(i: int, g: np.ndarray, at: np.ndarray, hit: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: bytes) -> Iterator[tuple]:
-        hit = hit[np.argsort(at[hit], kind="stable")]
-        breaks = np.flatnonzero(np.diff(at[hit]) > 2 * reach) + 1
-        for part in np.split(hit, breaks):
-            lo, hi = max(0, int(at[part[0]]) - reach), min(len(starts) - 1, int(at[part[-1]]) + reach)
-            yield i, lo, text[starts[lo] : ends[hi]].decode("utf-8", "replace"), np.unique(g[part])
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["id", "start", "passage", "grams"])
+def _batched(rows: Iterator[tuple], kinds: tuple, names: list[str], text: int) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[text]) + 64
+        if size > _BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], kind) for k, kind in enumerate(kinds)], names=names)
+            held, size = [], 0
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], kind) for k, kind in enumerate(kinds)], names=names)
 
-    schema = "id long, start int, passage string, grams array<long>"
-    known = _known(seeds, p.broadcast_bytes)
-    if known is not None:
 
-        def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            among = _Among(known)
-            for rb in it:
-                ids, texts, rows = rb.column(0).to_pylist(), _texts(rb, 1), []
-                for i, g, at, starts, ends in _grams(texts, single):
-                    hit = among(g)
-                    if len(hit):
-                        rows += cut(ids[i], g, at, hit, starts, ends, texts[i])
-                yield batch(rows)
+def _runs(pos: np.ndarray, item: np.ndarray, reach: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(item, first, last place) of seeds that one alignment could hold; their order is that of item and place."""
+    breaks = np.flatnonzero((np.diff(item) != 0) | (np.diff(pos) > 2 * reach[1:])) + 1
+    for lo, hi in zip([0, *breaks], [*breaks, len(pos)], strict=True):
+        yield int(item[lo]), max(0, int(pos[lo]) - int(reach[lo])), int(pos[hi - 1]) + int(reach[lo])
 
-        return docs.mapInArrow(scan, schema)
 
-    # too many seeds to send along: all hashes meet them in a join, and the texts hit are read again
-    every = docs.mapInArrow(_exploded(single), "id long, pos int, gram long").join(seeds.select("gram").distinct(), "gram", "left_semi")
-    places = every.groupBy("id").agg(F.array_sort(F.collect_set("gram")).alias("hits"))
-    found = docs.join(places, "id").select("id", "text", "hits")
+def _near_items(docs: DataFrame, seeds: DataFrame, single: bool) -> DataFrame:
+    """(id, item, start, passage): the text around each item's seeds, with seeds that a count has shown to fit in a task."""
+    local = seeds.select("gram", "item", "reach").toArrow().sort_by([("gram", "ascending"), ("item", "ascending")])
+    gram, items, reaches = (np.asarray(local[c]).astype(np.int64) for c in ("gram", "item", "reach"))
+    known, first = np.unique(gram, return_index=True)
+    offsets = np.append(first, len(gram))
 
-    def scan_hits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in it:
-            ids, texts, hits, rows = rb.column(0).to_pylist(), _texts(rb, 1), rb.column(2).to_pylist(), []
+    def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        among = _Among(known)
+
+        def rows(rb: pa.RecordBatch) -> Iterator[tuple]:
+            ids, texts = rb.column(0).to_pylist(), _texts(rb, 1)
             for i, g, at, starts, ends in _grams(texts, single):
-                hit = np.flatnonzero(np.isin(g, np.array(hits[i], dtype=np.int64)))
-                if len(hit):
-                    rows += cut(ids[i], g, at, hit, starts, ends, texts[i])
-            yield batch(rows)
+                hit = among(g)
+                if not len(hit):
+                    continue
+                k = np.searchsorted(known, g[hit])
+                many = offsets[k + 1] - offsets[k]
+                flat = np.repeat(offsets[k] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                pos, item = np.repeat(at[hit], many), items[flat]
+                order = np.lexsort((pos, item))
+                for one, lo, hi in _runs(pos[order], item[order], reaches[flat[order]]):
+                    yield ids[i], one, lo, texts[i][starts[lo] : ends[min(hi, len(starts) - 1)]].decode("utf-8", "replace")
 
-    return found.mapInArrow(scan_hits, schema)
+        for rb in it:
+            yield from _batched(rows(rb), (pa.int64(), pa.int64(), pa.int32(), pa.string()), ["id", "item", "start", "passage"], 3)
+
+    return docs.mapInArrow(scan, "id long, item long, start int, passage string")
+
+
+def _near_items_joined(docs: DataFrame, seeds: DataFrame, single: bool) -> DataFrame:
+    """As :func:`_near_items` by joins: all hashes of the texts meet the seeds, and the texts hit are read again.
+
+    Of the seeds, those that occur in over a thousandth of all places are fewer than a thousand; their rows are salted.
+    """
+    total = seeds.select("gram", "df").distinct().agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    salts = F.when(F.col("df") > max(HOT_ROWS, total // 1000), 32).otherwise(1)
+    hot = F.broadcast(seeds.where(salts > 1).select("gram").distinct().withColumn("__hot", F.lit(32)))
+    every = docs.mapInArrow(_exploded(single), "id long, pos int, gram long").join(hot, "gram", "left")
+    every = every.withColumn("salt", F.pmod(F.xxhash64("id", "pos"), F.coalesce("__hot", F.lit(1))).cast("int")).drop("__hot")
+    spread = seeds.select("gram", "item", "reach", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    places = every.join(spread, ["gram", "salt"]).select("id", "item", "pos", "reach").distinct()
+    held = places.groupBy("id", "item").agg(F.array_sort(F.collect_list(F.struct("pos", "reach"))).alias("at"))
+    found = docs.join(held, "id").select("id", "text", "item", F.transform("at", lambda x: x["pos"]).alias("pos"), F.transform("at", lambda x: x["reach"]).alias("reach"))
+
+    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(rb: pa.RecordBatch) -> Iterator[tuple]:
+            ids, texts, item, pos, reach = rb.column(0).to_pylist(), _texts(rb, 1), rb.column(2).to_pylist(), rb.column(3).to_pylist(), rb.column(4).to_pylist()
+            for i, _, _, starts, ends in _grams(texts, single):
+                here = np.array(pos[i], dtype=np.int64)
+                keep = here < len(starts)  # rows that repeat an id are other texts
+                here, far = here[keep], np.array(reach[i], dtype=np.int64)[keep]
+                for one, lo, hi in _runs(here, np.full(len(here), item[i]), far) if len(here) else ():
+                    yield ids[i], one, lo, texts[i][starts[lo] : ends[min(hi, len(starts) - 1)]].decode("utf-8", "replace")
+
+        for rb in it:
+            yield from _batched(rows(rb), (pa.int64(), pa.int64(), pa.int32(), pa.string()), ["id", "item", "start", "passage"], 3)
+
+    return found.mapInArrow(cut, "id long, item long, start int, passage string")
 
 
 def smith_waterman(item: list[str], passage: list[str], match: int, mismatch: int, gap: int) -> tuple[int, int, int]:
@@ -249,25 +286,30 @@ def contaminated(docs: DataFrame, items: DataFrame, p: Decontamination = Deconta
 
     start and stop are numbers of words. Null and empty texts and items hold
     nothing; rows with a null id are left out; rows that repeat an id are one
-    text's parts, of which the best counts; repeated items count once. Words
-    are compared lower-cased, without punctuation. Other columns aren't read.
+    text's parts, of which the best counts; repeated items count once. Of equal
+    alignments the one that begins first counts. Texts are read whole, and
+    aligned where a seed is, however long they are. Words are compared
+    lower-cased, without punctuation. Other columns aren't read. An empty
+    table on either side gives an empty result.
     """
     batches(docs.sparkSession)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     tests = items.where(F.col(item_col).isNotNull() & F.col("text").isNotNull()).select(F.col(item_col).cast("long").alias("id"), F.col("text").cast("string").alias("text")).distinct()
     kinds = "id long, part long, pos int, gram long, spare int, single boolean, reach int"
     grams = stage(tests.withColumn("part", F.xxhash64("text")).mapInArrow(_item_grams(p), kinds), "grams")
-    single, reach = grams.agg(F.coalesce(F.bool_or("single"), F.lit(False)), F.coalesce(F.max("reach"), F.lit(0))).first()
+    single = grams.agg(F.coalesce(F.bool_or("single"), F.lit(False))).first()[0]
     rarity = grams.join(_frequencies(texts, grams, single, p), "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     # the places whose hashes are most frequent needn't seed, as many as a hit can do without
     place = W.partitionBy("id", "part", "pos")
     ranked = rarity.withColumn("cost", F.sum("df").over(place)).withColumn("rank", F.dense_rank().over(W.partitionBy("id", "part").orderBy(F.desc("cost"), "pos")))
-    seeds = stage(ranked.where("rank > spare").select("id", "gram").distinct(), "seeds")
-
-    passages = _passages(texts, seeds, reach, single, p)
-    pairs = passages.withColumn("gram", F.explode("grams")).select("id", "start", "passage", "gram").join(seeds.select(F.col("id").alias("item"), "gram"), "gram")
-    pairs = pairs.groupBy("id", "start", "passage", "item").agg(F.count("*").alias("seeds"))
-    pairs = pairs.join(tests.select(F.col("id").alias("item"), F.col("text").alias("wanted")), "item").select("id", "item", "start", "passage", "wanted")
+    seeds = ranked.where("rank > spare").groupBy(F.col("id").alias("item"), "gram").agg(F.max("reach").alias("reach"), F.max("df").alias("df"))
+    seeds = stage(seeds.where("df > 0"), "seeds")
+
+    fits = seeds.count() * 24 <= p.broadcast_bytes
+    passages = (_near_items if fits else _near_items_joined)(texts, seeds, single)
+    wanted = tests.select(F.col("id").alias("item"), F.col("text").alias("wanted"))
+    size = wanted.agg(F.coalesce(F.sum(F.octet_length("wanted") + 16), F.lit(0))).first()[0]
+    pairs = passages.join(F.broadcast(wanted) if size <= p.broadcast_bytes else wanted, "item").select("id", "item", "start", "passage", "wanted")
 
     def align(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = re.compile(r"[a-z0-9\u0080-\U0010ffff]+")
