@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,6 +86,11 @@ def semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(side, key, "left_semi")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used, within higher-order functions too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 #: A key with more than this many rows, and a thousandth of them all, is joined by broadcast.
 HOT_ROWS = 4096
 

@@ -19,7 +19,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm.common import join_once, stage, unstage
+from strandweave.llm.common import join_once, let, stage, unstage
 
 # fixed values: titles by gender, given names by gender and script, syllables by script
 TITLES_F = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Srta", "Signora", "Dra", "госпожа", "г-жа")
@@ -85,11 +85,6 @@ class Surrogates:
 _PIECE = "array<struct<lit:string,kind:string,canon:string>>"
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _digits(m: Column) -> Column:
     return F.regexp_replace(m, r"\D", "")
 
@@ -209,10 +204,10 @@ def _draw(p: Surrogates, kind: Column, canon: Column, attempt: int) -> Column:
 
     def drawn(h: Column) -> Column:
         longer = F.translate(F.substring(h, 33, 12), "0123456789", "ghijklmnop") if late else F.lit("")
-        email = F.concat(_shaped(F.substring_index(canon, "@", 1), h), longer, F.lit("@"), _let(host, lambda g: _shaped(F.substring_index(domain, ".", 1), g)), F.lit(".example."), F.substring_index(domain, ".", -1))
+        email = F.concat(_shaped(F.substring_index(canon, "@", 1), h), longer, F.lit("@"), let(host, lambda g: _shaped(F.substring_index(domain, ".", 1), g)), F.lit(".example."), F.substring_index(domain, ".", -1))
         phone = F.concat(F.substring_index(canon, "|", 1), F.lit("|"), _random_digits(h, F.length(F.substring_index(canon, "|", -1)) + more))
         ip = F.concat_ws(".", (_hash_at(h, F.lit(0), 223) + 1).cast("string"), *[_hash_at(h, F.lit(k), 256).cast("string") for k in (3, 6, 9)])
-        card = _let(F.concat(F.substring(canon, 1, 1), _random_digits(h, F.length(canon) - 2 + more)), lambda body: F.concat(body, F.pmod(-_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")))
+        card = let(F.concat(F.substring(canon, 1, 1), _random_digits(h, F.length(canon) - 2 + more)), lambda body: F.concat(body, F.pmod(-_luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")))
         ssn = F.concat(F.lit("9"), _random_digits(h, F.length(canon) - 1 + more))
         out = F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "card", card).when(kind == "ssn", ssn)
         for who, ending in ENDINGS.items():
@@ -226,7 +221,7 @@ def _draw(p: Surrogates, kind: Column, canon: Column, attempt: int) -> Column:
             out = out.when(kind == f"given:{who}", made)
         return out
 
-    return _let(F.sha2(F.concat_ws("\x1f", F.lit(p.key), kind, canon, F.lit(str(attempt))), 256), drawn)
+    return let(F.sha2(F.concat_ws("\x1f", F.lit(p.key), kind, canon, F.lit(str(attempt))), 256), drawn)
 
 
 def surrogate_map(entities: DataFrame, p: Surrogates = Surrogates()) -> DataFrame:
@@ -269,7 +264,7 @@ def _spelled(kind: Column, m: Column, surrogate: Column) -> Column:
 
     capitals = F.when((m == F.upper(m)) & (m != F.lower(m)), F.upper(surrogate)).otherwise(surrogate)
     named = F.when((m == F.upper(m)) & (F.length(m) > 1), F.upper(surrogate)).otherwise(F.concat(F.upper(F.substring(surrogate, 1, 1)), F.substring(surrogate, F.lit(2), F.length(surrogate))))
-    return F.when(kind == "email", capitals).when(kind == "ip", surrogate).when(F.startswith(kind, F.lit("given")), named).otherwise(_let(F.regexp_replace(surrogate, r"\D", ""), filled))
+    return F.when(kind == "email", capitals).when(kind == "ip", surrogate).when(F.startswith(kind, F.lit("given")), named).otherwise(let(F.regexp_replace(surrogate, r"\D", ""), filled))
 
 
 def _cut(rows: DataFrame, p: Surrogates) -> DataFrame:
@@ -281,7 +276,7 @@ def _cut(rows: DataFrame, p: Surrogates) -> DataFrame:
     whole = F.array_distinct(F.filter(F.transform("__named", lambda m: F.substring(m, F.length(_title(m)) + 1, F.lit(2_000_000_000))), lambda w: F.contains(w, F.lit(" "))))
     told = F.filter(F.transform("__named", lambda m: F.struct(F.lower(F.get(F.split(m, " "), F.lit(1))).alias("name"), _gender(_title(m), p).alias("gender"))), lambda g: g["gender"].isNotNull())
     # one gender a name, the smaller letter where titles differ
-    genders = _let(F.array_sort(F.array_distinct(told)), lambda gs: F.map_from_entries(F.filter(gs, lambda g, i: (i == 0) | (F.get(gs, i - 1)["name"] != g["name"]))))
+    genders = let(F.array_sort(F.array_distinct(told)), lambda gs: F.map_from_entries(F.filter(gs, lambda g, i: (i == 0) | (F.get(gs, i - 1)["name"] != g["name"]))))
     # longer names first, so that none is cut short by another; names hold letters, points, quotes and hyphens only
     longest = F.transform(F.array_sort(F.transform(whole, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: F.replace(x["w"], F.lit("."), F.lit("\\.")))
     bare = F.when(F.size(whole) > 0, F.concat(F.lit(p.mention + r"|(?=\p{Lu})(?<!\p{L})(?:"), F.array_join(longest, "|"), F.lit(r")(?!\p{L})"))).otherwise(F.lit(p.mention))

@@ -1,7 +1,9 @@
 """Secret scans: candidates by shape, false positives removed by a random forest; DataFrame functions and MLlib only.
 
-Features are those of the candidate (length, character transitions, dictionary
-coverage), of the path it stands in, and of the neighbouring words.
+Candidates are private keys, values set to key-like words, and long runs; the
+forest rejects. Its features are those of the candidate (length, character
+transitions, dictionary coverage), of the path it stands in, and of the
+neighbouring words.
 """
 
 from __future__ import annotations
@@ -12,8 +14,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Runs of 16 and more characters of keys and encodings, with a digit near the start.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])[A-Za-z0-9+/_=-]{16,}"
+from strandweave.llm.common import let
+
+# fixed values: what a candidate is
+_KEYWORD = "passwd|password|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|secret[_-]?key|auth[_-]?key|credentials?"
+#: A private key's block, whole.
+_BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=,:\s-]*+"
+#: What a key-like word is set to, from six characters on, of any kind but blanks, quotes and separators.
+_VALUE = rf"""(?<=[=:\s"'])(?<=(?i:{_KEYWORD})["']?[ \t]{{0,2}}(?:=>?|:)[ \t]{{0,2}}["']?)[^\s"'`,;<>(){{}}]{{6,}}+"""
+#: Runs of 16 and more characters of keys and encodings.
+_RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}+"
+CANDIDATE = f"{_BLOCK}|{_VALUE}|{_RUN}"
 #: Characters on either side that count as neighbourhood.
 NEAR = 48
 
@@ -21,9 +32,10 @@ NEAR = 48
 DICTIONARY = "the and for with from this that name user users data file path test example sample version release build index item value list type group image images static assets content config default main page post article news blog product category public private module package library server client local time date year month report update create delete google python java script style theme color size width height header footer title section button".split()
 _KEYISH = r"(?i)(key|token|secret|passw|pwd|auth|bearer|credential|api|access|private)"
 _HASHISH = r"(?i)(commit|sha[0-9]*|md5|hash|checksum|digest|uuid|guid|etag|version|build|revision|integrity|doi|isbn)"
+_PLACEHOLDER = r"(?i)(example|placeholder|changeme|change_me|your[_-]?|dummy|redacted|xxxx|\*\*\*\*|\$\{|%\(|^none$|^null$|^true$|^false$|process\.env|os\.environ|getenv)"
 _TESTPATH = r"(?i)(test|example|sample|fixture|mock|lock|vendor|min\.js)"
 
-FEATURES = ("length", "turns", "digits", "uppers", "distinct", "hex", "covered", "test_path", "keyish", "hashish", "assigned", "quoted", "slashes", "dashes")
+FEATURES = ("length", "turns", "digits", "uppers", "distinct", "hex", "covered", "test_path", "keyish", "hashish", "assigned", "quoted", "slashes", "dashes", "letters", "others", "vowels", "block", "placeholder")
 
 
 def _features(c: Column, before: Column, after: Column, path: Column) -> list[Column]:
@@ -48,49 +60,69 @@ def _features(c: Column, before: Column, after: Column, path: Column) -> list[Co
         flag(path.rlike(_TESTPATH)),
         flag(before.rlike(_KEYISH)),
         flag(before.rlike(_HASHISH)),
-        flag(before.rlike("[:=]\\s*[\"']?$")),
+        flag(before.rlike("[:=]>?\\s*[\"']?$")),
         flag(before.rlike("[\"']$") & after.rlike("^[\"']")),
         share("/"),
         share("[-_]"),
+        flag(c.rlike("^[A-Za-z]+$")),
+        share("[^A-Za-z0-9+/=_-]"),
+        share("[aeiouAEIOU]"),
+        flag(F.startswith(c, F.lit("-----BEGIN "))),
+        flag(c.rlike(_PLACEHOLDER)),
     ]
     return [x.cast("double").alias(name) for x, name in zip(cols, FEATURES, strict=True)]
 
 
-def labelled_findings(spark: SparkSession, rows: int = 3000) -> DataFrame:
-    """(candidate, before, after, path, label): findings generated by rule, half of them secrets.
+def labelled_findings(spark: SparkSession, rows: int = 6000, salt: str = "finding") -> DataFrame:
+    """(candidate, before, after, path, label): ``rows`` findings generated by rule, half of them secrets; ``salt`` draws others.
 
-    Secrets are random hex, base64 and alphanumeric strings assigned to keys.
-    False positives are digests, commit ids and identifiers of words and
-    numbers, and random strings in test paths. Pass your own for your code.
+    Secrets are random hex, base64, alphanumeric and all-letter strings and
+    passwords set to keys, and private keys. False positives are digests,
+    commit ids, identifiers and paths of words and numbers, long words, code
+    and placeholders that are set to keys, and random strings in test paths. These stand in
+    for findings that people have judged; pass your own for your code.
     """
-    h = F.sha2(F.concat(F.lit("finding"), F.col("id").cast("string")), 256)
-    pick = F.col("id") % 10
+    h = F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256)
+    at = lambda k, size: F.conv(F.substring(h, k, 3), 16, 10).cast("int") % size
+    pick = F.col("id") % 20
+    one_of = lambda k, xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (at(k, len(xs)) + 1).cast("int"))
+    word = lambda k: one_of(3 * k + 1, DICTIONARY)
     b64 = F.regexp_replace(F.base64(F.unhex(h)), "=", "")
-    word = lambda k: F.element_at(F.array(*map(F.lit, DICTIONARY)), (F.conv(F.substring(h, 3 * k + 1, 3), 16, 10).cast("int") % len(DICTIONARY) + 1).cast("int"))
-    words = F.concat_ws("-", word(0), word(1), word(2), F.conv(F.substring(h, 40, 3), 16, 10))
-    snake = F.concat_ws("_", word(3), word(4), word(5), F.conv(F.substring(h, 44, 2), 16, 10))
-    url = F.concat_ws("/", word(6), word(7), F.conv(F.substring(h, 47, 3), 16, 10), word(8))
+    letters = F.regexp_replace(F.concat(b64, F.base64(F.unhex(F.reverse(h)))), "[^A-Za-z]", "")
     case = F.when(F.col("id") % 3 == 0, F.upper(h)).otherwise(h)
-    size = F.element_at(F.array(F.lit(32), F.lit(40), F.lit(40), F.lit(64)), (F.col("id") % 4 + 1).cast("int"))
-    name = F.element_at(F.array(*[F.lit(x) for x in ("token", "api_key", "secret", "password", "auth_token", "TOKEN", "access_key", "client_secret")]), (F.conv(F.substring(h, 50, 2), 16, 10).cast("int") % 8 + 1).cast("int"))
-    sums = F.element_at(F.array(*[F.lit(x) for x in ("commit ", "sha256: ", "md5 = ", 'checksum: "', 'integrity="', "revision ", 'uuid = "', 'etag: "')]), (F.conv(F.substring(h, 52, 2), 16, 10).cast("int") % 8 + 1).cast("int"))
-    prose = F.concat(word(9), F.lit(" "), word(10), F.lit(" "))
-    candidate = (
-        F.when(pick <= 2, F.substring(case, F.lit(1), size))
-        .when(pick == 3, b64)
-        .when(pick == 4, F.substring(F.regexp_replace(b64, "[+/]", "x"), 1, 24))
-        .when(pick.isin(5, 9), F.substring(case, F.lit(1), size))
-        .when(pick == 6, words)
-        .when(pick == 7, snake)
-        .otherwise(url)
-    )
+    size = one_of(31, (20, 32, 40, 40, 64)).cast("int")
+    secret_of = {
+        0: F.substring(case, F.lit(1), size), 1: F.substring(case, F.lit(1), size), 2: F.substring(h, F.lit(3), F.lit(40)), 3: b64,
+        4: F.substring(F.regexp_replace(b64, "[+/]", "x"), F.lit(1), one_of(33, (16, 20, 24, 32)).cast("int")),
+        5: F.substring(letters, F.lit(1), one_of(33, (20, 32, 43)).cast("int")),
+        6: F.concat(F.substring(letters, 1, 4), F.lit("!"), F.substring(h, 5, 3), one_of(35, ("#", "&", "$", "@", "%")), F.substring(letters, 9, 4)),
+        7: F.concat(F.initcap(word(3)), F.substring(h, 7, 2), one_of(37, ("!", "?", "*", "&3!")), F.substring(letters, 3, 5)),
+        8: F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), b64, F.lit("\n"), F.reverse(b64), F.lit("\n-----END RSA PRIVATE KEY-----")),
+        9: F.concat(one_of(39, ("ghp_", "sk-", "AKIA", "xoxb-")), F.substring(letters, 1, 12), F.substring(h, 9, 12)),
+    }
+    false_of = {
+        10: F.substring(case, F.lit(1), size), 11: F.substring(h, F.lit(1), F.lit(40)),
+        12: F.concat_ws("-", word(0), word(1), word(2), at(40, 4000).cast("string")), 13: F.concat_ws("_", word(3), word(4), word(5), word(6)),
+        14: F.concat_ws("/", word(6), word(7), at(47, 4000).cast("string"), word(8)), 15: F.concat(word(1), word(2), word(3), word(4)),
+        16: F.concat(F.initcap(word(1)), F.initcap(word(2)), F.initcap(word(3)), F.initcap(word(4))),
+        17: one_of(41, ("your_api_key_here", "changeme", "<placeholder>", "${SECRET_TOKEN}", "process.env.TOKEN", "xxxxxxxxxxxxxxxx", "os.environ[KEY]", "example_token_value", "None", "getenv(KEY)")),
+        18: F.concat(word(2), F.lit("."), word(3), F.lit("_"), word(4)), 19: F.substring(case, F.lit(1), size),
+    }
+    candidate = None
+    for k, c in {**secret_of, **false_of}.items():
+        candidate = F.when(pick == k, c) if candidate is None else candidate.when(pick == k, c)
     quote = F.when(F.col("id") % 5 < 4, '"').otherwise("")
-    before = F.when(pick <= 4, F.concat(prose, name, F.element_at(F.array(F.lit(" = "), F.lit(": "), F.lit("=")), (F.col("id") % 3 + 1).cast("int")), quote)).when(pick == 5, F.concat(prose, sums)).when(pick == 9, F.concat(prose, name, F.lit(" = "), quote)).otherwise(prose)
-    path = F.when(pick == 9, F.concat(F.lit("tests/fixtures/"), word(11))).otherwise(F.concat(F.lit("src"), (F.col("id") % 20).cast("string")))
-    return spark.range(rows).select(candidate.alias("candidate"), before.alias("before"), F.when(pick <= 5, F.concat(quote, F.lit(" "))).otherwise(" ").alias("after"), path.alias("path"), (pick <= 4).cast("double").alias("label"))
+    prose = F.concat(word(9), F.lit(" "), word(10), F.lit(" "))
+    name = one_of(50, ("token", "api_key", "secret", "password", "auth_token", "TOKEN", "access_key", "client_secret", "GATEWAY_SIGNING_SECRET", "pwd"))
+    sums = one_of(52, ("commit ", "sha256: ", "md5 = ", 'checksum: "', 'integrity="', "revision ", 'uuid = "', 'etag: "'))
+    set_to = F.concat(prose, name, one_of(55, (" = ", ": ", "=", " => ")), quote)
+    before = F.when(pick == 8, prose).when((pick <= 9) | pick.isin(17, 18, 19), set_to).when(pick <= 11, F.concat(prose, sums)).otherwise(prose)
+    path = F.when(pick == 19, F.concat(F.lit("tests/fixtures/"), word(11))).otherwise(F.concat(F.lit("src"), (F.col("id") % 20).cast("string")))
+    after = F.when((pick <= 11) | (pick >= 17), F.concat(quote, F.lit(" "))).otherwise(" ")
+    return spark.range(rows).select(candidate.alias("candidate"), before.alias("before"), after.alias("after"), path.alias("path"), (pick <= 9).cast("double").alias("label"))
 
 
-def train(findings: DataFrame, trees: int = 20, depth: int = 6, seed: int = 3) -> RandomForestClassificationModel:
+def train(findings: DataFrame, trees: int = 20, depth: int = 8, seed: int = 3) -> RandomForestClassificationModel:
     """Fit the forest on labelled findings; rows without candidate or label don't count."""
     known = findings.where("candidate is not null and label is not null")
     rows = known.select(*_features(F.col("candidate"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")), F.coalesce("path", F.lit(""))), "label")
@@ -98,21 +130,26 @@ def train(findings: DataFrame, trees: int = 20, depth: int = 6, seed: int = 3) -
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
 
 
+def _running(sizes: Column) -> Column:
+    """(at, starts): the sum of gaps and matches, and where each match starts, from 0."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    return F.aggregate(sizes, none, lambda a, x: F.struct((a["at"] + x["g"] + x["m"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["g"])).alias("starts")))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """(id, start, candidate, before, after, path) of each candidate; start counts characters from 1."""
     path = F.col(path_col).cast("string") if path_col in docs.columns else F.lit("")
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.coalesce(path, F.lit("")).alias("__path"))
     rows = rows.where(F.col("__text").rlike(CANDIDATE))
-    cut = rows.select("__id", "__path", F.split("__text", CANDIDATE, -1).alias("gaps"), F.expr(f"regexp_extract_all(__text, r'{CANDIDATE}', 0)").alias("found"))
-    place = F.aggregate(
-        F.sequence(F.lit(0), F.size("found") - 1),
-        F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda acc, k: F.struct(
-            (acc["at"] + F.length(F.get("gaps", k)) + F.length(F.get("found", k))).alias("at"),
-            F.concat(acc["starts"], F.array(acc["at"] + F.length(F.get("gaps", k)))).alias("starts"),
-        ),
-    )["starts"]
-    before = F.transform(F.slice("gaps", 1, F.size("found")), lambda g: F.right(g, F.lit(NEAR)))
+    cut = rows.select("__id", "__path", F.split("__text", CANDIDATE, -1).alias("gaps"), F.regexp_extract_all("__text", F.lit(CANDIDATE), F.lit(0)).alias("found"))
+    # sums by stretches of 256 and within them, since an array that grows by one is copied each time
+    sizes = F.zip_with(F.slice("gaps", 1, F.size("found")), "found", lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
+    number = F.floor((F.size("found") - 1) / 256).cast("int")
+    cut = cut.withColumn("__blocks", let(sizes, lambda s: F.transform(F.sequence(F.lit(0), number), lambda b: _running(F.slice(s, b * 256 + 1, F.lit(256))))))
+    bases = F.aggregate("__blocks", F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("starts")), lambda a, b: F.struct((a["at"] + b["at"]).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")))["starts"]
+    place = F.flatten(F.zip_with(bases, "__blocks", lambda base, b: F.transform(b["starts"], lambda x: x + base)))
+    # what stands before a candidate may be another one
+    before = F.transform(F.slice("gaps", 1, F.size("found")), lambda g, i: F.right(F.concat(F.when(i > 0, F.right(F.get("found", i - 1), F.lit(NEAR))).otherwise(""), g), F.lit(NEAR)))
     after = F.transform(F.slice("gaps", 2, F.size("found")), lambda g: F.left(g, F.lit(NEAR)))
     each = cut.select("__id", "__path", F.explode(F.arrays_zip(place.alias("start"), F.col("found").alias("candidate"), before.alias("before"), after.alias("after"))).alias("c"))
     return each.select("__id", "__path", F.col("c.start").cast("long").alias("start"), "c.candidate", "c.before", "c.after")
@@ -124,8 +161,9 @@ def secrets(docs: DataFrame, model: RandomForestClassificationModel | None = Non
     ``score`` is the forest's share of votes, at least ``threshold``. Null and
     empty texts hold none; a null path counts as an ordinary one, as does a
     missing path column. Ids repeat and may be null, and repeated rows report
-    their own. Other columns aren't read. Without a ``model`` one is trained
-    on :func:`labelled_findings`.
+    their own. Very long texts are read whole. Other columns aren't read, so
+    their names can't clash. An empty table gives an empty result. Without a
+    ``model`` one is trained on :func:`labelled_findings`.
     """
     model = model or train(labelled_findings(docs.sparkSession))
     found = candidates(docs, id_col, text_col, path_col)
