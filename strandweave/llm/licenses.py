@@ -1,6 +1,6 @@
 """Licence scans: Dice coefficient over word bigrams against templates, with DataFrame functions only.
 
-A unit is a line, a paragraph or a whole text. A unit with a bigrams can reach
+A unit is a sentence, a line, a paragraph or a whole text. A unit with a bigrams can reach
 the threshold t with a template of b bigrams only if b lies within a t / (2 - t)
 and a (2 - t) / t, and only if it shares t (a + b) / 2 of them; both bounds
 prune before any unit meets a template.
@@ -15,7 +15,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Licence notices, in their published wording.
+# fixed values: licence notices and texts, in their published wording
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
@@ -32,9 +32,15 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC0-1.0": "This work is dedicated to the public domain under the CC0 1.0 Universal Public Domain Dedication.",
+    "MIT-full": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "BSD-2-Clause-full": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
+    "ISC-full": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "Zlib-full": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+#: What parts the sentences of a line.
+SENTENCE_END = r"([.!?;:])[ \t]+"
 _BETWEEN = r"[^\p{L}\p{N}]+"
 
 
@@ -51,12 +57,16 @@ def _words(text: Column) -> Column:
 def license_hits(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, unit, unit_no, license_id, dice): for each unit with a template at the threshold, the best one.
 
-    unit is ``line``, ``paragraph`` (between blank lines, of two lines or more)
-    or ``file`` (a text of two paragraphs or more); unit_no counts from 0.
-    Ties go to the smaller licence id. Null and empty texts and units of fewer
-    than two words match nothing. Rows repeat as they do in ``docs``: a
+    unit is ``line``, ``sentence`` (of a line of two or more; sentences end
+    with a point, question or exclamation mark, semicolon or colon before a
+    blank), ``paragraph`` (between blank lines, of two lines or more) or
+    ``file`` (a text of two paragraphs or more); unit_no counts from 0, for
+    sentences within the text. Ties go to the smaller licence id. Null and
+    empty texts and units of fewer than two words match nothing. Very long
+    texts are read whole, each once. Rows repeat as they do in ``docs``: a
     repeated id yields its own units' rows. Ids may be null. Other columns
-    aren't read. The templates are a fixed list and travel with the plan.
+    aren't read, so their names can't clash. An empty table gives an empty
+    result. The templates are a fixed list and travel with the plan.
     """
     spark = docs.sparkSession
     counted = {k: bigrams(t) for k, t in (templates or TEMPLATES).items()}
@@ -68,12 +78,16 @@ def license_hits(docs: DataFrame, templates: dict[str, str] | None = None, thres
 
     text = F.col("__text")
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(text.isNotNull() & (text != ""))
-    lines = rows.select("__id", F.lit("line").alias("unit"), F.posexplode(F.split(text, "\n")).alias("no", "body"))
-    # longer units only where they aren't the same as a shorter one
-    blocks = F.split(text, r"\n[ \t\r]*\n")
-    paragraphs = rows.select("__id", F.lit("paragraph").alias("unit"), F.posexplode(blocks).alias("no", "body")).where(F.contains(F.trim(F.col("body"), F.lit("\n")), F.lit("\n")))
-    files = rows.where(F.regexp_like(text, F.lit(r"\n[ \t\r]*\n"))).select("__id", F.lit("file").alias("unit"), F.lit(0).alias("no"), text.alias("body"))
-    units = lines.unionByName(paragraphs).unionByName(files)
+    blank = r"\n[ \t\r]*\n"
+    numbered = lambda unit, parts: F.transform(parts, lambda body, no: F.struct(F.lit(unit).alias("unit"), no.alias("no"), body.alias("body")))
+    lines = F.split(text, "\n")
+    # longer and shorter units only where they aren't the same as a line
+    sentences = F.flatten(F.transform(lines, lambda line: F.filter(F.array(F.regexp_replace(line, SENTENCE_END, "$1\u001f")), lambda x: F.contains(x, F.lit("\u001f")))))
+    sentences = F.flatten(F.transform(sentences, lambda x: F.split(x, "\u001f")))
+    paragraphs = F.filter(numbered("paragraph", F.split(text, blank)), lambda u: F.contains(F.trim(u["body"], F.lit("\n")), F.lit("\n")))
+    files = F.when(F.regexp_like(text, F.lit(blank)), F.array(text)).otherwise(F.array().cast("array<string>"))
+    units = F.concat(numbered("line", lines), numbered("sentence", sentences), paragraphs, numbered("file", files))
+    units = rows.select("__id", F.explode(units).alias("u")).select("__id", "u.unit", "u.no", "u.body")
 
     words = units.select("__id", "unit", "no", _words(F.col("body")).alias("w")).where((F.size("w") - 1).between(low, high))
     pairs = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))

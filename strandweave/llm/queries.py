@@ -138,17 +138,25 @@ units AS (
   SELECT doc_id, 'line' AS unit, unnest(string_split(text, chr(10))) AS body, unnest(range(len(string_split(text, chr(10))))) AS no
   FROM documents WHERE text <> ''
   UNION ALL
+  SELECT doc_id, 'sentence', unnest(s), unnest(range(len(s))) FROM (
+    SELECT doc_id, flatten(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '([.!?;:])[ \t]+', '\1' || chr(31), 'g')),
+      lambda x: contains(x, chr(31))), lambda x: string_split(x, chr(31)))) AS s
+    FROM documents WHERE text <> '')
+  UNION ALL
   SELECT * FROM (
     SELECT doc_id, 'paragraph' AS unit, unnest(regexp_split_to_array(text, '
-[ 	]*
+[ 	
+]*
 ')) AS body,
       unnest(range(len(regexp_split_to_array(text, '
-[ 	]*
+[ 	
+]*
 ')))) AS no
     FROM documents WHERE text <> '') WHERE contains(trim(body, chr(10)), chr(10))
   UNION ALL
   SELECT doc_id, 'file', text, 0 FROM documents WHERE regexp_matches(text, '
-[ 	]*
+[ 	
+]*
 ')),
 w AS (SELECT doc_id, unit, no, list_filter(regexp_split_to_array(lower(body), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM units),
 g AS (
