@@ -45,36 +45,34 @@ def shuffled_shards(docs: DataFrame, shards: int = 24, seed: int = 1, bucket_byt
     cells = stage(docs.groupBy(F.pmod(key, F.lit(_CELLS)).alias("cell")).agg(F.sum(size).alias("bytes"), F.count("*").alias("rows"), F.max(size).alias("longest")), "cells")
     total, n = cells.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
     buckets = min(_CELLS, max(1, min(ceil(total / bucket_bytes), 4096), ceil(total / memory_bytes)))
-    of_cell = F.expr(f"cast(cell * {buckets} div {_CELLS} as int)")
+    of_cell = F.expr(f"(cell * {buckets} div {_CELLS}) << 20")
     # buckets that repeated rows fill: as many as there is room for at most half of all
     wide = 2 * max(bucket_bytes, ceil(total / buckets))
     full = cells.groupBy(of_cell.alias("__bucket")).agg(F.sum("bytes").alias("b"), F.max("longest").alias("longest"), F.sum("rows").alias("r")).where((F.col("b") - F.col("longest") > wide) & (F.col("r") > 1))
-    full = stage(full.select("__bucket", F.ceil(F.col("b") / wide).cast("int").alias("__parts")), "full")
+    full = stage(full.select("__bucket", F.ceil(F.col("b") / wide).cast("long").alias("__parts")), "full")
 
     rows = docs.select(F.pmod(key, F.lit(_CELLS)).alias("cell"), key.alias("__key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__record"))
     rows = rows.select(of_cell.alias("__bucket"), "__key", "__record")
     if full.take(1):
         side = F.broadcast(full) if small_enough(full, 16) else full
-        part = F.pmod(F.xxhash64("__row", F.lit(seed)), F.coalesce("__parts", F.lit(1))).cast("int")
-        rows = rows.withColumn("__row", F.monotonically_increasing_id()).join(side, "__bucket", "left").withColumn("__part", part).drop("__row", "__parts")
-    else:
-        rows = rows.withColumn("__part", F.lit(0))
+        part = F.pmod(F.xxhash64("__row", F.lit(seed)), F.coalesce("__parts", F.lit(1)))
+        rows = rows.withColumn("__row", F.monotonically_increasing_id()).join(side, "__bucket", "left").select((F.col("__bucket") + part).alias("__bucket"), "__key", "__record")
     # each partition's buckets in order and each bucket's records by hash, so that the shuffle's draws fall alike in every run
-    gathered = rows.repartition(buckets, "__bucket", "__part").groupBy("__bucket", "__part").agg(F.collect_list(F.struct("__key", "__record")).alias("__all")).sortWithinPartitions("__bucket", "__part")
+    gathered = rows.repartition(buckets, "__bucket").groupBy("__bucket").agg(F.collect_list(F.struct("__key", "__record")).alias("__all")).sortWithinPartitions("__bucket")
     order = F.transform(F.array_sort(F.transform("__all", lambda r, i: F.struct(r["__key"].alias("k"), i.alias("i")))), lambda x: x["i"])
-    dealt = gathered.select("__bucket", "__part", "__all", F.shuffle(order, F.lit(seed)).alias("__order"))
+    dealt = gathered.select("__bucket", "__all", F.shuffle(order, F.lit(seed)).alias("__order"))
     record = F.transform("__order", lambda i: F.get("__all", i)["__record"])
-    dealt = stage(dealt.select("__bucket", "__part", F.posexplode(record).alias("__place", "__record")), "shuffled")
+    dealt = stage(dealt.select("__bucket", F.posexplode(record).alias("__place", "__record")), "shuffled")
 
-    counts = dealt.groupBy("__bucket", "__part").agg(F.count("*").alias("c")).withColumn("g", F.floor(F.col("__bucket") / _GROUP))
+    counts = dealt.groupBy("__bucket").agg(F.count("*").alias("c")).withColumn("g", F.expr(f"(__bucket >> 20) div {_GROUP}"))
     groups = counts.groupBy("g").agg(F.sum("c").alias("gc"))
     groups = groups.withColumn("before", F.sum("gc").over(W.orderBy("g")) - F.col("gc")).select("g", "before")
-    inside = W.partitionBy("g").orderBy("__bucket", "__part")
-    starts = counts.join(groups, "g").select("__bucket", "__part", (F.col("before") + F.sum("c").over(inside) - F.col("c")).alias("__start"))
+    inside = W.partitionBy("g").orderBy("__bucket")
+    starts = counts.join(groups, "g").select("__bucket", (F.col("before") + F.sum("c").over(inside) - F.col("c")).alias("__start"))
     starts = stage(starts, "starts")
 
     side = F.broadcast(starts) if small_enough(starts, 24) else starts
-    out = dealt.join(side, ["__bucket", "__part"]).withColumn("__at", F.col("__start") + F.col("__place")).withColumn("shard", F.expr(f"cast(__at * {shards} div {max(n, 1)} as int)"))
+    out = dealt.join(side, "__bucket").withColumn("__at", F.col("__start") + F.col("__place")).withColumn("shard", F.expr(f"cast(__at * {shards} div {max(n, 1)} as int)"))
     first = F.expr(f"(cast(shard as bigint) * {n} + {shards - 1}) div {shards}")
     return out.select(*[F.col(f"__record.`{c}`").alias(c) for c in names], "shard", (F.col("__at") - first).alias("slot"))
 
