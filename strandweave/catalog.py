@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from strandweave.fixtures import ctes, view
 from strandweave.functions import columns as x
-from strandweave.operators import calls, cluster, depth, intervals, merge, reads, seqsearch
+from strandweave.operators import calls, clips, cluster, depth, intervals, merge, reads, seqsearch
 from strandweave.options import CallOptions
+from strandweave.plans import call as command
+from strandweave.session import settled
 from strandweave.sources import vcf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,7 +82,7 @@ _DELS = """,
 dels AS (
   SELECT bp_id, 'DEL' AS sv_type, template_id, final_left AS begin_pos, final_right AS end_pos, imprecise, se, pe, ce, re, rd, vt,
     CASE WHEN filtered THEN 'FILTERED' ELSE 'PASS' END AS status
-  FROM bps WHERE orientation = 0 AND final_left < final_right AND final_right - final_left >= 50)"""
+  FROM bps WHERE orientation = 0 AND final_left < final_right AND final_right - final_left + 1 >= 50)"""
 
 _DUPS = (
     _DELS
@@ -106,7 +108,7 @@ p AS (
   SELECT *, CASE WHEN len(le2) > 0 THEN le2[len(le2) // 2 + 1] ELSE lr2[len(lr2) // 2 + 1] END AS l,
     CASE WHEN len(re2) > 0 THEN re2[len(re2) // 2 + 1] ELSE rr2[len(rr2) // 2 + 1] END AS r,
     CASE WHEN len(ce2) > 0 THEN ce2[len(ce2) // 2 + 1] WHEN len(cr2) > 0 THEN cr2[len(cr2) // 2 + 1] END AS m,
-    len(le2) = 0 OR len(re2) = 0 AS rough2
+    imprecise OR len(le2) = 0 OR len(re2) = 0 OR (len(ce2) = 0 AND len(cr2) > 0) AS rough2
   FROM q),
 dups AS (
   SELECT * FROM (
@@ -115,7 +117,7 @@ dups AS (
     UNION ALL SELECT dup_id, 'DUP', l, m, r, 'MERGED', template_id, se, pe, ce, re, rd, vt, rough2 FROM p WHERE m IS NOT NULL AND ol AND orr
     UNION ALL SELECT dup_id, 'DUP', m, r, l, 'PASS', template_id, se, pe, ce, re, rd, vt, rough2 FROM p WHERE m IS NOT NULL AND ol AND NOT orr
     UNION ALL SELECT dup_id, 'DUP', l, m, r, 'PASS', template_id, se, pe, ce, re, rd, vt, rough2 FROM p WHERE m IS NOT NULL AND NOT ol)
-  WHERE sv_type = 'TRA' OR status = 'MERGED' OR (begin_pos <= end_pos AND end_pos - begin_pos >= 50))"""
+  WHERE sv_type = 'TRA' OR status = 'MERGED' OR (begin_pos <= end_pos AND end_pos - begin_pos + 1 >= 50))"""
 )
 
 
@@ -174,7 +176,7 @@ def _sized(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     ctes("reads")
-    + """, p AS (SELECT ref_len AS size FROM reads WHERE (flag & 772) = 0 AND (flag & 2) = 2 ORDER BY read_id LIMIT 100000),
+    + """, p AS (SELECT ref_len AS size FROM reads WHERE (flag & 772) = 0 AND (flag & 2) = 2 AND (flag & 2048) = 0 AND map_q >= 20 ORDER BY read_id LIMIT 100000),
 m AS (SELECT list_sort(list(size))[count(*) // 2 + 1] AS median FROM p),
 d AS (SELECT median, abs(size - median) AS off FROM p, m),
 e AS (SELECT any_value(median) AS median, list_sort(list(off))[count(*) // 2 + 1] AS mad FROM d)
@@ -227,10 +229,11 @@ j AS (
 n AS (SELECT *, least(p1, p2) - greatest(q1, q2) AS shared FROM j)
 SELECT read_id, t1 AS left_template, t2 AS right_template,
   CASE WHEN t1 = t2 AND r1 = r2 THEN CASE WHEN b1 < b2 THEN e1 ELSE b2 END
-    WHEN t1 = t2 THEN CASE WHEN b1 < b2 THEN CASE WHEN r1 THEN e1 ELSE b1 END ELSE CASE WHEN r2 THEN e2 ELSE b2 END END ELSE e1 END AS left_pos,
+    WHEN t1 = t2 THEN CASE WHEN b1 <= b2 THEN CASE WHEN r1 THEN e1 ELSE b1 END ELSE CASE WHEN r2 THEN e2 ELSE b2 END END ELSE e1 END AS left_pos,
   CASE WHEN t1 = t2 AND r1 = r2 THEN CASE WHEN b1 < b2 THEN b2 - 1 ELSE e1 - 1 END
-    WHEN t1 = t2 THEN CASE WHEN b1 < b2 THEN CASE WHEN r1 THEN e2 - 1 ELSE b2 - 1 END ELSE CASE WHEN r2 THEN e1 - 1 ELSE b1 - 1 END END ELSE b2 - 1 END AS right_pos,
-  CASE WHEN t1 = t2 AND r1 = r2 THEN CASE WHEN b1 < b2 THEN 0 ELSE 2 END WHEN t1 = t2 THEN 3 ELSE 4 END AS orientation
+    WHEN t1 = t2 THEN CASE WHEN b1 <= b2 THEN CASE WHEN r1 THEN e2 - 1 ELSE b2 - 1 END ELSE CASE WHEN r2 THEN e1 - 1 ELSE b1 - 1 END END ELSE b2 - 1 END AS right_pos,
+  CASE WHEN t1 = t2 AND r1 = r2 THEN CASE WHEN b1 < b2 THEN 0 ELSE 2 END WHEN t1 = t2 THEN 3 ELSE 4 END AS orientation,
+  CASE WHEN t1 = t2 AND r1 <> r2 AND b1 > b2 THEN r2 ELSE r1 END AS left_reverse, CASE WHEN t1 = t2 AND r1 <> r2 AND b1 > b2 THEN r1 ELSE r2 END AS right_reverse
 FROM n WHERE CASE WHEN shared > 0 THEN shared <= 20 ELSE -shared <= 50 END"""
 )
 def split_adjacent_segments(spark: SparkSession, sf: str) -> DataFrame:
@@ -431,25 +434,35 @@ def poisson_pmf(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "reads").select("read_id", F.round(x.poisson_pmf((F.col("map_q") % 10), F.lit(2.5)), 9).alias("p"))
 
 
+_BACKGROUND = """, sh AS (SELECT template_id, count(*) AS n FROM evidence GROUP BY 1), al AS (SELECT sum(n) AS a FROM sh),
+sp AS (SELECT template_id, length, unnest(range(CAST(ceil(100000.0 * n / a) AS BIGINT))) AS i FROM sh JOIN len USING (template_id), al),
+ps AS (SELECT DISTINCT template_id, (i * 48271 + 11) % length AS p, length FROM sp),
+wd AS (SELECT template_id, p, CASE WHEN p > 20 THEN p - 20 ELSE 0 END AS b, CASE WHEN p < length - 21 THEN p + 21 ELSE length - 1 END AS e FROM ps),
+sm AS (
+  SELECT wd.template_id, p, b, e, sum(CASE WHEN least(p, stop) > greatest(b, start) THEN (least(p, stop) - greatest(b, start)) * depth ELSE 0 END) / (greatest(p - b, 0) + 1e-10) AS lm,
+    sum(CASE WHEN least(e, stop) > greatest(p, start) THEN (least(e, stop) - greatest(p, start)) * depth ELSE 0 END) / (greatest(e - p, 0) + 1e-10) AS rm
+  FROM wd JOIN rle ON wd.template_id = rle.template_id AND start < e AND b < stop GROUP BY wd.template_id, p, b, e),
+bg AS (SELECT (lm + rm) / 2 AS depth, greatest(greatest(lm, rm) - least(lm, rm) + (least(lm, rm) + 1e-10) * ln((least(lm, rm) + 1e-10) / (greatest(lm, rm) + 1e-10)), 0) AS re FROM sm WHERE lm + rm > 0)"""
+
+
 @query(
     _RLE
-    + """, sh AS (SELECT template_id, count(*) AS n FROM evidence GROUP BY 1), al AS (SELECT sum(n) AS a FROM sh),
-sp AS (SELECT template_id, length, unnest(range(CAST(ceil(2000.0 * n / a) AS BIGINT))) AS i FROM sh JOIN len USING (template_id), al),
-ps AS (SELECT template_id, (i * 48271 + 11) % length AS pos FROM sp),
-dp AS (SELECT depth FROM ps JOIN rle ON ps.template_id = rle.template_id AND start <= pos AND pos < stop),
-st AS (SELECT list_sort(list(depth)) AS v, count(*) AS n FROM dp)
-SELECT CAST(v[n // 4 + 1] AS DOUBLE) AS q1, CAST(v[n // 2 + 1] AS DOUBLE) AS median, CAST(v[(3 * n) // 4 + 1] AS DOUBLE) AS q3, CAST(v[(3 * n) // 4 + 1] + 1.0 * (v[(3 * n) // 4 + 1] - v[n // 4 + 1]) AS DOUBLE) AS threshold FROM st"""
+    + _BACKGROUND
+    + """, q AS (SELECT 'depth' AS what, list_sort(list(depth)) AS v, count(*) AS n FROM bg UNION ALL SELECT 're', list_sort(list(re)), count(*) FROM bg)
+SELECT what, round(v[n // 4 + 1], 5) AS q1, round(v[n // 2 + 1], 5) AS median, round(v[(3 * n) // 4 + 1], 5) AS q3, round(v[(3 * n) // 4 + 1] + 1.0 * (v[(3 * n) // 4 + 1] - v[n // 4 + 1]), 5) AS threshold FROM q"""
 )
 def depth_background_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    """Both thresholds of the command: of depth, for imprecise deletions, and of divergence, for votes."""
     shares = _evidence(spark, sf).groupBy("template_id").agg(F.count("*").alias("n"))
-    points = depth.background_positions(_lengths(spark, sf), "template_id", shares, 2000)
-    return depth.outlier_threshold(depth.depth_at(_depth(spark, sf), points, "template_id", "pos"), "depth", O.depth_outlier)
+    rows = settled(depth.background(_depth(spark, sf), _lengths(spark, sf), shares, O.depth_samples, O.depth_window))
+    found = [depth.outlier_threshold(rows, x, k).withColumn("what", F.lit(x)) for x, k in (("depth", O.depth_outlier), ("re", O.depth_threshold))]
+    return found[0].unionByName(found[1]).select("what", *[F.round(x, 5).alias(x) for x in ("q1", "median", "q3", "threshold")])
 
 
 # --- variants -----------------------------------------------------------------
 
 
-@query(_BPS + " SELECT bp_id, template_id, final_left AS begin_pos, final_right AS end_pos, se, pe, ce FROM bps WHERE orientation = 3 AND NOT filtered AND final_left < final_right AND final_right - final_left >= 50")
+@query(_BPS + " SELECT bp_id, template_id, final_left AS begin_pos, final_right AS end_pos, se, pe, ce FROM bps WHERE orientation = 3 AND NOT filtered AND final_left < final_right AND final_right - final_left + 1 >= 50")
 def call_inversion(spark: SparkSession, sf: str) -> DataFrame:
     return calls.inversions(_bps(spark, sf), O).select("bp_id", "template_id", "begin_pos", "end_pos", "se", "pe", "ce")
 
@@ -459,7 +472,7 @@ def call_deletion(spark: SparkSession, sf: str) -> DataFrame:
     return calls.deletions(_bps(spark, sf), O).select("bp_id", "template_id", "begin_pos", "end_pos", "status")
 
 
-@query(_BPS + " SELECT bp_id, CASE WHEN filtered OR (imprecise AND rd > 20.0) THEN 'FILTERED' ELSE 'PASS' END AS status FROM bps WHERE orientation = 0 AND final_left < final_right AND final_right - final_left >= 50")
+@query(_BPS + " SELECT bp_id, CASE WHEN filtered OR (imprecise AND rd > 20.0) THEN 'FILTERED' ELSE 'PASS' END AS status FROM bps WHERE orientation = 0 AND final_left < final_right AND final_right - final_left + 1 >= 50")
 def imprecise_del_filter(spark: SparkSession, sf: str) -> DataFrame:
     return calls.deletions(_bps(spark, sf), O, 20.0).select("bp_id", "status")
 
@@ -537,6 +550,128 @@ def variant_ids(spark: SparkSession, sf: str) -> DataFrame:
     return calls.numbered(calls.deletions(_bps(spark, sf), O)).select("bp_id", "sv_id")
 
 
+# --- the call command -------------------------------------------------------------
+
+
+def _islands(source: str, name: str, keys: str, begin: str, end: str, out: str) -> str:
+    """CTEs ``name``_a and ``name``: ``source`` with ``out``, numbers of islands of intervals within 50 of one another."""
+    by = f"PARTITION BY {keys} ORDER BY {begin}, {end}"
+    return f""",
+{name}_a AS (SELECT *, CASE WHEN {begin} - 50 <= max({end}) OVER ({by} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS {out}_new FROM {source}),
+{name} AS (SELECT *, sum({out}_new) OVER ({by} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {out} FROM {name}_a)"""
+
+
+_SPLIT = """,
+ev AS (
+  SELECT template_id, CAST(CASE WHEN orientation = 4 THEN (template_id + 1) % 3 ELSE template_id END AS INT) AS right_template, orientation,
+    CASE WHEN orientation = 2 THEN left_pos - 400 ELSE left_pos END AS lp, CASE WHEN orientation = 2 THEN left_pos - 1 ELSE right_pos - 1 END AS rp FROM evidence WHERE kind = 0 AND orientation <> 3)"""
+_K = "template_id, right_template, orientation"
+_MERGED = (
+    ctes("evidence").replace("WITH ", "WITH RECURSIVE ", 1)
+    + _SPLIT
+    + _islands("ev", "v1", _K, "lp", "lp", "l1")
+    + _islands("v1", "v2", f"{_K}, l1", "rp", "rp", "r1")
+    + _islands("v2", "v3", f"{_K}, l1, r1", "lp", "lp", "l2")
+    + _islands("v3", "v4", f"{_K}, l1, r1, l2", "rp", "rp", "r2")
+    + f""",
+e1 AS (SELECT *, dense_rank() OVER (ORDER BY {_K}, l1, r1, l2, r2) AS bp FROM v4),
+hull AS (SELECT {_K}, bp, min(lp) AS b1, max(lp) AS b2, min(rp) AS c1, max(rp) AS c2 FROM e1 GROUP BY ALL),
+ins AS (SELECT list_sort(list(300 + ev_id % 40)) AS v FROM (SELECT ev_id FROM evidence WHERE kind = 2 ORDER BY ev_id LIMIT 100000)),
+dev AS (SELECT v[len(v) // 2 + 1] AS med, list_sort(list_transform(v, lambda x: abs(x - v[len(v) // 2 + 1]))) AS w FROM ins),
+hi AS (SELECT med + 9.0 * w[len(w) // 2 + 1] AS high FROM dev),
+prs AS (
+  SELECT template_id, template_id AS right_template, CAST(CASE WHEN orientation IN (2, 3) THEN orientation ELSE 0 END AS INT) AS orientation, left_pos AS x1, left_pos + 99 AS x2, right_pos AS y1, right_pos + 99 AS y2,
+    CASE WHEN orientation = 2 THEN true WHEN orientation = 3 THEN ev_id % 2 = 0 ELSE false END AS back
+  FROM evidence, hi WHERE kind = 1 AND (orientation IN (2, 3) OR right_pos + 100 - left_pos > high))"""
+    + _islands("prs", "p1", _K, "x1", "x2", "l1")
+    + _islands("p1", "p2", f"{_K}, l1", "y1", "y2", "r1")
+    + _islands("p2", "p3", f"{_K}, l1, r1", "x1", "x2", "l2")
+    + _islands("p3", "p4", f"{_K}, l1, r1, l2", "y1", "y2", "r2")
+    + f""",
+pc AS (
+  SELECT {_K}, count(*) AS supp, min(x1) AS x1, max(x2) AS x2, min(y1) AS y1, max(y2) AS y2, min_by(back, (x1, y1, back)) AS back, row_number() OVER () AS pair
+  FROM p4 GROUP BY {_K}, l1, r1, l2, r2),
+pp AS (
+  SELECT *, CASE WHEN orientation = 2 OR (orientation = 3 AND back) THEN x1 ELSE x2 END AS pl, CASE WHEN orientation = 2 OR (orientation = 3 AND NOT back) THEN y2 ELSE y1 END AS pq FROM pc),
+pg AS (
+  SELECT *, greatest(pl - CASE WHEN orientation IN (2, 3) THEN 500 ELSE 50 END, 0) AS ll, least(pl + CASE WHEN orientation = 2 THEN 50 ELSE 500 END, CASE WHEN pl + CASE WHEN orientation = 2 THEN 50 ELSE 500 END > pq THEN pq - 1 ELSE 9e18 END) AS lh,
+    CASE WHEN greatest(pq - CASE WHEN orientation = 2 THEN 50 ELSE 500 END, 0) < pl THEN pl + 1 ELSE greatest(pq - CASE WHEN orientation = 2 THEN 50 ELSE 500 END, 0) END AS rl, pq + CASE WHEN orientation IN (2, 3) THEN 500 ELSE 50 END AS rh
+  FROM pp),
+ht AS (
+  SELECT pair, supp, bp FROM pg JOIN hull h ON pg.template_id = h.template_id AND pg.right_template = h.right_template AND pg.orientation = h.orientation
+    AND ll - 50 <= b2 AND b1 <= lh + 50 AND rl - 50 <= c2 AND c1 <= rh + 50),
+lk AS (SELECT DISTINCT a.bp AS x, b.bp AS y FROM ht a JOIN ht b ON a.pair = b.pair),
+rc AS (SELECT x, y FROM lk UNION SELECT rc.x, lk.y FROM rc JOIN lk ON rc.y = lk.x),
+lb AS (SELECT x, min(y) AS root FROM rc GROUP BY 1),
+e2 AS (SELECT e1.*, coalesce(root, bp) AS root FROM e1 LEFT JOIN lb ON bp = x),
+gain AS (SELECT root, sum(supp) AS pe FROM (SELECT DISTINCT pair, supp, root FROM ht JOIN lb ON bp = x) GROUP BY 1),
+b0 AS (SELECT {_K}, root, count(*) AS se, list_sort(list(lp)) AS ls, list_sort(list(rp)) AS rs FROM e2 GROUP BY {_K}, root),
+bq AS (
+  SELECT {_K}, CAST(se AS BIGINT) AS se, CAST(coalesce(pe, 0) AS BIGINT) AS pe, CAST(0 AS BIGINT) AS ce, ls[len(ls) // 2 + 1] AS final_left, rs[len(rs) // 2 + 1] AS final_right, false AS imprecise FROM b0 LEFT JOIN gain USING (root)
+  UNION ALL SELECT {_K}, 0, CAST(supp AS BIGINT), 0, pl, pq, true FROM pg WHERE pair NOT IN (SELECT pair FROM ht))"""
+)
+
+
+def _aligned(spark: SparkSession, sf: str) -> DataFrame:
+    tags = F.when(F.col("tagged"), F.create_map(F.lit("SA"), F.lit("x"))).otherwise(F.create_map().cast("map<string,string>"))
+    rows = view(spark, sf, "aligned").withColumns({"qname": F.col("ev_id").cast("string"), "map_q": F.lit(60), "seq": F.lit(""), "qual": F.lit(""), "tags": tags})
+    return rows.drop("tagged", "ev_id")
+
+
+@query(_MERGED + f" SELECT {_K}, se, pe, ce, final_left, final_right, imprecise FROM bq")
+def merged_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Breakpoints of the command: split reads clustered, pairs added by region, the rest imprecise."""
+    bps = command.merged_breakpoints(_aligned(spark, sf), _PLAIN)[0]
+    return bps.select("template_id", "right_template", "orientation", "se", "pe", "ce", "final_left", "final_right", "imprecise")
+
+
+#: Options of the end-to-end queries: votes of split reads and pairs, all variants reported.
+_PLAIN = CallOptions(use_depth=False, rank_aggregation=False, report_filtered=True)
+
+_CALLED = (
+    _MERGED
+    + """,
+bz AS (
+  SELECT *, row_number() OVER () AS bp_id, CAST(NULL AS DOUBLE) AS re, CAST(NULL AS DOUBLE) AS rd, CAST(se + ce >= 1 AS INT) + CAST(pe >= 1 AS INT) AS vt,
+    NOT (se + pe + ce >= 4 OR (orientation <> 3 AND CAST(se + ce >= 1 AS INT) + CAST(pe >= 1 AS INT) >= 2)) AS filtered FROM bq),
+bps AS (SELECT * FROM bz WHERE template_id = right_template)"""
+    + _DELS
+    + _DUPS.removeprefix(_DELS)
+    + _TRA.rsplit("\nSELECT bp_id", 1)[0]
+    + """,
+every AS (
+  SELECT sv_type, template_id, begin_pos, end_pos, target_pos, CASE WHEN ord IN (SELECT ord FROM ab) THEN 'MERGED' ELSE status END AS status, se, pe, ce, 0 AS no, '<' || sv_type || '>' AS alt, bp_id FROM d2
+  UNION ALL SELECT sv_type, template_id, begin_pos, end_pos, target_pos, status, CAST(tn.se + coalesce(gn.se, 0) AS BIGINT), CAST(tn.pe + coalesce(gn.pe, 0) AS BIGINT), CAST(tn.ce + coalesce(gn.ce, 0) AS BIGINT), 0, '<TRA>', bp_id FROM tn LEFT JOIN gn USING (t)
+  UNION ALL SELECT 'DEL', template_id, begin_pos, end_pos, NULL, CASE WHEN bp_id IN (SELECT del_id FROM h) THEN 'MERGED' ELSE status END, se, pe, ce, 0, '<DEL>', bp_id FROM dels
+  UNION ALL SELECT 'INV', template_id, final_left, final_right, NULL, 'PASS', se, pe, ce, 0, '<INV>', bp_id FROM bps WHERE orientation = 3 AND NOT filtered AND final_left < final_right AND final_right - final_left + 1 >= 50
+  UNION ALL SELECT 'BND', template_id, final_left, NULL, NULL, 'PASS', se, pe, ce, 1, 'N[chr' || (right_template + 1) || ':' || (final_right + 1) || '[', bp_id FROM bz WHERE orientation = 4 AND NOT filtered
+  UNION ALL SELECT 'BND', right_template, final_right, NULL, NULL, 'PASS', se, pe, ce, 2, ']chr' || (template_id + 1) || ':' || (final_left + 1) || ']N', bp_id FROM bz WHERE orientation = 4 AND NOT filtered)"""
+)
+
+
+def _called(spark: SparkSession, sf: str) -> DataFrame:
+    lengths = view(spark, sf, "aligned").groupBy(F.col("rid").alias("template_id")).agg((F.max("begin_pos") + 5000).alias("length"))
+    contigs = lengths.select("template_id", F.concat(F.lit("chr"), (F.col("template_id") + 1).cast("string")).alias("name"), "length")
+    return command.call(_aligned(spark, sf), contigs, _PLAIN)
+
+
+@query(_CALLED + " SELECT sv_type, 'chr' || (template_id + 1) AS chrom, begin_pos, end_pos, target_pos, status, se, pe, ce, alt, CAST(se + pe + ce AS DOUBLE) AS sc FROM every")
+def call_end_to_end(spark: SparkSession, sf: str) -> DataFrame:
+    return _called(spark, sf).select("sv_type", "chrom", "begin_pos", "end_pos", "target_pos", "status", "se", "pe", "ce", "alt", "sc")
+
+
+@query(
+    _CALLED
+    + """, kd AS (SELECT *, regexp_replace(sv_type, ':.*', '') AS k FROM every),
+nm AS (SELECT k, count(*) FILTER (no <> 2) AS n FROM kd GROUP BY 1)
+SELECT k || '_' || (i - CASE WHEN k = 'TRA' THEN 1 ELSE 0 END) || CASE WHEN k = 'BND' THEN '_' || no ELSE '' END AS sv_id
+FROM (SELECT k, unnest(range(1, n + 1)) AS i FROM nm), (SELECT unnest([1, 2]) AS no) WHERE k = 'BND' OR no = 1"""
+)
+def record_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of all records: without gaps per type, tandem duplications among the others, two for each breakend."""
+    return _called(spark, sf).select("sv_id")
+
+
 # --- record text -----------------------------------------------------------------
 
 

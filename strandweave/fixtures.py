@@ -66,6 +66,21 @@ _SVTEXT = """SELECT ev_id, concat('chr', CAST(template_id + 1 AS STRING)) AS chr
   CAST(ev_id % 3 AS INT) AS dataset_idx
 FROM evidence"""
 
+# split reads of 60 and 40 bases, discordant pairs of 100, and proper pairs, as a coordinate file would hold them
+_ALIGNED = """SELECT ev_id * 2 AS ordinal, template_id AS rid, left_pos - 60 AS begin_pos, 65 AS flag, template_id AS next_rid, right_pos AS next_pos, CAST(0 AS BIGINT) AS tlen, '60M40S' AS cigar, true AS tagged, ev_id
+FROM evidence WHERE kind = 0 AND orientation <> 3
+UNION ALL
+SELECT ev_id * 2 + 1, CAST(CASE WHEN orientation = 4 THEN (template_id + 1) % 3 ELSE template_id END AS INT), CASE WHEN orientation = 2 THEN left_pos - 400 ELSE right_pos END, 65 + 2048, template_id, left_pos, 0, '60S40M', true, ev_id
+FROM evidence WHERE kind = 0 AND orientation <> 3
+UNION ALL
+SELECT ev_id * 2, template_id, left_pos, 65 + CASE WHEN orientation = 2 THEN 16 WHEN orientation = 3 AND ev_id % 2 = 0 THEN 48 WHEN orientation = 3 THEN 0 ELSE 32 END, template_id, right_pos, right_pos + 100 - left_pos, '100M', false, ev_id
+FROM evidence WHERE kind = 1
+UNION ALL
+SELECT ev_id * 2 + 1, template_id, right_pos, 129 + CASE WHEN orientation = 2 THEN 32 WHEN orientation = 3 AND ev_id % 2 = 0 THEN 48 WHEN orientation = 3 THEN 0 ELSE 16 END, template_id, left_pos, left_pos - right_pos - 100, '100M', false, ev_id
+FROM evidence WHERE kind = 1
+UNION ALL
+SELECT ev_id * 2, template_id, left_pos, 99, template_id, left_pos + 200, 300 + ev_id % 40, '100M', false, ev_id FROM evidence WHERE kind = 2"""
+
 #: View, the tables or views it reads, and its text.
 VIEWS = {
     "reads": ("events", _READS),
@@ -75,6 +90,7 @@ VIEWS = {
     "cigars": ("evidence", _CIGARS),
     "dna": ("documents", _DNA),
     "svtext": ("evidence", _SVTEXT),
+    "aligned": ("evidence", _ALIGNED),
 }
 
 

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandweave.functions.columns import INVERTED, LARGE, NOT_DECIDED, SWAPPED, breakend_alt
-from strandweave.operators.intervals import bin_join
+from strandweave.operators.intervals import bin_join, in_order
 from strandweave.options import CallOptions
 from strandweave.session import settled
 
@@ -35,7 +34,7 @@ _CARRIED = ("se", "pe", "ce", "re", "rd", "vt", "imprecise")
 
 
 def _variants(bps: DataFrame, kind: str, status: Column) -> DataFrame:
-    size = F.col("final_right") - F.col("final_left")
+    size = F.col("final_right") - F.col("final_left") + 1
     return bps.select("bp_id", F.lit(kind).alias("sv_type"), "template_id", F.col("final_left").alias("begin_pos"), F.col("final_right").alias("end_pos"), F.lit(None).cast("long").alias("target_pos"), size.alias("size"), status.alias("status"), *_CARRIED)
 
 
@@ -97,7 +96,7 @@ def duplications(bps: DataFrame, dels: DataFrame, o: CallOptions) -> tuple[DataF
         "dup_id", "template_id", *[x for x in _CARRIED if x != "imprecise"],
         _middle(left_e, left_r).alias("l"), _middle(right_e, right_r).alias("r"),
         F.when(F.size(arr["ce_"]) + F.size(arr["cr"]) > 0, _middle(arr["ce_"], arr["cr"])).alias("m"),
-        ((F.size(left_e) == 0) | (F.size(right_e) == 0)).alias("imprecise"),
+        (F.col("imprecise") | (F.size(left_e) == 0) | (F.size(right_e) == 0) | ((F.size(arr["ce_"]) == 0) & (F.size(arr["cr"]) > 0))).alias("imprecise"),
         F.coalesce("only_left", F.lit(False)).alias("ol"), F.coalesce("only_right", F.lit(False)).alias("orr"),
     )
     le, ri, mi = F.col("l"), F.col("r"), F.col("m")
@@ -108,7 +107,7 @@ def duplications(bps: DataFrame, dels: DataFrame, o: CallOptions) -> tuple[DataF
     both = F.array(variant("TRA", le, mi, ri), variant("DUP", le, mi, ri, "MERGED"))
     each = F.when(mi.isNull(), F.array(variant("DUP:TANDEM", le, ri, F.lit(None)))).when(F.col("ol") & F.col("orr"), both).when(F.col("ol"), F.array(variant("DUP", mi, ri, le))).otherwise(F.array(variant("DUP", le, mi, ri)))
     calls = rows.withColumn("v", F.explode(each)).select(F.col("dup_id").alias("bp_id"), "v.*", "template_id", *_CARRIED)
-    large = (F.col("begin_pos") <= F.col("end_pos")) & (F.col("end_pos") - F.col("begin_pos") >= o.min_sv_size)
+    large = (F.col("begin_pos") <= F.col("end_pos")) & (F.col("end_pos") - F.col("begin_pos") + 1 >= o.min_sv_size)
     calls = calls.where(large | (F.col("sv_type") == "TRA") | (F.col("status") == "MERGED"))
     taken = hits.select(F.col("del_id").alias("bp_id")).distinct().withColumn("taken", F.lit(True))
     left = dels.join(taken, "bp_id", "left").withColumn("status", F.when(F.col("taken"), "MERGED").otherwise(F.col("status"))).drop("taken")
@@ -123,10 +122,9 @@ def translocations(calls: DataFrame, o: CallOptions) -> DataFrame:
     takes in the duplications that lie within it; the first in genome order wins.
     """
     tol = o.adj_tol
-    order = W.orderBy("template_id", "begin_pos", "end_pos", "bp_id")
+    order = ["template_id", "begin_pos", "end_pos", "bp_id"]
     calls = settled(calls)
-    dups = calls.where(F.col("sv_type").startswith("DUP")).withColumn("ord", F.row_number().over(order))
-    dups = settled(dups)
+    dups = settled(in_order(calls.where(F.col("sv_type").startswith("DUP")), order, "ord"))
     i = dups.where("target_pos is not null").select([F.col(x).alias(f"i_{x}") for x in dups.columns if x != "template_id"] + ["template_id", (F.col("begin_pos") - tol).alias("lo"), (F.col("begin_pos") + tol).alias("hi")])
     j = dups.where("target_pos is not null").select([F.col(x).alias(f"j_{x}") for x in dups.columns if x != "template_id"] + ["template_id"])
     pair = settled(bin_join(i, j, ["template_id"], ("lo", "hi"), ("j_target_pos", "j_target_pos"), (F.col("i_ord") < F.col("j_ord")) & (F.abs(F.col("j_end_pos") - F.col("i_target_pos")) <= tol)))
@@ -138,7 +136,7 @@ def translocations(calls: DataFrame, o: CallOptions) -> DataFrame:
     )
     merged = pair.select(F.explode(F.array("i_ord", "j_ord")).alias("ord")).distinct().withColumn("gone", F.lit(True))
     dups = dups.join(merged, "ord", "left").withColumn("status", F.when(F.col("gone"), "MERGED").otherwise(F.col("status"))).drop("gone")
-    tra = calls.where("sv_type = 'TRA'").unionByName(made.select(calls.columns)).withColumn("tra", F.row_number().over(order))
+    tra = settled(in_order(calls.where("sv_type = 'TRA'").unionByName(made.select(calls.columns)), order, "tra"))
     span = tra.where("status = 'PASS' and begin_pos <= end_pos").select("tra", "template_id", F.col("begin_pos").alias("tb"), F.col("end_pos").alias("te"))
     inner = dups.where("status <> 'MERGED' and begin_pos <= end_pos").select("ord", "template_id", F.col("begin_pos").alias("db"), F.col("end_pos").alias("de"), "se", "pe", "ce")
     held = settled(bin_join(span, inner, ["template_id"], ("tb", "te"), ("db", "de")).groupBy("ord").agg(F.min("tra").alias("tra"), *[F.first(x).alias(x) for x in ("se", "pe", "ce")]))
@@ -150,30 +148,32 @@ def translocations(calls: DataFrame, o: CallOptions) -> DataFrame:
 
 
 def breakends(bps: DataFrame, contigs: DataFrame, left_template: str = "template_id", right_template: str = "right_template") -> DataFrame:
-    """Two records for each undecided breakpoint, each pointing at the other; ``contigs(template_id, name)``."""
-    found = bps.where((F.col("orientation") == NOT_DECIDED) & ~F.col("filtered"))
+    """Two records for each undecided breakpoint, told by ``no``, each pointing at the other; ``contigs(template_id, name)``."""
+    found = bps.where((F.col("orientation") == NOT_DECIDED) & ~F.col("filtered")).withColumns({"__lt": F.col(left_template), "__rt": F.col(right_template)})
     names = contigs.select("template_id", "name")
     rows = found.join(names.select(F.col("template_id").alias(left_template), F.col("name").alias("ln")), left_template)
     rows = rows.join(names.select(F.col("template_id").alias(right_template), F.col("name").alias("rn")), right_template)
     same = F.col("left_reverse") == F.col("right_reverse")
-    one = F.struct(F.lit(1).alias("no"), F.col("ln").alias("chrom"), F.col("final_left").alias("begin_pos"), breakend_alt(same, F.col("rn"), F.col("final_right"), True).alias("alt"))
-    two = F.struct(F.lit(2).alias("no"), F.col("rn").alias("chrom"), F.col("final_right").alias("begin_pos"), breakend_alt(same, F.col("ln"), F.col("final_left"), False).alias("alt"))
-    return rows.select("bp_id", F.explode(F.array(one, two)).alias("v"), "se", "pe", "ce").select("bp_id", "v.*", "se", "pe", "ce")
+    one = F.struct(F.lit(1).alias("no"), F.col("__lt").alias("template_id"), F.col("ln").alias("chrom"), F.col("final_left").alias("begin_pos"), breakend_alt(same, F.col("rn"), F.col("final_right"), True).alias("alt"))
+    two = F.struct(F.lit(2).alias("no"), F.col("__rt").alias("template_id"), F.col("rn").alias("chrom"), F.col("final_right").alias("begin_pos"), breakend_alt(same, F.col("ln"), F.col("final_left"), False).alias("alt"))
+    rest = [x for x in _CARRIED if x in bps.columns]
+    return rows.select("bp_id", F.explode(F.array(one, two)).alias("v"), *rest).select("bp_id", "v.*", *rest)
 
 
 def ranked(calls: DataFrame, id_col: str = "bp_id") -> DataFrame:
     """``calls`` with sc: how a passing variant ranks by the median of its ranks by each kind of evidence, 0 to 100.
 
-    Ties go by depth, then by id. Variants number in the millions at most, so
-    one ordered pass over them is sound; evidence never comes here.
+    Ties go by depth, then by id.
     """
-    passing = calls.where("status = 'PASS'")
-    place = lambda x: F.row_number().over(W.orderBy(F.desc(x), "rd", id_col)) - 1
-    rows = passing.withColumns({"__a": place(F.col("se") + F.col("ce")), "__b": place(F.col("pe")), "__c": place(F.col("re"))})
-    mid = F.get(F.sort_array(F.array("__a", "__b", "__c")), F.lit(1))
-    rows = rows.withColumn("__m", mid).withColumns({"__r": F.rank().over(W.orderBy("__m")), "__n": F.count("*").over(W.partitionBy())})
-    score = F.when(F.col("__n") == 1, 100.0).otherwise((1 - (F.col("__r") - 1) / (F.col("__n") - 1)) * 100)
-    rows = rows.withColumn("sc", score).drop("__a", "__b", "__c", "__m", "__r", "__n")
+    rows = calls.where("status = 'PASS'")
+    for name, value in (("__a", F.col("se") + F.col("ce")), ("__b", F.col("pe")), ("__c", F.col("re"))):
+        rows = in_order(rows, [-value, "rd", id_col], name)
+    rows = in_order(rows.withColumn("__m", F.get(F.sort_array(F.array("__a", "__b", "__c")), F.lit(1))), ["__m", id_col], "__o")
+    # a median's rank is the first place that it takes; places of three orders repeat a median three times at most
+    first = rows.groupBy("__m").agg(F.min("__o").alias("__r"))
+    total = rows.count()
+    score = F.lit(100.0) if total == 1 else (1 - (F.col("__r") - 1) / (total - 1)) * 100
+    rows = rows.join(first, "__m").withColumn("sc", score).drop("__a", "__b", "__c", "__m", "__r", "__o")
     return rows.unionByName(calls.where("status <> 'PASS'").withColumn("sc", F.lit(-1.0)))
 
 
@@ -183,7 +183,19 @@ def by_evidence(calls: DataFrame) -> DataFrame:
 
 
 def numbered(calls: DataFrame, id_col: str = "bp_id") -> DataFrame:
-    """``calls`` with sv_id, numbered per type in genome order: from 0 for TRA, from 1 else."""
-    order = W.partitionBy("sv_type").orderBy("template_id", "begin_pos", "end_pos", id_col)
-    n = F.row_number().over(order) - F.when(F.col("sv_type") == "TRA", 1).otherwise(0)
-    return calls.withColumn("sv_id", F.concat_ws("_", F.regexp_replace("sv_type", ":.*", ""), n.cast("string")))
+    """``calls`` with sv_id, numbered per type in genome order: from 0 for translocations, from 1 else.
+
+    Tandem duplications count among duplications. The two records of a
+    breakend, told by the column ``no``, share a number and add their own.
+    """
+    twin = "no" in calls.columns
+    rows = calls.withColumn("__k", F.regexp_replace("sv_type", ":.*", ""))
+    heads = in_order(rows.where("no is null or no = 1") if twin else rows, ["__k", "template_id", "begin_pos", "end_pos", id_col, "sv_type", "status"], "__n")
+    first = heads.groupBy("__k").agg(F.min("__n").alias("__first"))
+    number = F.col("__n") - F.col("__first") + F.when(F.col("__k") == "TRA", 0).otherwise(1)
+    heads = heads.join(F.broadcast(first), "__k").withColumn("__n", number).drop("__first")
+    if twin:
+        seconds = rows.where("no = 2").join(heads.where("no = 1").select(id_col, "__n"), id_col)
+        heads = heads.unionByName(seconds)
+    text = F.concat_ws("_", "__k", F.col("__n").cast("string"), *([F.col("no").cast("string")] if twin else []))
+    return heads.withColumn("sv_id", text).select(*calls.columns, "sv_id")

@@ -6,27 +6,30 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.functions.columns import index_quantile
-from strandweave.operators.intervals import islands
+from strandweave.functions.columns import INVERTED, SWAPPED, index_quantile
+from strandweave.operators.intervals import bin_join, islands
+from strandweave.operators.reads import pair_regions
+from strandweave.options import CallOptions
 from strandweave.session import settled, ship
 
 KEYS = ["template_id", "orientation"]
 
 
-def clustered(evidence: DataFrame, tol: int, passes: int = 0, keys: list[str] = KEYS) -> DataFrame:
+def clustered(evidence: DataFrame, tol: int, passes: int = 0, keys: list[str] = KEYS, left: tuple[str, str] = ("left_pos", "left_pos"), right: tuple[str, str] = ("right_pos", "right_pos")) -> DataFrame:
     """``evidence`` with left_island and right_island, which with the keys name a cluster.
 
-    Rows whose left positions chain within the tolerance fall apart by their
-    right positions, and so on by turns: ``passes`` times, or until no cluster
-    falls apart any more. The result doesn't depend on the order of rows.
+    ``left`` and ``right`` name begin and end of each side. Rows whose left
+    sides chain within the tolerance fall apart by their right sides, and so on
+    by turns: ``passes`` times, or until no cluster falls apart any more. The
+    result doesn't depend on the order of rows.
     """
-    rows = islands(evidence, keys, "left_pos", "left_pos", tol, "left_island")
-    rows = islands(rows, [*keys, "left_island"], "right_pos", "right_pos", tol, "right_island")
+    rows = islands(evidence, keys, *left, tol, "left_island")
+    rows = islands(rows, [*keys, "left_island"], *right, tol, "right_island")
     done, names = 1, ["left_island", "right_island"]
     while not passes or done < passes:
         rows, cols = settled(rows), [*keys, *names]
-        more = islands(rows, cols, "left_pos", "left_pos", tol, "__l")
-        more = islands(more, [*cols, "__l"], "right_pos", "right_pos", tol, "__r")
+        more = islands(rows, cols, *left, tol, "__l")
+        more = islands(more, [*cols, "__l"], *right, tol, "__r")
         if not passes:
             count = more.select(F.count_distinct(*[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in cols]).alias("a"), F.count_distinct(*[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in [*cols, "__l", "__r"]]).alias("b")).first()
             if count["a"] == count["b"]:
@@ -36,28 +39,119 @@ def clustered(evidence: DataFrame, tol: int, passes: int = 0, keys: list[str] =
     return rows
 
 
-def breakpoints(evidence: DataFrame, tol: int, passes: int = 0, keys: list[str] = KEYS) -> DataFrame:
-    """One row per cluster: hull, medians and support by kind (0 split, 1 pair, 2 clip).
+def summed(rows: DataFrame, by: list[str]) -> DataFrame:
+    """One row per group: hull, medians, strands and support by kind (0 split, 1 pair, 2 clip).
 
-    Exact positions come from split and clip evidence; a cluster of pairs only
-    lies between its hull's inner ends and is imprecise.
+    A row counts ``weight`` times if there is such a column. Exact positions
+    come from split and clip evidence; a group of pairs only lies between its
+    hull's inner ends and is imprecise. Strands, if there are any, are those of
+    the first piece of evidence by kind, position and strand.
     """
-    rows = clustered(evidence, tol, passes, keys)
     exact = "CASE WHEN kind <> 1 THEN {} END"
-    out = rows.groupBy(*keys, "left_island", "right_island").agg(
-        F.count("*").alias("supp"),
-        F.count_if(F.col("kind") == 0).alias("se"),
-        F.count_if(F.col("kind") == 1).alias("pe"),
-        F.count_if(F.col("kind") == 2).alias("ce"),
+    each = F.col("weight") if "weight" in rows.columns else F.lit(1)
+    support = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, each)), F.lit(0)).cast("long")
+    strands = [x for x in ("left_reverse", "right_reverse") if x in rows.columns]
+    out = rows.groupBy(*by).agg(
+        F.sum(each).cast("long").alias("supp"),
+        support(0).alias("se"),
+        support(1).alias("pe"),
+        support(2).alias("ce"),
         F.min("left_pos").alias("min_left"),
         F.max("left_pos").alias("max_left"),
         F.min("right_pos").alias("min_right"),
         F.max("right_pos").alias("max_right"),
         index_quantile(exact.format("left_pos"), 0.5).cast("long").alias("mid_left"),
         index_quantile(exact.format("right_pos"), 0.5).cast("long").alias("mid_right"),
+        *[F.min_by(x, F.struct("kind", "left_pos", "right_pos", *strands)).alias(x) for x in strands],
     )
     sure = F.col("se") + F.col("ce") > 0
-    return out.withColumns({"final_left": F.when(sure, F.col("mid_left")).otherwise(F.col("min_left")), "final_right": F.when(sure, F.col("mid_right")).otherwise(F.col("max_right")), "imprecise": ~sure}).drop("left_island", "right_island", "mid_left", "mid_right")
+    return out.withColumns({"final_left": F.when(sure, F.col("mid_left")).otherwise(F.col("min_left")), "final_right": F.when(sure, F.col("mid_right")).otherwise(F.col("max_right")), "imprecise": ~sure}).drop("mid_left", "mid_right")
+
+
+def breakpoints(evidence: DataFrame, tol: int, passes: int = 0, keys: list[str] = KEYS) -> DataFrame:
+    """One row per cluster of ``evidence``, as :func:`summed` gives it."""
+    return summed(clustered(evidence, tol, passes, keys), [*keys, "left_island", "right_island"]).drop("left_island", "right_island")
+
+
+def pair_breakpoints(pairs: DataFrame, o: CallOptions, passes: int = 0) -> DataFrame:
+    """Clusters of discordant pairs: (pair_id, keys, supp, left_pos, right_pos, strands, left_lo, left_hi, right_lo, right_hi).
+
+    Ends of pairs are intervals, and cluster by the tolerance like positions.
+    The position on either side is the end of the reads that faces the
+    breakpoint; around it lies the region of :func:`pair_regions`.
+    """
+    keys = ["template_id", "right_template", "orientation"]
+    rows = pairs.select(F.col("left_template").alias("template_id"), "right_template", "orientation", "left_begin", (F.col("left_end") - 1).alias("left_last"), "right_begin", (F.col("right_end") - 1).alias("right_last"), "left_reverse", "right_reverse")
+    rows = clustered(rows, o.adj_tol, passes, keys, ("left_begin", "left_last"), ("right_begin", "right_last"))
+    order = F.struct("left_begin", "right_begin", "left_reverse", "right_reverse")
+    hull = rows.groupBy(*keys, "left_island", "right_island").agg(
+        F.count("*").alias("supp"), F.min("left_begin").alias("l1"), F.max("left_last").alias("l2"), F.min("right_begin").alias("r1"), F.max("right_last").alias("r2"),
+        F.min_by("left_reverse", order).alias("left_reverse"), F.min_by("right_reverse", order).alias("right_reverse"),
+    )
+    kind, back = F.col("orientation"), F.col("left_reverse")
+    left = F.when((kind == SWAPPED) | ((kind == INVERTED) & back), F.col("l1")).otherwise(F.col("l2"))
+    right = F.when((kind == SWAPPED) | ((kind == INVERTED) & ~back), F.col("r2")).otherwise(F.col("r1"))
+    # mates face each other, so the far end's strand counts turned round
+    out = hull.select(*keys, "supp", left.cast("long").alias("left_pos"), right.cast("long").alias("right_pos"), "left_reverse", (~F.col("right_reverse")).alias("right_reverse"), F.xxhash64(*keys, "l1", "l2", "r1", "r2").alias("pair_id"))
+    return pair_regions(out, o)
+
+
+def pair_matches(pairs: DataFrame, bps: DataFrame, tol: int) -> DataFrame:
+    """(pair_id, supp, bp_id): breakpoints of a pair's orientation and contigs whose hulls its regions meet on both sides."""
+    keys = ["template_id", "right_template", "orientation"]
+    a = pairs.select(*keys, "pair_id", F.col("supp").alias("pair_supp"), (F.col("left_lo") - tol).alias("p1"), (F.col("left_hi") + tol).alias("p2"), (F.col("right_lo") - tol).alias("q1"), (F.col("right_hi") + tol).alias("q2"))
+    b = bps.select(*keys, "bp_id", F.col("min_left").alias("b1"), F.col("max_left").alias("b2"), F.col("min_right").alias("c1"), F.col("max_right").alias("c2"))
+    hit = bin_join(a, b, keys, ("p1", "p2"), ("b1", "b2"), (F.col("q1") <= F.col("c2")) & (F.col("c1") <= F.col("q2")))
+    return hit.select("pair_id", F.col("pair_supp").alias("supp"), "bp_id")
+
+
+def linked(links: DataFrame) -> DataFrame:
+    """``links(a, b)`` to (node, label), label the smallest node reachable; nodes without links aren't listed.
+
+    Labels spread along links until none changes: as many rounds as the longest
+    chain has links, and chains of breakpoints are short.
+    """
+    both = settled(links.where("a <> b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    now = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    while True:
+        near = both.join(now, both["b"] == now["node"]).groupBy("a").agg(F.min("label").alias("seen"))
+        step = settled(now.join(near, now["node"] == near["a"]).select("node", F.least("label", "seen").alias("label"), (F.col("seen") < F.col("label")).alias("moved")))
+        now = step.drop("moved")
+        if not step.where("moved").take(1):
+            return now
+
+
+def with_pairs(exact: DataFrame, pairs: DataFrame | None, o: CallOptions, passes: int = 0) -> DataFrame:
+    """Breakpoints of split and clip evidence, with the support of pairs, and those of pairs that match none.
+
+    A pair's support counts for the breakpoint that its regions meet, without
+    its positions; breakpoints that one pair meets become one. Pairs that meet
+    none stay as imprecise breakpoints at their own position.
+    """
+    keys = ["template_id", "right_template", "orientation"]
+    rows = clustered(exact, o.adj_tol, passes, keys).withColumn("bp_id", F.xxhash64(*keys, "left_island", "right_island")).drop("left_island", "right_island")
+    rows = settled(rows)
+    bps = settled(summed(rows, [*keys, "bp_id"]))
+    if pairs is None:
+        return bps
+    hits = settled(pair_matches(pairs, bps, o.adj_tol))
+    shared = hits.groupBy("pair_id").agg(F.min("bp_id").alias("b"), F.max("bp_id").alias("top")).where("b < top")
+    if shared.take(1):
+        labels = linked(hits.join(shared.select("pair_id", "b"), "pair_id").select(F.col("bp_id").alias("a"), "b"))
+        named = F.coalesce("label", "bp_id").alias("bp_id")
+        rows = rows.join(labels, F.col("bp_id") == F.col("node"), "left").select(*[c for c in rows.columns if c != "bp_id"], named)
+        hits = hits.join(labels, F.col("bp_id") == F.col("node"), "left").select("pair_id", "supp", named).distinct()
+        bps = summed(rows, [*keys, "bp_id"])
+    gain = hits.groupBy("bp_id").agg(F.sum("supp").alias("__pe"))
+    bps = bps.join(gain, "bp_id", "left").withColumns({"pe": F.col("pe") + F.coalesce("__pe", F.lit(0)), "supp": F.col("supp") + F.coalesce("__pe", F.lit(0))}).drop("__pe")
+    rest = pairs.join(hits.select("pair_id").distinct(), "pair_id", "left_anti")
+    zero = F.lit(0).cast("long")
+    rough = rest.select(
+        *keys, F.col("pair_id").alias("bp_id"), "supp", zero.alias("se"), F.col("supp").alias("pe"), zero.alias("ce"),
+        F.col("left_pos").alias("min_left"), F.col("left_pos").alias("max_left"), F.col("right_pos").alias("min_right"), F.col("right_pos").alias("max_right"),
+        F.col("left_pos").alias("final_left"), F.col("right_pos").alias("final_right"), F.lit(True).alias("imprecise"), "left_reverse", "right_reverse",
+    )
+    return bps.unionByName(rough)
 
 
 def replayed(evidence: DataFrame, tol: int, order: str = "ev_id") -> DataFrame:

@@ -26,9 +26,11 @@ def window_bounds(pos: Column, length: Column, window: int | Column, span: int |
     return begin, p, end
 
 
-def window_means(depth: DataFrame, points: DataFrame, lengths: DataFrame, key: str, pid: str, pos: str, window: int, span: int, left: bool = True) -> DataFrame:
-    """(pid, key, left_mean, right_mean) of depth before and after each position."""
-    rows = points.select(pid, key, pos).join(lengths, key)
+def window_means(depth: DataFrame, points: DataFrame, lengths: DataFrame, key: str, pid: str, pos: str, window: int | str, span: int | str, left: bool = True) -> DataFrame:
+    """(pid, key, left_mean, right_mean) of depth before and after each position; windows are numbers or columns of ``points``."""
+    wide = {x for x in (window, span) if isinstance(x, str)}
+    rows = points.select(pid, key, pos, *wide).join(lengths, key)
+    window, span = (F.col(x) if isinstance(x, str) else x for x in (window, span))
     b, p, e = window_bounds(F.col(pos), F.col("length"), window, span, left)
     rows = rows.select(pid, key, b.cast("long").alias("b"), p.cast("long").alias("p"), e.cast("long").alias("e"))
     before = window_sums(depth, rows, key, pid, "b", "p").withColumnRenamed("total", "lt")
@@ -43,6 +45,28 @@ def divergence(left: Column, right: Column) -> Column:
     return poisson_divergence(F.greatest(left, right), F.least(left, right))
 
 
+def breakpoint_depth(depth: DataFrame, bps: DataFrame, lengths: DataFrame, window: int) -> DataFrame:
+    """``bps`` with re, the larger divergence of its two ends, and rd, the mean of the depths outside of it.
+
+    The window is cut to the variant's size if both ends lie on one contig.
+    """
+    apart = F.abs(F.col("final_right") - F.col("final_left")) + 1
+    sized = bps.withColumn("__w", F.when(F.col("template_id") == F.col("right_template"), F.least(apart, F.lit(window))).otherwise(F.lit(window)))
+    left = window_means(depth, sized.select("bp_id", "template_id", F.col("final_left").alias("pos"), "__w"), lengths, "template_id", "bp_id", "pos", "__w", "__w")
+    right = window_means(depth, sized.select("bp_id", F.col("right_template").alias("template_id"), F.col("final_right").alias("pos"), "__w"), lengths, "template_id", "bp_id", "pos", "__w", "__w", left=False)
+    score = divergence(F.col("left_mean"), F.col("right_mean"))
+    scores = left.select("bp_id", F.col("left_mean").alias("__lo"), score.alias("__ls")).join(right.select("bp_id", F.col("right_mean").alias("__ro"), score.alias("__rs")), "bp_id")
+    return bps.join(scores, "bp_id", "left").withColumns({"re": F.greatest("__ls", "__rs"), "rd": (F.col("__lo") + F.col("__ro")) / 2}).drop("__lo", "__ls", "__ro", "__rs")
+
+
+def background(depth: DataFrame, lengths: DataFrame, shares: DataFrame, samples: int, window: int) -> DataFrame:
+    """(re, depth) at background positions that have any depth around them."""
+    points = background_positions(lengths, "template_id", shares, samples).distinct().withColumn("pid", F.xxhash64("template_id", "pos"))
+    means = window_means(depth, points, lengths, "template_id", "pid", "pos", window, window)
+    rows = means.select(divergence(F.col("left_mean"), F.col("right_mean")).alias("re"), ((F.col("left_mean") + F.col("right_mean")) / 2).alias("depth"))
+    return rows.where("depth > 0")
+
+
 def background_positions(lengths: DataFrame, key: str, shares: DataFrame, samples: int) -> DataFrame:
     """(key, pos): an arithmetic sequence of positions per contig, as many as its share of breakpoints asks for.
 

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandweave.functions.columns import BIN, bin_of, overlaps
+from strandweave.session import settled
 
 #: Positions whose running values one task computes.
 COARSE = 1 << 20
@@ -47,6 +48,22 @@ def _attached(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(other, on, "left").drop(*[f"__key{i}" for i in range(len(keys))])
 
 
+def in_order(df: DataFrame, order: list[str | Column], out: str) -> DataFrame:
+    """``df`` with ``out``, its place from 1 in the order given, which should leave no ties.
+
+    Rows are dealt by ranges of the order and numbered within each; a table
+    with one row per range carries the numbers across, so no task holds all.
+    """
+    cols = [F.col(x) if isinstance(x, str) else x for x in order]
+    names = [f"__o{i}" for i in range(len(cols))]
+    rows = df.withColumns(dict(zip(names, cols, strict=True)))
+    rows = settled(rows.repartitionByRange(*names).withColumn("__part", F.spark_partition_id()))
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("__size"))
+    before = sizes.select("__part", (F.sum("__size").over(W.orderBy("__part")) - F.col("__size")).alias("__before"))
+    local = F.row_number().over(W.partitionBy("__part").orderBy(*names))
+    return rows.join(F.broadcast(before), "__part").withColumn(out, F.col("__before") + local).drop("__part", "__before", *names)
+
+
 def bin_join(left: DataFrame, right: DataFrame, keys: list[str], l_span: tuple[str, str], r_span: tuple[str, str], residual: Column | None = None, size: int = BIN, wide: int = 100) -> DataFrame:
     """Rows of ``left`` and ``right`` with equal keys and overlapping closed intervals.
 
@@ -71,10 +88,16 @@ def bin_join(left: DataFrame, right: DataFrame, keys: list[str], l_span: tuple[s
         both = both.where((F.col("__bin") == F.greatest("__f1", "__f2")) & overlaps(F.col(l_span[0]), F.col(l_span[1]), F.col(r_span[0]), F.col(r_span[1])))
         return (both if residual is None else both.where(residual)).drop("__bin", "__f1", "__f2")
 
-    narrow = joined(left.where(~is_wide(l_span)), right.where(~is_wide(r_span)), size)
-    long_left = joined(left.where(is_wide(l_span)), right, coarse)
-    long_right = joined(left.where(~is_wide(l_span)), right.where(is_wide(r_span)), coarse)
-    return narrow.unionByName(long_left).unionByName(long_right)
+    # a side of points is never wide, so it needs no arm of its own
+    left_points, right_points = l_span[0] == l_span[1], r_span[0] == r_span[1]
+    short_left = left if left_points else left.where(~is_wide(l_span))
+    short_right = right if right_points else right.where(~is_wide(r_span))
+    out = joined(short_left, short_right, size)
+    if not left_points:
+        out = out.unionByName(joined(left.where(is_wide(l_span)), right, coarse))
+    if not right_points:
+        out = out.unionByName(joined(short_left, right.where(is_wide(r_span)), coarse))
+    return out
 
 
 def coverage(reads: DataFrame, key: str, begin: str, end: str, weight: Column | int = 1, coarse: int = COARSE) -> DataFrame:

@@ -28,6 +28,11 @@ from strandweave.functions.columns import (
 from strandweave.options import CallOptions
 
 
+def _tagged(reads: DataFrame) -> Column:
+    """The read has supplementary alignments elsewhere."""
+    return F.coalesce(F.map_contains_key("tags", F.lit("SA")), F.lit(False)) if "tags" in reads.columns else F.lit(False)
+
+
 def routed(reads: DataFrame, o: CallOptions, max_insert: Column | float) -> DataFrame:
     """Usable reads with the booleans to_split, to_clip and to_pair.
 
@@ -37,7 +42,7 @@ def routed(reads: DataFrame, o: CallOptions, max_insert: Column | float) -> Data
     """
     limit = max_insert if isinstance(max_insert, Column) else F.lit(float(max_insert))
     flag = F.col("flag")
-    tagged = F.coalesce(F.map_contains_key("tags", F.lit("SA")), F.lit(False)) if "tags" in reads.columns else F.lit(False)
+    tagged = _tagged(reads)
     ops = cigar_ops("cigar")
     extra = has_flag(flag, SUPPLEMENTARY)
     clip = ~tagged & ~extra & edge_clip(ops, o.min_clip_size)
@@ -46,27 +51,31 @@ def routed(reads: DataFrame, o: CallOptions, max_insert: Column | float) -> Data
     return reads.where(usable("flag")).withColumns({"to_split": tagged | extra | gap, "to_clip": clip & (F.col("map_q") >= o.min_map_q), "to_pair": pair})
 
 
-def insert_bounds(reads: DataFrame, deviations: float = 9.0, sample: int = 100_000) -> DataFrame:
+def insert_bounds(reads: DataFrame, deviations: float = 9.0, sample: int = 100_000, min_map_q: int = 20) -> DataFrame:
     """One row (median, mad, low, high) over the first ``sample`` proper pairs in file order.
 
-    A sample in file order is what the estimate is defined on. Too few reads
-    give what there is; none gives nulls.
+    Of proper pairs, those count that are mapped well enough and have no
+    supplementary alignments. A sample in file order is what the estimate is
+    defined on. Too few reads give what there is; none gives nulls.
     """
-    proper = reads.where(usable("flag") & has_flag("flag", PROPER)).orderBy("ordinal").limit(sample).select(F.abs("tlen").alias("size"))
+    sure = usable("flag") & has_flag("flag", PROPER) & ~has_flag("flag", SUPPLEMENTARY) & (F.col("map_q") >= min_map_q) & ~_tagged(reads)
+    proper = reads.where(sure).orderBy("ordinal").limit(sample).select(F.abs("tlen").alias("size"))
     median = proper.agg(index_quantile("size", 0.5).alias("median"))
     off = proper.join(F.broadcast(median)).select("median", F.abs(F.col("size") - F.col("median")).alias("off"))
     mad = median.join(F.broadcast(off.agg(index_quantile("off", 0.5).alias("mad"))))
     return mad.select("median", "mad", (F.col("median") - deviations * F.col("mad")).alias("low"), (F.col("median") + deviations * F.col("mad")).alias("high"))
 
 
-def paired(mates: DataFrame, median_insert: float) -> DataFrame:
+def paired(mates: DataFrame, max_insert: Column | float) -> DataFrame:
     """Both ends of each discordant pair in one row, with the orientation they show.
 
-    The end with non-negative length is the left one; of ends on different
+    Ends that face each other are LARGE if they lie further apart than
+    ``max_insert``, a number or a column of each end, and else SMALL. The end with non-negative length is the left one; of ends on different
     contigs the smaller (contig, position) is. An end without its mate gives
     nothing.
     """
-    side = F.struct("template_id", "begin_pos", "end_pos", "is_reverse", "tlen", "map_q")
+    limit = max_insert if isinstance(max_insert, Column) else F.lit(float(max_insert))
+    side = F.struct("template_id", "begin_pos", "end_pos", "is_reverse", "tlen", "map_q", limit.alias("limit"))
     one = F.struct(F.col("template_id"), F.col("begin_pos"))
     by = mates.groupBy("qname").agg(
         F.count("*").alias("n"),
@@ -77,7 +86,7 @@ def paired(mates: DataFrame, median_insert: float) -> DataFrame:
     both = by.where(F.col("n") == 2)
     turned = F.when(F.col("l.template_id") != F.col("r.template_id"), NOT_DECIDED)
     turned = turned.when(F.col("l.is_reverse") == F.col("r.is_reverse"), INVERTED).when(F.col("l.is_reverse"), SWAPPED)
-    turned = turned.when(F.abs("l.tlen") > median_insert, LARGE).otherwise(SMALL)
+    turned = turned.when(F.abs("l.tlen") > F.col("l.limit"), LARGE).otherwise(SMALL)
     return both.select(
         "qname",
         F.col("l.template_id").alias("left_template"),
@@ -113,11 +122,13 @@ def split_evidence(segments: DataFrame, o: CallOptions) -> DataFrame:
     same = (a["template_id"] == b["template_id"]) & ~turned
     mirrored = (a["template_id"] == b["template_id"]) & turned
     forward = a["ref_begin"] < b["ref_begin"]
-    lo, hi = F.when(forward, a).otherwise(b), F.when(forward, b).otherwise(a)
+    before = a["ref_begin"] <= b["ref_begin"]
+    lo, hi = F.when(before, a).otherwise(b), F.when(before, b).otherwise(a)
     left = F.when(same & forward, a["ref_end"]).when(same, b["ref_begin"]).when(mirrored, F.when(lo["is_reverse"], lo["ref_end"]).otherwise(lo["ref_begin"])).otherwise(a["ref_end"])
     right = F.when(same & forward, b["ref_begin"] - 1).when(same, a["ref_end"] - 1).when(mirrored, F.when(lo["is_reverse"], hi["ref_end"] - 1).otherwise(hi["ref_begin"] - 1)).otherwise(b["ref_begin"] - 1)
     kind = F.when(same & forward, LARGE).when(same, SWAPPED).when(mirrored, INVERTED).otherwise(NOT_DECIDED)
-    return rows.where(near).select("read_id", a["template_id"].alias("left_template"), b["template_id"].alias("right_template"), left.alias("left_pos"), right.alias("right_pos"), kind.alias("orientation"))
+    left_reverse, right_reverse = F.when(mirrored, lo["is_reverse"]).otherwise(a["is_reverse"]), F.when(mirrored, hi["is_reverse"]).otherwise(b["is_reverse"])
+    return rows.where(near).select("read_id", a["template_id"].alias("left_template"), b["template_id"].alias("right_template"), left.alias("left_pos"), right.alias("right_pos"), kind.alias("orientation"), left_reverse.alias("left_reverse"), right_reverse.alias("right_reverse"))
 
 
 def cigar_evidence(reads: DataFrame, o: CallOptions) -> DataFrame:

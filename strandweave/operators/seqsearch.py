@@ -31,10 +31,13 @@ def regions(chunks: DataFrame, wanted: DataFrame, chunk_size: int) -> DataFrame:
 
 
 def sequence_features(chunks: DataFrame, bps: DataFrame, chunk_size: int, flank: int = 1000) -> DataFrame:
-    """(bp_id, gc, complexity) of the stretch of ``flank`` bases on either side of each breakpoint."""
-    lo, hi = F.greatest(F.col("final_left") - flank, F.lit(0)), F.col("final_right") + flank
-    seqs = regions(chunks, bps.select(F.col("bp_id").alias("rid"), "template_id", lo.alias("begin_pos"), hi.alias("end_pos")), chunk_size)
-    return seqs.select(F.col("rid").alias("bp_id"), gc_content("seq").alias("gc"), base_entropy("seq").alias("complexity"))
+    """(bp_id, gc, complexity) of the ``flank`` bases before each breakpoint's left end and those from its right end on, taken together."""
+    left = bps.select("bp_id", "template_id", F.greatest(F.col("final_left") - flank, F.lit(0)).alias("begin_pos"), F.col("final_left").alias("end_pos"), F.lit(0).alias("side"))
+    right = bps.select("bp_id", F.col("right_template").alias("template_id"), F.col("final_right").alias("begin_pos"), (F.col("final_right") + flank).alias("end_pos"), F.lit(1).alias("side"))
+    wanted = left.unionByName(right).withColumn("rid", F.struct("bp_id", "side"))
+    seqs = regions(chunks, wanted.drop("bp_id", "side"), chunk_size).select(F.col("rid.bp_id").alias("bp_id"), "rid.side", "seq")
+    whole = seqs.groupBy("bp_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("side", "seq"))), lambda x: x["seq"]), "").alias("seq"))
+    return whole.select("bp_id", gc_content("seq").alias("gc"), base_entropy("seq").alias("complexity"))
 
 
 def approximate_hits(text: str, needle: str, error: float) -> list[tuple[int, int, int]]:
@@ -67,8 +70,10 @@ def approximate_hits(text: str, needle: str, error: float) -> list[tuple[int, in
             ends.append((j + 1, score))
     best: list[tuple[int, int, int]] = []
     for end, edits in ends:
+        if best and edits > best[0][2]:
+            continue
         begin = _origin(text, needle, end, edits)
-        if best and (edits > best[0][2] or end - begin < best[0][1] - best[0][0]):
+        if best and end - begin < best[0][1] - best[0][0]:
             continue
         if best and (edits < best[0][2] or end - begin > best[0][1] - best[0][0]):
             best = []

@@ -5,100 +5,111 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.functions.columns import REVERSE, SWAPPED, cigar_ops, cigar_spans, has_flag, read_end_name, usable
-from strandweave.operators import calls, cluster, depth, reads, seqsearch
-from strandweave.operators.intervals import bin_join, coverage
+from strandweave.functions.columns import REVERSE, cigar_ops, cigar_spans, has_flag, read_end_name, ref_length, usable
+from strandweave.operators import calls, clips, cluster, depth, reads, seqsearch
+from strandweave.operators.intervals import coverage
 from strandweave.options import CallOptions
 from strandweave.session import settled
 from strandweave.sources import vcf
 
-_KEYS = ["template_id", "right_template", "orientation"]
+#: Contigs are broadcast by their number only up to so many.
+MANY_CONTIGS = 100_000
 
 
-def evidence_of(alignments: DataFrame, o: CallOptions) -> DataFrame:
-    """Split, pair and deletion evidence: (template_id, right_template, orientation, kind, left_pos, right_pos, left_reverse, right_reverse)."""
-    bounds = reads.insert_bounds(alignments, o.insert_deviations)
-    sized = alignments.join(F.broadcast(bounds.select(F.col("high").alias("__high"), F.col("median").alias("__median"))))
-    routed = settled(reads.routed(sized, o, F.coalesce("__high", F.lit(float("inf")))).withColumn("template_id", F.col("rid")))
+def routed_reads(alignments: DataFrame, o: CallOptions) -> DataFrame:
+    """Usable alignments with to_split, to_clip, to_pair and max_insert, the estimated upper bound of insert sizes (null without proper pairs)."""
+    bounds = reads.insert_bounds(alignments, o.insert_deviations, min_map_q=o.min_map_q)
+    sized = alignments.join(F.broadcast(bounds.select(F.col("high").cast("double").alias("max_insert"))))
+    return reads.routed(sized, o, F.coalesce("max_insert", F.lit(float("inf")))).withColumn("template_id", F.col("rid"))
 
-    named = routed.where("to_split").withColumn("read_id", read_end_name("qname", "flag"))
+
+def exact_evidence(routed: DataFrame, o: CallOptions) -> DataFrame:
+    """Split reads and deletions within reads: (template_id, right_template, orientation, kind, left_pos, right_pos, left_reverse, right_reverse, weight)."""
     span = cigar_spans(F.col("begin_pos"), cigar_ops("cigar"), o.min_sv_size, o.min_clip_size, o.compat_double_deletion)
-    parts = named.withColumn("s", span).select("read_id", "template_id", F.col("ordinal").alias("seg_no"), F.col("begin_pos").cast("long").alias("ref_begin"), F.col("s.ref_end").alias("ref_end"), has_flag("flag", REVERSE).alias("is_reverse"), F.col("s.q_begin").alias("q_begin"), F.col("s.q_end").alias("q_end"), "map_q", "s.deletions")
-    split = reads.split_evidence(parts, o)
-    split = split.select(F.col("left_template").alias("template_id"), "right_template", "orientation", F.lit(0).alias("kind"), "left_pos", "right_pos", F.lit(False).alias("left_reverse"), F.lit(False).alias("right_reverse"))
-    gone = parts.where(F.col("map_q") >= o.min_map_q).select("template_id", F.inline("deletions").alias("left_pos", "right_pos"))
-    out = split.unionByName(gone.select("template_id", F.col("template_id").alias("right_template"), F.lit(0).alias("orientation"), F.lit(0).alias("kind"), "left_pos", "right_pos", F.lit(False).alias("left_reverse"), F.lit(False).alias("right_reverse")))
-    if not o.use_pairs:
-        return out
-    length = F.aggregate(F.filter(cigar_ops("cigar"), lambda c: ~c["op"].isin("S", "H", "I")), F.lit(0), lambda a, c: a + c["count"])
-    ends = routed.where("to_pair").select("qname", "template_id", "begin_pos", (F.col("begin_pos") + length).alias("end_pos"), has_flag("flag", REVERSE).alias("is_reverse"), "tlen", "map_q", "__median")
-    pairs = reads.paired(ends, 0)
-    swapped = F.col("orientation") == SWAPPED
-    out_pairs = pairs.select(
-        F.col("left_template").alias("template_id"), "right_template", "orientation", F.lit(1).alias("kind"),
-        F.when(swapped, F.col("left_begin")).otherwise(F.col("left_end")).cast("long").alias("left_pos"),
-        F.when(swapped, F.col("right_end")).otherwise(F.col("right_begin")).cast("long").alias("right_pos"),
-        "left_reverse", "right_reverse",
-    )
-    return out.unionByName(out_pairs)
-
-
-def clip_support(bps: DataFrame, alignments: DataFrame, o: CallOptions) -> DataFrame:
-    """``bps`` with ce raised by the clipped reads whose known position lies at one of its ends."""
-    clips = reads.cigar_evidence(alignments.where(usable("flag") & (F.col("map_q") >= o.min_map_q)).select(F.col("ordinal").alias("read_id"), F.col("rid").alias("template_id"), "begin_pos", "cigar"), o).where("what = 'clip'")
-    at = F.coalesce("left_pos", "right_pos")
-    point = clips.select("template_id", F.col("read_id").alias("clip"), at.alias("cp"), F.col("left_pos").isNotNull().alias("is_left"))
-    ends = bps.select("bp_id", "template_id", (F.col("min_left") - o.adj_tol).alias("l1"), (F.col("max_left") + o.adj_tol).alias("l2"))
-    rights = bps.select("bp_id", F.col("right_template").alias("template_id"), (F.col("min_right") - o.adj_tol).alias("l1"), (F.col("max_right") + o.adj_tol).alias("l2"))
-    hit = bin_join(ends.unionByName(rights), point, ["template_id"], ("l1", "l2"), ("cp", "cp"))
-    more = hit.groupBy("bp_id").agg(F.count_distinct("clip").alias("__ce"))
-    return bps.join(more, "bp_id", "left").withColumn("ce", F.col("ce") + F.coalesce("__ce", F.lit(0))).drop("__ce")
+    parts = routed.where("to_split").withColumn("read_id", read_end_name("qname", "flag")).withColumn("s", span)
+    parts = parts.select("read_id", "template_id", F.col("ordinal").alias("seg_no"), F.col("begin_pos").cast("long").alias("ref_begin"), F.col("s.ref_end").alias("ref_end"), has_flag("flag", REVERSE).alias("is_reverse"), F.col("s.q_begin").alias("q_begin"), F.col("s.q_end").alias("q_end"), "map_q", "s.deletions")
+    split = reads.split_evidence(parts, o).withColumnRenamed("left_template", "template_id").withColumn("kind", F.lit(0))
+    gone = parts.where(F.col("map_q") >= o.min_map_q).select("template_id", "is_reverse", F.inline("deletions").alias("left_pos", "right_pos"))
+    gone = gone.select("template_id", F.col("template_id").alias("right_template"), F.lit(0).alias("orientation"), F.lit(0).alias("kind"), "left_pos", "right_pos", F.col("is_reverse").alias("left_reverse"), F.col("is_reverse").alias("right_reverse"))
+    return split.select(*gone.columns).unionByName(gone).withColumn("weight", F.lit(1).cast("long"))
+
+
+def pair_evidence(routed: DataFrame, o: CallOptions) -> DataFrame:
+    """Clusters of discordant pairs whose both ends lie on contigs."""
+    ends = routed.where("to_pair and next_rid is not null and next_rid >= 0")
+    ends = ends.select("qname", "template_id", "begin_pos", (F.col("begin_pos") + ref_length(cigar_ops("cigar"))).alias("end_pos"), has_flag("flag", REVERSE).alias("is_reverse"), "tlen", "map_q", F.coalesce("max_insert", F.lit(float("inf"))).alias("max_insert"))
+    return cluster.pair_breakpoints(reads.paired(ends, F.col("max_insert")), o)
+
+
+def clip_places(routed: DataFrame, exact: DataFrame, pairs: DataFrame | None, chunks: DataFrame, chunk_size: int, o: CallOptions) -> DataFrame:
+    """Evidence from clipped sequences found again in the reference, with the places of their bases."""
+    bounds = routed.select(F.floor("max_insert").cast("long").alias("max_insert")).limit(1)
+    found = clips.clip_clusters(clips.clip_reads(routed.where("to_clip"), o), o.adj_tol)
+    found = settled(found.join(F.broadcast(bounds)))
+    known = clips.targets(cluster.breakpoints(exact, o.adj_tol, 0, ["template_id", "right_template", "orientation"]), pairs)
+    return clips.clip_evidence(found, settled(known), chunks, chunk_size, F.coalesce("max_insert", F.lit(0)), o)
+
+
+def merged_breakpoints(alignments: DataFrame, o: CallOptions = CallOptions(), chunks: DataFrame | None = None, chunk_size: int = 65536) -> tuple[DataFrame, DataFrame | None]:
+    """(breakpoints with the support of all kinds of evidence, places of clipped bases or none).
+
+    Pairs raise the support of breakpoints that their regions meet; those that
+    meet none are imprecise breakpoints. Clipped sequences need ``chunks``, the reference.
+    """
+    routed = settled(routed_reads(alignments, o))
+    exact = settled(exact_evidence(routed, o))
+    pairs = settled(pair_evidence(routed, o)) if o.use_pairs else None
+    placed = None
+    if o.use_clips and chunks is not None:
+        placed = settled(clip_places(routed, exact, pairs, chunks, chunk_size, o))
+        exact = exact.unionByName(placed.select(exact.columns))
+    return settled(cluster.with_pairs(exact, pairs, o)), placed
 
 
 def call(alignments: DataFrame, contigs: DataFrame, o: CallOptions = CallOptions(), chunks: DataFrame | None = None, chunk_size: int = 65536) -> DataFrame:
     """Variants of one sample: sv_type, chrom, begin_pos, end_pos, target_pos, status, alt, evidence, sc, sv_id.
 
     ``alignments`` has the columns of the ``bam`` source, ``contigs``
-    (template_id, name, length); ``chunks`` the reference, for sequence
-    features. Alignments without a contig count for nothing.
+    (template_id, name, length); ``chunks`` the reference, without which
+    clipped sequences aren't searched and sequence features are left out.
+    Alignments without a contig count for nothing.
     """
     alignments = alignments.where("rid is not null and rid >= 0")
-    evidence = settled(evidence_of(alignments, o))
-    bps = cluster.breakpoints(evidence, o.adj_tol, 0, _KEYS)
-    strand = evidence.groupBy(*_KEYS).agg(F.first("left_reverse").alias("left_reverse"), F.first("right_reverse").alias("right_reverse"))
-    ident = F.xxhash64(*_KEYS, "min_left", "min_right")
-    bps = settled(bps.join(strand, _KEYS).withColumn("bp_id", ident))
-    if o.use_clips:
-        bps = settled(clip_support(bps, alignments, o))
-
-    cover = alignments.where(usable("flag")).select(F.col("rid").alias("template_id"), "begin_pos", (F.col("begin_pos") + F.aggregate(F.filter(cigar_ops("cigar"), lambda c: ~c["op"].isin("S", "H", "I")), F.lit(0), lambda a, c: a + c["count"])).alias("end_pos"))
-    rle = settled(coverage(cover, "template_id", "begin_pos", "end_pos"))
-    lengths = contigs.select("template_id", F.col("length").cast("long").alias("length"))
-    left = depth.window_means(rle, bps.select("bp_id", "template_id", F.col("final_left").alias("pos")), lengths, "template_id", "bp_id", "pos", o.depth_window, o.depth_window)
-    right = depth.window_means(rle, bps.select("bp_id", F.col("right_template").alias("template_id"), F.col("final_right").alias("pos")), lengths, "template_id", "bp_id", "pos", o.depth_window, o.depth_window, left=False)
-    scores = left.select("bp_id", F.col("left_mean").alias("lo"), depth.divergence(F.col("left_mean"), F.col("right_mean")).alias("ls"))
-    scores = scores.join(right.select("bp_id", F.col("right_mean").alias("ro"), depth.divergence(F.col("left_mean"), F.col("right_mean")).alias("rs")), "bp_id")
-    bps = settled(bps.join(scores, "bp_id", "left").withColumns({"re": F.greatest("ls", "rs"), "rd": (F.col("lo") + F.col("ro")) / 2}))
-    shares = bps.groupBy("template_id").agg(F.count("*").alias("n"))
-    sampled = depth.depth_at(rle, depth.background_positions(lengths, "template_id", shares, o.depth_samples), "template_id", "pos")
-    limit = depth.outlier_threshold(sampled, "depth", o.depth_outlier).first()
-    bps = settled(calls.voted(bps, o, o.depth_threshold))
+    bps, placed = merged_breakpoints(alignments, o, chunks, chunk_size)
+
+    limits = {"re": o.depth_threshold, "depth": None}
+    if o.use_depth:
+        cover = alignments.where(usable("flag")).select(F.col("rid").alias("template_id"), F.col("begin_pos").cast("long").alias("begin_pos"), (F.col("begin_pos") + ref_length(cigar_ops("cigar"))).cast("long").alias("end_pos"))
+        if placed is not None:
+            more = placed.select(F.col("placed_template").alias("template_id"), F.col("placed_pos").alias("begin_pos"), (F.col("placed_pos") + F.col("placed_size")).alias("end_pos"), "weight")
+            rle = settled(depth.with_placements(cover, more, "template_id", "begin_pos", "end_pos", "weight"))
+        else:
+            rle = settled(coverage(cover, "template_id", "begin_pos", "end_pos"))
+        lengths = contigs.select("template_id", F.col("length").cast("long").alias("length"))
+        bps = settled(depth.breakpoint_depth(rle, bps, lengths, o.depth_window))
+        shares = bps.groupBy("template_id").agg(F.count("*").alias("n"))
+        sampled = settled(depth.background(rle, lengths, shares, o.depth_samples, o.depth_window))
+        limits = {"re": depth.outlier_threshold(sampled, "re", o.depth_threshold).first()["threshold"], "depth": depth.outlier_threshold(sampled, "depth", o.depth_outlier).first()["threshold"]}
+    else:
+        bps = bps.withColumns({"re": F.lit(None).cast("double"), "rd": F.lit(None).cast("double")})
+    # without any background nothing can stand out
+    bps = settled(calls.voted(bps, o, float("inf") if limits["re"] is None else limits["re"]))
 
     local = bps.where("template_id = right_template")
-    dels = calls.deletions(local, o, limit["threshold"])
+    dels = calls.deletions(local, o, limits["depth"])
     dups, dels = calls.duplications(local, dels, o)
     dups = calls.translocations(dups, o)
     found = calls.inversions(local, o).unionByName(dels).unionByName(dups.select(dels.columns))
-    found = found.join(F.broadcast(contigs.select("template_id", F.col("name").alias("chrom"))), "template_id")
+    names = contigs.select("template_id", F.col("name").alias("chrom"))
+    found = found.join(F.broadcast(names) if names.count() <= MANY_CONTIGS else names, "template_id").withColumn("no", F.lit(None).cast("int"))
     found = found.withColumn("alt", F.concat(F.lit("<"), "sv_type", F.lit(">")))
-    ends = calls.breakends(bps, contigs)
-    rest = bps.select("bp_id", "template_id", "re", "rd", "vt", "imprecise")
-    ends = ends.join(rest, "bp_id").select("bp_id", F.lit("BND").alias("sv_type"), "template_id", "chrom", "begin_pos", F.lit(None).cast("long").alias("end_pos"), F.lit(None).cast("long").alias("target_pos"), F.lit("PASS").alias("status"), "alt", "se", "pe", "ce", "re", "rd", F.lit(0).alias("vt"), "imprecise")
+    none = F.lit(None).cast("long")
+    ends = calls.breakends(bps, contigs).withColumns({"sv_type": F.lit("BND"), "end_pos": none, "target_pos": none, "status": F.lit("PASS")})
     every = settled(found.unionByName(ends.select(found.columns)))
     every = calls.ranked(every) if o.rank_aggregation else calls.by_evidence(every)
     if chunks is not None:
         every = every.join(seqsearch.sequence_features(chunks, bps, chunk_size), "bp_id", "left")
-    every = calls.numbered(every)
+    every = calls.numbered(settled(every))
     return every if o.report_filtered else every.where("status = 'PASS'")
 
 
@@ -110,5 +121,3 @@ def as_records(variants: DataFrame) -> DataFrame:
     info = vcf.info_text(F.col("sv_type"), F.col("begin_pos"), F.col("end_pos"), F.col("target_pos"), fields)
     info = F.when(F.col("imprecise"), F.concat(info, F.lit(";IMPRECISE"))).otherwise(info)
     return variants.select("chrom", "begin_pos", "end_pos", F.col("sv_id").alias("id"), "alt", F.col("status").alias("filter"), info.alias("info"), F.array(F.lit("1/0")).alias("genotypes"))
-
-
