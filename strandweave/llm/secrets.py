@@ -21,7 +21,7 @@ _KEYWORD = "passwd|password|passphrase|pwd|secret|token|api[_-]?key|access[_-]?k
 #: A private key's block, whole.
 _BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=,:\s-]*+"
 #: What a key-like word is set to, from six characters on, of any kind but blanks, quotes and separators.
-_VALUE = rf"""(?<=[=:\s"'])(?<=(?i:{_KEYWORD})["']?[ \t]{{0,2}}(?:=>?|:)[ \t]{{0,2}}["']?)[^\s"'`,;<>(){{}}]{{6,}}+"""
+_VALUE = rf"""(?<=[=:>\s"'])(?<=[=:>][ \t"']{{0,4}})(?<=(?i:{_KEYWORD})["']?[ \t]{{0,2}}(?:=>?|:)[ \t]{{0,2}}["']?)[^\s"'`,;<>(){{}}]{{6,}}+"""
 #: Runs of 16 and more characters of keys and encodings.
 _RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}+"
 CANDIDATE = f"{_BLOCK}|{_VALUE}|{_RUN}"
