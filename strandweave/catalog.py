@@ -703,7 +703,7 @@ def info_format(spark: SparkSession, sf: str) -> DataFrame:
 def _svs(spark: SparkSession, sf: str) -> DataFrame:
     rows = vcf.parse_info(view(spark, sf, "svtext").where("filter = 'PASS'")).where("sv_type <> 'BND'")
     gt = F.when(F.col("ev_id") % 4 == 0, "0/0").when(F.col("ev_id") % 4 == 1, "1/1").otherwise("0/1")
-    return rows.select(F.col("ev_id").alias("sv"), "sv_type", "chrom", "begin_pos", "end_pos", "sc", "rd", "dataset_idx", gt.alias("gt"))
+    return rows.select(F.col("ev_id").alias("sv"), "sv_type", "chrom", "begin_pos", "end_pos", "sc", "rd", "dataset_idx", F.col("ev_id").alias("ordinal"), gt.alias("gt"))
 
 
 _SVS = (
@@ -716,7 +716,7 @@ _SVS = (
 
 @query(_SVS + " SELECT x.sv AS a, y.sv AS b FROM svs x JOIN svs y ON x.sv_type = y.sv_type AND x.chrom = y.chrom AND x.sv < y.sv AND x.sv_type <> 'BND' AND x.b <= y.e AND y.b <= x.e AND least(x.e, y.e) - greatest(x.b, y.b) + 1 >= 0.8 * (x.e - x.b + 1) AND least(x.e, y.e) - greatest(x.b, y.b) + 1 >= 0.8 * (y.e - y.b + 1)")
 def merge_reciprocal_overlap_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return merge.overlapping_pairs(_svs(spark, sf), 0.8)
+    return merge.overlapping_pairs(settled(_svs(spark, sf)), 0.8)
 
 
 @query()

@@ -108,16 +108,18 @@ def pair_matches(pairs: DataFrame, bps: DataFrame, tol: int) -> DataFrame:
 def linked(links: DataFrame) -> DataFrame:
     """``links(a, b)`` to (node, label), label the smallest node reachable; nodes without links aren't listed.
 
-    Labels spread along links until none changes: as many rounds as the longest
-    chain has links, and chains of breakpoints are short.
+    In each round a node takes the smallest label among its neighbours, and
+    then the label of that label, so long chains halve with every round.
     """
     both = settled(links.where("a <> b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     now = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         near = both.join(now, both["b"] == now["node"]).groupBy("a").agg(F.min("label").alias("seen"))
-        step = settled(now.join(near, now["node"] == near["a"]).select("node", F.least("label", "seen").alias("label"), (F.col("seen") < F.col("label")).alias("moved")))
-        now = step.drop("moved")
-        if not step.where("moved").take(1):
+        near = now.join(near, now["node"] == near["a"]).select("node", F.col("label").alias("was"), F.least("label", "seen").alias("near"))
+        further = now.select(F.col("node").alias("near"), F.col("label").alias("beyond"))
+        step = settled(near.join(further, "near", "left").select("node", F.least("near", "beyond").alias("label"), "was"))
+        now = step.drop("was")
+        if not step.where("label < was").take(1):
             return now
 
 

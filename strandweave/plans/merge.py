@@ -16,7 +16,7 @@ def merged(spark: SparkSession, paths: list[str], o: MergeOptions = MergeOptions
     """Multi-sample records (chrom, begin_pos, end_pos, id, alt, filter, info, genotypes) in VCF form."""
     rows = vcf.read_vcf(spark, paths, o.use_all).where("sv_type <> 'BND'")
     gt = F.coalesce(F.get("genotypes", F.lit(0)), F.lit("0/0"))
-    svs = rows.select(F.xxhash64("dataset_idx", "chrom", "pos", "id", "info").alias("sv"), "sv_type", "chrom", "begin_pos", "end_pos", "target_pos", F.coalesce("sc", F.lit(0.0)).alias("sc"), F.coalesce("rd", F.lit(0.0)).alias("rd"), "dataset_idx", gt.alias("gt"))
+    svs = rows.select(F.xxhash64("dataset_idx", "ordinal").alias("sv"), "sv_type", "chrom", "begin_pos", "end_pos", "target_pos", F.coalesce("sc", F.lit(0.0)).alias("sc"), F.coalesce("rd", F.lit(0.0)).alias("rd"), "dataset_idx", "ordinal", gt.alias("gt"))
     members = settled(ops.first_fit(settled(svs), o.overlap))
     each = ops.cluster_summary(members)
     target = members.where("target_pos is not null").groupBy("cluster").agg(F.expr("cast(percentile_disc(0.5) WITHIN GROUP (ORDER BY target_pos DESC) as bigint)").alias("target_pos"), F.max("target_pos").alias("in_target"), F.min("target_pos").alias("out_target"))

@@ -2,8 +2,9 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from strandweave.operators import cluster, intervals, merge, seqsearch
+from strandweave.operators import calls, cluster, intervals, merge, seqsearch
 
 
 def test_bin_join_matches_brute_force(spark):
@@ -44,10 +45,78 @@ def test_canonical_and_replayed_clusters(spark):
     assert got == [(0, 0, 3), (0, 5000, 1), (2, 0, 1)]
 
 
-def test_first_fit(spark):
-    rows = [(1, "DEL", "c", 0, 99), (2, "DEL", "c", 20, 99), (3, "DEL", "c", 21, 120), (4, "BND", "c", 0, 99), (5, "DEL", "d", 0, 99)]
-    df = spark.createDataFrame(rows, "sv long, sv_type string, chrom string, begin_pos long, end_pos long")
-    assert {r["sv"]: r["cluster"] for r in merge.first_fit(df, 0.8).collect()} == {1: 1, 2: 1, 3: 3, 5: 5}
+def _mutual(a, b, share):
+    both = min(a[1], b[1]) - max(a[0], b[0]) + 1
+    return both >= share * (a[1] - a[0] + 1) and both >= share * (b[1] - b[0] + 1)
+
+
+def test_first_fit_in_file_order(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        b, size = rng.randrange(3000), rng.choice([1, 2, 5, 40, 45, 50, 300, 350, 5000])
+        rows.append((i * 7 % 401, rng.choice(["DEL", "INV", "BND"]), rng.choice("cd"), b, b + size - 1, rng.randrange(3), rng.randrange(1000)))
+    df = spark.createDataFrame(rows, "sv long, sv_type string, chrom string, begin_pos long, end_pos long, dataset_idx int, ordinal int")
+    clusters, want = {}, {}
+    for sv, kind, chrom, b, e, _, _ in sorted(rows, key=lambda r: (r[5], r[6], r[0])):
+        if kind == "BND":
+            continue
+        for first, members in clusters.setdefault((kind, chrom), {}).items():
+            if any(_mutual((b, e), m, 0.8) for m in members):
+                members.append((b, e))
+                want[sv] = first
+                break
+        else:
+            clusters[kind, chrom][sv] = [(b, e)]
+            want[sv] = sv
+    assert {r["sv"]: r["cluster"] for r in merge.first_fit(df, 0.8).collect()} == want
+    assert merge.first_fit(df.where("false"), 0.8).count() == 0
+    for share in (0.5, 0.95, 1.0):
+        got = {(r["a"], r["b"]) for r in merge.overlapping_pairs(df, share).collect()}
+        assert got == {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1:3] == y[1:3] and _mutual(x[3:5], y[3:5], share)}
+
+
+def test_genotypes(spark):
+    rows = [(1, 1, 0, 0, "0/0", 9.9), (2, 1, 0, 1, "1/1", 4.0), (3, 1, 0, 2, "0/1", 1.0), (4, 1, 2, 0, "1/0", 7.0), (5, 5, 1, 0, "0/0", 2.0)]
+    df = spark.createDataFrame(rows, "sv long, cluster long, dataset_idx int, ordinal int, gt string, rd double")
+    got = {(r["cluster"], r["dataset_idx"]): (r["gt"], r["dp"]) for r in merge.genotypes(df, spark.range(3).selectExpr("cast(id as int) dataset_idx")).collect()}
+    assert got == {(1, 0): ("1/1", 4), (1, 1): ("0/0", 0), (1, 2): ("1/0", 7), (5, 0): ("0/0", 0), (5, 1): ("0/0", 2), (5, 2): ("0/0", 0)}
+
+
+def test_replay_against_one_pass_over_all(spark):
+    rng = random.Random(8)
+    rows = [(i, 0, rng.choice([0, 2]), rng.randrange(0, 1500), rng.randrange(0, 600)) for i in range(250)]
+    df = spark.createDataFrame(rows, "ev_id long, template_id int, orientation int, left_pos long, right_pos long")
+    hulls = []
+    for _, _, o, x, y in rows:
+        met = [h for h in hulls if h[0] == o and h[2] - 20 <= x <= h[3] + 20 and h[4] - 20 <= y <= h[5] + 20]
+        hulls = [h for h in hulls if h not in met]
+        every = [*met, (o, 1, x, x, y, y)]
+        hulls.append((o, sum(h[1] for h in every), min(h[2] for h in every), max(h[3] for h in every), min(h[4] for h in every), max(h[5] for h in every)))
+    got = sorted((r["orientation"], r["supp"], r["min_left"], r["max_left"], r["min_right"], r["max_right"]) for r in cluster.replayed(df, 20).collect())
+    assert got == sorted(hulls)
+
+
+def test_clusters_that_fall_apart_in_a_second_pass(spark):
+    # the right sides part the rows, and then the left sides no longer chain
+    rows = [(1, 0, 0, 0, 0, 0), (2, 0, 0, 0, 50, 900), (3, 0, 0, 0, 100, 0), (4, 0, 0, 0, 110, 40)]
+    df = spark.createDataFrame(rows, "ev_id long, template_id int, orientation int, kind int, left_pos long, right_pos long")
+    got = lambda passes: sorted((r["min_left"], r["supp"]) for r in cluster.breakpoints(df, 50, passes).collect())
+    assert got(1) == [(0, 3), (50, 1)] and got(0) == [(0, 1), (50, 1), (100, 2)]
+
+
+def test_numbers_in_order(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["DEL", "DUP", "DUP:TANDEM", "TRA", "INV"]), 0, rng.randrange(9000), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "sv_type string, template_id int, begin_pos long, bp_id long").withColumns({"end_pos": F.col("begin_pos") + 9, "status": F.lit("PASS"), "no": F.lit(None).cast("int")})
+    ends = spark.createDataFrame([("BND", 0, 5, 1000, 1), ("BND", 1, 9, 1000, 2), ("BND", 0, 1, 1001, 1), ("BND", 2, 3, 1001, 2)], "sv_type string, template_id int, begin_pos long, bp_id long, no int").withColumns({"end_pos": F.lit(None).cast("long"), "status": F.lit("PASS")})
+    got = {(r["bp_id"], r["no"]): r["sv_id"] for r in calls.numbered(df.unionByName(ends)).collect()}
+    want, seen = {}, {}
+    for kind, _, b, i in sorted(rows, key=lambda r: (r[0].split(":")[0], r[2], r[3])):
+        kind = kind.split(":")[0]
+        seen[kind] = seen.get(kind, -1 if kind == "TRA" else 0) + 1
+        want[i, None] = f"{kind}_{seen[kind]}"
+    assert got == want | {(1001, 1): "BND_1_1", (1001, 2): "BND_1_2", (1000, 1): "BND_2_1", (1000, 2): "BND_2_2"}
 
 
 def _distance(a, b):
