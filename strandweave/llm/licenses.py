@@ -50,6 +50,29 @@ def bigrams(text: str) -> Counter:
     return Counter(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))
 
 
+def telling_words(counted: dict[str, Counter], threshold: float) -> list[str]:
+    """Words of which every unit at the threshold holds one.
+
+    Such a unit shares t / (2 - t) of a template's bigrams at least, so it
+    holds one of any words that stand in more bigrams than may be missing.
+    Of each template the longest words are taken, until they are enough.
+    """
+    out: set[str] = set()
+    for grams in counted.values():
+        total = sum(grams.values())
+        missing = total - ceil(total * threshold / (2 - threshold) - 1e-9)
+        left = dict(grams)
+        for word in sorted({w for g in grams for w in g.split(" ")}, key=lambda w: (w not in out, -len(w), w)):
+            if total - sum(left.values()) > missing:
+                break
+            hit = [g for g in left if word in g.split(" ")]
+            if hit:
+                out.add(word)
+                for g in hit:
+                    del left[g]
+    return sorted(out)
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _BETWEEN), lambda w: w != "")
 
@@ -77,7 +100,13 @@ def license_hits(docs: DataFrame, templates: dict[str, str] | None = None, thres
     high = max((int(n * (2 - threshold) / threshold) for n in sizes.values()), default=0)
 
     text = F.col("__text")
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where(text.isNotNull() & (text != ""))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    telling = telling_words(counted, threshold)
+    if not telling:
+        return docs.select(F.col(id_col), F.lit("").alias("unit"), F.lit(0).cast("long").alias("unit_no"), F.lit("").alias("license_id"), F.lit(0.0).alias("dice")).where("false")
+    # texts without any of these words hold no unit that could match
+    may = F.lower(text).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(telling)})(?![\p{{L}}\p{{N}}])")
+    rows = rows.where(text.isNotNull() & (text != "") & may)
     blank = r"\n[ \t\r]*\n"
     numbered = lambda unit, parts: F.transform(parts, lambda body, no: F.struct(F.lit(unit).alias("unit"), no.alias("no"), body.alias("body")))
     lines = F.split(text, "\n")

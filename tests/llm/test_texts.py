@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandweave.llm import pii
 from strandweave.llm.chat import chat_digest, conversations, escape, unescape
 from strandweave.llm.decontaminate import Decontamination, contaminated, smith_waterman
-from strandweave.llm.licenses import TEMPLATES, license_hits
+from strandweave.llm.licenses import TEMPLATES, bigrams, license_hits, telling_words
 from strandweave.llm.quality_fm import FactorMachine, Model, quality
 from strandweave.llm.secrets import FEATURES, _features, candidates, labelled_findings, secrets, train
 from strandweave.llm.sentencepiece_viterbi import DEFAULT_MODEL, Codec, Pieces, encoded_and_checked
@@ -336,6 +336,20 @@ def test_licenses(spark):
     assert not any(g[0] in "34" for g in got)
 
 
+def test_units_at_the_threshold_hold_a_telling_word():
+    rng = random.Random(9)
+    counted = {k: bigrams(x) for k, x in TEMPLATES.items()}
+    telling = set(telling_words(counted, 0.8))
+    for name, grams in counted.items():
+        words = TEMPLATES[name].lower().split()
+        for _ in range(60):
+            kept = [w if rng.random() > 0.12 else "other" for w in words]
+            unit = bigrams(" ".join(kept))
+            dice = 2 * sum((unit & grams).values()) / (sum(unit.values()) + sum(grams.values()))
+            held = {w for g in unit for w in g.split(" ")}
+            assert dice < 0.8 or held & telling
+
+
 def test_licenses_inside_lines_and_whole(spark):
     full = TEMPLATES["MIT-full"].replace("conditions: ", "conditions:\n\n").replace("Software. THE", "Software.\n\nTHE")
     rows = [(1, "Copyright 2020 Example. Released under the MIT License. All else is prose."), (2, "x\n" * 20_000 + "Released under the MIT License."), (3, full)]
