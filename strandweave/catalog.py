@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandweave.fixtures import ctes, view
@@ -813,8 +812,51 @@ def evidence_cube(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(ctes("reads", "evidence") + " SELECT template_id, pos, last_value(depth IGNORE NULLS) OVER (PARTITION BY template_id ORDER BY pos, src, depth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS nearest, src FROM (SELECT template_id, CAST(begin_pos AS BIGINT) AS pos, read_id AS depth, 0 AS src FROM reads UNION ALL SELECT template_id, left_pos % 30000, NULL, 1 FROM evidence) QUALIFY src = 1")
 def asof_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """The last read that begins at or before each point, by one ordered pass over both."""
-    known = view(spark, sf, "reads").select("template_id", F.col("begin_pos").cast("long").alias("pos"), F.col("read_id").alias("depth"), F.lit(0).alias("src"))
-    asked = _evidence(spark, sf).select("template_id", (F.col("left_pos") % 30000).alias("pos"), F.lit(None).cast("long").alias("depth"), F.lit(1).alias("src"))
-    order = W.partitionBy("template_id").orderBy("pos", "src", "depth").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return known.unionByName(asked).withColumn("nearest", F.last("depth", ignorenulls=True).over(order)).where("src = 1").select("template_id", "pos", "nearest", "src")
+    """The last read that begins at or before each point."""
+    known = view(spark, sf, "reads").select("template_id", F.col("begin_pos").cast("long").alias("pos"), F.col("read_id").alias("nearest"))
+    asked = _evidence(spark, sf).select("template_id", (F.col("left_pos") % 30000).alias("pos"), F.lit(1).alias("src"))
+    return intervals.as_of(known, asked, "template_id", "pos", "nearest", coarse=4096).select("template_id", "pos", "nearest", "src")
+
+
+@query()
+def clip_placed(spark: SparkSession, sf: str) -> DataFrame:
+    """A stretch of each long enough sequence as a clip at its position 50, found again beyond: small deletions."""
+    dna = view(spark, sf, "dna").where("length(seq) >= 400").select(F.col("seq_id").cast("int").alias("template_id"), "seq")
+    rows = dna.select(F.col("template_id").cast("long").alias("clip_id"), "template_id", F.lit(False).alias("is_left"), *[F.lit(50).cast("long").alias(x) for x in ("lo", "hi", "mid")], F.lit(1).cast("long").alias("supp"), F.substring("seq", 151, 40).alias("seq"))
+    known = spark.createDataFrame([], "template_id int, right_template int, orientation int, l1 long, l2 long, r1 long, r2 long")
+    found = clips.clip_evidence(settled(rows), known, _chunks(spark, sf), 64, F.lit(300), O)
+    return found.select("clip_id", "orientation", "left_pos", "right_pos", "placed_pos", "placed_size")
+
+
+@query()
+def clip_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The far sides of breakpoints at a clip's position, each an inversion: the clip turned round is found there."""
+    dna = view(spark, sf, "dna").where("length(seq) >= 400").select(F.col("seq_id").cast("int").alias("template_id"), "seq")
+    rows = dna.select(F.col("template_id").cast("long").alias("clip_id"), "template_id", F.lit(True).alias("is_left"), *[F.lit(350).cast("long").alias(x) for x in ("lo", "hi", "mid")], F.lit(1).cast("long").alias("supp"), x.revcomp(F.substring("seq", 101, 30)).alias("seq"))
+    known = dna.select("template_id", F.col("template_id").alias("right_template"), F.lit(x.INVERTED).alias("orientation"), *[F.lit(v).cast("long").alias(n) for n, v in (("l1", 110), ("l2", 120), ("r1", 340), ("r2", 345))])
+    found = clips.partner_regions(settled(rows), known, O, False)
+    return clips.best_hits(found, _chunks(spark, sf), 64, O.clip_error_rate).select("clip_id", "orientation", "begin_pos", "end_pos", "edits")
+
+
+@query()
+def local_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """A stretch of each sequence with a letter left out, aligned to the first 300 letters."""
+    needle = F.concat(F.substring("seq", 31, 20), F.substring("seq", 52, 20))
+    pairs = view(spark, sf, "dna").where("length(seq) >= 100").select(F.col("seq_id").alias("qid"), F.col("seq_id").alias("rid"), needle.alias("needle"), F.substring("seq", 1, 300).alias("hay"))
+    return seqsearch.locally_aligned(pairs)
+
+
+@query(
+    ctes("dna")
+    + """, q AS (SELECT seq_id + 1000000 AS qid, substr(seq, 11, 60) AS qs FROM dna WHERE length(seq) >= 100 AND seq_id % 10 = 0),
+a AS (SELECT qid, i AS qp, substr(qs, CAST(i + 1 AS INT), 20) AS k FROM (SELECT qid, qs, unnest(range(length(qs) - 19)) AS i FROM q)),
+b AS (SELECT seq_id AS tid, i AS tp, substr(seq, CAST(i + 1 AS INT), 20) AS k FROM (SELECT seq_id, seq, unnest(range(length(seq) - 19)) AS i FROM dna WHERE length(seq) >= 20)),
+s AS (SELECT qid, tid, CAST(tp - qp AS INT) AS diagonal, count(*) AS seeds FROM a JOIN b USING (k) GROUP BY 1, 2, 3 HAVING count(*) >= 5)
+SELECT qid, tid, diagonal, seeds, CAST(diagonal AS BIGINT) AS hit_begin, CAST(diagonal + length(qs) AS BIGINT) AS hit_end,
+  CAST(len(list_filter(range(1, length(qs) + 1), lambda i: substr(qs, CAST(i AS INT), 1) <> substr(seq, CAST(i + diagonal AS INT), 1))) AS INT) AS edits
+FROM s JOIN q USING (qid) JOIN dna ON seq_id = tid WHERE diagonal >= 0 AND diagonal + length(qs) <= length(seq)"""
+)
+def seed_extension(spark: SparkSession, sf: str) -> DataFrame:
+    dna = settled(view(spark, sf, "dna"))
+    asked = dna.where("length(seq) >= 100 and seq_id % 10 = 0").select((F.col("seq_id") + 1_000_000).alias("seq_id"), F.substring("seq", 11, 60).alias("seq"))
+    return seqsearch.extended(seqsearch.seeded(asked, dna, 20), asked, dna, 20, 5)

@@ -122,3 +122,26 @@ def window_sums(depth: DataFrame, windows: DataFrame, key: str, wid: str, lo: st
     hit = bin_join(w, d, [key], ("__lo", "__hi"), ("start", "last"), size=size)
     part = F.least("__hi", "last") - F.greatest("__lo", "start") + 1
     return hit.groupBy(wid).agg(F.sum(part * F.col("depth")).alias("total"))
+
+
+def as_of(known: DataFrame, asked: DataFrame, key: str, pos: str, value: str, order: str | None = None, coarse: int = COARSE) -> DataFrame:
+    """``asked`` with ``value`` of the last row of ``known`` with the same key at or before its position, null if there is none.
+
+    Of known rows at one position the one with the greatest ``order`` (by
+    default ``value``) counts. Values are found within coarse bins, and a table
+    with one row per bin carries the last one across, so no key sits in one task.
+    """
+    order = order or value
+    place = F.struct(F.col(pos).alias("p"), F.col(order).alias("o"), F.col(value).alias("v"))
+    seen = known.where(F.col(pos).isNotNull()).select(key, F.floor(F.col(pos) / coarse).alias("__bin"), place.alias("__seen"))
+    last = seen.groupBy(key, "__bin").agg(F.max("__seen").alias("__last"))
+    bins = last.unionByName(asked.select(key, F.floor(F.col(pos) / coarse).alias("__bin"), F.lit(None).cast(last.schema["__last"].dataType).alias("__last"))).groupBy(key, "__bin").agg(F.max("__last").alias("__last"))
+    before = W.partitionBy(key).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
+    carried = bins.select(key, "__bin", F.last("__last", ignorenulls=True).over(before).alias("__carry"))
+    rows = asked.withColumns({"__bin": F.floor(F.col(pos) / coarse), "__row": F.struct(*[F.col(f"`{c}`") for c in asked.columns])}).select(key, "__bin", F.col(pos).alias("__at"), F.lit(1).alias("__src"), "__row")
+    found = seen.select(key, "__bin", F.col("__seen.p").alias("__at"), F.lit(0).alias("__src"), "__seen")
+    both = found.unionByName(rows, allowMissingColumns=True)
+    local = W.partitionBy(key, "__bin").orderBy("__at", "__src", "__seen").rowsBetween(W.unboundedPreceding, W.currentRow)
+    both = both.withColumn("__near", F.last("__seen", ignorenulls=True).over(local)).where("__src = 1")
+    out = _attached(both.select(key, "__bin", "__row", "__near"), carried, [key, "__bin"])
+    return out.select("__row.*", F.coalesce("__near", "__carry")["v"].alias(value))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions.columns import base_entropy, gc_content
-from strandweave.session import ship
+from strandweave.session import settled, ship
 
 
 def regions(chunks: DataFrame, wanted: DataFrame, chunk_size: int) -> DataFrame:
@@ -128,17 +128,92 @@ def placed_clip(orientation: Column, left_clip: Column, begin: Column, end: Colu
     return F.struct(left.alias("left"), right.alias("right"))
 
 
+#: Letters of a sequence that are cut into k-mers at once, and rows of a k-mer that one task joins.
+PIECE, HOT = 1024, 4096
+
+
 def kmers(seqs: DataFrame, k: int, sid: str = "seq_id", seq: str = "seq") -> DataFrame:
-    """(seq_id, pos, kmer) of each window of ``k`` letters."""
+    """(seq_id, pos, kmer) of each window of ``k`` letters.
+
+    Sequences are cut into pieces first, since a letter is reached by walking from the start.
+    """
     rows = seqs.where(F.length(seq) >= k)
-    return rows.select(sid, seq, F.explode(F.sequence(F.lit(0), F.length(seq) - k)).alias("pos")).select(sid, "pos", F.substring(F.col(seq), F.col("pos") + 1, F.lit(k)).alias("kmer"))
+    number = F.floor((F.length(seq) - k) / PIECE).cast("int")
+    pieces = rows.select(sid, seq, F.explode(F.sequence(F.lit(0), number)).alias("piece"))
+    pieces = pieces.select(sid, (F.col("piece") * PIECE).alias("base"), F.substring(F.col(seq), F.col("piece") * PIECE + 1, F.lit(PIECE + k - 1)).alias("part"))
+    each = pieces.select(sid, "base", "part", F.explode(F.sequence(F.lit(0), F.length("part") - k)).alias("at"))
+    return each.select(sid, (F.col("base") + F.col("at")).alias("pos"), F.substring(F.col("part"), F.col("at") + 1, F.lit(k)).alias("kmer"))
 
 
-def seeded(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
-    """(qid, tid, diagonal, seeds): shared k-mers per diagonal, by an equi-join of k-mers."""
+def seeded(queries: DataFrame, targets: DataFrame, k: int, hot: int = HOT) -> DataFrame:
+    """(qid, tid, diagonal, seeds): shared k-mers per diagonal, by an equi-join of k-mers.
+
+    A k-mer that stands in the targets more than ``hot`` times, and in more
+    than a thousandth of all places, is dealt to several tasks; no k-mer is dropped.
+    """
     q = kmers(queries, k).select(F.col("seq_id").alias("qid"), F.col("pos").alias("qp"), "kmer")
     t = kmers(targets, k).select(F.col("seq_id").alias("tid"), F.col("pos").alias("tp"), "kmer")
-    return q.join(t, "kmer").groupBy("qid", "tid", (F.col("tp") - F.col("qp")).alias("diagonal")).agg(F.count("*").alias("seeds"))
+    counts = settled(t.groupBy("kmer").agg(F.count("*").alias("n")))
+    limit = max(hot, (counts.agg(F.sum("n")).first()[0] or 0) // 1000)
+    # fewer than a thousand k-mers by the limit
+    many = F.broadcast(counts.where(F.col("n") > limit).select("kmer", F.ceil(F.col("n") / limit).cast("int").alias("parts")))
+    t = t.join(many, "kmer", "left").withColumn("part", F.pmod(F.xxhash64("tid", "tp"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    q = q.join(many, "kmer", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return q.join(t, ["kmer", "part"]).groupBy("qid", "tid", (F.col("tp") - F.col("qp")).alias("diagonal")).agg(F.count("*").alias("seeds"))
+
+
+def local_score(a: str, b: str, match: int = 1, mismatch: int = -1, gap: int = -1, opening: int = -2) -> tuple[int, int, int]:
+    """Best local alignment of ``a`` in ``b`` with affine gaps: (score, begin and end in ``b``, half-open); of equal ones the first to end."""
+    n = len(b)
+    score, gaps_down = [0] * (n + 1), [float("-inf")] * (n + 1)
+    origin, down_from = list(range(n + 1)), list(range(n + 1))
+    best = (0, 0, 0)
+    for x in a:
+        diagonal, diagonal_from = 0, 0
+        score[0], across, across_from = 0, float("-inf"), 0
+        for j in range(1, n + 1):
+            if score[j] + opening > gaps_down[j] + gap:
+                down_from[j] = origin[j]
+            gaps_down[j] = max(score[j] + opening, gaps_down[j] + gap)
+            if score[j - 1] + opening > across + gap:
+                across_from = origin[j - 1]
+            across = max(score[j - 1] + opening, across + gap)
+            straight = diagonal + (match if x == b[j - 1] else mismatch)
+            straight_from = diagonal_from
+            diagonal, diagonal_from = score[j], origin[j]
+            top = max(0, straight, gaps_down[j], across)
+            origin[j] = j if top == 0 else straight_from if top == straight else down_from[j] if top == gaps_down[j] else across_from
+            score[j] = top
+            if top > best[0]:
+                best = (int(top), origin[j], j)
+    return best
+
+
+def locally_aligned(pairs: DataFrame) -> DataFrame:
+    """``pairs(qid, rid, needle, hay)`` to (qid, rid, score, hit_begin, hit_end): the best local alignment of each pair that scores at all."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = [(q, r, *local_score(needle, hay)) for q, r, needle, hay in pdf[["qid", "rid", "needle", "hay"]].itertuples(index=False) if needle and hay]
+            yield pd.DataFrame([r for r in rows if r[2] > 0], columns=["qid", "rid", "score", "hit_begin", "hit_end"])
+
+    ship(pairs.sparkSession)
+    return pairs.mapInPandas(run, "qid long, rid long, score long, hit_begin long, hit_end long")
+
+
+def extended(seeds: DataFrame, queries: DataFrame, targets: DataFrame, k: int, least: int) -> DataFrame:
+    """(qid, tid, diagonal, seeds, hit_begin, hit_end, edits): seeded diagonals extended to the whole query without gaps.
+
+    Only diagonals of at least ``least`` seeds on which the query lies within
+    the target are extended; edits are the letters that differ.
+    """
+    q = queries.select(F.col("seq_id").alias("qid"), F.col("seq").alias("__q"))
+    t = targets.select(F.col("seq_id").alias("tid"), F.col("seq").alias("__t"))
+    rows = seeds.where(F.col("seeds") >= least).join(q, "qid").join(t, "tid")
+    rows = rows.where((F.col("diagonal") >= 0) & (F.col("diagonal") + F.length("__q") <= F.length("__t")))
+    here = F.substring(F.col("__t"), F.col("diagonal") + 1, F.length("__q"))
+    differ = F.aggregate(F.zip_with(F.split("__q", ""), F.split(here, ""), lambda x, y: (x != y).cast("int")), F.lit(0), lambda a, x: a + x)
+    return rows.select("qid", "tid", "diagonal", "seeds", F.col("diagonal").cast("long").alias("hit_begin"), (F.col("diagonal") + F.length("__q")).cast("long").alias("hit_end"), differ.alias("edits"))
 
 
 def pileup(reads: DataFrame, lo: str = "begin_pos", seq: str = "seq", key: str = "template_id") -> DataFrame:

@@ -89,12 +89,12 @@ def is_sorted(header: str) -> bool:
     return first[0] == "@HD" and "SO:coordinate" in first
 
 
-def bai_offsets(path: str) -> list[int]:
-    """Virtual offsets of record starts named by an index's linear part, sorted."""
+def bai_windows(path: str) -> list[list[int]]:
+    """Per contig, the virtual offsets of the first records that touch each stretch of 16,384 positions; 0 where there are none."""
     raw = _open(path).read()
     if raw[:4] != b"BAI\1":
         raise ValueError(f"not an index: {path}")
-    n, at, found = struct.unpack_from("<i", raw, 4)[0], 8, set()
+    n, at, out = struct.unpack_from("<i", raw, 4)[0], 8, []
     for _ in range(n):
         bins = struct.unpack_from("<i", raw, at)[0]
         at += 4
@@ -103,9 +103,25 @@ def bai_offsets(path: str) -> list[int]:
             at += 8 + 16 * chunks
         windows = struct.unpack_from("<i", raw, at)[0]
         at += 4
-        found.update(x for x in struct.unpack_from(f"<{windows}Q", raw, at) if x)
+        out.append(list(struct.unpack_from(f"<{windows}Q", raw, at)))
         at += 8 * windows
-    return sorted(found)
+    return out
+
+
+def bai_offsets(path: str) -> list[int]:
+    """Virtual offsets of record starts named by an index's linear part, sorted."""
+    return sorted({x for windows in bai_windows(path) for x in windows if x})
+
+
+def parse_region(text: str, contigs: list[tuple[str, int]]) -> tuple[int, int, int]:
+    """``name`` or ``name:begin-end`` (from 1, both ends included) to (contig, begin, end), half-open from 0."""
+    names = [n for n, _ in contigs]
+    name, _, span = (text, "", "") if text in names else text.rpartition(":")
+    if name not in names:
+        raise ValueError(f"no such contig: {text}")
+    rid = names.index(name)
+    first, _, last = span.replace(",", "").partition("-")
+    return rid, int(first) - 1 if first else 0, int(last) if last else contigs[rid][1]
 
 
 def _tags(raw: bytes) -> dict[str, str]:
@@ -141,20 +157,45 @@ def _record(raw: bytes, ordinal: int) -> tuple:
     return (ordinal, rid, pos, map_q, flag, next_rid, next_pos, tlen, cigar, raw[32 : at - len(packed) - 4 * n_cigar - 1].decode(), seq, qual, _tags(raw[at + n_seq :]))
 
 
+def _last(raw: bytes, pos: int) -> int:
+    """The last position of a record on the reference."""
+    n_name, n_cigar = raw[8], struct.unpack_from("<H", raw, 12)[0]
+    ops = struct.unpack_from(f"<{n_cigar}I", raw, 32 + n_name)
+    return pos + max(1, sum(x >> 4 for x in ops if _OPS[x & 15] in "MDN=X")) - 1
+
+
 class _Stretch(InputPartition):
-    def __init__(self, path: str, begin: int, end: int | None, number: int):
+    def __init__(self, path: str, begin: int, end: int | None, number: int, what: tuple | None = None):
         super().__init__(None)
-        self.path, self.begin, self.end, self.number = path, begin, end, number
+        self.path, self.begin, self.end, self.number, self.what = path, begin, end, number, what
 
 
 class BamReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = [p for p in options["path"].split(",") if p]
         self.splits = int(options.get("splits", 64))
+        self.region = options.get("region")
+
+    def _in_region(self, path: str, number: int) -> _Stretch:
+        """The stretch from the first record that may touch the region; its end is found while reading."""
+        _, contigs, first = bam_header(path)
+        region = parse_region(self.region, contigs)
+        try:
+            windows = bai_windows(path + ".bai")[region[0]]
+            after = windows[region[1] >> 14 :]
+            first = max([first, next((x for x in reversed(windows[: (region[1] >> 14) + 1]) if x), 0)]) if after or windows else first
+        except OSError:
+            pass
+        return _Stretch(path, first, None, number, region)
 
     def partitions(self) -> list[InputPartition]:
-        """With an index beside it a file falls into stretches between record starts; without, it is one stretch."""
+        """With an index beside it a file falls into stretches between record starts; without, it is one stretch.
+
+        A region is one stretch a file, begun by the index and left at the first record beyond.
+        """
         out: list[InputPartition] = []
+        if self.region:
+            return [self._in_region(path, k) for k, path in enumerate(self.paths)]
         for path in self.paths:
             first = bam_header(path)[2]
             cuts = [first]
@@ -175,13 +216,20 @@ class BamReader(DataSourceReader):
             head = r.read(4)
             if len(head) < 4:
                 break
+            raw = r.read(struct.unpack("<i", head)[0])
             # file order: the stretch's number, then the record's within it
-            yield _record(r.read(struct.unpack("<i", head)[0]), part.number << 40 | k)
-            k += 1
+            order, k = part.number << 40 | k, k + 1
+            if part.what:
+                rid, pos = struct.unpack_from("<ii", raw)
+                if rid < 0 or rid > part.what[0] or (rid == part.what[0] and pos >= part.what[2]):
+                    break
+                if rid < part.what[0] or _last(raw, pos) < part.what[1]:
+                    continue
+            yield _record(raw, order)
 
 
 class BamSource(DataSource):
-    """``spark.read.format("bam").load("a.bam,b.bam")``."""
+    """``spark.read.format("bam").load("a.bam,b.bam")``; with option ``region`` (``chr1:1000-2000``), of a sorted file only what touches it."""
 
     @classmethod
     def name(cls) -> str:
@@ -236,13 +284,14 @@ class FastaReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
-        for tid, (_, length, *_) in enumerate(fasta_index(self.path)):
+        for tid, entry in enumerate(fasta_index(self.path)):
+            length = entry[1]
             last = (length + self.chunk - 1) // self.chunk
-            out += [_Stretch(self.path, a, min(last, a + self.per), tid) for a in range(0, last, self.per)]
+            out += [_Stretch(self.path, a, min(last, a + self.per), tid, entry) for a in range(0, last, self.per)]
         return out
 
     def read(self, part: _Stretch) -> Iterator[tuple]:
-        name, length, offset, bases, width = fasta_index(self.path)[part.number]
+        name, length, offset, bases, width = part.what
         with _open(self.path) as f:
             for no in range(part.begin, part.end or 0):
                 a, b = no * self.chunk, min(length, (no + 1) * self.chunk)

@@ -157,3 +157,41 @@ def test_regions(spark):
     assert {r["rid"]: r["seq"] for r in seqsearch.regions(chunks, wanted, 4).collect()} == {1: "GTTTTTG", 2: "GG", 3: ""}
 
 
+def test_as_of(spark):
+    rng = random.Random(4)
+    known = [(rng.choice([1, 2]), rng.randrange(500), rng.randrange(99)) for _ in range(60)]
+    asked = [(rng.choice([1, 2, 3]), rng.randrange(-5, 520), i) for i in range(80)]
+    a, b = spark.createDataFrame(known, "k int, p long, v long"), spark.createDataFrame(asked, "k int, p long, i int")
+    got = {r["i"]: r["v"] for r in intervals.as_of(a, b, "k", "p", "v", coarse=64).collect()}
+    want = {i: max(((p, v) for k2, p, v in known if k2 == k and p <= at), default=(None, None))[1] for k, at, i in asked}
+    assert got == want
+
+
+def test_seeds_with_a_hot_word(spark):
+    a = spark.createDataFrame([(1, "A" * 30), (2, "ACGTACGTAC")], "seq_id long, seq string")
+    b = spark.createDataFrame([(7, "A" * 60 + "ACGTACGTAC"), (8, "ACGTACGTAC" * 200)], "seq_id long, seq string")
+    want = {}
+    for q, x in ((1, "A" * 30), (2, "ACGTACGTAC")):
+        for t, y in ((7, "A" * 60 + "ACGTACGTAC"), (8, "ACGTACGTAC" * 200)):
+            for i in range(len(x) - 4):
+                for j in range(len(y) - 4):
+                    if x[i : i + 5] == y[j : j + 5]:
+                        want[q, t, j - i] = want.get((q, t, j - i), 0) + 1
+    got = {(r["qid"], r["tid"], r["diagonal"]): r["seeds"] for r in seqsearch.seeded(a, b, 5, hot=3).collect()}
+    assert got == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ACGT", min_size=1, max_size=12), st.text("ACGT", min_size=1, max_size=14))
+def test_local_alignment_matches_the_plain_recurrence(a, b):
+    low = float("-inf")
+    h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    e = [[low] * (len(b) + 1) for _ in range(len(a) + 1)]
+    f = [[low] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            e[i][j] = max(e[i][j - 1] - 1, h[i][j - 1] - 2)
+            f[i][j] = max(f[i - 1][j] - 1, h[i - 1][j] - 2)
+            h[i][j] = max(0, h[i - 1][j - 1] + (1 if x == y else -1), e[i][j], f[i][j])
+    score, begin, end = seqsearch.local_score(a, b)
+    assert score == max(max(r) for r in h) and (score == 0 or begin < end)

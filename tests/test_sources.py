@@ -39,6 +39,53 @@ def test_bam(spark, tmp_path):
     assert [tuple(r) for r in alignments.contigs(spark, str(path)).collect()] == [(0, "chr1", 1000)]
 
 
+def test_bam_region(spark, tmp_path):
+    header = "@HD\tVN:1.6\tSO:coordinate\n@SQ\tSN:chr1\tLN:90000\n@SQ\tSN:chr2\tLN:90000\n"
+    top = b"BAM\1" + struct.pack("<i", len(header)) + header.encode() + struct.pack("<i", 2) + b"".join(struct.pack("<i", 5) + n + b"\0" + struct.pack("<i", 90000) for n in (b"chr1", b"chr2"))
+    places = [(c, p) for c in (0, 1) for p in range(0, 80000, 500)]
+    blocks, where, at = [_block(top)], {}, len(_block(top))
+    for c, p in places:
+        where[c, p] = at << 16
+        blocks.append(_block(_bam_record(f"r{c}:{p}", 0, c, p, 60, [(90, "M"), (20, "N"), (10, "M"), (4, "S")], seq="A" * 104)))
+        at += len(blocks[-1])
+    path = tmp_path / "a.bam"
+    path.write_bytes(b"".join(blocks) + _block(b""))
+    alignments.register(spark)
+
+    def read(region):
+        return [r["qname"] for r in spark.read.format("bam").option("region", region).load(str(path)).orderBy("ordinal").collect()]
+
+    def checked():
+        assert read("chr2:40101-41000") == ["r1:40000", "r1:40500"]
+        assert read("chr2:40121-40500") == [] and read("chr1:1-1") == ["r0:0"]
+        assert len(read("chr1")) == 160 and read("chr2:79,900-90,000") == []
+
+    checked()
+    index = b"BAI\1" + struct.pack("<i", 2)
+    for c in (0, 1):
+        windows = [min(v for (d, p), v in where.items() if d == c and p + 119 >= w << 14) for w in range(5)]
+        index += struct.pack("<i", 0) + struct.pack("<i", len(windows)) + struct.pack(f"<{len(windows)}Q", *windows)
+    (tmp_path / "a.bam.bai").write_bytes(index)
+    checked()
+    assert spark.read.format("bam").load(str(path)).count() == len(places)
+
+
+def test_headers_and_samples(spark, tmp_path):
+    lines = vcf.header("merge")
+    assert {"MIN_SC", "OUTTARGETPOS", "DP", "GT"} <= {x.split("ID=")[1].split(",")[0] for x in lines if "ID=" in x}
+    called = {x.split("ID=")[1].split(",")[0] for x in vcf.header("call") if "ID=" in x}
+    assert {"GC", "CP", "CE", "IMPRECISE", "FILTERED"} <= called
+    (tmp_path / "a.vcf").write_text("\n".join([*lines, "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tone\ttwo"]) + "\n")
+    assert vcf.vcf_header(spark, str(tmp_path / "a.vcf")) == (lines, ["one", "two"])
+
+
+def test_breakpoint_table(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 5, 9, 4), (0, 1, 9, 2)], "template_id int, final_left long, final_right long, se long")
+    vcf.breakpoint_table(rows, str(tmp_path / "t"))
+    got = spark.read.csv(str(tmp_path / "t"), sep="\t", header=True).collect()
+    assert sorted((r["final_left"], r["se"]) for r in got) == [("1", "2"), ("5", "4")]
+
+
 def test_fasta(spark, tmp_path):
     path = tmp_path / "a.fa"
     path.write_text(">one x\nACGTA\nCGTAC\nGT\n>two\nTTTT\n")
