@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` applies
 them in order to ``documents``. All but the last return the columns of
 documents.
+
+In every stage null and empty texts and null ids are rows like others: they
+aren't near copies, hold no test item and no personal data, and stay, unless
+the classifier rejects an empty text. Rows that repeat stay or go together.
+Further columns are left out. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -331,5 +331,10 @@ def contaminated(docs: DataFrame, items: DataFrame, p: Decontamination = Deconta
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, p: Decontamination = Decontamination(), id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without those that hold a test item, with all columns; rows with a null id stay."""
+    """``docs`` without those that hold a test item, with all columns.
+
+    Rows with a null id stay, as do null and empty texts. Of rows that repeat
+    an id all go if the text of any of them holds an item. An empty table of
+    items leaves all, an empty one of documents gives an empty result.
+    """
     return docs.join(contaminated(docs, items, p, id_col).select(id_col).distinct(), id_col, "left_anti")

@@ -138,8 +138,9 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "
     that is the row's own id. A null or wordless text has no shingles and links
     with nothing. Rows that repeat an id are one document, linked if any of its
     texts is; each gets a row. A row with a null id links with nothing, and is
-    kept with a null component. An empty table gives an empty result. Other
-    columns aren't read, so their names can't clash.
+    kept with a null component. Texts are read whole, however long; ties don't
+    matter, since every link counts. An empty table gives an empty result.
+    Other columns aren't read, so their names can't clash.
     """
     batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -319,6 +320,10 @@ def _verified(texts: DataFrame, pairs: DataFrame, p: NearDedup) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without near duplicates: of each component the smallest id's rows stay, with all columns."""
+    """``docs`` without near duplicates: of each component the smallest id's rows stay, with all columns.
+
+    Rows that repeat that id all stay, as do rows with a null id and texts
+    without words. An empty table gives an empty result.
+    """
     gone = near_duplicates(docs, p, id_col, text_col).where("not kept").select(id_col).distinct()
     return docs.join(gone, id_col, "left_anti")

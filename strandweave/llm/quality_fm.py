@@ -1,5 +1,8 @@
 """Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
 
+Metadata are the sizes of a text (bytes, words, lines); its id, language and
+source are never read.
+
 score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2)),
 linear in the features present by the sum-of-squares identity.
 """
@@ -166,8 +169,9 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def quality(docs: DataFrame, labels: DataFrame, p: FactorMachine = FactorMachine(), threshold: float = 0.7) -> DataFrame:
     """Per row of ``docs``: (doc_id, held_out, score, predicted).
 
-    A null id has held_out null. Other columns aren't read, so their names
-    can't clash. An empty table gives an empty result.
+    A null id has held_out null. Texts are scored whole, however long; equal
+    texts score alike, and rows repeat as they do in ``docs``. Other columns
+    aren't read, so their names can't clash. An empty table gives an empty result.
     """
     out = scored(docs, fit(docs, labels, p))
     return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -176,8 +180,9 @@ def quality(docs: DataFrame, labels: DataFrame, p: FactorMachine = FactorMachine
 def keep_good(docs: DataFrame, labels: DataFrame, p: FactorMachine = FactorMachine(), threshold: float = 0.7) -> DataFrame:
     """``docs`` without the rows scored under ``threshold``, with all columns, in one pass.
 
-    Null texts are scored as empty ones. Columns must be of types that Arrow
-    carries; none is interpreted but the text.
+    Null and empty texts are scored as empty ones; rows repeat, and ids may be
+    null. Columns must be of types that Arrow carries; none is interpreted but
+    the text. An empty table gives an empty result.
     """
     model = fit(docs, labels, p)
     names = docs.columns

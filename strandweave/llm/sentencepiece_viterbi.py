@@ -321,8 +321,13 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id",
 
 
 def decode(encoded: DataFrame, model: str = DEFAULT_MODEL, out_col: str = "decoded") -> DataFrame:
-    """``encoded`` and the text that its ``ids`` spell; null ids give null."""
+    """``encoded`` and the text that its ``ids`` spell; null ids give null.
+
+    A column named as ``out_col`` is replaced. Rows repeat; an empty table
+    gives an empty result.
+    """
     batches(encoded.sparkSession)
+    encoded = encoded.drop(out_col)
     pieces = Pieces.load(model)
     names, place = [*encoded.columns, out_col], encoded.columns.index("ids")
 
@@ -341,7 +346,10 @@ def decode(encoded: DataFrame, model: str = DEFAULT_MODEL, out_col: str = "decod
 def encoded_and_checked(docs: DataFrame, model: str = DEFAULT_MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_ids, ids, round_trip): the ids, and whether they spell the text again exactly.
 
-    :func:`encode` and :func:`decode` in one pass over the texts.
+    :func:`encode` and :func:`decode` in one pass over the texts. A null text
+    has null ids and n_ids 0, an empty one no ids. Texts of any length are read
+    whole, through a window. Ids repeat and may be null; other columns aren't
+    read; an empty table gives an empty result.
     """
     batches(docs.sparkSession)
     pieces = Pieces.load(model)

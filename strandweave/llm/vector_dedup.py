@@ -312,8 +312,9 @@ def near_vectors(vectors: DataFrame, p: Descent = Descent(), id_col: str = "vec_
     null, empty, zero, or hold null or non-finite components link with
     nothing. A shorter vector counts as padded with zeros. Equal vectors link.
     Rows that repeat an id count as further vectors of that id and share its
-    component. A row with a null id links with nothing and is kept. Other
-    columns aren't read. An empty table gives an empty result.
+    component. A row with a null id links with nothing and is kept. Ties
+    among neighbours don't matter, since every link counts. Other columns
+    aren't read, so their names can't clash. An empty table gives an empty result.
     """
     batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))

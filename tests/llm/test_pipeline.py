@@ -31,3 +31,27 @@ def test_stages_against_their_operators(spark):
     assert not any("@mail" in r["text"] for r in told.collect())
     out = cp.token_stage(spark, told, SF)
     assert out.where("not round_trip").count() == 0 and ids(out) == ids(clean)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_stages_on_odd_rows(spark):
+    import corpus_pipeline as cp
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, id int, decoded string"
+    prose = "The house stands by the water, and the light of the morning falls on the old stones. " * 8
+    mail = prose + "Write to ann@mail.org."
+    rows = [(1, prose, "en", "a", len(prose)), (1, prose, "en", "a", len(prose)), (2, None, None, None, None), (None, mail, "en", "a", 9), (None, None, None, None, None), (3, "", "en", "a", 0), (4, mail, "en", "a", len(mail))]
+    docs = spark.createDataFrame([(*r, "k", 7, "d") for r in rows], schema)
+    for name, stage_of in cp.STAGES:
+        out = stage_of(spark, docs, SF)
+        found = sorted((str(r["doc_id"]) for r in out.select("doc_id").collect()))
+        assert set(found) <= {"1", "2", "3", "4", "None"} and found.count("1") in (0, 2), name
+        if name != "sentencepiece":
+            assert out.columns == list(cp.COLUMNS)
+        if name in ("decontamination", "pii", "sentencepiece"):
+            assert found == ["1", "1", "2", "3", "4", "None", "None"]
+        if name == "near dedup":
+            assert {"1", "2", "3"} <= set(found) and found.count("None") == 2
+        assert stage_of(spark, docs.where("false"), SF).count() == 0, name
+    told = {r["doc_id"]: r for r in cp.pii_stage(spark, docs.where("doc_id = 4"), SF).collect()}
+    assert "ann@mail" not in told[4]["text"] and told[4]["n_chars"] == len(told[4]["text"])

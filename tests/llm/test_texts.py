@@ -14,7 +14,8 @@ from strandweave.llm.decontaminate import Decontamination, contaminated, smith_w
 from strandweave.llm.licenses import TEMPLATES, bigrams, license_hits, telling_words
 from strandweave.llm.quality_fm import FactorMachine, Model, quality
 from strandweave.llm.secrets import FEATURES, _features, candidates, labelled_findings, secrets, train
-from strandweave.llm.sentencepiece_viterbi import DEFAULT_MODEL, Codec, Pieces, encoded_and_checked
+from strandweave.llm.minhash_dedup import near_duplicates
+from strandweave.llm.sentencepiece_viterbi import DEFAULT_MODEL, Codec, Pieces, decode, encode, encoded_and_checked
 from strandweave.llm.sharding import shard_digest, shuffled_shards
 
 DOCS = "doc_id long, text string, source string"
@@ -356,3 +357,55 @@ def test_licenses_inside_lines_and_whole(spark):
     got = {(r["doc_id"], r["unit"], r["unit_no"], r["license_id"]) for r in license_hits(docs_of(spark, rows).withColumn("unit", F.lit("mine"))).collect()}
     assert (1, "sentence", 1, "MIT") in got and (2, "line", 20_000, "MIT") in got and (3, "file", 0, "MIT-full") in got
     assert license_hits(docs_of(spark, rows).where("false")).count() == 0
+
+
+# --- all of them ------------------------------------------------------------------------------
+
+
+def test_scores_match_the_sum_over_pairs(spark):
+    import numpy as np
+
+    from strandweave.llm.quality_fm import features, fit, scored
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["a", "house", "X1", "buy!", "the"]) for _ in range(rng.randrange(12)))) for i in range(40)] + [(40, None), (41, "")]
+    docs, p = docs_of(spark, rows), FactorMachine(buckets=64, epochs=3)
+    model = fit(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"), p)
+    got = {r["doc_id"]: r["score"] for r in scored(docs, model).collect()}
+    for (i, _), (at, x) in zip(rows, features([(t or "").encode() for _, t in rows], p.buckets), strict=True):
+        pairs = sum((model.v[a] @ model.v[b]) * x[k] * x[m] for k, a in enumerate(at) for m, b in enumerate(at) if k < m)
+        assert np.isclose(got[i], 1 / (1 + np.exp(-(model.bias + model.w[at] @ x + pairs))))
+
+
+def test_columns_with_clashing_names(spark):
+    names = ["id", "item", "gram", "score", "held_out", "shard", "__id", "start", "unit", "u", "w", "c", "hits", "surrogate", "kind", "key", "n_ids"]
+    text = "Released under the MIT License. token = \"9233a8ecf7c5b09fe5949719b6b82bc439e9329b\" and mail ann@mail.org once"
+    docs = spark.createDataFrame([(1, text, "src")], DOCS).select("*", *[F.lit("x").alias(n) for n in names])
+    items = spark.createDataFrame([(5, text)], "item_id long, text string").withColumn("gram", F.lit(1)).withColumn("id", F.lit(2))
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int").withColumn("text", F.lit("y")).withColumn("score", F.lit(0))
+    assert [(r["doc_id"], r["item_id"]) for r in contaminated(docs, items).collect()] == [(1, 5)]
+    assert quality(docs, labels).count() == 1 and encoded_and_checked(docs).first()["round_trip"]
+    assert shuffled_shards(docs).first()["shard"] == 0 and pii.replaced(docs).first()["n_replaced"] == 1
+    assert secrets(docs).first()["length"] == 40 and {r["license_id"] for r in license_hits(docs).collect()} == {"MIT"}
+    talk = spark.createDataFrame([("t", 1, None, "user", "q", 1.0, "x", 2)], "tree string, node long, parent long, role string, text string, score double, key string, depth int")
+    assert conversations(talk).first()["n_turns"] == 1
+
+
+def test_long_texts(spark):
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(3000)]
+    item = " ".join(rng.choice(words) for _ in range(30))
+    text = " ".join(rng.choice(words) for _ in range(150_000)) + " " + item + " token = \"9233a8ecf7c5b09fe5949719b6b82bc439e9329b\".\nReleased under the MIT License."
+    docs = docs_of(spark, [(1, text), (2, text), (3, "x" * 1_000_000)])
+    tests = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in contaminated(docs, tests).collect()} == {(1, 5), (2, 5)}
+    assert quality(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).count() == 3
+    assert {r["doc_id"] for r in secrets(docs).collect()} == {1, 2} and {r["doc_id"] for r in license_hits(docs).collect()} == {1, 2}
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    talk = spark.createDataFrame([("t", 1, None, "user", text, 1.0)], "tree string, node long, parent long, role string, text string, score double")
+    assert len(conversations(talk).first()["formatted"]) > len(text)
+
+
+def test_decode_replaces_a_column(spark):
+    out = decode(encode(docs_of(spark, [(1, "abc"), (2, None)])).withColumn("decoded", F.lit("old")))
+    assert {r["doc_id"]: r["decoded"] for r in out.collect()} == {1: "abc", 2: None}
