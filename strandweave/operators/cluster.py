@@ -162,11 +162,12 @@ def replayed(evidence: DataFrame, tol: int, order: str = "ev_id") -> DataFrame:
     Each record joins all clusters whose hulls, widened by the tolerance, it
     meets on both sides, and so joins them to one another; a hull that has
     grown is compared again only when a next record comes. The result depends
-    on the order, so islands of the canonical clustering of hulls are the
-    finest exact unit: records of different left islands never meet.
+    on the order. A hull lies within the records that it joins, so groups that
+    twice the tolerance parts on either side never meet, and clusters at that
+    tolerance are exact units.
     """
     ship(evidence.sparkSession)
-    rows = islands(evidence, KEYS, "left_pos", "left_pos", 2 * tol, "__island")
+    rows = clustered(evidence, 2 * tol)
     schema = "template_id int, orientation int, cluster long, supp long, min_left long, max_left long, min_right long, max_right long"
 
     def replay(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -179,4 +180,4 @@ def replayed(evidence: DataFrame, tol: int, order: str = "ev_id") -> DataFrame:
             hulls = [*rest, [low[0], sum(h[1] for h in joined), low[2], high[3], low[4], high[5]]]
         return pd.DataFrame([(key[0], key[1], *h) for h in hulls], columns=[x.split()[0] for x in schema.split(", ")])
 
-    return rows.groupBy(*KEYS, "__island").applyInPandas(replay, schema)
+    return rows.groupBy(*KEYS, "left_island", "right_island").applyInPandas(replay, schema)
