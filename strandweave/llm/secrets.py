@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from strandweave.llm.common import let
 
-# fixed values: what a candidate is
+# fixed values: what a candidate is, and what marks the keys of some issuers
 _KEYWORD = "passwd|password|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|secret[_-]?key|auth[_-]?key|credentials?"
 #: A private key's block, whole.
 _BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=,:\s-]*+"
@@ -33,9 +33,10 @@ DICTIONARY = "the and for with from this that name user users data file path tes
 _KEYISH = r"(?i)(key|token|secret|passw|pwd|auth|bearer|credential|api|access|private)"
 _HASHISH = r"(?i)(commit|sha[0-9]*|md5|hash|checksum|digest|uuid|guid|etag|version|build|revision|integrity|doi|isbn)"
 _PLACEHOLDER = r"(?i)(example|placeholder|changeme|change_me|your[_-]?|dummy|redacted|xxxx|\*\*\*\*|\$\{|%\(|^none$|^null$|^true$|^false$|process\.env|os\.environ|getenv)"
+_MARKED = r"^(?:A(?:KIA|SIA|IDA|GPA|ROA)[A-Z2-7]{12}|gh[pousr]_|glpat-|sk-|xox[abprs]-|AIza|ya29|eyJ|-----BEGIN )"
 _TESTPATH = r"(?i)(test|example|sample|fixture|mock|lock|vendor|min\.js)"
 
-FEATURES = ("length", "turns", "digits", "uppers", "distinct", "hex", "covered", "test_path", "keyish", "hashish", "assigned", "quoted", "slashes", "dashes", "letters", "others", "vowels", "block", "placeholder")
+FEATURES = ("marked", "length", "turns", "digits", "uppers", "distinct", "hex", "covered", "test_path", "keyish", "hashish", "assigned", "quoted", "slashes", "dashes", "letters", "others", "vowels", "block", "placeholder")
 
 
 def _features(c: Column, before: Column, after: Column, path: Column) -> list[Column]:
@@ -50,6 +51,7 @@ def _features(c: Column, before: Column, after: Column, path: Column) -> list[Co
     turns = r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])"
     left = F.length(F.regexp_replace(F.lower(c), "(" + "|".join(sorted(DICTIONARY, key=len, reverse=True)) + ")", ""))
     cols = [
+        flag(c.rlike(_MARKED)),
         n,
         share(turns),
         share("[0-9]"),
@@ -73,24 +75,24 @@ def _features(c: Column, before: Column, after: Column, path: Column) -> list[Co
     return [x.cast("double").alias(name) for x, name in zip(cols, FEATURES, strict=True)]
 
 
-def labelled_findings(spark: SparkSession, rows: int = 6000, salt: str = "finding") -> DataFrame:
+def labelled_findings(spark: SparkSession, rows: int = 9600, salt: str = "finding") -> DataFrame:
     """(candidate, before, after, path, label): ``rows`` findings generated by rule, half of them secrets; ``salt`` draws others.
 
     Secrets are random hex, base64, alphanumeric and all-letter strings and
-    passwords set to keys, and private keys. False positives are digests,
-    commit ids, identifiers and paths of words and numbers, long words, code
-    and placeholders that are set to keys, and random strings in test paths. These stand in
+    passwords set to keys, keys marked by their issuer, and private keys. False positives are digests,
+    commit ids, identifiers and paths of words and numbers, long words and
+    numbers in prose, code and placeholders that are set to keys, and random strings in test paths. These stand in
     for findings that people have judged; pass your own for your code.
     """
     h = F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256)
     at = lambda k, size: F.conv(F.substring(h, k, 3), 16, 10).cast("int") % size
-    pick = F.col("id") % 20
+    pick = F.col("id") % 24
     one_of = lambda k, xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (at(k, len(xs)) + 1).cast("int"))
     word = lambda k: one_of(3 * k + 1, DICTIONARY)
     b64 = F.regexp_replace(F.base64(F.unhex(h)), "=", "")
     letters = F.regexp_replace(F.concat(b64, F.base64(F.unhex(F.reverse(h)))), "[^A-Za-z]", "")
     case = F.when(F.col("id") % 3 == 0, F.upper(h)).otherwise(h)
-    size = one_of(31, (20, 32, 40, 40, 64)).cast("int")
+    size = one_of(31, (12, 16, 20, 32, 40, 40, 64)).cast("int")
     secret_of = {
         0: F.substring(case, F.lit(1), size), 1: F.substring(case, F.lit(1), size), 2: F.substring(h, F.lit(3), F.lit(40)), 3: b64,
         4: F.substring(F.regexp_replace(b64, "[+/]", "x"), F.lit(1), one_of(33, (16, 20, 24, 32)).cast("int")),
@@ -98,28 +100,33 @@ def labelled_findings(spark: SparkSession, rows: int = 6000, salt: str = "findin
         6: F.concat(F.substring(letters, 1, 4), F.lit("!"), F.substring(h, 5, 3), one_of(35, ("#", "&", "$", "@", "%")), F.substring(letters, 9, 4)),
         7: F.concat(F.initcap(word(3)), F.substring(h, 7, 2), one_of(37, ("!", "?", "*", "&3!")), F.substring(letters, 3, 5)),
         8: F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), b64, F.lit("\n"), F.reverse(b64), F.lit("\n-----END RSA PRIVATE KEY-----")),
-        9: F.concat(one_of(39, ("ghp_", "sk-", "AKIA", "xoxb-")), F.substring(letters, 1, 12), F.substring(h, 9, 12)),
+        10: F.substring(h, F.lit(5), one_of(31, (12, 16, 18, 20, 24)).cast("int")), 11: F.substring(F.regexp_replace(b64, "[+/]", ""), F.lit(1), one_of(33, (8, 10, 12, 14)).cast("int")),
+        9: F.when(F.col("id") % 48 < 24, F.concat(one_of(39, ("ghp_", "sk-", "xoxb-", "glpat-")), F.substring(letters, 1, 12), F.substring(h, 9, 12))).otherwise(F.concat(one_of(39, ("AKIA", "ASIA", "AIDA", "AGPA")), F.substring(F.upper(F.regexp_replace(b64, "[^A-Za-z2-7]", "")), 1, 16))),
     }
+    parts = ("er", "tion", "an", "sche", "lich", "os", "re", "ga", "ment", "ba", "ing", "ver", "ne", "ul", "dad", "eux")
+    invented = F.concat(*[one_of(k, parts) for k in (3, 9, 15, 21, 27, 33)])
     false_of = {
-        10: F.substring(case, F.lit(1), size), 11: F.substring(h, F.lit(1), F.lit(40)),
-        12: F.concat_ws("-", word(0), word(1), word(2), at(40, 4000).cast("string")), 13: F.concat_ws("_", word(3), word(4), word(5), word(6)),
-        14: F.concat_ws("/", word(6), word(7), at(47, 4000).cast("string"), word(8)), 15: F.concat(word(1), word(2), word(3), word(4)),
-        16: F.concat(F.initcap(word(1)), F.initcap(word(2)), F.initcap(word(3)), F.initcap(word(4))),
-        17: one_of(41, ("your_api_key_here", "changeme", "<placeholder>", "${SECRET_TOKEN}", "process.env.TOKEN", "xxxxxxxxxxxxxxxx", "os.environ[KEY]", "example_token_value", "None", "getenv(KEY)")),
-        18: F.concat(word(2), F.lit("."), word(3), F.lit("_"), word(4)), 19: F.substring(case, F.lit(1), size),
+        12: F.substring(case, F.lit(1), size), 13: F.substring(h, F.lit(1), F.lit(40)),
+        14: F.concat_ws("-", word(0), word(1), word(2), at(40, 4000).cast("string")), 15: F.concat_ws("_", word(3), word(4), word(5), word(6)),
+        16: F.concat_ws("/", word(6), word(7), at(47, 4000).cast("string"), word(8)), 17: F.concat(word(1), word(2), word(3), word(4)),
+        18: F.concat(F.initcap(word(1)), F.initcap(word(2)), F.initcap(word(3)), F.initcap(word(4))),
+        19: one_of(41, ("your_api_key_here", "changeme", "<placeholder>", "${SECRET_TOKEN}", "process.env.TOKEN", "xxxxxxxxxxxxxxxx", "os.environ[KEY]", "example_token_value", "None", "getenv(KEY)")),
+        20: F.concat(word(2), F.lit("."), word(3), F.lit("_"), word(4)), 21: F.substring(case, F.lit(1), size),
+        22: F.when(F.col("id") % 72 < 24, invented).when(F.col("id") % 72 < 48, F.upper(invented)).otherwise(F.initcap(invented)), 23: F.substring(F.translate(h, "abcdef", "135790"), F.lit(1), one_of(31, (16, 16, 20)).cast("int")),
     }
     candidate = None
     for k, c in {**secret_of, **false_of}.items():
         candidate = F.when(pick == k, c) if candidate is None else candidate.when(pick == k, c)
-    quote = F.when(F.col("id") % 5 < 4, '"').otherwise("")
+    quote = F.when(at(60, 3) > 0, '"').otherwise("")
     prose = F.concat(word(9), F.lit(" "), word(10), F.lit(" "))
     name = one_of(50, ("token", "api_key", "secret", "password", "auth_token", "TOKEN", "access_key", "client_secret", "GATEWAY_SIGNING_SECRET", "pwd"))
     sums = one_of(52, ("commit ", "sha256: ", "md5 = ", 'checksum: "', 'integrity="', "revision ", 'uuid = "', 'etag: "'))
     set_to = F.concat(prose, name, one_of(55, (" = ", ": ", "=", " => ")), quote)
-    before = F.when(pick == 8, prose).when((pick <= 9) | pick.isin(17, 18, 19), set_to).when(pick <= 11, F.concat(prose, sums)).otherwise(prose)
-    path = F.when(pick == 19, F.concat(F.lit("tests/fixtures/"), word(11))).otherwise(F.concat(F.lit("src"), (F.col("id") % 20).cast("string")))
-    after = F.when((pick <= 11) | (pick >= 17), F.concat(quote, F.lit(" "))).otherwise(" ")
-    return spark.range(rows).select(candidate.alias("candidate"), before.alias("before"), after.alias("after"), path.alias("path"), (pick <= 9).cast("double").alias("label"))
+    # private keys, and keys whose issuer marks them, also stand in plain prose
+    before = F.when((pick == 8) | ((pick == 9) & (at(57, 4) > 0)), prose).when((pick <= 11) | pick.isin(19, 20, 21), set_to).when(pick <= 13, F.concat(prose, sums)).otherwise(prose)
+    path = F.when(pick == 21, F.concat(F.lit("tests/fixtures/"), word(11))).otherwise(F.concat(F.lit("src"), (F.col("id") % 20).cast("string")))
+    after = F.when((pick <= 13) | pick.isin(19, 20, 21), F.concat(quote, F.lit(" "))).otherwise(" ")
+    return spark.range(rows).select(candidate.alias("candidate"), before.alias("before"), after.alias("after"), path.alias("path"), (pick <= 11).cast("double").alias("label"))
 
 
 def train(findings: DataFrame, trees: int = 20, depth: int = 8, seed: int = 3) -> RandomForestClassificationModel:
