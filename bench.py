@@ -9,7 +9,7 @@ import time
 from strandweave import catalog
 from strandweave.session import local_session
 
-HEADLINE = ("read_routing_flags", "cigar_fold_segments", "mate_pairing", "split_adjacent_segments", "interval_bin_join", "two_sided_match", "breakpoint_cluster", "coverage_rle", "window_depth_mean", "filter_and_vote", "call_deletion", "call_duplication", "order_rank_aggregation", "info_parse", "merge_reciprocal_overlap_pairs", "gc_entropy")
+HEADLINE = ("read_routing_flags", "cigar_fold_segments", "mate_pairing", "split_adjacent_segments", "interval_bin_join", "two_sided_match", "breakpoint_cluster", "coverage_rle", "window_depth_mean", "filter_and_vote", "call_deletion", "call_duplication", "order_rank_aggregation", "info_parse", "merge_reciprocal_overlap_pairs", "gc_entropy", "call_end_to_end")
 
 
 def main() -> None:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandweave.functions.columns import EPSILON, index_quantile, poisson_divergence
-from strandweave.operators.intervals import bin_join, coverage, window_sums
+from strandweave.operators.intervals import COARSE, as_of, bin_join, coverage
 
 
 def with_placements(reads: DataFrame, placed: DataFrame, key: str, begin: str, end: str, weight: str) -> DataFrame:
@@ -27,17 +28,34 @@ def window_bounds(pos: Column, length: Column, window: int | Column, span: int |
 
 
 def window_means(depth: DataFrame, points: DataFrame, lengths: DataFrame, key: str, pid: str, pos: str, window: int | str, span: int | str, left: bool = True) -> DataFrame:
-    """(pid, key, left_mean, right_mean) of depth before and after each position; windows are numbers or columns of ``points``."""
+    """(pid, key, left_mean, right_mean) of depth before and after each position; windows are numbers or columns of ``points``.
+
+    A window's sum is the difference of the depth's integral at its ends, so
+    its width costs nothing.
+    """
     wide = {x for x in (window, span) if isinstance(x, str)}
     rows = points.select(pid, key, pos, *wide).join(lengths, key)
     window, span = (F.col(x) if isinstance(x, str) else x for x in (window, span))
     b, p, e = window_bounds(F.col(pos), F.col("length"), window, span, left)
     rows = rows.select(pid, key, b.cast("long").alias("b"), p.cast("long").alias("p"), e.cast("long").alias("e"))
-    before = window_sums(depth, rows, key, pid, "b", "p").withColumnRenamed("total", "lt")
-    after = window_sums(depth, rows, key, pid, "p", "e").withColumnRenamed("total", "rt")
-    mean = lambda total, n: F.coalesce(total, F.lit(0)) / (n + EPSILON)
-    out = rows.join(before, pid, "left").join(after, pid, "left")
-    return out.select(pid, key, mean(F.col("lt"), F.greatest(F.col("p") - F.col("b"), F.lit(0))).alias("left_mean"), mean(F.col("rt"), F.greatest(F.col("e") - F.col("p"), F.lit(0))).alias("right_mean"))
+    bounds = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.col(x).alias("x")) for i, x in enumerate("bpe")])).alias("o")
+    asked = rows.select(pid, key, "b", "p", "e", bounds).select(pid, key, "b", "p", "e", "o.at", F.col("o.x").alias("__pos"))
+    known = integral(depth, key).select(key, F.col("start").alias("__pos"), F.struct("start", "stop", "depth", "cum").alias("run"))
+    run = F.col("run")
+    total = F.coalesce(run["cum"] + (F.least(F.col("__pos"), run["stop"]) - run["start"]) * run["depth"], F.lit(0))
+    at = as_of(known, asked, key, "__pos", "run").groupBy(pid, key, "b", "p", "e").agg(*[F.max(F.when(F.col("at") == i, total)).alias(f"i{i}") for i in range(3)])
+    mean = lambda sum_, n: F.greatest(sum_, F.lit(0)) / (n + EPSILON)
+    return at.select(pid, key, mean(F.col("i1") - F.col("i0"), F.greatest(F.col("p") - F.col("b"), F.lit(0))).alias("left_mean"), mean(F.col("i2") - F.col("i1"), F.greatest(F.col("e") - F.col("p"), F.lit(0))).alias("right_mean"))
+
+
+def integral(depth: DataFrame, key: str, coarse: int = COARSE) -> DataFrame:
+    """``depth`` with cum, the depth summed over all positions before each run: within coarse bins, then across them."""
+    area = (F.col("stop") - F.col("start")) * F.col("depth")
+    rows = depth.withColumn("__bin", F.floor(F.col("start") / coarse))
+    per_bin = rows.groupBy(key, "__bin").agg(F.sum(area).alias("__sum"))
+    carried = per_bin.select(key, "__bin", (F.sum("__sum").over(W.partitionBy(key).orderBy("__bin")) - F.col("__sum")).alias("__carry"))
+    local = W.partitionBy(key, "__bin").orderBy("start")
+    return rows.join(carried, [key, "__bin"]).withColumn("cum", F.col("__carry") + F.sum(area).over(local) - area).drop("__bin", "__carry")
 
 
 def divergence(left: Column, right: Column) -> Column:

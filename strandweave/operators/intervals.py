@@ -115,15 +115,6 @@ def coverage(reads: DataFrame, key: str, begin: str, end: str, weight: Column |
     return rows.where((F.col("depth") > 0) & F.col("stop").isNotNull()).select(key, F.col("pos").alias("start"), "stop", "depth")
 
 
-def window_sums(depth: DataFrame, windows: DataFrame, key: str, wid: str, lo: str, hi: str, size: int = BIN) -> DataFrame:
-    """(wid, total): the depth summed over the positions of each half-open window."""
-    w = windows.where(F.col(lo) < F.col(hi)).select(wid, key, F.col(lo).alias("__lo"), (F.col(hi) - 1).alias("__hi"))
-    d = depth.select(key, "start", (F.col("stop") - 1).alias("last"), "depth")
-    hit = bin_join(w, d, [key], ("__lo", "__hi"), ("start", "last"), size=size)
-    part = F.least("__hi", "last") - F.greatest("__lo", "start") + 1
-    return hit.groupBy(wid).agg(F.sum(part * F.col("depth")).alias("total"))
-
-
 def as_of(known: DataFrame, asked: DataFrame, key: str, pos: str, value: str, order: str | None = None, coarse: int = COARSE) -> DataFrame:
     """``asked`` with ``value`` of the last row of ``known`` with the same key at or before its position, null if there is none.
 
