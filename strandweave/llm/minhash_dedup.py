@@ -158,6 +158,10 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "
     shared = stage(met.join(hub, "id").select("key", "id", "n", "met"), "bucket")
     unstage(met)
     sigs = stage(nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", "sig"), "nodes")
+    # the signatures of all others have done their work
+    slim = stage(signed.drop("sig"), "ids")
+    unstage(signed)
+    signed, sets = slim, slim.where("n > 0 and id is not null")
 
     mid = _centres(shared)
     star = join_once(shared, mid, ["key"], "weight", total).where(F.col("id") != F.col("mid")).where(_sizes_fit(p.percent))
@@ -166,6 +170,8 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "
     more = _apart(texts, shared, mid, labels, sigs, total, p)
     if more is not None:
         labels = components(links.unionByName(more))
+    for table in (sigs, shared, mid):
+        unstage(table)
 
     # a set that very many texts share would be a hot key
     own = join_once(sets.select("id", "f1", "f2", "n"), first, ["f1", "f2", "n"], "copies", total).select("id", "rep")
