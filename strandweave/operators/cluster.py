@@ -31,8 +31,8 @@ def clustered(evidence: DataFrame, tol: int, passes: int = 0, keys: list[str] =
         more = islands(rows, cols, *left, tol, "__l")
         more = islands(more, [*cols, "__l"], *right, tol, "__r")
         if not passes:
-            count = more.select(F.count_distinct(*[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in cols]).alias("a"), F.count_distinct(*[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in [*cols, "__l", "__r"]]).alias("b")).first()
-            if count["a"] == count["b"]:
+            ends = more.groupBy(*cols).agg(F.min("__l").alias("__l1"), F.max("__l").alias("__l2"), F.min("__r").alias("__r1"), F.max("__r").alias("__r2"))
+            if not ends.where("__l1 < __l2 or __r1 < __r2").take(1):
                 break
         rows = more.drop(*names).withColumnsRenamed({"__l": "left_island", "__r": "right_island"})
         done += 1
