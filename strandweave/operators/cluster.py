@@ -163,11 +163,11 @@ def replayed(evidence: DataFrame, tol: int, order: str = "ev_id") -> DataFrame:
     meets on both sides, and so joins them to one another; a hull that has
     grown is compared again only when a next record comes. The result depends
     on the order. A hull lies within the records that it joins, so groups that
-    twice the tolerance parts on either side never meet, and clusters at that
-    tolerance are exact units.
+    twice the tolerance parts on either side never meet, and what one pass of
+    clustering at that tolerance parts are exact units.
     """
     ship(evidence.sparkSession)
-    rows = clustered(evidence, 2 * tol)
+    rows = clustered(evidence, 2 * tol, 1)
     schema = "template_id int, orientation int, cluster long, supp long, min_left long, max_left long, min_right long, max_right long"
 
     def replay(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

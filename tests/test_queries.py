@@ -7,7 +7,7 @@ import pytest
 from strandweave import catalog
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["read_routing_flags", "cigar_ref_length", "cigar_fold_segments", "insert_size_median_mad", "mate_pairing", "split_adjacent_segments", "interval_bin_join", "breakpoint_cluster", "coverage_rle", "window_depth_mean", "filter_and_vote", "call_inversion", "call_breakend", "order_rank_aggregation", "info_parse", "info_format", "gc_entropy", "reference_region"]
+CHECKED = ["read_routing_flags", "cigar_ref_length", "cigar_fold_segments", "insert_size_median_mad", "mate_pairing", "split_adjacent_segments", "interval_bin_join", "breakpoint_cluster", "coverage_rle", "window_depth_mean", "filter_and_vote", "call_inversion", "call_breakend", "order_rank_aggregation", "info_parse", "info_format", "gc_entropy", "reference_region", "merged_evidence", "call_end_to_end", "asof_lookup", "merge_reciprocal_overlap_pairs"]
 
 
 @pytest.fixture(scope="module")
