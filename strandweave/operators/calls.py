@@ -124,7 +124,8 @@ def translocations(calls: DataFrame, o: CallOptions) -> DataFrame:
     tol = o.adj_tol
     order = ["template_id", "begin_pos", "end_pos", "bp_id"]
     calls = settled(calls)
-    dups = settled(in_order(calls.where(F.col("sv_type").startswith("DUP")), order, "ord"))
+    many = calls.count()
+    dups = settled(in_order(calls.where(F.col("sv_type").startswith("DUP")), order, "ord", many))
     i = dups.where("target_pos is not null").select([F.col(x).alias(f"i_{x}") for x in dups.columns if x != "template_id"] + ["template_id", (F.col("begin_pos") - tol).alias("lo"), (F.col("begin_pos") + tol).alias("hi")])
     j = dups.where("target_pos is not null").select([F.col(x).alias(f"j_{x}") for x in dups.columns if x != "template_id"] + ["template_id"])
     pair = settled(bin_join(i, j, ["template_id"], ("lo", "hi"), ("j_target_pos", "j_target_pos"), (F.col("i_ord") < F.col("j_ord")) & (F.abs(F.col("j_end_pos") - F.col("i_target_pos")) <= tol)))
@@ -136,7 +137,7 @@ def translocations(calls: DataFrame, o: CallOptions) -> DataFrame:
     )
     merged = pair.select(F.explode(F.array("i_ord", "j_ord")).alias("ord")).distinct().withColumn("gone", F.lit(True))
     dups = dups.join(merged, "ord", "left").withColumn("status", F.when(F.col("gone"), "MERGED").otherwise(F.col("status"))).drop("gone")
-    tra = settled(in_order(calls.where("sv_type = 'TRA'").unionByName(made.select(calls.columns)), order, "tra"))
+    tra = settled(in_order(calls.where("sv_type = 'TRA'").unionByName(made.select(calls.columns)), order, "tra", many + pair.count()))
     span = tra.where("status = 'PASS' and begin_pos <= end_pos").select("tra", "template_id", F.col("begin_pos").alias("tb"), F.col("end_pos").alias("te"))
     inner = dups.where("status <> 'MERGED' and begin_pos <= end_pos").select("ord", "template_id", F.col("begin_pos").alias("db"), F.col("end_pos").alias("de"), "se", "pe", "ce")
     held = settled(bin_join(span, inner, ["template_id"], ("tb", "te"), ("db", "de")).groupBy("ord").agg(F.min("tra").alias("tra"), *[F.first(x).alias(x) for x in ("se", "pe", "ce")]))
@@ -165,13 +166,15 @@ def ranked(calls: DataFrame, id_col: str = "bp_id") -> DataFrame:
 
     Ties go by depth, then by id.
     """
+    calls = settled(calls)
     rows = calls.where("status = 'PASS'")
+    total = rows.count()
     for name, value in (("__a", F.col("se") + F.col("ce")), ("__b", F.col("pe")), ("__c", F.col("re"))):
-        rows = in_order(rows, [-value, "rd", id_col], name)
-    rows = in_order(rows.withColumn("__m", F.get(F.sort_array(F.array("__a", "__b", "__c")), F.lit(1))), ["__m", id_col], "__o")
+        rows = in_order(rows, [-value, "rd", id_col], name, total)
+    rows = in_order(rows.withColumn("__m", F.get(F.sort_array(F.array("__a", "__b", "__c")), F.lit(1))), ["__m", id_col], "__o", total)
     # a median's rank is the first place that it takes; places of three orders repeat a median three times at most
+    rows = settled(rows)
     first = rows.groupBy("__m").agg(F.min("__o").alias("__r"))
-    total = rows.count()
     score = F.lit(100.0) if total == 1 else (1 - (F.col("__r") - 1) / (total - 1)) * 100
     rows = rows.join(first, "__m").withColumn("sc", score).drop("__a", "__b", "__c", "__m", "__r", "__o")
     return rows.unionByName(calls.where("status <> 'PASS'").withColumn("sc", F.lit(-1.0)))
@@ -189,8 +192,8 @@ def numbered(calls: DataFrame, id_col: str = "bp_id") -> DataFrame:
     breakend, told by the column ``no``, share a number and add their own.
     """
     twin = "no" in calls.columns
-    rows = calls.withColumn("__k", F.regexp_replace("sv_type", ":.*", ""))
-    heads = in_order(rows.where("no is null or no = 1") if twin else rows, ["__k", "template_id", "begin_pos", "end_pos", id_col, "sv_type", "status"], "__n")
+    rows = settled(calls.withColumn("__k", F.regexp_replace("sv_type", ":.*", "")))
+    heads = in_order(rows.where("no is null or no = 1") if twin else rows, ["__k", "template_id", "begin_pos", "end_pos", id_col, "sv_type", "status"], "__n", rows.count())
     first = heads.groupBy("__k").agg(F.min("__n").alias("__first"))
     number = F.col("__n") - F.col("__first") + F.when(F.col("__k") == "TRA", 0).otherwise(1)
     heads = heads.join(F.broadcast(first), "__k").withColumn("__n", number).drop("__first")

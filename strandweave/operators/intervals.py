@@ -48,20 +48,27 @@ def _attached(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(other, on, "left").drop(*[f"__key{i}" for i in range(len(keys))])
 
 
-def in_order(df: DataFrame, order: list[str | Column], out: str) -> DataFrame:
+#: So many rows are put in order by one task.
+FEW = 200_000
+
+
+def in_order(df: DataFrame, order: list[str | Column], out: str, rows: int | None = None) -> DataFrame:
     """``df`` with ``out``, its place from 1 in the order given, which should leave no ties.
 
     Rows are dealt by ranges of the order and numbered within each; a table
     with one row per range carries the numbers across, so no task holds all.
+    Only if ``rows``, a count, is under FEW, one task numbers them.
     """
     cols = [F.col(x) if isinstance(x, str) else x for x in order]
+    if rows is not None and rows < FEW:
+        return df.withColumn(out, F.row_number().over(W.orderBy(*cols)).cast("long"))
     names = [f"__o{i}" for i in range(len(cols))]
-    rows = df.withColumns(dict(zip(names, cols, strict=True)))
-    rows = settled(rows.repartitionByRange(*names).withColumn("__part", F.spark_partition_id()))
-    sizes = rows.groupBy("__part").agg(F.count("*").alias("__size"))
+    dealt = df.withColumns(dict(zip(names, cols, strict=True)))
+    dealt = settled(dealt.repartitionByRange(*names).withColumn("__part", F.spark_partition_id()))
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__size"))
     before = sizes.select("__part", (F.sum("__size").over(W.orderBy("__part")) - F.col("__size")).alias("__before"))
     local = F.row_number().over(W.partitionBy("__part").orderBy(*names))
-    return rows.join(F.broadcast(before), "__part").withColumn(out, F.col("__before") + local).drop("__part", "__before", *names)
+    return dealt.join(F.broadcast(before), "__part").withColumn(out, F.col("__before") + local).drop("__part", "__before", *names)
 
 
 def bin_join(left: DataFrame, right: DataFrame, keys: list[str], l_span: tuple[str, str], r_span: tuple[str, str], residual: Column | None = None, size: int = BIN, wide: int = 100) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -105,7 +106,9 @@ def test_clusters_that_fall_apart_in_a_second_pass(spark):
     assert got(1) == [(0, 3), (50, 1)] and got(0) == [(0, 1), (50, 1), (100, 2)]
 
 
-def test_numbers_in_order(spark):
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_numbers_in_order(spark, monkeypatch, few):
+    monkeypatch.setattr(intervals, "FEW", few)
     rng = random.Random(3)
     rows = [(rng.choice(["DEL", "DUP", "DUP:TANDEM", "TRA", "INV"]), 0, rng.randrange(9000), i) for i in range(300)]
     df = spark.createDataFrame(rows, "sv_type string, template_id int, begin_pos long, bp_id long").withColumns({"end_pos": F.col("begin_pos") + 9, "status": F.lit("PASS"), "no": F.lit(None).cast("int")})
