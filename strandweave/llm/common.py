@@ -100,9 +100,12 @@ def join_once(big: DataFrame, small: DataFrame, keys: list[str], weight: str, to
 
     Keys that hold more than a thousandth of all ``total`` rows would land in
     one task each. There are under a thousand of them for each row's number of
-    keys, so they are broadcast; the rest is shuffled, hot rows left out.
+    keys, so they are broadcast; the rest is shuffled, hot rows left out. A
+    look at ``small``, which should be staged or cheap, tells whether there are any.
     """
     limit = max(HOT_ROWS, total // 1000)
+    if not small.where(F.col(weight) > limit).take(1):
+        return big.join(small, keys)
     hot = F.broadcast(small.where(F.col(weight) > limit).withColumn("__hot", F.lit(True)))
     rest = big.join(hot.select(*keys, "__hot"), keys, "left").where("__hot is null").drop("__hot")
     return big.join(hot.drop("__hot"), keys).unionByName(rest.join(small.where(F.col(weight) <= limit), keys))

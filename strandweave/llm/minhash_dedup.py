@@ -152,11 +152,12 @@ def near_duplicates(docs: DataFrame, p: NearDedup = NearDedup(), id_col: str = "
 
     key = F.explode(F.transform(F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda k: F.xxhash64(k, F.expr("sig").substr(k * (4 * p.rows) + 1, F.lit(4 * p.rows)))))
     banded = nodes.select("id", "n", key.alias("key"))
-    full = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    full = stage(banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "full")
     met = stage(join_once(banded, full.withColumn("weight", F.col("c")), ["key"], "weight", total).drop("weight"), "bucket")
     hub = met.groupBy("id").agg(F.sum("c").alias("met"))
     shared = stage(met.join(hub, "id").select("key", "id", "n", "met"), "bucket")
     unstage(met)
+    unstage(full)
     sigs = stage(nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", "sig"), "nodes")
     # the signatures of all others have done their work
     slim = stage(signed.drop("sig"), "ids")
