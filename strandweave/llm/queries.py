@@ -13,6 +13,7 @@ from strandweave.llm.licenses import TEMPLATES, bigrams, license_hits
 from strandweave.llm.minhash_dedup import NearDedup, near_duplicates
 from strandweave.llm.pii import replaced
 from strandweave.llm.quality_fm import quality
+from strandweave.llm.resample import resampled
 from strandweave.llm.secrets import secrets
 from strandweave.llm.sentencepiece_viterbi import encoded_and_checked
 from strandweave.llm.sharding import shard_digest
@@ -64,8 +65,24 @@ def op10_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_hits(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_decontamination, op2_quality_fm, op3_minhash_near_dedup, op4_external_shuffle, op5_nn_descent, op6_sentencepiece_viterbi, op7_reply_tree_chat, op8_pii_surrogates, op9_secret_forest, op10_license_dice]
+    found = [
+        op1_decontamination,
+        op2_quality_fm,
+        op3_minhash_near_dedup,
+        op4_external_shuffle,
+        op5_nn_descent,
+        op6_sentencepiece_viterbi,
+        op7_reply_tree_chat,
+        op8_pii_surrogates,
+        op9_secret_forest,
+        op10_license_dice,
+        op11_importance_resampling,
+    ]
     return {f.__name__: f for f in found}
 
 
@@ -173,5 +190,46 @@ SELECT doc_id, unit, CAST(no AS BIGINT) AS unit_no, license_id, dice FROM d WHER
 """
 
 
+#: The checksum of a text is folded over its bytes with the usual table of 256 steps, itself made by rule.
+_OP11 = r"""
+WITH tab AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t),
+raw AS (
+  SELECT 0 AS side, doc_id AS id, row_number() OVER () AS row_no, text FROM documents
+  UNION ALL SELECT 1, NULL, -row_number() OVER (), text FROM benchmark),
+w AS (
+  SELECT side, id, row_no, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM raw),
+g AS (
+  SELECT side, row_no, unnest(list_concat(ws,
+    list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]),
+    list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) AS f
+  FROM w),
+k AS (SELECT side, row_no, f, count(*) AS n FROM g GROUP BY ALL),
+b AS (
+  SELECT f, xor(list_reduce(list_transform(range(1, length(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT)),
+    lambda c, y: xor(t[1 + (xor(c, y) & 255)], c >> 8), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM k)), tab),
+c AS (SELECT bucket, sum(n) FILTER (side = 0) AS s, sum(n) FILTER (side = 1) AS t FROM k JOIN b USING (f) GROUP BY 1),
+z AS (SELECT sum(n) FILTER (side = 0) AS s, sum(n) FILTER (side = 1) AS t FROM k),
+v AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(c.t, 0) AS DOUBLE) + 1) * (CAST(coalesce(z.s, 0) AS DOUBLE) + 10000)
+    / ((CAST(coalesce(c.s, 0) AS DOUBLE) + 1) * (CAST(coalesce(z.t, 0) AS DOUBLE) + 10000)))) AS BIGINT) AS gain
+  FROM c, z),
+d AS (SELECT row_no, sum(n * gain) AS weight FROM k JOIN b USING (f) JOIN v USING (bucket) WHERE side = 0 GROUP BY 1),
+e AS (
+  SELECT id AS doc_id, len(ws) AS words, CAST(len(ws) + greatest(len(ws) - 1, 0) + greatest(len(ws) - 2, 0) AS BIGINT) AS n_features,
+    CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM w LEFT JOIN d USING (row_no) WHERE side = 0),
+o AS (
+  SELECT *, CASE WHEN words >= 20 THEN row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id, n_features) END AS place,
+    count(*) FILTER (words >= 20) OVER () AS n
+  FROM e)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= n * 5 // 100 THEN place END AS rank FROM o
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_dedup": _OP3, "op5_nn_descent": _OP5, "op7_reply_tree_chat": _OP7, "op10_license_dice": _op10()}
+    return {"op3_minhash_near_dedup": _OP3, "op5_nn_descent": _OP5, "op7_reply_tree_chat": _OP7, "op10_license_dice": _op10(), "op11_importance_resampling": _OP11}
