@@ -52,6 +52,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder, deleted when Python ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append((spark, path))
+    return path
+
+
 def unstage(df: DataFrame) -> None:
     """Delete the files behind a staged table."""
     path = getattr(df, "_staged_path", None)

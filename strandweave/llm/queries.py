@@ -11,6 +11,7 @@ from strandweave.llm.common import table
 from strandweave.llm.decontaminate import contaminated
 from strandweave.llm.licenses import TEMPLATES, bigrams, license_hits
 from strandweave.llm.minhash_dedup import NearDedup, near_duplicates
+from strandweave.llm.phrases import collocations
 from strandweave.llm.pii import replaced
 from strandweave.llm.quality_fm import quality
 from strandweave.llm.resample import resampled
@@ -18,6 +19,7 @@ from strandweave.llm.secrets import secrets
 from strandweave.llm.sentencepiece_viterbi import encoded_and_checked
 from strandweave.llm.sharding import shard_digest
 from strandweave.llm.vector_dedup import near_vectors
+from strandweave.llm.warc import round_trip
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +71,14 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_warc_zstandard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     found = [
         op1_decontamination,
@@ -82,6 +92,8 @@ def queries() -> dict[str, Query]:
         op9_secret_forest,
         op10_license_dice,
         op11_importance_resampling,
+        op12_phrase_mining,
+        op13_warc_zstandard,
     ]
     return {f.__name__: f for f in found}
 
@@ -231,5 +243,46 @@ SELECT doc_id, n_features, weight, score, CASE WHEN place <= n * 5 // 100 THEN p
 """
 
 
+_OP12 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY 1),
+g AS (
+  SELECT lang, j, unnest(list_transform(range(1, len(ws) - j + 2), lambda i: array_to_string(ws[i:i + j - 1], ' '))) AS phrase
+  FROM w, range(1, 5) AS t(j) WHERE len(ws) >= j),
+f AS (SELECT lang, j, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, j, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE j > 1),
+cut AS (
+  SELECT c.lang, c.j, c.phrase, c.a, k, l.a AS l, r.a AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (CAST(l.a AS HUGEINT) + r.a) AS BIGINT) AS score
+  FROM c, range(1, 4) AS t(k), f AS l, f AS r
+  WHERE k < c.j AND l.lang = c.lang AND r.lang = c.lang
+    AND l.phrase = array_to_string(c.ws[1:k], ' ') AND r.phrase = array_to_string(c.ws[k + 1:c.j], ' ')),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM cut) WHERE o = 1),
+inner_runs AS (
+  SELECT DISTINCT c.lang, c.phrase AS longer, c.a AS f, array_to_string(c.ws[i:i + m - 1], ' ') AS phrase
+  FROM c, range(2, 4) AS t(m), range(1, 4) AS u(i) WHERE m < c.j AND i + m - 1 <= c.j),
+gone AS (SELECT DISTINCT b.lang, b.phrase FROM best b JOIN inner_runs USING (lang, phrase) WHERE 100 * f >= 80 * b.a),
+ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, score
+  FROM best ANTI JOIN gone USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+#: 20 bits, five digits of the hash, are four letters of base 32.
+_OP13 = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes, sha1(body) AS h, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_dedup": _OP3, "op5_nn_descent": _OP5, "op7_reply_tree_chat": _OP7, "op10_license_dice": _op10(), "op11_importance_resampling": _OP11}
+    return {"op3_minhash_near_dedup": _OP3, "op5_nn_descent": _OP5, "op7_reply_tree_chat": _OP7, "op10_license_dice": _op10(), "op11_importance_resampling": _OP11, "op12_phrase_mining": _OP12, "op13_warc_zstandard": _OP13}
