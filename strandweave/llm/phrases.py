@@ -41,7 +41,7 @@ class Phrases:
     scale: int = 2_000_000
     partition_bytes: int = 16 << 20
     partitions: int = 1 << 16
-    pending: int = 8_000_000
+    pending: int = 4_000_000
     filter_bits: int = 28
 
 
@@ -176,13 +176,27 @@ def survivors(rows: DataFrame, capacity: np.ndarray, bits: int, p: Phrases) -> D
     """
 
     def summarise(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending, size = [], 0
+        pending: list[np.ndarray] = []
+        size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            keys, counts = _summed(np.concatenate(pending))
+            keys = np.concatenate(pending)
+            pending.clear()
+            keys.sort()
+            first = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ np.uint64(1)))
+            counts, keys = np.diff(first, append=len(keys)), keys[first]
             edges = np.searchsorted(_place(keys, bits), np.arange((1 << bits) + 1))
-            parts = [(b, *reduced(keys[x:y], counts[x:y], int(capacity[b]))) for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if x < y]
-            yield pa.RecordBatch.from_pydict(
+            parts, held = [], 0
+            for b, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                if x < y:
+                    parts.append((b, *reduced(keys[x:y], counts[x:y], int(capacity[b]))))
+                    held += len(parts[-1][1])
+                if parts and (held > 250_000 or b == (1 << bits) - 1):
+                    yield told(parts)
+                    parts, held = [], 0
+
+        def told(parts: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict(
                 {
                     "bucket": pa.array([q[0] for q in parts], pa.int32()),
                     "lost": pa.array([q[3] for q in parts], pa.int64()),
@@ -197,7 +211,7 @@ def survivors(rows: DataFrame, capacity: np.ndarray, bits: int, p: Phrases) -> D
                 size += len(pending[-1])
                 if size >= p.pending:
                     yield from flush()
-                    pending, size = [], 0
+                    size = 0
         if size:
             yield from flush()
 
@@ -299,7 +313,7 @@ def exact_counts(rows: DataFrame, width: int, made: np.ndarray, p: Phrases) -> D
                                 names[k] = (langs[runs.doc[i]], runs.text(i, j + 1), j + 1)
                         waiting.append((some, n))
                         size += len(some)
-                if len(names) > 400_000:
+                if len(names) > 200_000:
                     yield flush()
                     names, waiting, size = {}, [], 0
                 elif size > p.pending:

@@ -251,14 +251,15 @@ w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lamb
 n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY 1),
 g AS (
   SELECT lang, j, unnest(list_transform(range(1, len(ws) - j + 2), lambda i: array_to_string(ws[i:i + j - 1], ' '))) AS phrase
-  FROM w, range(1, 5) AS t(j) WHERE len(ws) >= j),
-f AS (SELECT lang, j, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+  FROM (SELECT *, unnest(range(1, 5)) AS j FROM w) WHERE len(ws) >= j),
+f AS MATERIALIZED (SELECT lang, j, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
 c AS (SELECT lang, j, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE j > 1),
+k AS MATERIALIZED (
+  SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS left_part, array_to_string(ws[k + 1:j], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, j)) AS k FROM c)),
 cut AS (
-  SELECT c.lang, c.j, c.phrase, c.a, k, l.a AS l, r.a AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (CAST(l.a AS HUGEINT) + r.a) AS BIGINT) AS score
-  FROM c, range(1, 4) AS t(k), f AS l, f AS r
-  WHERE k < c.j AND l.lang = c.lang AND r.lang = c.lang
-    AND l.phrase = array_to_string(c.ws[1:k], ' ') AND r.phrase = array_to_string(c.ws[k + 1:c.j], ' ')),
+  SELECT k.lang, k.phrase, k.a, k, l.a AS l, r.a AS r, CAST(2000000 * CAST(k.a AS HUGEINT) // (CAST(l.a AS HUGEINT) + r.a) AS BIGINT) AS score
+  FROM k JOIN f AS l ON l.lang = k.lang AND l.phrase = left_part JOIN f AS r ON r.lang = k.lang AND r.phrase = rest),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM cut) WHERE o = 1),
 inner_runs AS (
   SELECT DISTINCT c.lang, c.phrase AS longer, c.a AS f, array_to_string(c.ws[i:i + m - 1], ' ') AS phrase
