@@ -29,8 +29,9 @@ class Phrases:
     Phrases have 2 to ``longest`` words and ``least`` occurrences in their
     language. A phrase goes if a longer one around it has ``percent`` of its
     occurrences. ``top`` are reported for each language. ``partition_bytes`` of
-    text make one hash partition, at most ``partitions`` of them; tasks sum up
-    ``pending`` runs before they pass them on. The filter between the passes
+    text make one hash partition, at most ``partitions`` of them, whose summary
+    has ``spare`` times the counters that the guarantee needs, so that few
+    others survive; tasks sum up ``pending`` runs before they pass them on. The filter between the passes
     has at most 2 ** ``filter_bits`` bits.
     """
 
@@ -41,6 +42,7 @@ class Phrases:
     scale: int = 2_000_000
     partition_bytes: int = 16 << 20
     partitions: int = 1 << 16
+    spare: int = 8
     pending: int = 4_000_000
     filter_bits: int = 28
 
@@ -363,7 +365,7 @@ def collocations(docs: DataFrame, p: Phrases = Phrases(), lang_col: str = "lang"
     masses = stage(_masses(rows, bits, p), "phrases")
     capacity = np.zeros(1 << bits, dtype=np.int64)
     for r in masses.where("bucket is not null").toLocalIterator():  # a row for each hash partition
-        capacity[r["bucket"]] = r["n"] // p.least + 1
+        capacity[r["bucket"]] = p.spare * (r["n"] // p.least + 1)
     found = stage(survivors(rows, capacity, bits, p), "phrases")
     width, made = _filter(found, bits, p)
     known = stage(exact_counts(rows, width, made, p), "phrases")
