@@ -44,10 +44,10 @@ def main(argv: list[str] | None = None) -> None:
         return
     o = replace(defaults, **{f: getattr(a, f) for f in _NUMBERS.values()}, report_filtered=a.report_filtered, use_pairs=not a.no_pe, use_clips=not a.no_ce, use_depth=not a.no_re, rank_aggregation=not a.no_rank_aggregation, depth_for_balanced=a.use_re_for_bs)
     alignments.register(spark)
-    if not alignments.is_sorted(alignments.bam_header(a.bam)[0]):
+    if not alignments.is_sorted(alignments.read_header(a.bam).text):
         raise SystemExit("the alignments must be sorted by coordinate")
     chunks = spark.read.format("fasta").load(a.reference)
-    found = call(spark.read.format("bam").load(a.bam), alignments.contigs(spark, a.bam), o, chunks)
+    found = call(alignments.read_bam(spark, a.bam, alignments.CALL_COLUMNS), alignments.contigs(spark, a.bam), o, chunks, file_order=True)
     vcf.write_vcf(as_records(found), a.out, ["SAMPLE"])
 
 

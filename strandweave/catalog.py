@@ -620,7 +620,7 @@ def _aligned(spark: SparkSession, sf: str) -> DataFrame:
 @query(_MERGED + f" SELECT {_K}, se, pe, ce, final_left, final_right, imprecise FROM bq")
 def merged_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Breakpoints of the command: split reads clustered, pairs added by region, the rest imprecise."""
-    bps = command.merged_breakpoints(_aligned(spark, sf), _PLAIN)[0]
+    bps = command.merged_breakpoints(settled(command.routed_reads(_aligned(spark, sf), _PLAIN)), _PLAIN)[0]
     return bps.select("template_id", "right_template", "orientation", "se", "pe", "ce", "final_left", "final_right", "imprecise")
 
 

@@ -26,10 +26,13 @@ from strandweave.functions.columns import (
     usable,
 )
 from strandweave.options import CallOptions
+from strandweave.session import settled
 
 
 def _tagged(reads: DataFrame) -> Column:
     """The read has supplementary alignments elsewhere."""
+    if "tag_SA" in reads.columns:
+        return F.col("tag_SA").isNotNull()
     return F.coalesce(F.map_contains_key("tags", F.lit("SA")), F.lit(False)) if "tags" in reads.columns else F.lit(False)
 
 
@@ -51,21 +54,42 @@ def routed(reads: DataFrame, o: CallOptions, max_insert: Column | float) -> Data
     return reads.where(usable("flag")).withColumns({"to_split": tagged | extra | gap, "to_clip": clip & (F.col("map_q") >= o.min_map_q), "to_pair": pair})
 
 
+def _sizes(reads: DataFrame, min_map_q: int) -> DataFrame:
+    """(ordinal, size) of the proper pairs that count: mapped well enough and without supplementary alignments."""
+    sure = usable("flag") & has_flag("flag", PROPER) & ~has_flag("flag", SUPPLEMENTARY) & (F.col("map_q") >= min_map_q) & ~_tagged(reads)
+    return reads.where(sure).select("ordinal", F.abs("tlen").alias("size"))
+
+
 def insert_bounds(reads: DataFrame, deviations: float = 9.0, sample: int = 100_000, min_map_q: int = 20) -> DataFrame:
     """One row (median, mad, low, high) over the first ``sample`` proper pairs in file order.
 
-    Of proper pairs, those count that are mapped well enough and have no
-    supplementary alignments. A sample in file order is what the estimate is
-    defined on. Too few reads give what there is; none gives nulls.
+    A sample in file order is what the estimate is defined on. Every task keeps
+    its first ones in one scan of three columns; the sizes are then at hand for
+    both medians. Too few reads give what there is; none gives nulls.
     """
-    sure = usable("flag") & has_flag("flag", PROPER) & ~has_flag("flag", SUPPLEMENTARY) & (F.col("map_q") >= min_map_q) & ~_tagged(reads)
-    proper = reads.where(sure).orderBy("ordinal").limit(sample).select(F.abs("tlen").alias("size"))
+    proper = settled(_sizes(reads, min_map_q).orderBy("ordinal").limit(sample).select("size"))
     median = proper.agg(index_quantile("size", 0.5).alias("median"))
     off = proper.join(F.broadcast(median)).select("median", F.abs(F.col("size") - F.col("median")).alias("off"))
     mad = median.join(F.broadcast(off.agg(index_quantile("off", 0.5).alias("mad"))))
     return mad.select("median", "mad", (F.col("median") - deviations * F.col("mad")).alias("low"), (F.col("median") + deviations * F.col("mad")).alias("high"))
 
 
+def insert_limit(reads: DataFrame, o: CallOptions, file_order: bool = False, sample: int = 100_000) -> float | None:
+    """The upper bound of insert sizes, as ``insert_bounds``; none without proper pairs.
+
+    With ``file_order``, for rows whose partitions follow each other in the
+    file, reading stops with the partition that completes the sample.
+    """
+    if not file_order:
+        high = insert_bounds(reads, o.insert_deviations, sample, o.min_map_q).first()["high"]
+        return None if high is None else float(high)
+    sizes = sorted(r["size"] for r in _sizes(reads, o.min_map_q).select("size").take(sample))  # at most ``sample`` numbers
+    if not sizes:
+        return None
+    median = sizes[len(sizes) // 2]
+    return float(median + o.insert_deviations * sorted(abs(x - median) for x in sizes)[len(sizes) // 2])
+
+
 def paired(mates: DataFrame, max_insert: Column | float) -> DataFrame:
     """Both ends of each discordant pair in one row, with the orientation they show.
 

@@ -5,22 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.functions.columns import REVERSE, cigar_ops, cigar_spans, has_flag, read_end_name, ref_length, usable
+from strandweave.functions.columns import REVERSE, cigar_ops, cigar_spans, has_flag, read_end_name, ref_length
 from strandweave.operators import calls, clips, cluster, depth, reads, seqsearch
 from strandweave.operators.intervals import coverage
 from strandweave.options import CallOptions
-from strandweave.session import settled
+from strandweave.session import forget, settled, stored
 from strandweave.sources import vcf
 
 #: Contigs are broadcast by their number only up to so many.
 MANY_CONTIGS = 100_000
 
 
-def routed_reads(alignments: DataFrame, o: CallOptions) -> DataFrame:
-    """Usable alignments with to_split, to_clip, to_pair and max_insert, the estimated upper bound of insert sizes (null without proper pairs)."""
-    bounds = reads.insert_bounds(alignments, o.insert_deviations, min_map_q=o.min_map_q)
-    sized = alignments.join(F.broadcast(bounds.select(F.col("high").cast("double").alias("max_insert"))))
-    return reads.routed(sized, o, F.coalesce("max_insert", F.lit(float("inf")))).withColumn("template_id", F.col("rid"))
+def routed_reads(alignments: DataFrame, o: CallOptions, file_order: bool = False) -> DataFrame:
+    """Usable alignments of contigs, from one scan, with what evidence needs of them.
+
+    (template_id, begin_pos, end_pos) for the depth; to_split, to_clip, to_pair
+    and max_insert, the estimated upper bound of insert sizes (null without
+    proper pairs). Names, operations and lengths stay only where a read gives
+    evidence, bases only where it is clipped.
+    """
+    limit = reads.insert_limit(alignments, o, file_order)
+    rows = reads.routed(alignments.where("rid is not null and rid >= 0"), o, float("inf") if limit is None else limit)
+    some = F.col("to_split") | F.col("to_clip") | F.col("to_pair")
+    kept = {c: F.when(some, F.col(c)).alias(c) for c in ("ordinal", "qname", "cigar", "flag", "map_q", "tlen", "next_rid")}
+    end = (F.col("begin_pos") + ref_length(cigar_ops("cigar"))).cast("long").alias("end_pos")
+    bases = F.when(F.col("to_clip"), F.col("seq")).alias("seq") if o.use_clips else F.lit(None).cast("string").alias("seq")
+    return rows.select(F.col("rid").alias("template_id"), "begin_pos", end, *kept.values(), bases, "to_split", "to_clip", "to_pair", F.lit(limit).cast("double").alias("max_insert"))
 
 
 def exact_evidence(routed: DataFrame, o: CallOptions) -> DataFrame:
@@ -37,7 +47,7 @@ def exact_evidence(routed: DataFrame, o: CallOptions) -> DataFrame:
 def pair_evidence(routed: DataFrame, o: CallOptions) -> DataFrame:
     """Clusters of discordant pairs whose both ends lie on contigs."""
     ends = routed.where("to_pair and next_rid is not null and next_rid >= 0")
-    ends = ends.select("qname", "template_id", "begin_pos", (F.col("begin_pos") + ref_length(cigar_ops("cigar"))).alias("end_pos"), has_flag("flag", REVERSE).alias("is_reverse"), "tlen", "map_q", F.coalesce("max_insert", F.lit(float("inf"))).alias("max_insert"))
+    ends = ends.select("qname", "template_id", "begin_pos", "end_pos", has_flag("flag", REVERSE).alias("is_reverse"), "tlen", "map_q", F.coalesce("max_insert", F.lit(float("inf"))).alias("max_insert"))
     return cluster.pair_breakpoints(reads.paired(ends, F.col("max_insert")), o)
 
 
@@ -50,13 +60,13 @@ def clip_places(routed: DataFrame, exact: DataFrame, pairs: DataFrame | None, ch
     return clips.clip_evidence(found, settled(known), chunks, chunk_size, F.coalesce("max_insert", F.lit(0)), o)
 
 
-def merged_breakpoints(alignments: DataFrame, o: CallOptions = CallOptions(), chunks: DataFrame | None = None, chunk_size: int = 65536) -> tuple[DataFrame, DataFrame | None]:
+def merged_breakpoints(routed: DataFrame, o: CallOptions = CallOptions(), chunks: DataFrame | None = None, chunk_size: int = 65536) -> tuple[DataFrame, DataFrame | None]:
     """(breakpoints with the support of all kinds of evidence, places of clipped bases or none).
 
-    Pairs raise the support of breakpoints that their regions meet; those that
-    meet none are imprecise breakpoints. Clipped sequences need ``chunks``, the reference.
+    ``routed`` should be stored. Pairs raise the support of breakpoints that
+    their regions meet; those that meet none are imprecise breakpoints. Clipped
+    sequences need ``chunks``, the reference.
     """
-    routed = settled(routed_reads(alignments, o))
     exact = settled(exact_evidence(routed, o))
     pairs = settled(pair_evidence(routed, o)) if o.use_pairs else None
     placed = None
@@ -66,20 +76,22 @@ def merged_breakpoints(alignments: DataFrame, o: CallOptions = CallOptions(), ch
     return settled(cluster.with_pairs(exact, pairs, o)), placed
 
 
-def call(alignments: DataFrame, contigs: DataFrame, o: CallOptions = CallOptions(), chunks: DataFrame | None = None, chunk_size: int = 65536) -> DataFrame:
+def call(alignments: DataFrame, contigs: DataFrame, o: CallOptions = CallOptions(), chunks: DataFrame | None = None, chunk_size: int = 65536, file_order: bool = False) -> DataFrame:
     """Variants of one sample: sv_type, chrom, begin_pos, end_pos, target_pos, status, alt, evidence, sc, sv_id.
 
     ``alignments`` has the columns of the ``bam`` source, ``contigs``
     (template_id, name, length); ``chunks`` the reference, without which
     clipped sequences aren't searched and sequence features are left out.
-    Alignments without a contig count for nothing.
+    Alignments without a contig count for nothing. The alignments are scanned
+    once, after a first look at insert sizes that stops early if ``file_order``
+    says that partitions follow each other in the file.
     """
-    alignments = alignments.where("rid is not null and rid >= 0")
-    bps, placed = merged_breakpoints(alignments, o, chunks, chunk_size)
+    routed = stored(routed_reads(alignments, o, file_order), "reads")
+    bps, placed = merged_breakpoints(routed, o, chunks, chunk_size)
 
     limits = {"re": o.depth_threshold, "depth": None}
     if o.use_depth:
-        cover = alignments.where(usable("flag")).select(F.col("rid").alias("template_id"), F.col("begin_pos").cast("long").alias("begin_pos"), (F.col("begin_pos") + ref_length(cigar_ops("cigar"))).cast("long").alias("end_pos"))
+        cover = routed.select("template_id", F.col("begin_pos").cast("long").alias("begin_pos"), "end_pos")
         if placed is not None:
             more = placed.select(F.col("placed_template").alias("template_id"), F.col("placed_pos").alias("begin_pos"), (F.col("placed_pos") + F.col("placed_size")).alias("end_pos"), "weight")
             rle = settled(depth.with_placements(cover, more, "template_id", "begin_pos", "end_pos", "weight"))
@@ -110,6 +122,7 @@ def call(alignments: DataFrame, contigs: DataFrame, o: CallOptions = CallOptions
     if chunks is not None:
         every = every.join(seqsearch.sequence_features(chunks, bps, chunk_size), "bp_id", "left")
     every = calls.numbered(settled(every))
+    forget(routed)
     return every if o.report_filtered else every.where("status = 'PASS'")
 
 

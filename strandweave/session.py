@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,12 +38,58 @@ def settled(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints")
+        spark.sparkContext.setCheckpointDir(_shared(spark))
     return df.checkpoint()
 
 
+def _shared(spark: SparkSession) -> str:
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{tempfile.gettempdir()}/checkpoints"
+
+
+_STORED: list[tuple[SparkSession, str]] = []
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet to the shared checkpoint folder and read back.
+
+    Like :func:`settled`, for large tables of which later steps read some
+    columns and rows. The files go with :func:`forget`, or when Python ends.
+    """
+    spark = df.sparkSession
+    path = f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    _STORED.append((spark, path))
+    out = spark.read.schema(schema).parquet(path)
+    out._stored_path = path  # type: ignore[attr-defined]
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files behind a stored table that nothing reads any more."""
+    path = getattr(df, "_stored_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm: Any = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _STORED:
+        with contextlib.suppress(Exception):
+            _delete(spark, path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the workers once per application, so that they need no copy of it."""
     sc = spark.sparkContext

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import struct
-import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,235 +9,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strandweave.session import ship
+from strandweave.sources.bam import BAM_SCHEMA, BamSource, is_sorted, read_header
+from strandweave.sources.bam import open_file as _open
 
-BAM_SCHEMA = "ordinal long, rid int, begin_pos int, map_q int, flag int, next_rid int, next_pos int, tlen int, cigar string, qname string, seq string, qual string, tags map<string,string>"
-_OPS, _BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
+__all__ = ["BAM_SCHEMA", "CALL_COLUMNS", "contigs", "is_sorted", "read_bam", "read_header", "read_sam", "register"]
 
+#: What evidence is made of: bases, and of the tags only whether a read has other alignments.
+CALL_COLUMNS = ("ordinal", "rid", "begin_pos", "map_q", "flag", "next_rid", "tlen", "cigar", "qname", "seq", "tag_SA")
 
-def _open(path: str):
-    """A file on any filesystem that Arrow knows, or a local one."""
-    from pyarrow import fs
 
-    if "://" in path or path.startswith("file:"):
-        filesystem, inner = fs.FileSystem.from_uri(path)
-        return filesystem.open_input_file(inner)
-    return fs.LocalFileSystem().open_input_file(path)
-
-
-class Bgzf:
-    """Block-wise reader of concatenated gzip members, positioned by virtual offsets."""
-
-    def __init__(self, path: str):
-        self.file, self.buf, self.at, self.block, self.next = _open(path), b"", 0, 0, 0
-
-    def seek(self, virtual: int) -> None:
-        self._load(virtual >> 16)
-        self.at = virtual & 0xFFFF
-
-    def _load(self, offset: int) -> bool:
-        self.file.seek(offset)
-        head = self.file.read(18)
-        self.block, self.buf, self.at = offset, b"", 0
-        if len(head) < 18:
-            return False
-        extra = struct.unpack("<H", head[10:12])[0]
-        field = head[12:18] + self.file.read(max(0, extra - 6))
-        size, k = 0, 0
-        while k < extra:
-            tag, n = field[k : k + 2], struct.unpack("<H", field[k + 2 : k + 4])[0]
-            if tag == b"BC":
-                size = struct.unpack("<H", field[k + 4 : k + 6])[0] + 1
-            k += 4 + n
-        body = self.file.read(size - 12 - extra)
-        self.buf = zlib.decompress(body[:-8], -15)
-        self.next = offset + size
-        return True
-
-    def tell(self) -> int:
-        return self.block << 16 | self.at if self.at < len(self.buf) else self.next << 16
-
-    def read(self, n: int) -> bytes:
-        out = []
-        while n:
-            if self.at >= len(self.buf) and not self._load(self.next):
-                break
-            part = self.buf[self.at : self.at + n]
-            self.at += len(part)
-            n -= len(part)
-            out.append(part)
-        return b"".join(out)
-
-
-def bam_header(path: str) -> tuple[str, list[tuple[str, int]], int]:
-    """(text, [(contig, length)], virtual offset of the first record)."""
-    r = Bgzf(path)
-    if r.read(4) != b"BAM\1":
-        raise ValueError(f"not a BAM file: {path}")
-    text = r.read(struct.unpack("<i", r.read(4))[0]).decode()
-    contigs = []
-    for _ in range(struct.unpack("<i", r.read(4))[0]):
-        name = r.read(struct.unpack("<i", r.read(4))[0])[:-1].decode()
-        contigs.append((name, struct.unpack("<i", r.read(4))[0]))
-    return text, contigs, r.tell()
-
-
-def is_sorted(header: str) -> bool:
-    """The first header line names the coordinate order."""
-    first = header.split("\n", 1)[0].split("\t")
-    return first[0] == "@HD" and "SO:coordinate" in first
-
-
-def bai_windows(path: str) -> list[list[int]]:
-    """Per contig, the virtual offsets of the first records that touch each stretch of 16,384 positions; 0 where there are none."""
-    raw = _open(path).read()
-    if raw[:4] != b"BAI\1":
-        raise ValueError(f"not an index: {path}")
-    n, at, out = struct.unpack_from("<i", raw, 4)[0], 8, []
-    for _ in range(n):
-        bins = struct.unpack_from("<i", raw, at)[0]
-        at += 4
-        for _ in range(bins):
-            chunks = struct.unpack_from("<i", raw, at + 4)[0]
-            at += 8 + 16 * chunks
-        windows = struct.unpack_from("<i", raw, at)[0]
-        at += 4
-        out.append(list(struct.unpack_from(f"<{windows}Q", raw, at)))
-        at += 8 * windows
-    return out
-
-
-def bai_offsets(path: str) -> list[int]:
-    """Virtual offsets of record starts named by an index's linear part, sorted."""
-    return sorted({x for windows in bai_windows(path) for x in windows if x})
-
-
-def parse_region(text: str, contigs: list[tuple[str, int]]) -> tuple[int, int, int]:
-    """``name`` or ``name:begin-end`` (from 1, both ends included) to (contig, begin, end), half-open from 0."""
-    names = [n for n, _ in contigs]
-    name, _, span = (text, "", "") if text in names else text.rpartition(":")
-    if name not in names:
-        raise ValueError(f"no such contig: {text}")
-    rid = names.index(name)
-    first, _, last = span.replace(",", "").partition("-")
-    return rid, int(first) - 1 if first else 0, int(last) if last else contigs[rid][1]
-
-
-def _tags(raw: bytes) -> dict[str, str]:
-    out, at = {}, 0
-    sizes = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
-    while at + 3 <= len(raw):
-        key, kind = raw[at : at + 2].decode(), chr(raw[at + 2])
-        at += 3
-        if kind == "A":
-            out[key], at = chr(raw[at]), at + 1
-        elif kind in "ZH":
-            end = raw.index(0, at)
-            out[key], at = raw[at:end].decode(), end + 1
-        elif kind == "B":
-            sub, n = chr(raw[at]), struct.unpack_from("<i", raw, at + 1)[0]
-            values = struct.unpack_from(f"<{n}{sizes[sub]}", raw, at + 5)
-            out[key], at = ",".join([sub, *map(str, values)]), at + 5 + n * struct.calcsize(sizes[sub])
-        else:
-            out[key] = str(struct.unpack_from(f"<{sizes[kind]}", raw, at)[0])
-            at += struct.calcsize(sizes[kind])
-    return out
-
-
-def _record(raw: bytes, ordinal: int) -> tuple:
-    rid, pos, n_name, map_q, _, n_cigar, flag, n_seq, next_rid, next_pos, tlen = struct.unpack_from("<iiBBHHHiiii", raw)
-    at = 32 + n_name
-    cigar = "".join(f"{x >> 4}{_OPS[x & 15]}" for x in struct.unpack_from(f"<{n_cigar}I", raw, at))
-    at += 4 * n_cigar
-    packed = raw[at : at + (n_seq + 1) // 2]
-    seq = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in packed)[:n_seq]
-    at += len(packed)
-    qual = "".join(chr(q + 33) if q < 94 else "!" for q in raw[at : at + n_seq])
-    return (ordinal, rid, pos, map_q, flag, next_rid, next_pos, tlen, cigar, raw[32 : at - len(packed) - 4 * n_cigar - 1].decode(), seq, qual, _tags(raw[at + n_seq :]))
-
-
-def _last(raw: bytes, pos: int) -> int:
-    """The last position of a record on the reference."""
-    n_name, n_cigar = raw[8], struct.unpack_from("<H", raw, 12)[0]
-    ops = struct.unpack_from(f"<{n_cigar}I", raw, 32 + n_name)
-    return pos + max(1, sum(x >> 4 for x in ops if _OPS[x & 15] in "MDN=X")) - 1
-
-
-class _Stretch(InputPartition):
-    def __init__(self, path: str, begin: int, end: int | None, number: int, what: tuple | None = None):
-        super().__init__(None)
-        self.path, self.begin, self.end, self.number, self.what = path, begin, end, number, what
-
-
-class BamReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.paths = [p for p in options["path"].split(",") if p]
-        self.splits = int(options.get("splits", 64))
-        self.region = options.get("region")
-
-    def _in_region(self, path: str, number: int) -> _Stretch:
-        """The stretch from the first record that may touch the region; its end is found while reading."""
-        _, contigs, first = bam_header(path)
-        region = parse_region(self.region, contigs)
-        try:
-            windows = bai_windows(path + ".bai")[region[0]]
-            after = windows[region[1] >> 14 :]
-            first = max([first, next((x for x in reversed(windows[: (region[1] >> 14) + 1]) if x), 0)]) if after or windows else first
-        except OSError:
-            pass
-        return _Stretch(path, first, None, number, region)
-
-    def partitions(self) -> list[InputPartition]:
-        """With an index beside it a file falls into stretches between record starts; without, it is one stretch.
-
-        A region is one stretch a file, begun by the index and left at the first record beyond.
-        """
-        out: list[InputPartition] = []
-        if self.region:
-            return [self._in_region(path, k) for k, path in enumerate(self.paths)]
-        for path in self.paths:
-            first = bam_header(path)[2]
-            cuts = [first]
-            try:
-                known = [x for x in bai_offsets(path + ".bai") if x > first]
-                step = max(1, len(known) // self.splits)
-                cuts += known[step - 1 :: step]
-            except OSError:
-                pass
-            out += [_Stretch(path, a, b, len(out) + k) for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], None], strict=True))]
-        return out
-
-    def read(self, part: _Stretch) -> Iterator[tuple]:
-        r = Bgzf(part.path)
-        r.seek(part.begin)
-        k = 0
-        while part.end is None or r.tell() < part.end:
-            head = r.read(4)
-            if len(head) < 4:
-                break
-            raw = r.read(struct.unpack("<i", head)[0])
-            # file order: the stretch's number, then the record's within it
-            order, k = part.number << 40 | k, k + 1
-            if part.what:
-                rid, pos = struct.unpack_from("<ii", raw)
-                if rid < 0 or rid > part.what[0] or (rid == part.what[0] and pos >= part.what[2]):
-                    break
-                if rid < part.what[0] or _last(raw, pos) < part.what[1]:
-                    continue
-            yield _record(raw, order)
-
-
-class BamSource(DataSource):
-    """``spark.read.format("bam").load("a.bam,b.bam")``; with option ``region`` (``chr1:1000-2000``), of a sorted file only what touches it."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "bam"
-
-    def schema(self) -> str:
-        return BAM_SCHEMA
-
-    def reader(self, schema) -> BamReader:
-        return BamReader(self.options)
+def read_bam(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None, **options: str) -> DataFrame:
+    """Alignments of one or more files; only ``columns`` (of BAM_SCHEMA, or ``tag_XX``) are decoded."""
+    register(spark)
+    types = dict(f.strip().split(" ", 1) for f in BAM_SCHEMA.replace("map<string,string>", "map").split(","))
+    types["tags"] = "map<string,string>"
+    reader = spark.read.format("bam").options(**options)
+    if columns:
+        reader = reader.schema(", ".join(f"{c} {types.get(c, 'string')}" for c in columns))
+    return reader.load(path)
 
 
 FASTA_SCHEMA = "template_id int, name string, chunk_no long, seq string"
@@ -277,6 +64,12 @@ def _indexed(out: list[list], line: bytes, size: int, offset: int) -> int:
     return offset + size
 
 
+class _Piece(InputPartition):
+    def __init__(self, begin: int, end: int, number: int, what: tuple):
+        super().__init__(None)
+        self.begin, self.end, self.number, self.what = begin, end, number, what
+
+
 class FastaReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.chunk = options["path"], int(options.get("chunk", 65536))
@@ -287,13 +80,13 @@ class FastaReader(DataSourceReader):
         for tid, entry in enumerate(fasta_index(self.path)):
             length = entry[1]
             last = (length + self.chunk - 1) // self.chunk
-            out += [_Stretch(self.path, a, min(last, a + self.per), tid, entry) for a in range(0, last, self.per)]
+            out += [_Piece(a, min(last, a + self.per), tid, entry) for a in range(0, last, self.per)]
         return out
 
-    def read(self, part: _Stretch) -> Iterator[tuple]:
+    def read(self, part: _Piece) -> Iterator[tuple]:
         name, length, offset, bases, width = part.what
         with _open(self.path) as f:
-            for no in range(part.begin, part.end or 0):
+            for no in range(part.begin, part.end):
                 a, b = no * self.chunk, min(length, (no + 1) * self.chunk)
                 start = offset + a // bases * width + a % bases
                 stop = offset + (b - 1) // bases * width + (b - 1) % bases + 1
@@ -316,14 +109,16 @@ class FastaSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the sources known, and let filters reach those that ask for them."""
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BamSource)
     spark.dataSource.register(FastaSource)
 
 
 def contigs(spark: SparkSession, bam: str) -> DataFrame:
     """(template_id, name, length) from a BAM header."""
-    return spark.createDataFrame([(i, n, length) for i, (n, length) in enumerate(bam_header(bam)[1])], "template_id int, name string, length long")
+    return spark.createDataFrame([(i, n, length) for i, (n, length) in enumerate(read_header(bam).contigs)], "template_id int, name string, length long")
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,3 @@
-import struct
-import zlib
-
 from pyspark.sql import functions as F
 
 from strandweave.options import CallOptions
@@ -9,67 +6,6 @@ from strandweave.plans.merge import merged
 from strandweave.sources import alignments, vcf
 
 
-def _block(data: bytes) -> bytes:
-    c = zlib.compressobj(6, zlib.DEFLATED, -15)
-    body = c.compress(data) + c.flush()
-    head = b"\x1f\x8b\x08\x04" + bytes(6) + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, len(body) + 25)
-    return head + body + struct.pack("<II", zlib.crc32(data), len(data))
-
-
-def _bam_record(name, flag, rid, pos, map_q, cigar, tlen=0, seq="ACGT"):
-    ops = [(int(n), "MIDNSHP=X".index(o)) for n, o in cigar]
-    packed = bytes(("=ACMGRSVTWYHKDBN".index(seq[i]) << 4) | ("=ACMGRSVTWYHKDBN".index(seq[i + 1]) if i + 1 < len(seq) else 0) for i in range(0, len(seq), 2))
-    raw = struct.pack("<iiBBHHHiiii", rid, pos, len(name) + 1, map_q, 0, len(ops), flag, len(seq), rid, pos, tlen)
-    raw += name.encode() + b"\0" + b"".join(struct.pack("<I", n << 4 | o) for n, o in ops) + packed + bytes([30] * len(seq)) + b"NMi" + struct.pack("<i", 2) + b"SAZx,1\0"
-    return struct.pack("<i", len(raw)) + raw
-
-
-def test_bam(spark, tmp_path):
-    header = "@HD\tVN:1.6\tSO:coordinate\n@SQ\tSN:chr1\tLN:1000\n"
-    data = b"BAM\1" + struct.pack("<i", len(header)) + header.encode() + struct.pack("<i", 1) + struct.pack("<i", 5) + b"chr1\0" + struct.pack("<i", 1000)
-    records = b"".join(_bam_record(f"r{i}", 0x10, 0, 10 + i, 60, [(4, "M"), (3, "S")], tlen=-5, seq="ACGTACG") for i in range(50))
-    path = tmp_path / "a.bam"
-    # records that run across blocks
-    path.write_bytes(b"".join(_block((data + records)[k : k + 700]) for k in range(0, len(data + records), 700)) + _block(b""))
-    alignments.register(spark)
-    rows = spark.read.format("bam").load(str(path)).orderBy("ordinal").collect()
-    assert len(rows) == 50 and rows[7]["qname"] == "r7" and rows[7]["begin_pos"] == 17 and rows[7]["cigar"] == "4M3S"
-    assert rows[0]["seq"] == "ACGTACG" and rows[0]["tags"] == {"NM": "2", "SA": "x,1"} and rows[0]["tlen"] == -5
-    assert alignments.is_sorted(alignments.bam_header(str(path))[0])
-    assert [tuple(r) for r in alignments.contigs(spark, str(path)).collect()] == [(0, "chr1", 1000)]
-
-
-def test_bam_region(spark, tmp_path):
-    header = "@HD\tVN:1.6\tSO:coordinate\n@SQ\tSN:chr1\tLN:90000\n@SQ\tSN:chr2\tLN:90000\n"
-    top = b"BAM\1" + struct.pack("<i", len(header)) + header.encode() + struct.pack("<i", 2) + b"".join(struct.pack("<i", 5) + n + b"\0" + struct.pack("<i", 90000) for n in (b"chr1", b"chr2"))
-    places = [(c, p) for c in (0, 1) for p in range(0, 80000, 500)]
-    blocks, where, at = [_block(top)], {}, len(_block(top))
-    for c, p in places:
-        where[c, p] = at << 16
-        blocks.append(_block(_bam_record(f"r{c}:{p}", 0, c, p, 60, [(90, "M"), (20, "N"), (10, "M"), (4, "S")], seq="A" * 104)))
-        at += len(blocks[-1])
-    path = tmp_path / "a.bam"
-    path.write_bytes(b"".join(blocks) + _block(b""))
-    alignments.register(spark)
-
-    def read(region):
-        return [r["qname"] for r in spark.read.format("bam").option("region", region).load(str(path)).orderBy("ordinal").collect()]
-
-    def checked():
-        assert read("chr2:40101-41000") == ["r1:40000", "r1:40500"]
-        assert read("chr2:40121-40500") == [] and read("chr1:1-1") == ["r0:0"]
-        assert len(read("chr1")) == 160 and read("chr2:79,900-90,000") == []
-
-    checked()
-    index = b"BAI\1" + struct.pack("<i", 2)
-    for c in (0, 1):
-        windows = [min(v for (d, p), v in where.items() if d == c and p + 119 >= w << 14) for w in range(5)]
-        index += struct.pack("<i", 0) + struct.pack("<i", len(windows)) + struct.pack(f"<{len(windows)}Q", *windows)
-    (tmp_path / "a.bam.bai").write_bytes(index)
-    checked()
-    assert spark.read.format("bam").load(str(path)).count() == len(places)
-
-
 def test_headers_and_samples(spark, tmp_path):
     lines = vcf.header("merge")
     assert {"MIN_SC", "OUTTARGETPOS", "DP", "GT"} <= {x.split("ID=")[1].split(",")[0] for x in lines if "ID=" in x}
