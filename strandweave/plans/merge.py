@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandweave.operators import merge as ops
+from strandweave.operators.intervals import in_order
 from strandweave.options import MergeOptions
 from strandweave.session import settled
 from strandweave.sources import vcf
@@ -25,7 +25,12 @@ def merged(spark: SparkSession, paths: list[str], o: MergeOptions = MergeOptions
     rows = each.join(target, "cluster", "left").join(cells, "cluster")
     c = {"MIN_SC": "min_sc", "MAX_SC": "max_sc", "IN_BEGINPOS": "in_begin", "IN_ENDPOS": "in_end", "OUT_BEGINPOS": "out_begin", "OUT_ENDPOS": "out_end", "TARGETPOS": "target_pos", "IN_TARGETPOS": "in_target", "OUTTARGETPOS": "out_target", "BEGIN": "begin_pos", "END": "end_pos"}
     info = vcf.merged_info_text(F.col("sv_type"), {k: F.col(v) for k, v in c.items()})
-    n = F.row_number().over(W.partitionBy("sv_type").orderBy("chrom", "begin_pos", "end_pos", "cluster"))
+    # numbered in one order of all, and from 1 within each type
+    rows = settled(rows)
+    rows = in_order(rows, ["sv_type", "chrom", "begin_pos", "end_pos", "cluster"], "__n", rows.count())
+    first = rows.groupBy("sv_type").agg(F.min("__n").alias("__first"))
+    rows = rows.join(F.broadcast(first), "sv_type")  # a row for each type
+    n = F.col("__n") - F.col("__first") + 1
     return rows.select("chrom", "begin_pos", "end_pos", F.concat_ws("_", "sv_type", n.cast("string")).alias("id"), F.concat(F.lit("<"), "sv_type", F.lit(">")).alias("alt"), F.lit("PASS").alias("filter"), info.alias("info"), F.transform("g", lambda x: x["g"]).alias("genotypes"))
 
 
