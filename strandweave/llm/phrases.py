@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -277,29 +278,31 @@ def _filter(found: DataFrame, bits: int, p: Phrases) -> tuple[int, np.ndarray]:
     return width, made
 
 
-def exact_counts(rows: DataFrame, width: int, made: np.ndarray, p: Phrases) -> DataFrame:
-    """(lang, phrase, words, f): exact counts, by text, of the runs that pass the filter and have ``p.least`` occurrences."""
+def exact_counts(rows: DataFrame, width: int, made: np.ndarray, bits: int, p: Phrases) -> DataFrame:
+    """(lang, phrase, words, f): exact counts, by text, of the runs that pass the filter and have ``p.least`` occurrences.
+
+    Tasks pass on one row for each hash partition, a list of texts and their
+    counts; the partition then adds up equal texts, a bounded number at a time.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(made)
+    entry = pa.struct([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[int, tuple[str, str, int]] = {}
+        names: dict[int, tuple[str, str]] = {}
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def together() -> tuple[np.ndarray, np.ndarray]:
             return _summed(np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]))
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             keys, counts = together()
             told = [names[k] for k in keys.tolist()]
-            return pa.RecordBatch.from_pydict(
-                {
-                    "lang": pa.array([t[0] for t in told], pa.string()),
-                    "phrase": pa.array([t[1] for t in told], pa.string()),
-                    "words": pa.array([t[2] for t in told], pa.int32()),
-                    "f": pa.array(counts, pa.int64()),
-                }
-            )
+            flat = pa.StructArray.from_arrays([pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.string()), pa.array(counts, pa.int64())], fields=list(entry))
+            edges = np.searchsorted(_place(keys, bits), np.arange((1 << bits) + 1))
+            some = np.flatnonzero(np.diff(edges))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(edges[some], edges[-1]), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), lists], names=["bucket", "found"])
 
         for rb in it:
             for texts, langs in _parts(*_columns(rb)):
@@ -312,20 +315,46 @@ def exact_counts(rows: DataFrame, width: int, made: np.ndarray, p: Phrases) -> D
                         some, first, n = np.unique(keys[at], return_index=True, return_counts=True)
                         for k, i in zip(some.tolist(), at[first].tolist(), strict=True):
                             if k not in names:
-                                names[k] = (langs[runs.doc[i]], runs.text(i, j + 1), j + 1)
+                                names[k] = (langs[runs.doc[i]], runs.text(i, j + 1))
                         waiting.append((some, n))
                         size += len(some)
                 if len(names) > 200_000:
-                    yield flush()
+                    yield from flush()
                     names, waiting, size = {}, [], 0
                 elif size > p.pending:
                     waiting = [together()]
                     size = len(waiting[0][0])
         if waiting:
-            yield flush()
+            yield from flush()
+
+    def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, waiting, size = None, [], 0
+
+        def summed() -> pa.Table:
+            t = pa.concat_tables(waiting).group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+            return t.rename_columns(["f" if c == "f_sum" else c for c in t.column_names]).select(["lang", "phrase", "f"])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            t = summed()
+            yield from t.filter(pc.greater_equal(t["f"], p.least)).combine_chunks().to_batches(max_chunksize=20_000)
+
+        for rb in it:
+            for b, found in zip(rb.column(0).to_pylist(), rb.column(1), strict=True):
+                if b != bucket:
+                    if waiting:
+                        yield from done()
+                    bucket, waiting, size = b, [], 0
+                waiting.append(pa.Table.from_batches([pa.RecordBatch.from_struct_array(found.values)]))
+                size += len(found)
+                if size > 1_000_000:
+                    waiting = [summed()]
+                    size = waiting[0].num_rows if waiting[0].num_rows < 500_000 else 0
+        if waiting:
+            yield from done()
 
-    each = rows.mapInArrow(count, "lang string, phrase string, words int, f long")
-    return each.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= p.least)
+    each = rows.mapInArrow(count, "bucket int, found array<struct<lang: string, phrase: string, f: bigint>>")
+    each = each.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "lang string, phrase string, f long")
+    return each.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "f")
 
 
 def _part(words: Column, first: Column, n: Column) -> Column:
@@ -368,7 +397,7 @@ def collocations(docs: DataFrame, p: Phrases = Phrases(), lang_col: str = "lang"
         capacity[r["bucket"]] = p.spare * (r["n"] // p.least + 1)
     found = stage(survivors(rows, capacity, bits, p), "phrases")
     width, made = _filter(found, bits, p)
-    known = stage(exact_counts(rows, width, made, p), "phrases")
+    known = stage(exact_counts(rows, width, made, bits, p), "phrases")
     unstage(found)
 
     total = known.count()
