@@ -31,7 +31,7 @@ def main(argv: list[str] | None = None) -> None:
     defaults = CallOptions()
     for names, field in _NUMBERS.items():
         one.add_argument(*names, dest=field, type=type(getattr(defaults, field)), default=getattr(defaults, field))
-    for flag in ("report-filtered", "no-pe", "no-ce", "no-re", "no-rank-aggregation", "use-re-for-bs"):
+    for flag in ("report-filtered", "no-pe", "no-ce", "no-re", "no-rank-aggregation", "use-re-for-bs", "assemble-clips"):
         one.add_argument(f"--{flag}", action="store_true")
     many = commands.add_parser("merge")
     many.add_argument("inputs", help="comma-separated .vcf files")
@@ -42,7 +42,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.command == "merge":
         merge_files(spark, [p for p in a.inputs.split(",") if p], a.out, MergeOptions(use_all=a.use_all))
         return
-    o = replace(defaults, **{f: getattr(a, f) for f in _NUMBERS.values()}, report_filtered=a.report_filtered, use_pairs=not a.no_pe, use_clips=not a.no_ce, use_depth=not a.no_re, rank_aggregation=not a.no_rank_aggregation, depth_for_balanced=a.use_re_for_bs)
+    o = replace(defaults, **{f: getattr(a, f) for f in _NUMBERS.values()}, report_filtered=a.report_filtered, use_pairs=not a.no_pe, use_clips=not a.no_ce, use_depth=not a.no_re, rank_aggregation=not a.no_rank_aggregation, depth_for_balanced=a.use_re_for_bs, assemble_clips=a.assemble_clips)
     alignments.register(spark)
     if not alignments.is_sorted(alignments.read_header(a.bam).text):
         raise SystemExit("the alignments must be sorted by coordinate")

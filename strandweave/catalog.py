@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandweave.fixtures import ctes, view
 from strandweave.functions import columns as x
-from strandweave.operators import calls, clips, cluster, depth, intervals, merge, reads, seqsearch
+from strandweave.operators import calls, clips, cluster, consensus, depth, intervals, merge, reads, seqsearch
 from strandweave.options import CallOptions
 from strandweave.plans import call as command
 from strandweave.session import settled
@@ -838,6 +838,23 @@ def clip_search(spark: SparkSession, sf: str) -> DataFrame:
     return clips.best_hits(found, _chunks(spark, sf), 64, O.clip_error_rate).select("clip_id", "orientation", "begin_pos", "end_pos", "edits")
 
 
+@query(
+    ctes("dna")
+    + """, c AS (SELECT seq_id AS clip_id, seq, substr(seq, CAST(length(seq) // 2 - 29 AS INT), 60) AS needle FROM dna WHERE length(seq) >= 60)
+SELECT clip_id, needle AS consensus, CAST(i - 1 AS BIGINT) AS begin_pos, CAST(i + 59 AS BIGINT) AS end_pos, CAST(0 AS BIGINT) AS edits
+FROM (SELECT *, unnest(list_filter(range(1, length(seq) - 58), lambda i: substr(seq, CAST(i AS INT), 60) = needle)) AS i FROM c)"""
+)
+def clip_consensus(spark: SparkSession, sf: str) -> DataFrame:
+    """Twenty copies of the middle of each sequence, one letter in twenty changed; their consensus, searched in the sequence."""
+    dna = settled(view(spark, sf, "dna").where("length(seq) >= 60").select(F.col("seq_id").alias("clip_id"), "seq"))
+    copies = dna.select("clip_id", F.expr("substr(seq, cast(length(seq) div 2 - 29 as int), 60)").alias("needle"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"))
+    noisy = F.expr("array_join(transform(split(needle, ''), (c, i) -> CASE WHEN pmod(xxhash64(clip_id, k, i), 20) = 0 THEN translate(c, 'ACGT', 'CGTA') ELSE c END), '')")
+    made = settled(consensus.assembled(copies.select("clip_id", noisy.alias("seq")), "clip_id"))
+    pairs = made.join(dna.select("clip_id", F.col("seq").alias("hay")), "clip_id")
+    hits = seqsearch.searched(pairs.select(F.col("clip_id").alias("qid"), F.col("clip_id").alias("rid"), F.col("seq").alias("needle"), "hay"), O.clip_error_rate)
+    return hits.join(made, F.col("qid") == F.col("clip_id")).select("clip_id", F.col("seq").alias("consensus"), F.col("hit_begin").alias("begin_pos"), F.col("hit_end").alias("end_pos"), "edits")
+
+
 @query()
 def local_alignment(spark: SparkSession, sf: str) -> DataFrame:
     """A stretch of each sequence with a letter left out, aligned to the first 300 letters."""

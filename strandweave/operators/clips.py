@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions.columns import INVERTED, LARGE, SWAPPED, cigar_ops, ref_length, revcomp
 from strandweave.operators import seqsearch
+from strandweave.operators.consensus import assembled
 from strandweave.operators.intervals import bin_join, islands
 from strandweave.options import CallOptions
 from strandweave.session import settled
@@ -35,14 +36,21 @@ def clip_reads(reads: DataFrame, o: CallOptions) -> DataFrame:
     return reads.select("ordinal", "template_id", F.explode(ends).alias("e")).select("ordinal", "template_id", "e.*")
 
 
-def clip_clusters(clips: DataFrame, tol: int) -> DataFrame:
+def clip_clusters(clips: DataFrame, tol: int, assemble: bool = False) -> DataFrame:
     """(clip_id, template_id, is_left, lo, hi, mid, supp, seq): clips of one side that chain within the tolerance.
 
-    seq is that of the first read in file order.
+    seq is that of the first read in file order; with ``assemble``, the
+    consensus of all of them (see :func:`consensus.assembled`).
     """
-    rows = islands(clips, ["template_id", "is_left"], "pos", "pos", tol, "island")
-    out = rows.groupBy("template_id", "is_left", "island").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.expr("cast(percentile_disc(0.5) WITHIN GROUP (ORDER BY pos DESC) as bigint)").alias("mid"), F.count("*").alias("supp"), F.min_by("seq", "ordinal").alias("seq"))
-    return out.withColumn("clip_id", F.xxhash64("template_id", "is_left", "island")).drop("island")
+    rows = islands(clips, ["template_id", "is_left"], "pos", "pos", tol, "island").withColumn("clip_id", F.xxhash64("template_id", "is_left", "island"))
+    rows = settled(rows) if assemble else rows
+    out = rows.groupBy("clip_id", "template_id", "is_left").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.expr("cast(percentile_disc(0.5) WITHIN GROUP (ORDER BY pos DESC) as bigint)").alias("mid"), F.count("*").alias("supp"), F.min_by("seq", "ordinal").alias("seq"))
+    if not assemble:
+        return out
+    # a right clip's bases begin at its place, a left clip's end there
+    facing = F.when(F.col("is_left"), F.reverse("seq")).otherwise(F.col("seq"))
+    made = assembled(rows.select("clip_id", facing.alias("seq")), "clip_id")
+    return out.drop("seq").join(made, "clip_id").withColumn("seq", facing)
 
 
 def targets(bps: DataFrame, pairs: DataFrame | None) -> DataFrame:

@@ -28,6 +28,7 @@ class CallOptions:
     min_pair_support: int = 1
     min_clip_size: int = 20
     clip_error_rate: float = 0.1
+    assemble_clips: bool = False
     depth_samples: int = 100_000
     depth_window: int = 20
     depth_threshold: float = 1.0

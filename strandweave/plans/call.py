@@ -54,7 +54,7 @@ def pair_evidence(routed: DataFrame, o: CallOptions) -> DataFrame:
 def clip_places(routed: DataFrame, exact: DataFrame, pairs: DataFrame | None, chunks: DataFrame, chunk_size: int, o: CallOptions) -> DataFrame:
     """Evidence from clipped sequences found again in the reference, with the places of their bases."""
     bounds = routed.select(F.floor("max_insert").cast("long").alias("max_insert")).limit(1)
-    found = clips.clip_clusters(clips.clip_reads(routed.where("to_clip"), o), o.adj_tol)
+    found = clips.clip_clusters(clips.clip_reads(routed.where("to_clip"), o), o.adj_tol, o.assemble_clips)
     found = settled(found.join(F.broadcast(bounds)))
     known = clips.targets(cluster.breakpoints(exact, o.adj_tol, 0, ["template_id", "right_template", "orientation"]), pairs)
     return clips.clip_evidence(found, settled(known), chunks, chunk_size, F.coalesce("max_insert", F.lit(0)), o)
