@@ -272,6 +272,15 @@ def interval_bin_join(spark: SparkSession, sf: str) -> DataFrame:
     return hit.groupBy("template_id").agg(F.count("*").alias("pairs"), F.sum(F.col("read_id") * 31 + F.col("ev_id")).alias("checksum"))
 
 
+@query(ctes("reads", "evidence") + " SELECT r.template_id, count(*) AS pairs, CAST(sum(read_id * 31 + ev_id) AS BIGINT) AS checksum FROM (SELECT template_id, read_id, begin_pos % 2000 AS b, begin_pos % 2000 + ref_len % 40 AS e FROM reads) r JOIN (SELECT template_id, ev_id, left_pos % 2000 AS p FROM evidence) x ON r.template_id = x.template_id AND b <= p + 3 AND p <= e WHERE (read_id + ev_id) % 64 = 0 GROUP BY 1")
+def crowded_interval_join(spark: SparkSession, sf: str) -> DataFrame:
+    """All reads and evidence folded into two bins a contig: crowded bins cut into cells and dealt; of the pairs, every 64th counts."""
+    a = view(spark, sf, "reads").select("template_id", "read_id", (F.col("begin_pos") % 2000).cast("long").alias("b1"), (F.col("begin_pos") % 2000 + F.col("ref_len") % 40).cast("long").alias("e1"))
+    b = _evidence(spark, sf).select("template_id", "ev_id", (F.col("left_pos") % 2000).alias("b2"), (F.col("left_pos") % 2000 + 3).alias("e2"))
+    hit = intervals.dense_join(settled(a), settled(b), ["template_id"], ("b1", "e1"), ("b2", "e2"), (F.col("read_id") + F.col("ev_id")) % 64 == 0, crowd=200_000)
+    return hit.groupBy("template_id").agg(F.count("*").alias("pairs"), F.sum(F.col("read_id") * 31 + F.col("ev_id")).alias("checksum"))
+
+
 @query(ctes("reads", "evidence") + " SELECT read_id, count(*) AS near FROM reads r JOIN evidence e ON r.template_id = e.template_id AND NOT (r.begin_pos <= e.left_pos + 30 AND e.left_pos <= r.end_pos) AND greatest(r.begin_pos, e.left_pos) - least(r.end_pos, e.left_pos + 30) <= 50 GROUP BY 1")
 def interval_adjacent_join(spark: SparkSession, sf: str) -> DataFrame:
     a, b = _sides(spark, sf)
@@ -838,12 +847,7 @@ def clip_search(spark: SparkSession, sf: str) -> DataFrame:
     return clips.best_hits(found, _chunks(spark, sf), 64, O.clip_error_rate).select("clip_id", "orientation", "begin_pos", "end_pos", "edits")
 
 
-@query(
-    ctes("dna")
-    + """, c AS (SELECT seq_id AS clip_id, seq, substr(seq, CAST(length(seq) // 2 - 29 AS INT), 60) AS needle FROM dna WHERE length(seq) >= 60)
-SELECT clip_id, needle AS consensus, CAST(i - 1 AS BIGINT) AS begin_pos, CAST(i + 59 AS BIGINT) AS end_pos, CAST(0 AS BIGINT) AS edits
-FROM (SELECT *, unnest(list_filter(range(1, length(seq) - 58), lambda i: substr(seq, CAST(i AS INT), 60) = needle)) AS i FROM c)"""
-)
+@query(ctes("dna") + " SELECT seq_id AS clip_id, substr(seq, CAST(length(seq) // 2 - 29 AS INT), 60) AS consensus, true AS found FROM dna WHERE length(seq) >= 60")
 def clip_consensus(spark: SparkSession, sf: str) -> DataFrame:
     """Twenty copies of the middle of each sequence, one letter in twenty changed; their consensus, searched in the sequence."""
     dna = settled(view(spark, sf, "dna").where("length(seq) >= 60").select(F.col("seq_id").alias("clip_id"), "seq"))
@@ -852,7 +856,8 @@ def clip_consensus(spark: SparkSession, sf: str) -> DataFrame:
     made = settled(consensus.assembled(copies.select("clip_id", noisy.alias("seq")), "clip_id"))
     pairs = made.join(dna.select("clip_id", F.col("seq").alias("hay")), "clip_id")
     hits = seqsearch.searched(pairs.select(F.col("clip_id").alias("qid"), F.col("clip_id").alias("rid"), F.col("seq").alias("needle"), "hay"), O.clip_error_rate)
-    return hits.join(made, F.col("qid") == F.col("clip_id")).select("clip_id", F.col("seq").alias("consensus"), F.col("hit_begin").alias("begin_pos"), F.col("hit_end").alias("end_pos"), "edits")
+    best = hits.groupBy(F.col("qid").alias("clip_id")).agg((F.count("*") > 0).alias("found"))
+    return made.join(best, "clip_id", "left").select("clip_id", F.col("seq").alias("consensus"), F.coalesce("found", F.lit(False)).alias("found"))
 
 
 @query()

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions.columns import INVERTED, SWAPPED, index_quantile
-from strandweave.operators.intervals import bin_join, islands
+from strandweave.operators.intervals import dense_join, islands
 from strandweave.operators.reads import pair_regions
 from strandweave.options import CallOptions
 from strandweave.session import settled, ship
@@ -101,7 +101,7 @@ def pair_matches(pairs: DataFrame, bps: DataFrame, tol: int) -> DataFrame:
     keys = ["template_id", "right_template", "orientation"]
     a = pairs.select(*keys, "pair_id", F.col("supp").alias("pair_supp"), (F.col("left_lo") - tol).alias("p1"), (F.col("left_hi") + tol).alias("p2"), (F.col("right_lo") - tol).alias("q1"), (F.col("right_hi") + tol).alias("q2"))
     b = bps.select(*keys, "bp_id", F.col("min_left").alias("b1"), F.col("max_left").alias("b2"), F.col("min_right").alias("c1"), F.col("max_right").alias("c2"))
-    hit = bin_join(a, b, keys, ("p1", "p2"), ("b1", "b2"), (F.col("q1") <= F.col("c2")) & (F.col("c1") <= F.col("q2")))
+    hit = dense_join(settled(a), settled(b), keys, ("p1", "p2"), ("b1", "b2"), (F.col("q1") <= F.col("c2")) & (F.col("c1") <= F.col("q2")))
     return hit.select("pair_id", F.col("pair_supp").alias("supp"), "bp_id")
 
 

@@ -12,7 +12,7 @@ from strandweave.session import settled, ship
 
 #: Distinct sequences that one task aligns to a graph, on average.
 FAN = 48
-_MATCH, _MISMATCH, _GAP = 2, -2, -6
+_MATCH, _MISMATCH, _GAP, _OVER = 2, -2, -6, -3
 
 
 class Graph:
@@ -37,7 +37,8 @@ class Graph:
     def align(self, seq: str) -> list[int | None]:
         """For each letter of ``seq`` the graph's letter that it stands at, or none if it is inserted.
 
-        All begin at one place; ends that hang over cost nothing.
+        All begin at one place; a graph that goes on costs nothing, a sequence
+        that hangs over a little more than letters that differ.
         """
         m, rank = len(seq), {v: i + 1 for i, v in enumerate(self.order)}
         text = np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)
@@ -63,7 +64,8 @@ class Graph:
             came[i][along > best] = 1 << 30
             score[i] = along
         ends = [(int(score[i, m]), i, m) for i in range(1, len(score))]
-        ends += [(int(score[i].max()), i, int(score[i].argmax())) for i in range(1, len(score)) if not followed[i]]
+        over = score + _OVER * np.arange(m, -1, -1, dtype=np.int32)
+        ends += [(int(over[i].max()), i, int(over[i].argmax())) for i in range(1, len(score)) if not followed[i]]
         _, i, j = max(ends, key=lambda e: (e[0], -e[1]))
         out: list[int | None] = [None] * m
         while i and j:

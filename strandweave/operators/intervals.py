@@ -107,6 +107,77 @@ def bin_join(left: DataFrame, right: DataFrame, keys: list[str], l_span: tuple[s
     return out
 
 
+#: Pairs that one task of a dense join may look at, cells that a crowded bin is cut into, and how many bins are cut at most.
+CROWD, CELLS, CUT_BINS = 20_000_000, 64, 20_000
+
+
+def dense_join(left: DataFrame, right: DataFrame, keys: list[str], l_span: tuple[str, str], r_span: tuple[str, str], residual: Column | None = None, size: int = BIN, wide: int = 100, crowd: int = CROWD) -> DataFrame:
+    """What :func:`bin_join` gives, for places where many intervals pile up.
+
+    The rows that touch each bin are counted first. A bin where more than
+    ``crowd`` pairs would meet is crowded: it is cut into cells, unless its
+    intervals are so long that this saves nothing, and a cell still crowded is
+    dealt to several tasks by parts of its longer side. A pair is made where
+    the later of its begins lies. Both sides should be settled.
+    """
+
+    def is_wide(span: tuple[str, str]) -> Column:
+        return (F.col(span[1]) - F.col(span[0])) >= size * wide
+
+    wide_left, wide_right = left.where(is_wide(l_span)), right.where(is_wide(r_span))
+    a, b = left.where(~is_wide(l_span) & (F.col(l_span[0]) <= F.col(l_span[1]))), right.where(~is_wide(r_span) & (F.col(r_span[0]) <= F.col(r_span[1])))
+    a, b = (x.withColumn("__bin", F.explode(F.sequence(bin_of(s[0], size), bin_of(s[1], size)))) for x, s in ((a, l_span), (b, r_span)))
+    place = [*keys, "__bin"]
+
+    def counted(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
+        n = x.groupBy(*on).agg(F.count("*").alias("__l")).join(y.groupBy(*on).agg(F.count("*").alias("__r")), on)
+        return n.withColumn("__pairs", F.col("__l") * F.col("__r"))
+
+    crowded = settled(counted(a, b, place).where(F.col("__pairs") > crowd))
+    limit = crowd
+    while crowded.where(F.col("__pairs") > limit).count() > CUT_BINS:
+        limit *= 4
+    crowded = crowded.where(F.col("__pairs") > limit)
+    if not crowded.take(1):
+        return bin_join(left, right, keys, l_span, r_span, residual, size, wide)
+
+    step = max(1, size // CELLS)
+
+    def celled(x: DataFrame, span: tuple[str, str]) -> DataFrame:
+        lo = F.greatest(F.col(span[0]), F.col("__bin") * size)
+        hi = F.least(F.col(span[1]), (F.col("__bin") + 1) * size - 1)
+        return x.withColumn("__cell", F.explode(F.sequence(F.floor(lo / step), F.floor(hi / step))))
+
+    hot = F.broadcast(crowded.select(*place))
+    cells = settled(counted(celled(a.join(hot, place), l_span), celled(b.join(hot, place), r_span), [*place, "__cell"]))
+    saved = cells.groupBy(*place).agg(F.sum(F.col("__pairs") + F.col("__l") + F.col("__r")).alias("__work"), F.max("__pairs").alias("__most"))
+    cut = crowded.join(saved, place, "left").withColumn("__cut", F.coalesce(F.col("__work") < F.col("__pairs") / 2, F.lit(True)))
+    cut = F.broadcast(settled(cut.select(*place, "__cut", "__l", "__r", "__pairs")))
+    # what is still crowded: whole bins that aren't cut, and cells
+    still = cells.join(cut.where("__cut").select(*place), place).unionByName(cut.where("not __cut").select(*place, F.lit(-1).cast("long").alias("__cell"), "__l", "__r", "__pairs"))
+    still = still.where(F.col("__pairs") > limit).select(*place, "__cell", F.ceil(F.col("__pairs") / limit).cast("int").alias("__parts"), (F.col("__l") >= F.col("__r")).alias("__split_left"))
+    still = F.broadcast(settled(still))
+
+    def dealt(x: DataFrame, span: tuple[str, str], is_left: bool) -> DataFrame:
+        x = x.join(cut.select(*place, "__cut"), place, "left")
+        whole = x.where("not coalesce(__cut, false)").withColumn("__cell", F.lit(-1).cast("long"))
+        x = whole.unionByName(celled(x.where("__cut"), span)).drop("__cut").join(still, [*place, "__cell"], "left")
+        own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in x.columns if not c.startswith("__")]), F.coalesce("__parts", F.lit(1))).cast("int")
+        mine = F.coalesce("__split_left", F.lit(True)) == is_left
+        parts = F.when(mine, F.array(own)).otherwise(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))
+        return x.withColumn("__part", F.explode(parts)).drop("__parts", "__split_left")
+
+    # by number: few bytes may make many pairs, so adaptive execution must not put these partitions together
+    on, number = [*place, "__cell", "__part"], int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = dealt(a, l_span, True).repartition(number, *on).join(dealt(b, r_span, False).repartition(number, *on), on)
+    later = F.greatest(F.col(l_span[0]), F.col(r_span[0]))
+    here = (bin_of(later, size) == F.col("__bin")) & ((F.col("__cell") < 0) | (F.floor(later / step) == F.col("__cell")))
+    both = both.where(here & overlaps(F.col(l_span[0]), F.col(l_span[1]), F.col(r_span[0]), F.col(r_span[1])))
+    out = (both if residual is None else both.where(residual)).drop("__bin", "__cell", "__part")
+    out = out.unionByName(bin_join(wide_left, right, keys, l_span, r_span, residual, size, wide))
+    return out.unionByName(bin_join(left.where(~is_wide(l_span)), wide_right, keys, l_span, r_span, residual, size, wide))
+
+
 def coverage(reads: DataFrame, key: str, begin: str, end: str, weight: Column | int = 1, coarse: int = COARSE) -> DataFrame:
     """(key, start, stop, depth): run-length depth of half-open intervals, stretches without reads left out."""
     w = F.lit(weight) if isinstance(weight, int) else weight
