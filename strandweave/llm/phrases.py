@@ -139,6 +139,25 @@ def reduced(keys: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.nda
     return keys[keep], counts[keep] - lost, lost
 
 
+#: Leading bits of a hash that tell runs apart in the summaries; runs that share them only make a survivor more.
+_KEY_BITS = 48
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as the first one and the gaps after it, in 4 bytes each where all fit."""
+    gaps = np.diff(keys) >> np.uint64(64 - _KEY_BITS)
+    if len(gaps) and int(gaps.max()) >= 1 << 32:
+        return keys.tobytes()
+    return keys[:1].tobytes() + gaps.astype(np.uint32).tobytes()
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    if len(packed) == 8 * n:
+        return np.frombuffer(packed, np.uint64)
+    gaps = np.frombuffer(packed, np.uint32, n - 1, 8).astype(np.uint64) << np.uint64(64 - _KEY_BITS)
+    return np.cumsum(np.concatenate([np.frombuffer(packed, np.uint64, 1), gaps]), dtype=np.uint64)
+
+
 def _place(keys: np.ndarray, bits: int) -> np.ndarray:
     """The number that the leading bits of each key make."""
     return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
@@ -185,6 +204,7 @@ def survivors(rows: DataFrame, capacity: np.ndarray, bits: int, p: Phrases) -> D
         def flush() -> Iterator[pa.RecordBatch]:
             keys = np.concatenate(pending)
             pending.clear()
+            keys &= np.uint64(2**64 - 2 ** (64 - _KEY_BITS))
             keys.sort()
             first = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ np.uint64(1)))
             counts, keys = np.diff(first, append=len(keys)), keys[first]
@@ -203,7 +223,7 @@ def survivors(rows: DataFrame, capacity: np.ndarray, bits: int, p: Phrases) -> D
                 {
                     "bucket": pa.array([q[0] for q in parts], pa.int32()),
                     "lost": pa.array([q[3] for q in parts], pa.int64()),
-                    "keys": pa.array([q[1].tobytes() for q in parts], pa.binary()),
+                    "keys": pa.array([_packed(q[1]) for q in parts], pa.binary()),
                     "counts": pa.array([q[2].astype(np.uint32).tobytes() for q in parts], pa.binary()),
                 }
             )
@@ -241,7 +261,8 @@ def survivors(rows: DataFrame, capacity: np.ndarray, bits: int, p: Phrases) -> D
                         yield done()
                     bucket, lost, size, waiting = b, 0, 0, []
                 lost += gone
-                waiting.append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32).astype(np.int64)))
+                counts = np.frombuffer(counts, np.uint32).astype(np.int64)
+                waiting.append((_unpacked(keys, len(counts)), counts))
                 size += len(waiting[-1][0])
                 if size > 2 * capacity[bucket] + 65536:
                     settle()
@@ -260,7 +281,7 @@ def _filter(found: DataFrame, bits: int, p: Phrases) -> tuple[int, np.ndarray]:
     the driver is the filter and nothing else.
     """
     n = found.agg(F.sum("n")).first()[0] or 0
-    width = min(p.filter_bits, max(bits + 3, 16, (32 * n).bit_length()))
+    width = min(p.filter_bits, max(bits + 3, 16, (256 * n).bit_length()))
 
     def stretch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in it:
@@ -297,9 +318,13 @@ def exact_counts(rows: DataFrame, width: int, made: np.ndarray, bits: int, p: Ph
 
         def flush() -> Iterator[pa.RecordBatch]:
             keys, counts = together()
+            # texts in order within a hash partition share beginnings, which compresses well
+            where = _place(keys, bits)
             told = [names[k] for k in keys.tolist()]
+            order = sorted(range(len(told)), key=lambda i: (where[i], told[i]))
+            told, counts = [told[i] for i in order], counts[order]
             flat = pa.StructArray.from_arrays([pa.array([t[0] for t in told], pa.string()), pa.array([t[1] for t in told], pa.string()), pa.array(counts, pa.int64())], fields=list(entry))
-            edges = np.searchsorted(_place(keys, bits), np.arange((1 << bits) + 1))
+            edges = np.searchsorted(where, np.arange((1 << bits) + 1))
             some = np.flatnonzero(np.diff(edges))
             lists = pa.ListArray.from_arrays(pa.array(np.append(edges[some], edges[-1]), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), lists], names=["bucket", "found"])
@@ -318,10 +343,10 @@ def exact_counts(rows: DataFrame, width: int, made: np.ndarray, bits: int, p: Ph
                                 names[k] = (langs[runs.doc[i]], runs.text(i, j + 1))
                         waiting.append((some, n))
                         size += len(some)
-                if len(names) > 200_000:
+                if len(names) > 400_000:
                     yield from flush()
                     names, waiting, size = {}, [], 0
-                elif size > p.pending:
+                elif size > p.pending // 4:
                     waiting = [together()]
                     size = len(waiting[0][0])
         if waiting:

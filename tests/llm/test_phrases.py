@@ -76,6 +76,13 @@ def test_merged_summaries_keep_what_is_frequent():
         assert {k for k, n in true.items() if n >= 30} <= {k for k, n in held.items() if n + lost >= 30}
 
 
+def test_keys_are_packed_without_loss():
+    rng = np.random.default_rng(4)
+    for n, top in ((1, 64), (2, 64), (5, 64), (1000, 64), (1000, 40)):
+        keys = np.unique(rng.integers(0, 2**top - 1, n, dtype=np.uint64) & np.uint64(2**64 - 2**16))
+        assert (ops._unpacked(ops._packed(keys), len(keys)) == keys).all()
+
+
 def test_empty_and_rare(spark):
     none = spark.createDataFrame([], DOCS)
     assert ops.collocations(none).collect() == []
