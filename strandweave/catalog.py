@@ -829,9 +829,9 @@ def asof_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def clip_placed(spark: SparkSession, sf: str) -> DataFrame:
-    """A stretch of each long enough sequence as a clip at its position 50, found again beyond: small deletions."""
-    dna = view(spark, sf, "dna").where("length(seq) >= 400").select(F.col("seq_id").cast("int").alias("template_id"), "seq")
-    rows = dna.select(F.col("template_id").cast("long").alias("clip_id"), "template_id", F.lit(False).alias("is_left"), *[F.lit(50).cast("long").alias(x) for x in ("lo", "hi", "mid")], F.lit(1).cast("long").alias("supp"), F.substring("seq", 151, 40).alias("seq"))
+    """A stretch of each sequence that has room for it as a clip a quarter of the way in, found again 100 letters beyond: small deletions."""
+    dna = view(spark, sf, "dna").where("length(seq) div 4 + 141 <= length(seq)").select(F.col("seq_id").cast("int").alias("template_id"), "seq", F.expr("length(seq) div 4").alias("at"))
+    rows = dna.select(F.col("template_id").cast("long").alias("clip_id"), "template_id", F.lit(False).alias("is_left"), *[F.col("at").cast("long").alias(x) for x in ("lo", "hi", "mid")], F.lit(1).cast("long").alias("supp"), F.expr("substr(seq, cast(at + 102 as int), 40)").alias("seq"))
     known = spark.createDataFrame([], "template_id int, right_template int, orientation int, l1 long, l2 long, r1 long, r2 long")
     found = clips.clip_evidence(settled(rows), known, _chunks(spark, sf), 64, F.lit(300), O)
     return found.select("clip_id", "orientation", "left_pos", "right_pos", "placed_pos", "placed_size")
@@ -840,16 +840,16 @@ def clip_placed(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def clip_search(spark: SparkSession, sf: str) -> DataFrame:
     """The far sides of breakpoints at a clip's position, each an inversion: the clip turned round is found there."""
-    dna = view(spark, sf, "dna").where("length(seq) >= 400").select(F.col("seq_id").cast("int").alias("template_id"), "seq")
-    rows = dna.select(F.col("template_id").cast("long").alias("clip_id"), "template_id", F.lit(True).alias("is_left"), *[F.lit(350).cast("long").alias(x) for x in ("lo", "hi", "mid")], F.lit(1).cast("long").alias("supp"), x.revcomp(F.substring("seq", 101, 30)).alias("seq"))
-    known = dna.select("template_id", F.col("template_id").alias("right_template"), F.lit(x.INVERTED).alias("orientation"), *[F.lit(v).cast("long").alias(n) for n, v in (("l1", 110), ("l2", 120), ("r1", 340), ("r2", 345))])
+    dna = view(spark, sf, "dna").where("length(seq) >= 120").select(F.col("seq_id").cast("int").alias("template_id"), "seq", F.expr("length(seq) div 4").alias("at"))
+    rows = dna.select(F.col("template_id").cast("long").alias("clip_id"), "template_id", F.lit(True).alias("is_left"), *[(3 * F.col("at")).cast("long").alias(x) for x in ("lo", "hi", "mid")], F.lit(1).cast("long").alias("supp"), x.revcomp(F.expr("substr(seq, cast(at + 1 as int), 30)")).alias("seq"))
+    known = dna.select("template_id", F.col("template_id").alias("right_template"), F.lit(x.INVERTED).alias("orientation"), *[v.cast("long").alias(n) for n, v in (("l1", F.col("at") + 5), ("l2", F.col("at") + 15), ("r1", 3 * F.col("at") - 10), ("r2", 3 * F.col("at") - 5))])
     found = clips.partner_regions(settled(rows), known, O, False)
     return clips.best_hits(found, _chunks(spark, sf), 64, O.clip_error_rate).select("clip_id", "orientation", "begin_pos", "end_pos", "edits")
 
 
-@query(ctes("dna") + " SELECT seq_id AS clip_id, substr(seq, CAST(length(seq) // 2 - 29 AS INT), 60) AS consensus, true AS found FROM dna WHERE length(seq) >= 60")
+@query(ctes("dna") + " SELECT seq_id AS clip_id, true AS close, true AS found FROM dna WHERE length(seq) >= 60")
 def clip_consensus(spark: SparkSession, sf: str) -> DataFrame:
-    """Twenty copies of the middle of each sequence, one letter in twenty changed; their consensus, searched in the sequence."""
+    """Twenty copies of the middle of each sequence, one letter in twenty changed; whether their consensus is the true stretch (but for one letter, as a run of one letter allows) and is found in the sequence."""
     dna = settled(view(spark, sf, "dna").where("length(seq) >= 60").select(F.col("seq_id").alias("clip_id"), "seq"))
     copies = dna.select("clip_id", F.expr("substr(seq, cast(length(seq) div 2 - 29 as int), 60)").alias("needle"), F.explode(F.sequence(F.lit(0), F.lit(19))).alias("k"))
     noisy = F.expr("array_join(transform(split(needle, ''), (c, i) -> CASE WHEN pmod(xxhash64(clip_id, k, i), 20) = 0 THEN translate(c, 'ACGT', 'CGTA') ELSE c END), '')")
@@ -857,14 +857,16 @@ def clip_consensus(spark: SparkSession, sf: str) -> DataFrame:
     pairs = made.join(dna.select("clip_id", F.col("seq").alias("hay")), "clip_id")
     hits = seqsearch.searched(pairs.select(F.col("clip_id").alias("qid"), F.col("clip_id").alias("rid"), F.col("seq").alias("needle"), "hay"), O.clip_error_rate)
     best = hits.groupBy(F.col("qid").alias("clip_id")).agg((F.count("*") > 0).alias("found"))
-    return made.join(best, "clip_id", "left").select("clip_id", F.col("seq").alias("consensus"), F.coalesce("found", F.lit(False)).alias("found"))
+    truth = dna.select("clip_id", F.expr("substr(seq, cast(length(seq) div 2 - 29 as int), 60)").alias("truth"))
+    out = truth.join(made, "clip_id", "left").join(best, "clip_id", "left")
+    return out.select("clip_id", (F.levenshtein("truth", F.coalesce("seq", F.lit(""))) <= 1).alias("close"), F.coalesce("found", F.lit(False)).alias("found"))
 
 
 @query()
 def local_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    """A stretch of each sequence with a letter left out, aligned to the first 300 letters."""
+    """A stretch of each sequence with a letter left out, aligned to the whole sequence."""
     needle = F.concat(F.substring("seq", 31, 20), F.substring("seq", 52, 20))
-    pairs = view(spark, sf, "dna").where("length(seq) >= 100").select(F.col("seq_id").alias("qid"), F.col("seq_id").alias("rid"), needle.alias("needle"), F.substring("seq", 1, 300).alias("hay"))
+    pairs = view(spark, sf, "dna").where("length(seq) >= 100").select(F.col("seq_id").alias("qid"), F.col("seq_id").alias("rid"), needle.alias("needle"), F.col("seq").alias("hay"))
     return seqsearch.locally_aligned(pairs)
 
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions.columns import base_entropy, gc_content
+from strandweave.operators.batched import approximate, local
 from strandweave.session import settled, ship
 
 
@@ -103,22 +106,15 @@ def searched(pairs: DataFrame, error: float) -> DataFrame:
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            rows = [(q, r, *hit) for q, r, needle, hay in pdf[["qid", "rid", "needle", "hay"]].itertuples(index=False) if needle and hay for hit in approximate_hits(hay, needle, error)]
+            pdf = pdf[(pdf["needle"].str.len() > 0) & (pdf["hay"].str.len() > 0)]
+            found = approximate(list(zip(pdf["hay"], pdf["needle"], strict=True)), error)
+            rows = [(q, r, *hit) for q, r, hits in zip(pdf["qid"], pdf["rid"], found, strict=True) for hit in hits]
             yield pd.DataFrame(rows, columns=["qid", "rid", "hit_begin", "hit_end", "edits"])
 
     ship(pairs.sparkSession)
     return pairs.mapInPandas(run, "qid long, rid long, hit_begin long, hit_end long, edits long")
 
 
-def clip_regions(clips: DataFrame, min_sv: int, max_insert: int, side: str) -> DataFrame:
-    """Where the far side of an unmatched clip may lie: just beyond the least variant size."""
-    if side == "RIGHT":
-        lo, hi = F.col("max_left") + min_sv, F.col("max_left") + max_insert
-    else:
-        lo, hi = F.col("min_right") - min_sv - max_insert, F.col("min_right") - min_sv
-    return clips.withColumns({"begin_pos": F.greatest(lo, F.lit(0)), "end_pos": F.greatest(hi, F.lit(0))})
-
-
 def placed_clip(orientation: Column, left_clip: Column, begin: Column, end: Column) -> Column:
     """(left, right) that a hit of a clip's sequence adds; one of them is null."""
     none = F.lit(None).cast("long")
@@ -194,7 +190,9 @@ def locally_aligned(pairs: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            rows = [(q, r, *local_score(needle, hay)) for q, r, needle, hay in pdf[["qid", "rid", "needle", "hay"]].itertuples(index=False) if needle and hay]
+            pdf = pdf[(pdf["needle"].str.len() > 0) & (pdf["hay"].str.len() > 0)]
+            found = local(list(zip(pdf["needle"], pdf["hay"], strict=True)))
+            rows = [(q, r, *best) for q, r, best in zip(pdf["qid"], pdf["rid"], found, strict=True)]
             yield pd.DataFrame([r for r in rows if r[2] > 0], columns=["qid", "rid", "score", "hit_begin", "hit_end"])
 
     ship(pairs.sparkSession)
@@ -216,9 +214,69 @@ def extended(seeds: DataFrame, queries: DataFrame, targets: DataFrame, k: int, l
     return rows.select("qid", "tid", "diagonal", "seeds", F.col("diagonal").cast("long").alias("hit_begin"), (F.col("diagonal") + F.length("__q")).cast("long").alias("hit_end"), differ.alias("edits"))
 
 
+#: Positions of the reference whose counts are added up together, as a power of two.
+STRETCH_BITS = 12
+
+
 def pileup(reads: DataFrame, lo: str = "begin_pos", seq: str = "seq", key: str = "template_id") -> DataFrame:
-    """(template_id, pos, base, depth): the commonest base at each covered position, ties to the smaller letter."""
-    each = reads.select(key, lo, F.posexplode(F.filter(F.split(F.upper(seq), ""), lambda b: b != "")).alias("i", "base"))
-    counts = each.groupBy(key, (F.col(lo) + F.col("i")).alias("pos"), "base").agg(F.count("*").alias("n"))
-    best = F.min_by("base", F.struct((-F.col("n")).alias("n"), "base"))
-    return counts.groupBy(key, "pos").agg(best.alias("base"), F.sum("n").alias("depth"))
+    """(template_id, pos, base, depth): the commonest base at each covered position, ties to the smaller letter.
+
+    No base is a row: a task counts the letters at each position of its reads
+    and hands on one row for each stretch of the reference; a stretch adds them
+    to one matrix of positions by letters, one row after another, so its memory
+    doesn't grow with the depth.
+    """
+    kind = reads.schema[key].dataType.simpleString()
+    width = 1 << STRETCH_BITS
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in it:
+            texts = [t.encode("latin-1", "replace") for t in rb.column(2).to_pylist()]
+            size = np.array([len(t) for t in texts], np.int64)
+            names = rb.column(0).dictionary_encode(null_encoding="encode")
+            if not size.sum():
+                continue
+            begin = np.asarray(rb.column(1), dtype=np.int64)
+            pos = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            stretch = pos >> STRETCH_BITS
+            low, span = int(stretch.min()), int(stretch.max() - stretch.min()) + 1
+            group = np.repeat(np.asarray(names.indices, dtype=np.int64), size) * span + (stretch - low)
+            local = (pos & (width - 1)) << 8 | np.frombuffer(b"".join(texts), np.uint8)
+            cells, n = np.unique(group << (STRETCH_BITS + 8) | local, return_counts=True)
+            group, local = cells >> (STRETCH_BITS + 8), (cells & ((1 << (STRETCH_BITS + 8)) - 1)).astype(np.uint32)
+            first = np.flatnonzero(np.diff(group, prepend=-1))
+            ends = np.append(first[1:], len(group))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    names.dictionary.take(pa.array(group[first] // span)),
+                    pa.array(group[first] % span + low),
+                    pa.array([local[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
+                    pa.array([n[a:b].astype(np.int64).tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
+                ],
+                names=[key, "stretch", "at", "n"],
+            )
+
+    def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, place, typed = np.zeros((width, 256), np.int64), None, None
+
+        def told() -> pa.RecordBatch:
+            depth = held.sum(axis=1)
+            at = np.flatnonzero(depth)
+            base = held[at].argmax(axis=1)
+            return pa.RecordBatch.from_arrays([pa.array([place[0]] * len(at), typed), pa.array((place[1] << STRETCH_BITS) + at), pa.array([chr(b) for b in base], pa.string()), pa.array(depth[at])], names=[key, "pos", "base", "depth"])
+
+        for rb in it:
+            typed = rb.column(0).type
+            for name, stretch, at, n in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+                if place != (name, stretch):
+                    if place is not None:
+                        yield told()
+                    held[:], place = 0, (name, stretch)
+                held.reshape(-1)[np.frombuffer(at, np.uint32)] += np.frombuffer(n, np.int64)
+        if place is not None:
+            yield told()
+
+    rows = reads.where(F.length(seq) > 0).select(F.col(key), F.col(lo).cast("long").alias("lo"), F.upper(seq).alias("seq"))
+    counts = rows.mapInArrow(count, f"`{key}` {kind}, stretch long, at binary, n binary")
+    counts = counts.repartition(key, "stretch").sortWithinPartitions(key, "stretch")
+    return counts.mapInArrow(add, f"`{key}` {kind}, pos long, base string, depth long")
