@@ -34,9 +34,9 @@ def shuffled_shards(docs: DataFrame, shards: int = 24, seed: int = 1, bucket_byt
 
     A bucket holds about ``bucket_bytes`` of text, and more, up to
     ``memory_bytes`` (a share of an executor's memory), where there would be
-    over 4,096 of them. A longer text is a bucket by itself. Rows that
-    repeat id and text so often that they fill buckets are dealt to several by
-    their place in the input.
+    over 4,096 of them; a text longer than that makes its bucket longer. Rows
+    that repeat id and text so often that they fill buckets are numbered and
+    dealt to several in turn.
     """
     docs = docs.drop("shard", "slot")
     names = docs.columns
@@ -51,12 +51,10 @@ def shuffled_shards(docs: DataFrame, shards: int = 24, seed: int = 1, bucket_byt
     full = cells.groupBy(of_cell.alias("__bucket")).agg(F.sum("bytes").alias("b"), F.max("longest").alias("longest"), F.sum("rows").alias("r")).where((F.col("b") - F.col("longest") > wide) & (F.col("r") > 1))
     full = stage(full.select("__bucket", F.ceil(F.col("b") / wide).cast("long").alias("__parts")), "full")
 
-    rows = docs.select(F.pmod(key, F.lit(_CELLS)).alias("cell"), key.alias("__key"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__record"))
-    rows = rows.select(of_cell.alias("__bucket"), "__key", "__record")
+    rows = docs.select(F.pmod(key, F.lit(_CELLS)).alias("cell"), key.alias("__key"), size.alias("__size"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__record"))
+    rows = rows.select(of_cell.alias("__bucket"), "__key", "__size", "__record")
     if full.take(1):
-        side = F.broadcast(full) if small_enough(full, 16) else full
-        part = F.pmod(F.xxhash64("__row", F.lit(seed)), F.coalesce("__parts", F.lit(1)))
-        rows = rows.withColumn("__row", F.monotonically_increasing_id()).join(side, "__bucket", "left").select((F.col("__bucket") + part).alias("__bucket"), "__key", "__record")
+        rows = _dealt(rows, full, wide)
     # each partition's buckets in order and each bucket's records by hash, so that the shuffle's draws fall alike in every run
     gathered = rows.repartition(buckets, "__bucket").groupBy("__bucket").agg(F.collect_list(F.struct("__key", "__record")).alias("__all")).sortWithinPartitions("__bucket")
     order = F.transform(F.array_sort(F.transform("__all", lambda r, i: F.struct(r["__key"].alias("k"), i.alias("i")))), lambda x: x["i"])
@@ -77,6 +75,29 @@ def shuffled_shards(docs: DataFrame, shards: int = 24, seed: int = 1, bucket_byt
     return out.select(*[F.col(f"__record.`{c}`").alias(c) for c in names], "shard", (F.col("__at") - first).alias("slot"))
 
 
+def _dealt(rows: DataFrame, full: DataFrame, wide: int) -> DataFrame:
+    """``rows`` with those that repeat, in ``full`` buckets, dealt to the bucket's parts in turn.
+
+    Copies are numbered within id and text, so a part gets the same number of
+    them however the input is cut, and no other row moves. The numbers come
+    from a written table: each of its partitions counts its own copies, and a
+    table with a row for each key and partition carries the counts on.
+    """
+    held = rows.join(F.broadcast(full) if small_enough(full, 16) else full, "__bucket")
+    # each fills a good part of a bucket, so they are few
+    many = held.groupBy("__bucket", "__key", "__parts").agg(F.sum("__size").alias("b"), F.count("*").alias("c")).where((F.col("c") > 1) & (F.col("b") > wide // 64))
+    many = stage(many.select("__bucket", "__key", "__parts"), "repeated")
+    side = F.broadcast(many) if small_enough(many, 32) else many
+    copies = stage(rows.join(side, ["__bucket", "__key"]).withColumn("__row", F.monotonically_increasing_id()), "copies").withColumn("__pid", F.shiftright("__row", 33))
+    each = copies.groupBy("__key", "__pid").agg(F.count("*").alias("c"))
+    before = each.withColumn("__before", F.sum("c").over(W.partitionBy("__key").orderBy("__pid")) - F.col("c")).drop("c")
+    local = F.row_number().over(W.partitionBy("__key", "__pid").orderBy("__row")) - 1
+    numbered = copies.withColumn("__local", local).join(before, ["__key", "__pid"])
+    part = (F.col("__before") + F.col("__local")) % F.col("__parts")
+    rest = rows.join(side.select("__bucket", "__key"), ["__bucket", "__key"], "left_anti")
+    return rest.unionByName(numbered.select((F.col("__bucket") + part).alias("__bucket"), "__key", "__size", "__record"))
+
+
 def shard_digest(docs: DataFrame, shards: int = 24, seed: int = 1) -> DataFrame:
     """Per record: doc_id, size, text_crc32, law, shard, slot, grown_shard, read from the shuffled output."""
     out = shuffled_shards(docs, shards, seed)

@@ -122,6 +122,16 @@ def test_shards_hold_all_rows_evenly(spark):
     assert shard_digest(docs_of(spark, rows).where("false")).count() == 0
 
 
+def test_repeated_rows_that_fill_buckets_move_no_others(spark):
+    rows = [(7, "copy of one text " * 20)] * 3000 + [(100 + i, f"text {i} " * 9) for i in range(300)]
+    got = []
+    for parts in (4, 7):
+        out = shuffled_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), bucket_bytes=20_000)
+        got.append(sorted((r["doc_id"], r["shard"], r["slot"]) for r in out.collect()))
+    assert got[0] == got[1] and len(got[0]) == 3300
+    assert len({s for k, s, _ in got[0] if k == 7}) == 24
+
+
 def test_shards_depend_on_the_seed_and_not_on_tasks(spark):
     rows = [(i, f"text {i} " * (i % 7)) for i in range(400)] + [(None, None)] * 3 + [(5, "x" * 40_000)]
     places, before = [], spark.conf.get("spark.sql.shuffle.partitions")
