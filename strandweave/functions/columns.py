@@ -214,8 +214,13 @@ def six(x: Column | str) -> Column:
     return F.format_string("%.6f", c(x).cast("double"))
 
 
+#: Statuses that a record's FILTER may name.
+STATUSES = ("PASS", "FILTERED", "MERGED")
+
+
 def status_text(status: Column | str) -> Column:
-    return F.when(c(status) == 0, "PASS").when(c(status) == 1, "FILTERED").otherwise("MERGED")
+    """FILTER of a status: one of the three, and FILTERED for any other or none."""
+    return F.when(c(status).isin(*STATUSES), c(status)).otherwise("FILTERED")
 
 
 def breakend_alt(same_strand: Column, chrom: Column, pos: Column, first: bool) -> Column:

@@ -164,13 +164,13 @@ def breakends(bps: DataFrame, contigs: DataFrame, left_template: str = "template
 def ranked(calls: DataFrame, id_col: str = "bp_id") -> DataFrame:
     """``calls`` with sc: how a passing variant ranks by the median of its ranks by each kind of evidence, 0 to 100.
 
-    Ties go by depth, then by id.
+    Ties go by depth, then by id. Unknown evidence counts as none, as in votes.
     """
     calls = settled(calls)
     rows = calls.where("status = 'PASS'")
     total = rows.count()
-    for name, value in (("__a", F.col("se") + F.col("ce")), ("__b", F.col("pe")), ("__c", F.col("re"))):
-        rows = in_order(rows, [-value, "rd", id_col], name, total)
+    for name, value in (("__a", F.col("se") + F.col("ce")), ("__b", F.col("pe")), ("__c", F.coalesce("re", F.lit(0.0)))):
+        rows = in_order(rows, [-value, F.coalesce("rd", F.lit(0.0)), id_col], name, total)
     rows = in_order(rows.withColumn("__m", F.get(F.sort_array(F.array("__a", "__b", "__c")), F.lit(1))), ["__m", id_col], "__o", total)
     # a median's rank is the first place that it takes; places of three orders repeat a median three times at most
     rows = settled(rows)

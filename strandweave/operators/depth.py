@@ -97,13 +97,6 @@ def background_positions(lengths: DataFrame, key: str, shares: DataFrame, sample
     return each.select(key, ((F.col("i").cast("long") * 48271 + 11) % F.col("length")).alias("pos"))
 
 
-def depth_at(depth: DataFrame, points: DataFrame, key: str, pos: str) -> DataFrame:
-    """``points`` with the depth at each position where there is any."""
-    d = depth.select(key, "start", (F.col("stop") - 1).alias("__last"), "depth")
-    p = points.withColumn("__p", F.col(pos))
-    return bin_join(p, d, [key], ("__p", "__p"), ("start", "__last")).drop("start", "__last", "__p")
-
-
 def outlier_threshold(df: DataFrame, value: str, k: float) -> DataFrame:
     """One row (q1, median, q3, threshold): the third quartile and k times the interquartile range."""
     q = df.agg(index_quantile(value, 0.25).alias("q1"), index_quantile(value, 0.5).alias("median"), index_quantile(value, 0.75).alias("q3"))

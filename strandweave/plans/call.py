@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.functions.columns import REVERSE, cigar_ops, cigar_spans, has_flag, read_end_name, ref_length
+from strandweave.functions.columns import REVERSE, cigar_ops, cigar_spans, has_flag, read_end_name, ref_length, status_text
 from strandweave.operators import calls, clips, cluster, depth, reads, seqsearch
 from strandweave.operators.intervals import coverage
 from strandweave.options import CallOptions
@@ -133,4 +133,4 @@ def as_records(variants: DataFrame) -> DataFrame:
     fields = {k: F.coalesce(F.col(source.get(k, k.lower())), F.lit(0)) for k in names}
     info = vcf.info_text(F.col("sv_type"), F.col("begin_pos"), F.col("end_pos"), F.col("target_pos"), fields)
     info = F.when(F.col("imprecise"), F.concat(info, F.lit(";IMPRECISE"))).otherwise(info)
-    return variants.select("chrom", "begin_pos", "end_pos", F.col("sv_id").alias("id"), "alt", F.col("status").alias("filter"), info.alias("info"), F.array(F.lit("1/0")).alias("genotypes"))
+    return variants.select("chrom", "begin_pos", "end_pos", F.col("sv_id").alias("id"), "alt", status_text("status").alias("filter"), info.alias("info"), F.array(F.lit("1/0")).alias("genotypes"))
