@@ -72,6 +72,14 @@ def _unpacked(buf: bytes, at: int, size: int) -> bytes:
     return data
 
 
+def block(data: bytes) -> bytes:
+    """``data``, at most 65,280 bytes, as one block; none makes the block that ends a file."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = pack.compress(data) + pack.flush()
+    head = _MAGIC + bytes(4) + b"\0\xff" + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, len(body) + 25)
+    return head + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
 class Blocks:
     """Blocks of a file; ``count`` tells how many were unpacked."""
 

@@ -15,6 +15,26 @@ def test_headers_and_samples(spark, tmp_path):
     assert vcf.vcf_header(spark, str(tmp_path / "a.vcf")) == (lines, ["one", "two"])
 
 
+def test_records_by_many_writers(spark, tmp_path):
+    import gzip
+
+    import pytest
+
+    rows = spark.range(30_000).select(F.concat(F.lit("chr"), (F.col("id") % 3).cast("string")).alias("chrom"), ((F.col("id") * 7919) % 100_003).alias("begin_pos"), ((F.col("id") * 7919) % 100_003 + 60).alias("end_pos"), F.concat(F.lit("DEL_"), "id").alias("id"), F.lit("<DEL>").alias("alt"), F.lit("PASS").alias("filter"), F.lit("SE=4;SVTYPE=DEL").alias("info"), F.array(F.lit("1/0")).alias("genotypes")).repartition(5)
+    vcf.write_vcf(rows, str(tmp_path / "out.vcf.gz"), ["SAMPLE"])
+    text = gzip.decompress((tmp_path / "out.vcf.gz").read_bytes()).decode()
+    want = [r["value"] for r in vcf.vcf_lines(rows, ["SAMPLE"]).collect()]
+    assert text == "\n".join(want) + "\n" and [p.name for p in tmp_path.iterdir()] == ["out.vcf.gz"]
+    vcf.write_vcf(rows.where("false"), str(tmp_path / "none.vcf.gz"), ["SAMPLE"])
+    assert gzip.decompress((tmp_path / "none.vcf.gz").read_bytes()).decode().splitlines() == want[: len(want) - 30_000]
+    # a task that fails leaves nothing
+    spark.dataSource.register(vcf.RecordSink)
+    lines = rows.select(F.when(F.col("id") != "DEL_777", F.col("id")).alias("value"))
+    with pytest.raises(Exception, match="record without text"):
+        lines.write.format("records").mode("append").save(str(tmp_path / "bad.vcf.gz"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["none.vcf.gz", "out.vcf.gz"]
+
+
 def test_breakpoint_table(spark, tmp_path):
     rows = spark.createDataFrame([(0, 5, 9, 4), (0, 1, 9, 2)], "template_id int, final_left long, final_right long, se long")
     vcf.breakpoint_table(rows, str(tmp_path / "t"))
