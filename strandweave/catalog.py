@@ -12,6 +12,7 @@ from strandweave.functions import columns as x
 from strandweave.operators import calls, clips, cluster, consensus, depth, intervals, merge, reads, seqsearch
 from strandweave.options import CallOptions
 from strandweave.plans import call as command
+from strandweave.plans import merge as merging
 from strandweave.session import settled
 from strandweave.sources import vcf
 
@@ -788,6 +789,22 @@ def _chunks(spark: SparkSession, sf: str) -> DataFrame:
     return seq.select(F.col("seq_id").cast("int").alias("template_id"), "seq", n).select("template_id", "chunk_no", F.substring(F.col("seq"), F.col("chunk_no") * 64 + 1, F.lit(64)).alias("seq"))
 
 
+@query(
+    ctes("dna")
+    + """, p AS (SELECT seq_id, seq, length(seq) // 3 AS l, 2 * length(seq) // 3 AS r FROM dna WHERE seq <> ''),
+f AS (SELECT seq_id, substr(seq, CAST(greatest(l - 1000, 0) + 1 AS INT), CAST(l - greatest(l - 1000, 0) AS INT)) || substr(seq, CAST(r + 1 AS INT), 1000) AS seq FROM p),
+n AS (SELECT seq_id, length(seq) AS n, length(seq) - length(replace(seq, 'A', '')) AS a, length(seq) - length(replace(seq, 'C', '')) AS c, length(seq) - length(replace(seq, 'G', '')) AS g, length(seq) - length(replace(seq, 'T', '')) AS t FROM f)
+SELECT seq_id AS bp_id, CASE WHEN n > 0 THEN round((g + c) / n, 6) END AS gc,
+  round(coalesce(CASE WHEN a > 0 THEN -(a / n) * log2(a / n) END, 0) + coalesce(CASE WHEN c > 0 THEN -(c / n) * log2(c / n) END, 0) + coalesce(CASE WHEN g > 0 THEN -(g / n) * log2(g / n) END, 0) + coalesce(CASE WHEN t > 0 THEN -(t / n) * log2(t / n) END, 0), 6) AS complexity FROM n"""
+)
+def sequence_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Content of the flanks of a breakpoint a third and two thirds into each sequence, read from the reference in pieces."""
+    size = F.expr("length(seq)")
+    bps = view(spark, sf, "dna").where("seq <> ''").select(F.col("seq_id").alias("bp_id"), F.col("seq_id").cast("int").alias("template_id"), F.col("seq_id").cast("int").alias("right_template"), F.floor(size / 3).alias("final_left"), F.floor(2 * size / 3).alias("final_right"))
+    out = seqsearch.sequence_features(_chunks(spark, sf), bps, 64)
+    return out.select("bp_id", F.round("gc", 6).alias("gc"), F.round("complexity", 6).alias("complexity"))
+
+
 @query(ctes("dna") + " SELECT seq_id AS rid, substr(seq, CAST(seq_id % 90 + 1 AS INT), 150) AS seq FROM dna")
 def reference_region(spark: SparkSession, sf: str) -> DataFrame:
     wanted = view(spark, sf, "dna").select(F.col("seq_id").alias("rid"), F.col("seq_id").cast("int").alias("template_id"), (F.col("seq_id") % 90).alias("begin_pos"), (F.col("seq_id") % 90 + 150).alias("end_pos"))
@@ -827,6 +844,14 @@ def asof_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.as_of(known, asked, "template_id", "pos", "nearest", coarse=4096).select("template_id", "pos", "nearest", "src")
 
 
+@query()
+def merge_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of the merge command over three samples: ids by ranges, positions, bounds and genotypes as text."""
+    rows = settled(_svs(spark, sf).withColumn("target_pos", F.lit(None).cast("long")))
+    out = merging.records(rows, 3)
+    return out.select("chrom", "begin_pos", "end_pos", "id", "alt", "filter", "info", F.array_join("genotypes", "\t").alias("genotypes"))
+
+
 @query()
 def clip_placed(spark: SparkSession, sf: str) -> DataFrame:
     """A stretch of each sequence that has room for it as a clip a quarter of the way in, found again 100 letters beyond: small deletions."""
