@@ -2,8 +2,8 @@
 
 An archive begins with a skippable frame that holds the dictionary of all its
 frames; each record is one frame. The sink is a Spark data source, whose commit
-gives archives their final names, so that a task that fails or runs twice
-leaves nothing behind.
+gives archives their final names; what a task that failed or ran twice leaves
+has a hidden name that no reader takes.
 """
 
 from __future__ import annotations
