@@ -38,3 +38,14 @@ def test_a_pile_up_spreads_over_tasks(spark):
     x, y = a.groupBy("lb").count(), b.groupBy("rb").agg(F.count("*").alias("n"))
     pairs = x.join(y, x["lb"] == y["rb"]).agg(F.sum(F.col("count") * F.col("n"))).first()[0]
     assert 0.9 < sum(r["count"] for r in spread) / (pairs / 1000) < 1.1
+
+
+def test_rows_of_a_pile_up_are_copied_by_the_root_of_its_parts(spark):
+    n = 1000
+    a = settled(spark.range(n).select(F.col("id").alias("l"), F.lit(0).alias("k"), F.lit(5).cast("long").alias("lb"), F.lit(5).cast("long").alias("le")))
+    b = settled(spark.range(n).select(F.col("id").alias("r"), F.lit(0).alias("k"), F.lit(5).cast("long").alias("rb"), F.lit(5).cast("long").alias("re")))
+    written = lambda: spark._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    # 10,000 parts: each row goes to 100 of them; copied to all, one side alone would be 10 million rows
+    assert intervals.dense_join(a, b, ["k"], ("lb", "le"), ("rb", "re"), crowd=100).count() == n * n
+    assert written() - before < 20e6

@@ -34,3 +34,8 @@ def test_matches_sql(spark, duck, name):
 def test_every_sql_has_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
     assert len(catalog.queries()) >= 50
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_crowded_join_meets_equal_intervals_once(spark, duck):
+    test_matches_sql(spark, duck, "crowded_interval_join")
