@@ -16,113 +16,124 @@ _MATCH, _MISMATCH, _GAP, _OVER = 2, -2, -6, -3
 
 
 class Graph:
-    """Sequences as paths of a graph of letters; letters aligned to each other share a column."""
+    """Sequences as paths of a graph of letters; letters aligned to each other share a column.
+
+    Columns are in order, and every step leads to a later column, so each
+    letter comes after those before it, whatever was added when.
+    """
 
     def __init__(self) -> None:
         self.letter: list[str] = []
-        self.column: list[int] = []  # of letters aligned to each other, the first one's number
+        self.column: list[int] = []
         self.weight: list[int] = []
         self.before: list[dict[int, int]] = []  # predecessors, with the weight of each step
-        self.order: list[int] = []  # numbers of letters, every step leads onward
+        self.followed: set[int] = set()  # letters from which a step leads on
+        self.members: list[dict[str, int]] = []  # of each column, its letters
+        self.columns: list[int] = []  # numbers of columns in order
 
-    def _new(self, letter: str, place: int, column: int | None) -> int:
+    def _new(self, letter: str, column: int) -> int:
         n = len(self.letter)
         self.letter.append(letter)
-        self.column.append(n if column is None else column)
+        self.column.append(column)
         self.weight.append(0)
         self.before.append({})
-        self.order.insert(place, n)
+        self.members[column][letter] = n
         return n
 
+    def order(self) -> list[int]:
+        """Numbers of letters, column by column."""
+        return [v for c in self.columns for v in self.members[c].values()]
+
     def align(self, seq: str) -> list[int | None]:
         """For each letter of ``seq`` the graph's letter that it stands at, or none if it is inserted.
 
         All begin at one place; a graph that goes on costs nothing, a sequence
         that hangs over a little more than letters that differ.
         """
-        m, rank = len(seq), {v: i + 1 for i, v in enumerate(self.order)}
+        m, order = len(seq), self.order()
+        rank = {v: i for i, v in enumerate(order, 1)}
         text = np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)
-        score = np.zeros((len(self.order) + 1, m + 1), np.int32)
-        came = np.zeros_like(score)  # the row before, below zero (less one) where the graph's letter is left out
+        steps = {c: np.where(text == ord(c), _MATCH, _MISMATCH).astype(np.int32) for c in set(self.letter)}
+        score = np.zeros((len(order) + 1, m + 1), np.int32)
         across = np.arange(m + 1, dtype=np.int32) * _GAP
         score[0] = across
-        followed = np.zeros(len(self.order) + 1, bool)
-        for i, v in enumerate(self.order, 1):
-            step = np.where(text == ord(self.letter[v]), _MATCH, _MISMATCH)
+        came = [[0]]  # rows before each
+        for i, v in enumerate(order, 1):
             rows = [rank[p] for p in self.before[v]] or [0]
-            followed[rows] = True
-            best = np.full(m + 1, -(1 << 20), np.int32)
-            for r in rows:
-                straight = score[r, :-1] + step
-                better = straight > best[1:]
-                best[1:][better], came[i, 1:][better] = straight[better], r
-                down = score[r] + _GAP
-                better = down > best
-                best[better], came[i][better] = down[better], -r - 1
+            came.append(rows)
+            step, best = steps[self.letter[v]], score[i]
+            np.add(score[rows[0]], _GAP, out=best)
+            np.maximum(best[1:], score[rows[0], :-1] + step, out=best[1:])
+            for r in rows[1:]:
+                np.maximum(best, score[r] + _GAP, out=best)
+                np.maximum(best[1:], score[r, :-1] + step, out=best[1:])
             # letters of the sequence left out: a running maximum along the row
-            along = np.maximum.accumulate(best - across) + across
-            came[i][along > best] = 1 << 30
-            score[i] = along
-        ends = [(int(score[i, m]), i, m) for i in range(1, len(score))]
-        over = score + _OVER * np.arange(m, -1, -1, dtype=np.int32)
-        ends += [(int(over[i].max()), i, int(over[i].argmax())) for i in range(1, len(score)) if not followed[i]]
-        _, i, j = max(ends, key=lambda e: (e[0], -e[1]))
+            best -= across
+            np.maximum.accumulate(best, out=best)
+            best += across
+        i = int(score[1:, m].argmax()) + 1
+        top, j = int(score[i, m]), m
+        hang = _OVER * np.arange(m, -1, -1, dtype=np.int32)
+        for k in sorted(rank[v] for v in order if v not in self.followed):
+            over = score[k] + hang
+            if (int(over.max()), -k) > (top, -i):
+                top, i, j = int(over.max()), k, int(over.argmax())
         out: list[int | None] = [None] * m
         while i and j:
-            step = int(came[i, j])
-            if step == 1 << 30:
-                j -= 1
-            elif step < 0:
-                i = -step - 1
+            here, v = int(score[i, j]), order[i - 1]
+            step = int(steps[self.letter[v]][j - 1])
+            for r in came[i]:
+                if score[r, j - 1] + step == here:
+                    out[j - 1] = v
+                    i, j = r, j - 1
+                    break
+                if score[r, j] + _GAP == here:
+                    i = r
+                    break
             else:
-                out[j - 1] = self.order[i - 1]
-                i, j = step, j - 1
+                j -= 1
         return out
 
     def add(self, seq: str, weight: int) -> None:
-        at = self.align(seq) if self.order else [None] * len(seq)
-        # letters before the first aligned one stand before it
+        at = self.align(seq) if self.letter else [None] * len(seq)
+        # letters before the first aligned one stand in columns before it
         first = next((v for v in at if v is not None), None)
-        place = self.order.index(first) if first is not None else len(self.order)
+        place = self.columns.index(self.column[first]) if first is not None else len(self.columns)
         last = None
         for letter, v in zip(seq, at, strict=True):
             if v is None:
-                n = self._new(letter, place, None)
+                column = len(self.members)
+                self.members.append({})
+                self.columns.insert(place, column)
                 place += 1
             else:
-                same = [u for u in self.order if self.column[u] == self.column[v] and self.letter[u] == letter]
-                place = self.order.index(v) + 1
-                if same:
-                    n = same[0]
-                    place = max(place, self.order.index(n) + 1)
-                else:
-                    n = self._new(letter, place, self.column[v])
-                    place += 1
+                column = self.column[v]
+                place = self.columns.index(column) + 1
+            n = self.members[column].get(letter)
+            n = self._new(letter, column) if n is None else n
             self.weight[n] += weight
             if last is not None:
                 self.before[n][last] = self.before[n].get(last, 0) + weight
+                self.followed.add(last)
             last = n
 
     def heaviest(self, least: int) -> str:
         """The path that takes the heaviest step into each letter, without ends lighter than ``least``."""
         total: dict[int, int] = {}
         back: dict[int, int | None] = {}
-        for v in self.order:
+        for v in self.order():
             p = max(self.before[v], key=lambda u: (self.before[v][u], total[u]), default=None)
             back[v] = p
             total[v] = (total[p] + self.before[v][p]) if p is not None else 0
-        v = max(self.order, key=lambda u: (total[u], self.weight[u]))
+        v = max(total, key=lambda u: (total[u], self.weight[u]))
         path = []
         while v is not None:
             path.append(v)
             v = back[v]
         path.reverse()
-        heavy = [i for i, v in enumerate(path) if self._column_weight(v) >= least]
+        heavy = [i for i, v in enumerate(path) if sum(self.weight[u] for u in self.members[self.column[v]].values()) >= least]
         return "".join(self.letter[v] for v in path[heavy[0] : heavy[-1] + 1]) if heavy else ""
 
-    def _column_weight(self, v: int) -> int:
-        return sum(w for w, c in zip(self.weight, self.column, strict=True) if c == self.column[v])
-
 
 def consensus(seqs: list[str], weights: list[int]) -> str:
     """The consensus of weighted sequences; of fewer than three, the longest.
@@ -150,7 +161,7 @@ def assembled(rows: DataFrame, key: str, seq: str = "seq", fan: int = FAN) -> Da
     left out, and a key without others too.
     """
     ship(rows.sparkSession)
-    kind = rows.schema[key].dataType.simpleString()
+    kind, number = rows.schema[key].dataType.simpleString(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def one(table: pa.Table) -> pa.Table:
         weights = table["weight"].to_pylist()
@@ -165,4 +176,5 @@ def assembled(rows: DataFrame, key: str, seq: str = "seq", fan: int = FAN) -> Da
         if most <= 1:
             return now.select(key, "seq")
         dealt = join_unique(now, sizes, [key], "__n", now.count()).withColumn("__part", F.pmod(F.xxhash64("seq"), F.ceil(F.col("__n") / fan)).cast("int"))
-        now = dealt.select(key, "__part", "seq", "weight").groupBy(key, "__part").applyInArrow(one, f"`{key}` {kind}, seq string, weight long")
+        # by number: few bytes are much work, so adaptive execution must not put these partitions together
+        now = dealt.select(key, "__part", "seq", "weight").repartition(number, key, "__part").groupBy(key, "__part").applyInArrow(one, f"`{key}` {kind}, seq string, weight long")

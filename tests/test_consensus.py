@@ -42,6 +42,15 @@ def test_clips_of_different_lengths_and_starts():
         assert len(got) >= 50 and truth.find(got[3:45]) in range(0, 9), (got, truth)
 
 
+def test_a_letter_inserted_beside_one_that_differs():
+    # the third inserts TT after a letter, the last after the letter that differs from it
+    head, tail = "GATTACAGGC", "CCGAGTACGA"
+    seqs = [head + "A" + tail, head + "G" + tail, head + "ATT" + tail, head + "GTT" + tail]
+    assert consensus(seqs, [9, 7, 5, 3]) == seqs[0]
+    for weights in ([3, 5, 7, 9], [5, 9, 3, 7], [9, 3, 7, 5]):
+        assert consensus(seqs, weights) in seqs
+
+
 def test_few_sequences_and_weights():
     assert consensus(["ACG"], [1]) == "ACG" and consensus(["ACG", "ACGTT"], [1, 1]) == "ACGTT"
     assert consensus(["ACGTACGT", "ACGAACGT"], [5, 1]) == "ACGTACGT"
