@@ -141,14 +141,92 @@ def kmers(seqs: DataFrame, k: int, sid: str = "seq_id", seq: str = "seq") -> Dat
     return each.select(sid, (F.col("base") + F.col("at")).alias("pos"), F.substring(F.col("part"), F.col("at") + 1, F.lit(k)).alias("kmer"))
 
 
+#: Bits of a filter of k-mers at most: 32 MB, however many k-mers there are.
+FILTER_BITS = 1 << 28
+
+
+def _hashed(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash) of each window of ``k`` letters of the texts, in order."""
+    size = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(codes) < k:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = np.zeros(len(codes) - k + 1, np.uint64)
+    for i in range(k):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += codes[i : len(h) + i]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    begin = np.cumsum(size) - size
+    counts = np.maximum(size - k + 1, 0)
+    text = np.repeat(np.arange(len(texts)), counts)
+    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return text, at, h[begin[text] + at]
+
+
+def _slices(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of the texts of about ``most`` letters each."""
+    begin = letters = 0
+    for i, t in enumerate(texts, 1):
+        letters += len(t)
+        if letters >= most or i == len(texts):
+            yield begin, i
+            begin, letters = i, 0
+
+
+def _filter(queries: DataFrame, k: int) -> np.ndarray:
+    """Bits of the hashes of all k-mers of the queries; its size follows their number up to FILTER_BITS."""
+    letters = queries.agg(F.sum(F.length("seq"))).first()[0] or 0
+    bits = min(FILTER_BITS, 1 << max(16, (32 * letters).bit_length()))
+
+    def words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in it:
+            texts = rb.column(0).to_pylist()
+            for a, b in _slices(texts):
+                bit = np.unique(_hashed(texts[a:b], k)[2] & np.uint64(bits - 1)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(bit >> 5), pa.array(np.int64(1) << (bit & 31))], names=["word", "mask"])
+
+    rows = queries.where(F.length("seq") >= k).select("seq").mapInArrow(words, "word long, mask long")
+    found = rows.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(bits >> 5, np.uint32)
+    out[np.asarray(found["word"])] = np.asarray(found["mask"]).astype(np.uint32)
+    return out
+
+
+def _shared_kmers(targets: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(tid, tp, kmer) of the targets' k-mers that the queries may hold: all that they do hold, and few others."""
+    ship(targets.sparkSession)
+    bits = targets.sparkSession.sparkContext.broadcast(_filter(queries, k))
+    kind = targets.schema["seq_id"].dataType.simpleString()
+
+    def kept(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = bits.value
+        low = np.uint64(len(table) * 32 - 1)
+        for rb in it:
+            texts = rb.column(1).to_pylist()
+            for a, b in _slices(texts):
+                text, at, h = _hashed(texts[a:b], k)
+                bit = h & low
+                yes = np.flatnonzero(table[(bit >> np.uint64(5)).astype(np.int64)] >> (bit & np.uint64(31)).astype(np.uint32) & np.uint32(1))
+                for c in range(0, len(yes), 1 << 17):
+                    part = yes[c : c + (1 << 17)]
+                    words = [texts[a + t][p : p + k] for t, p in zip(text[part].tolist(), at[part].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([rb.column(0).take(pa.array(a + text[part])), pa.array(at[part].astype(np.int32)), pa.array(words, pa.string())], names=["tid", "tp", "kmer"])
+
+    return targets.where(F.length("seq") >= k).select("seq_id", "seq").mapInArrow(kept, f"tid {kind}, tp int, kmer string")
+
+
 def seeded(queries: DataFrame, targets: DataFrame, k: int, hot: int = HOT) -> DataFrame:
     """(qid, tid, diagonal, seeds): shared k-mers per diagonal, by an equi-join of k-mers.
 
-    A k-mer that stands in the targets more than ``hot`` times, and in more
-    than a thousandth of all places, is dealt to several tasks; no k-mer is dropped.
+    A bit filter of the queries' k-mers, of 32 MB at most, leaves out the
+    targets' that no query holds, before they are rows. A k-mer that stands in
+    the targets more than ``hot`` times, and in more than a thousandth of all
+    places, is dealt to several tasks; no shared k-mer is dropped.
     """
     q = kmers(queries, k).select(F.col("seq_id").alias("qid"), F.col("pos").alias("qp"), "kmer")
-    t = kmers(targets, k).select(F.col("seq_id").alias("tid"), F.col("pos").alias("tp"), "kmer")
+    t = settled(_shared_kmers(targets, queries, k))
     counts = settled(t.groupBy("kmer").agg(F.count("*").alias("n")))
     limit = max(hot, (counts.agg(F.sum("n")).first()[0] or 0) // 1000)
     # fewer than a thousand k-mers by the limit
@@ -199,19 +277,43 @@ def locally_aligned(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "qid long, rid long, score long, hit_begin long, hit_end long")
 
 
-def extended(seeds: DataFrame, queries: DataFrame, targets: DataFrame, k: int, least: int) -> DataFrame:
+def extended(queries: DataFrame, targets: DataFrame, k: int, least: int) -> DataFrame:
     """(qid, tid, diagonal, seeds, hit_begin, hit_end, edits): seeded diagonals extended to the whole query without gaps.
 
     Only diagonals of at least ``least`` seeds on which the query lies within
-    the target are extended; edits are the letters that differ.
+    the target are extended; edits are the letters that differ. What is
+    shuffled is pairs that share a k-mer, each once; their diagonals, of which
+    a text of one letter has as many as letters, are found beside the texts.
     """
     q = queries.select(F.col("seq_id").alias("qid"), F.col("seq").alias("__q"))
     t = targets.select(F.col("seq_id").alias("tid"), F.col("seq").alias("__t"))
-    rows = seeds.where(F.col("seeds") >= least).join(q, "qid").join(t, "tid")
-    rows = rows.where((F.col("diagonal") >= 0) & (F.col("diagonal") + F.length("__q") <= F.length("__t")))
-    here = F.substring(F.col("__t"), F.col("diagonal") + 1, F.length("__q"))
-    differ = F.aggregate(F.zip_with(F.split("__q", ""), F.split(here, ""), lambda x, y: (x != y).cast("int")), F.lit(0), lambda a, x: a + x)
-    return rows.select("qid", "tid", "diagonal", "seeds", F.col("diagonal").cast("long").alias("hit_begin"), (F.col("diagonal") + F.length("__q")).cast("long").alias("hit_end"), differ.alias("edits"))
+    asked = kmers(queries, k).select(F.col("seq_id").alias("qid"), "kmer").distinct()
+    pairs = asked.join(_shared_kmers(targets, queries, k).select("tid", "kmer").distinct(), "kmer").select("qid", "tid").distinct()
+    kinds = [d.schema["seq_id"].dataType.simpleString() for d in (queries, targets)]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in it:
+            for i, (a, b) in enumerate(zip(rb.column(2).to_pylist(), rb.column(3).to_pylist(), strict=True)):
+                x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (a, b))
+                if len(y) < len(x):
+                    continue
+                windows = np.lib.stride_tricks.sliding_window_view(y, len(x))
+                for base in range(0, len(windows), 1 << 14):
+                    same = windows[base : base + (1 << 14)] == x
+                    matches = same.sum(axis=1)
+                    at = np.flatnonzero(matches >= k)
+                    runs = np.cumsum(np.pad(same[at], ((0, 0), (1, 0))), axis=1, dtype=np.int32)
+                    seeds = (runs[:, k:] - runs[:, :-k] == k).sum(axis=1)
+                    at, seeds = at[seeds >= least], seeds[seeds >= least]
+                    if len(at):
+                        one = pa.array(np.full(len(at), i))
+                        begin = at + base
+                        yield pa.RecordBatch.from_arrays([rb.column(0).take(one), rb.column(1).take(one), pa.array(begin.astype(np.int32)), pa.array(seeds), pa.array(begin), pa.array(begin + len(x)), pa.array((len(x) - matches[at]).astype(np.int32))], names=["qid", "tid", "diagonal", "seeds", "hit_begin", "hit_end", "edits"])
+
+    # by number: a pair is few bytes and much work
+    number = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = pairs.join(q, "qid").repartition(number, "tid").join(t, "tid").select("qid", "tid", "__q", "__t")
+    return both.mapInArrow(run, f"qid {kinds[0]}, tid {kinds[1]}, diagonal int, seeds long, hit_begin long, hit_end long, edits int")
 
 
 #: Positions of the reference whose counts are added up together, as a power of two.

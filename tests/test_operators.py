@@ -198,3 +198,21 @@ def test_local_alignment_matches_the_plain_recurrence(a, b):
             h[i][j] = max(0, h[i - 1][j - 1] + (1 if x == y else -1), e[i][j], f[i][j])
     score, begin, end = seqsearch.local_score(a, b)
     assert score == max(max(r) for r in h) and (score == 0 or begin < end)
+
+
+def test_kmers_that_no_query_holds_are_never_rows(spark):
+    rng = random.Random(6)
+    a = spark.createDataFrame([(1, "ACGTACGTACGTTTACGACC")], "seq_id long, seq string")
+    b = spark.createDataFrame([(i, "".join(rng.choice("ACGT") for _ in range(2000))) for i in range(20)] + [(99, "GG" + "ACGTACGTACGTTTACGACC")], "seq_id long, seq string")
+    kept = seqsearch._shared_kmers(b, a, 12).collect()
+    assert {(r["tp"], r["kmer"]) for r in kept if r["tid"] == 99} >= {(i + 2, "ACGTACGTACGTTTACGACC"[i : i + 12]) for i in range(9)}
+    assert len(kept) < 100  # of 40,000
+
+
+def test_diagonals_of_one_letter_are_not_shuffled(spark):
+    a = spark.createDataFrame([(i, "T" * 60) for i in range(20)], "seq_id long, seq string")
+    b = spark.createDataFrame([(i, "T" * 2000) for i in range(20)], "seq_id long, seq string")
+    written = lambda: spark._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    assert seqsearch.extended(a, b, 20, 5).where("seeds = 41 and edits = 0 and hit_end = hit_begin + 60").count() == 400 * 1941
+    assert written() - before < 1e6
