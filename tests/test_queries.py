@@ -39,3 +39,9 @@ def test_every_sql_has_a_query():
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_crowded_join_meets_equal_intervals_once(spark, duck):
     test_matches_sql(spark, duck, "crowded_interval_join")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+@pytest.mark.parametrize("name", ["kmer_seed_search", "seed_extension"])
+def test_shared_kmers_match_sql(spark, duck, name):
+    test_matches_sql(spark, duck, name)
