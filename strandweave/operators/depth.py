@@ -31,10 +31,18 @@ def window_means(depth: DataFrame, points: DataFrame, lengths: DataFrame, key: s
     """(pid, key, left_mean, right_mean) of depth before and after each position; windows are numbers or columns of ``points``.
 
     A window's sum is the difference of the depth's integral at its ends, so
-    its width costs nothing.
+    its width costs nothing. Points with the same windows are one row until
+    their means are known, so a task has no more rows than there are positions.
     """
-    wide = {x for x in (window, span) if isinstance(x, str)}
-    rows = points.select(pid, key, pos, *wide).join(lengths, key)
+    wide = sorted({x for x in (window, span) if isinstance(x, str)})
+    spot = [key, pos, *wide]
+    places = points.select(*spot).distinct().select(F.struct(*spot).alias("__place"), *spot)
+    means = _means_at(depth, places, lengths, key, "__place", pos, window, span, left)
+    return points.select(pid, key, F.struct(*spot).alias("__place")).join(means.drop(key), "__place").drop("__place")
+
+
+def _means_at(depth: DataFrame, points: DataFrame, lengths: DataFrame, key: str, pid: str, pos: str, window: int | str, span: int | str, left: bool) -> DataFrame:
+    rows = points.join(lengths, key)
     window, span = (F.col(x) if isinstance(x, str) else x for x in (window, span))
     b, p, e = window_bounds(F.col(pos), F.col("length"), window, span, left)
     rows = rows.select(pid, key, b.cast("long").alias("b"), p.cast("long").alias("p"), e.cast("long").alias("e"))

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandweave.operators import calls, cluster, intervals, merge, seqsearch
+from strandweave.operators import calls, cluster, depth, intervals, merge, seqsearch
 
 
 def test_bin_join_matches_brute_force(spark):
@@ -216,3 +216,25 @@ def test_diagonals_of_one_letter_are_not_shuffled(spark):
     before = written()
     assert seqsearch.extended(a, b, 20, 5).where("seeds = 41 and edits = 0 and hit_end = hit_begin + 60").count() == 400 * 1941
     assert written() - before < 1e6
+
+
+def test_near_points_match_brute_force(spark):
+    rng = random.Random(8)
+    a = [(i, rng.choice([1, 2, None]), rng.randrange(-40, 400), rng.randrange(400)) for i in range(150)]
+    b = [(rng.choice([1, 2, None]), rng.randrange(-40, 400), rng.randrange(400)) for _ in range(60)]
+    left, right = spark.createDataFrame(a, "i int, k int, p long, q long"), spark.createDataFrame(b, "k int, r long, s long")
+    got = sorted((r["k"], r["p"], r["q"]) for r in intervals.near_points(left, right, ["k"], ("p", "q"), ("r", "s"), 20).collect())
+    want = sorted({(k, p, q) for _, k, p, q in a if any(k is not None and k == k2 and abs(p - r) <= 20 and abs(q - s) <= 20 for k2, r, s in b)})
+    assert got == want and len(want) > 5
+
+
+def test_points_of_one_window_are_one_row(spark):
+    n = 200_000
+    runs = spark.createDataFrame([(1, 0, 50, 3), (1, 50, 90, 5)], "k int, start long, stop long, depth long")
+    points = spark.range(n).select(F.col("id").alias("i"), F.lit(1).alias("k"), F.lit(50).cast("long").alias("pos"))
+    lengths = spark.createDataFrame([(1, 1000)], "k int, length long")
+    written = lambda: spark._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    got = depth.window_means(runs, points, lengths, "k", "i", "pos", 10, 9).groupBy(F.round("left_mean", 3), F.round("right_mean", 3)).count().collect()
+    assert [tuple(r) for r in got] == [(3.0, 5.0, n)]
+    assert written() - before < 8e6
