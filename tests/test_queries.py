@@ -42,6 +42,6 @@ def test_crowded_join_meets_equal_intervals_once(spark, duck):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["kmer_seed_search", "seed_extension"])
+@pytest.mark.parametrize("name", ["kmer_seed_search", "seed_extension", "unmatched_pairs_anti", "kl_score"])
 def test_shared_kmers_match_sql(spark, duck, name):
     test_matches_sql(spark, duck, name)
