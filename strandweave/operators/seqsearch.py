@@ -316,47 +316,68 @@ def extended(queries: DataFrame, targets: DataFrame, k: int, least: int) -> Data
     return both.mapInArrow(run, f"qid {kinds[0]}, tid {kinds[1]}, diagonal int, seeds long, hit_begin long, hit_end long, edits int")
 
 
-#: Positions of the reference whose counts are added up together, as a power of two.
-STRETCH_BITS = 12
+#: Positions of the reference whose counts are added up together, as a power of two: a row of counts is some KB, a batch of them some 100 MB.
+STRETCH_BITS = 8
 
 
 def pileup(reads: DataFrame, lo: str = "begin_pos", seq: str = "seq", key: str = "template_id") -> DataFrame:
     """(template_id, pos, base, depth): the commonest base at each covered position, ties to the smaller letter.
 
-    No base is a row: a task counts the letters at each position of its reads
-    and hands on one row for each stretch of the reference; a stretch adds them
-    to one matrix of positions by letters, one row after another, so its memory
-    doesn't grow with the depth.
+    No base is a row: a task counts the letters at each position of its reads,
+    about a million letters at a time, and hands on one row for each stretch of
+    the reference, or more if it comes to more than a million counts; a stretch
+    adds them to one matrix of positions by letters, one row after another, so
+    memory doesn't grow with the depth.
     """
     kind = reads.schema[key].dataType.simpleString()
     width = 1 << STRETCH_BITS
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}  # of each stretch, letters' places and their counts
+        kept, typed = 0, None
+
+        def told() -> Iterator[pa.RecordBatch]:
+            places = list(held)
+            for c in range(0, len(places), 1024):
+                part = places[c : c + 1024]
+                columns = [pa.array([p[0] for p in part], typed), pa.array([p[1] for p in part], pa.int64())]
+                columns += [pa.array([held[p][i].astype(t).tobytes() for p in part], pa.binary()) for i, t in ((0, np.uint32), (1, np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "stretch", "at", "n"])
+
         for rb in it:
-            texts = [t.encode("latin-1", "replace") for t in rb.column(2).to_pylist()]
-            size = np.array([len(t) for t in texts], np.int64)
-            names = rb.column(0).dictionary_encode(null_encoding="encode")
-            if not size.sum():
-                continue
-            begin = np.asarray(rb.column(1), dtype=np.int64)
-            pos = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            stretch = pos >> STRETCH_BITS
-            low, span = int(stretch.min()), int(stretch.max() - stretch.min()) + 1
-            group = np.repeat(np.asarray(names.indices, dtype=np.int64), size) * span + (stretch - low)
-            local = (pos & (width - 1)) << 8 | np.frombuffer(b"".join(texts), np.uint8)
-            cells, n = np.unique(group << (STRETCH_BITS + 8) | local, return_counts=True)
-            group, local = cells >> (STRETCH_BITS + 8), (cells & ((1 << (STRETCH_BITS + 8)) - 1)).astype(np.uint32)
-            first = np.flatnonzero(np.diff(group, prepend=-1))
-            ends = np.append(first[1:], len(group))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    names.dictionary.take(pa.array(group[first] // span)),
-                    pa.array(group[first] % span + low),
-                    pa.array([local[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
-                    pa.array([n[a:b].astype(np.int64).tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
-                ],
-                names=[key, "stretch", "at", "n"],
-            )
+            typed = rb.column(0).type
+            names, begins, all_texts = (c.to_pylist() for c in rb.columns)
+            for a, b in _slices(all_texts):
+                texts = [t.encode("latin-1", "replace") for t in all_texts[a:b]]
+                size = np.array([len(t) for t in texts], np.int64)
+                known: dict = {}
+                own = np.array([known.setdefault(x, len(known)) for x in names[a:b]], np.int64)
+                pos = np.repeat(np.array(begins[a:b], np.int64) - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                stretch = pos >> STRETCH_BITS
+                low, span = int(stretch.min()), int(stretch.max() - stretch.min()) + 1
+                group = np.repeat(own, size) * span + (stretch - low)
+                local = (pos & (width - 1)) << 8 | np.frombuffer(b"".join(texts), np.uint8)
+                cells, n = np.unique(group << (STRETCH_BITS + 8) | local, return_counts=True)
+                group, local = cells >> (STRETCH_BITS + 8), cells & ((1 << (STRETCH_BITS + 8)) - 1)
+                first = np.flatnonzero(np.diff(group, prepend=-1))
+                labels = list(known)
+                for g, i, j in zip(group[first].tolist(), first.tolist(), [*first[1:].tolist(), len(group)], strict=True):
+                    place, more = (labels[g // span], g % span + low), np.stack([local[i:j], n[i:j]])
+                    if place in held:
+                        both = np.concatenate([held[place], more], axis=1)
+                        at, back = np.unique(both[0], return_inverse=True)
+                        total = np.zeros(len(at), np.int64)
+                        np.add.at(total, back, both[1])
+                        more = np.stack([at, total])
+                        kept -= held[place].shape[1]
+                    held[place] = more
+                    kept += more.shape[1]
+                if kept > 1 << 20:
+                    yield from told()
+                    held.clear()
+                    kept = 0
+        if held:
+            yield from told()
 
     def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, place, typed = np.zeros((width, 256), np.int64), None, None
@@ -378,6 +399,7 @@ def pileup(reads: DataFrame, lo: str = "begin_pos", seq: str = "seq", key: str =
         if place is not None:
             yield told()
 
+    ship(reads.sparkSession)
     rows = reads.where(F.length(seq) > 0).select(F.col(key), F.col(lo).cast("long").alias("lo"), F.upper(seq).alias("seq"))
     counts = rows.mapInArrow(count, f"`{key}` {kind}, stretch long, at binary, n binary")
     counts = counts.repartition(key, "stretch").sortWithinPartitions(key, "stretch")

@@ -238,3 +238,17 @@ def test_points_of_one_window_are_one_row(spark):
     got = depth.window_means(runs, points, lengths, "k", "i", "pos", 10, 9).groupBy(F.round("left_mean", 3), F.round("right_mean", 3)).count().collect()
     assert [tuple(r) for r in got] == [(3.0, 5.0, n)]
     assert written() - before < 8e6
+
+
+def test_a_pile_up_of_many_batches_hands_on_few_small_rows(spark):
+    n = 4000
+    rows = spark.range(0, n, 1, 2).select(F.lit(1).alias("template_id"), (F.col("id") % 3).alias("begin_pos"), F.expr("repeat('ACGGT', 400)").alias("seq"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")  # each batch was a row of its own for each stretch
+    written = lambda: spark._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    try:
+        before = written()
+        got = seqsearch.pileup(rows).agg(F.count("*"), F.sum("depth")).first()
+        assert tuple(got) == (2002, n * 2000)
+        assert written() - before < 300_000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
