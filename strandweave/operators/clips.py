@@ -98,8 +98,10 @@ def best_hits(regions: DataFrame, chunks: DataFrame, chunk_size: int, error: flo
     """(clip_id, orientation, swapped, template_id, begin_pos, end_pos, edits): each clip's hits with the fewest edits, in genome order's coordinates."""
     key = F.xxhash64("clip_id", "orientation", "swapped", "template_id", "begin_pos", "end_pos")
     asked = settled(regions.withColumn("rid", key))
-    with_text = seqsearch.regions(chunks, asked, chunk_size)
-    hits = seqsearch.searched(with_text.select(F.col("clip_id").alias("qid"), "rid", "needle", F.upper("seq").alias("hay")), error)
+    # by number: a region is few bytes and much work
+    with_text = seqsearch.regions(chunks, asked, chunk_size).repartition(int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rid")
+    # read twice below, and costly
+    hits = settled(seqsearch.searched(with_text.select(F.col("clip_id").alias("qid"), "rid", "needle", F.upper("seq").alias("hay")), error))
     least = hits.groupBy("qid").agg(F.min("edits").alias("least"))
     best = hits.join(least, "qid").where("edits = least").join(asked.select("rid", "orientation", "swapped", "template_id", F.col("begin_pos").alias("base")), "rid")
     return best.select(F.col("qid").alias("clip_id"), "orientation", "swapped", "template_id", (F.col("base") + F.col("hit_begin")).alias("begin_pos"), (F.col("base") + F.col("hit_end")).alias("end_pos"), "edits").distinct()

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandweave.operators import clips
+from strandweave.operators import clips, seqsearch
 from strandweave.options import CallOptions
 from strandweave.plans.call import call
 from strandweave.sources import alignments
@@ -106,3 +106,23 @@ def test_strands_of_breakends(spark):
     got = {(r["sv_id"], r["alt"]) for r in found}
     assert ("BND_1_1", "N[chr2:1500[") in got and ("BND_1_2", "]chr1:1001]N") in got
     assert {r["alt"][1] for r in found if r["sv_id"] == "BND_2_1"} <= {"]"} and len(found) in (2, 4)
+
+
+def test_regions_are_searched_once(spark, monkeypatch):
+    seen, real = spark.sparkContext.accumulator(0), seqsearch.searched
+
+    def counted(pairs, error):
+        def tick(it):
+            for rb in it:
+                seen.add(rb.num_rows)
+                yield rb
+
+        return real(pairs.mapInArrow(tick, pairs.schema), error)
+
+    monkeypatch.setattr(seqsearch, "searched", counted)
+    text = "".join(random.Random(7).choices("ACGT", k=600))
+    chunks = spark.createDataFrame([(1, k, text[64 * k : 64 * k + 64]) for k in range(10)], "template_id int, chunk_no long, seq string")
+    asked = spark.createDataFrame([(c, 0, False, 1, 50, 550, text[100 + c : 140 + c]) for c in range(20)], "clip_id long, orientation int, swapped boolean, template_id int, begin_pos long, end_pos long, needle string")
+    got = {r["clip_id"]: (r["begin_pos"], r["end_pos"], r["edits"]) for r in clips.best_hits(asked, chunks, 64, 0.1).collect()}
+    assert got == {c: (100 + c, 140 + c, 0) for c in range(20)}
+    assert seen.value == 20

@@ -1,6 +1,8 @@
 """Registered queries against their SQL on the smallest tables, and that all can be planned."""
 
 import os
+import random
+import re
 
 import pytest
 
@@ -45,3 +47,14 @@ def test_crowded_join_meets_equal_intervals_once(spark, duck):
 @pytest.mark.parametrize("name", ["kmer_seed_search", "seed_extension", "unmatched_pairs_anti", "kl_score"])
 def test_shared_kmers_match_sql(spark, duck, name):
     test_matches_sql(spark, duck, name)
+
+
+def test_sequences_take_out_runs_of_letters_and_chunks_walk_pieces(spark, tmp_path):
+    long = "".join(random.Random(9).choices("acgtACGTxyz ,\n", k=20_000))
+    texts = [None, "", "xyz", "Tag\ncat", "\u017f\u212a\u0130 gAtTaCa \U0001f9ec a", "a", long, "acgt" * 1024, "acgt" * 1024 + "t"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    dna = catalog._dna(spark, str(tmp_path))
+    want = {i: None if t is None else re.sub("[^acgt]", "", t.lower()).upper() for i, t in enumerate(texts)}
+    assert {r["seq_id"]: r["seq"] for r in dna.collect()} == want
+    got = {(r["template_id"], r["chunk_no"]): r["seq"] for r in catalog._chunks(dna).collect()}
+    assert got == {(i, k): s[64 * k : 64 * k + 64] for i, s in want.items() for k in range(-(-len(s or "") // 64))}
