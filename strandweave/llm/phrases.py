@@ -426,28 +426,37 @@ def collocations(docs: DataFrame, p: Phrases = Phrases(), lang_col: str = "lang"
     unstage(found)
 
     total = known.count()
-    long = known.where("words > 1")
     words, k = F.split("phrase", " "), F.col("k")
-    cuts = long.select("lang", "phrase", "f", "words", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
-    cuts = cuts.select("lang", "phrase", "f", "k", _part(words, F.lit(1), k).alias("left"), _part(words, k + 1, F.col("words") - k).alias("rest"))
-    cuts = _with_parts(cuts, known, total * (p.longest - 1))
-    score = F.expr(f"cast({p.scale} * cast(f as decimal(28, 0)) div (cast(l as decimal(28, 0)) + r) as long)")
-    best = cuts.groupBy("lang", "phrase").agg(F.first("f").alias("a"), F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("b"))
+    # a longer phrase that is frequent enough holds one that is longer by a single word, and no less frequent
+    inner = [known.where("words > 2").select("lang", _part(words, F.lit(i), F.col("words") - 1).alias("phrase"), "f") for i in (1, 2)]
+    around = inner[0].unionByName(inner[1]).groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
+    kept = known.where("words > 1").join(around, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.lit(100) * F.col("longer") < p.percent * F.col("f"))).drop("longer")
 
-    def inner(n: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.col("words") - n + 1), lambda i: _part(words, i, n))
+    def scored(cuts: DataFrame) -> DataFrame:
+        cuts = cuts.select("lang", "phrase", "words", "f", "k", _part(words, F.lit(1), k).alias("left"), _part(words, k + 1, F.col("words") - k).alias("rest"))
+        score = F.expr(f"cast({p.scale} * cast(f as decimal(28, 0)) div (cast(l as decimal(28, 0)) + r) as long)")
+        return _with_parts(cuts, known, total * (p.longest - 1)).select("lang", "phrase", "words", F.col("f").alias("a"), F.struct(score.alias("score"), "k", "l", "r").alias("b"))
 
-    sizes = F.sequence(F.lit(2), F.col("words") - 1)
-    around = known.where("words > 2").select("lang", "f", F.explode(F.array_distinct(F.flatten(F.transform(sizes, inner)))).alias("phrase"))
-    around = around.groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
-    kept = best.join(around, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.lit(100) * F.col("longer") < p.percent * F.col("a")))
+    def lowest(rows: DataFrame) -> DataFrame:
+        """The lowest of all cuts, for phrases with their first one."""
+        more = rows.where("words > 2").select("lang", "phrase", "words", F.col("a").alias("f"), F.explode(F.sequence(F.lit(2), F.col("words") - 1)).alias("k"))
+        return rows.unionByName(scored(stage(more, "phrases"))).groupBy("lang", "phrase", "words").agg(F.first("a").alias("a"), F.min("b").alias("b"))
 
     # a language may hold most phrases: its best are found in many parts first
     order = [F.desc("b.score"), F.desc("a"), F.asc("phrase")]
     parts = F.pmod(F.xxhash64("phrase"), F.lit(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    first = kept.withColumn("part", parts)
-    first = first.withColumn("rank", F.row_number().over(W.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= p.top)
-    ranked = first.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= p.top)
+
+    def best(rows: DataFrame) -> DataFrame:
+        some = rows.withColumn("part", parts)
+        some = some.withColumn("rank", F.row_number().over(W.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= p.top)
+        return some.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= p.top).drop("part")
+
+    # one cut bounds the score from above; what stays below the last of ``top`` whole scores needs no other cut
+    first = stage(scored(stage(kept, "phrases").withColumn("k", F.lit(1))), "phrases")
+    floor = lowest(stage(best(first).drop("rank"), "phrases")).groupBy("lang").agg(F.count("*").alias("whole"), F.min(F.struct("b.score", "a")).alias("floor"))
+    floor = F.broadcast(stage(floor.where(F.col("whole") >= p.top).drop("whole"), "phrases"))  # languages of ``top`` phrases
+    near = first.join(floor, "lang", "left").where(F.col("floor").isNull() | (F.struct("b.score", "a") >= F.col("floor"))).drop("floor")
+    ranked = best(lowest(stage(near, "phrases")))
     n = masses.where("lang is not null").select("lang", "n")
     out = ranked.join(n, "lang")
     return out.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("b.l").alias("l"), F.col("b.r").alias("r"), "n", F.col("b.score").alias("score"))

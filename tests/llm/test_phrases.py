@@ -87,3 +87,29 @@ def test_empty_and_rare(spark):
     none = spark.createDataFrame([], DOCS)
     assert ops.collocations(none).collect() == []
     assert ops.collocations(spark.createDataFrame([(1, "a b c", "en", "p", 1)], DOCS)).collect() == []
+
+
+def test_only_phrases_that_may_rank_are_cut_everywhere(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(" ".join(rng.choices("abcdefgh", k=40)), "en") for _ in range(400)] + [("one two three four", "en")] * 40
+    p, cuts, real = ops.Phrases(top=5, least=30), [], ops._with_parts
+
+    def counted(rows, known, total):
+        cuts.append(rows.count())
+        return real(rows, known, total)
+
+    monkeypatch.setattr(ops, "_with_parts", counted)
+    df = spark.createDataFrame([(i, t, x, "p", 1) for i, (t, x) in enumerate(rows)], DOCS)
+    got = sorted(tuple(r) for r in ops.collocations(df, p).collect())
+    assert got == _brute(rows, p)
+    whole = sum(r[0] for r in cuts_of(rows, p))
+    assert sum(cuts) < whole, (cuts, whole)
+
+
+def cuts_of(rows, p):
+    """(number of cuts,) of each frequent phrase."""
+    f = Counter()
+    for text, _ in rows:
+        w = text.split()
+        f.update(tuple(w[i : i + j]) for j in range(2, p.longest + 1) for i in range(len(w) - j + 1))
+    return [(len(w) - 1,) for w, a in f.items() if a >= p.least]
