@@ -46,12 +46,18 @@ def routed(reads: DataFrame, o: CallOptions, max_insert: Column | float) -> Data
     limit = max_insert if isinstance(max_insert, Column) else F.lit(float(max_insert))
     flag = F.col("flag")
     tagged = _tagged(reads)
-    ops = cigar_ops("cigar")
+    ops = F.col("__ops")
     extra = has_flag(flag, SUPPLEMENTARY)
     clip = ~tagged & ~extra & edge_clip(ops, o.min_clip_size)
     gap = ~tagged & ~extra & ~clip & inner_gap(ops, o.min_sv_size)
     pair = ~tagged & ~extra & discordant(flag, has_flag(flag, MATE_REVERSE), has_flag(flag, REVERSE), F.col("tlen"), F.col("map_q"), o.min_map_q, limit)
-    return reads.where(usable("flag")).withColumns({"to_split": tagged | extra | gap, "to_clip": clip & (F.col("map_q") >= o.min_map_q), "to_pair": pair})
+    rows = with_ops(reads.where(usable("flag"))).withColumns({"to_split": tagged | extra | gap, "to_clip": clip & (F.col("map_q") >= o.min_map_q), "to_pair": pair})
+    return rows if "__ops" in reads.columns else rows.drop("__ops")
+
+
+def with_ops(reads: DataFrame) -> DataFrame:
+    """``reads`` with their operations as column __ops, for expressions that look at them more than once: as a column of their own they are parsed once."""
+    return reads if "__ops" in reads.columns else reads.withColumn("__ops", cigar_ops("cigar"))
 
 
 def _sizes(reads: DataFrame, min_map_q: int) -> DataFrame:
@@ -133,10 +139,11 @@ def split_evidence(segments: DataFrame, o: CallOptions) -> DataFrame:
     than ``max_overlap``; where strands differ the second is turned round.
     """
     whole = W.partitionBy("read_id")
-    rows = segments.withColumns({"n": F.count("*").over(whole), "low_q": F.min("map_q").over(whole), "size": F.max("q_end").over(whole)})
-    rows = rows.where((F.col("n") <= o.max_split) & (F.col("n") > 1) & (F.col("low_q") >= o.min_map_q))
     me = F.struct("template_id", "ref_begin", "ref_end", "is_reverse", "q_begin", "q_end")
-    rows = rows.select("read_id", "size", me.alias("a"), F.lead(me).over(whole.orderBy("q_begin", "seg_no")).alias("b")).where("b is not null")
+    # the ordered window first, so that its sort serves the others
+    rows = segments.withColumn("b", F.lead(me).over(whole.orderBy("q_begin", "seg_no")))
+    rows = rows.withColumns({"n": F.count("*").over(whole), "low_q": F.min("map_q").over(whole), "size": F.max("q_end").over(whole)})
+    rows = rows.where((F.col("n") <= o.max_split) & (F.col("n") > 1) & (F.col("low_q") >= o.min_map_q) & F.col("b").isNotNull()).select("read_id", "size", me.alias("a"), "b")
     a, b = F.col("a"), F.col("b")
     turned = a["is_reverse"] != b["is_reverse"]
     q2b = F.when(turned, F.col("size") - b["q_end"]).otherwise(b["q_begin"])

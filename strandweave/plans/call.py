@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.functions.columns import REVERSE, cigar_ops, cigar_spans, has_flag, read_end_name, ref_length, status_text
+from strandweave.functions.columns import REVERSE, cigar_spans, has_flag, read_end_name, ref_length, status_text
 from strandweave.operators import calls, clips, cluster, depth, reads, seqsearch
 from strandweave.operators.intervals import coverage
 from strandweave.options import CallOptions
@@ -21,25 +21,28 @@ def routed_reads(alignments: DataFrame, o: CallOptions, file_order: bool = False
 
     (template_id, begin_pos, end_pos) for the depth; to_split, to_clip, to_pair
     and max_insert, the estimated upper bound of insert sizes (null without
-    proper pairs). Names, operations and lengths stay only where a read gives
-    evidence, bases only where it is clipped.
+    proper pairs). Names and lengths stay only where a read gives evidence,
+    operations and bases only where it is clipped; of split reads there are the
+    spans that their operations give (ref_end, q_begin, q_end, deletions), so
+    that operations are taken apart in this scan alone.
     """
     limit = reads.insert_limit(alignments, o, file_order)
-    rows = reads.routed(alignments.where("rid is not null and rid >= 0"), o, float("inf") if limit is None else limit)
+    rows = reads.routed(reads.with_ops(alignments.where("rid is not null and rid >= 0")), o, float("inf") if limit is None else limit)
     some = F.col("to_split") | F.col("to_clip") | F.col("to_pair")
-    kept = {c: F.when(some, F.col(c)).alias(c) for c in ("ordinal", "qname", "cigar", "flag", "map_q", "tlen", "next_rid")}
-    end = (F.col("begin_pos") + ref_length(cigar_ops("cigar"))).cast("long").alias("end_pos")
+    kept = {c: F.when(F.col("to_clip") if c == "cigar" else some, F.col(c)).alias(c) for c in ("ordinal", "qname", "cigar", "flag", "map_q", "tlen", "next_rid")}
+    rows = rows.withColumn("__s", F.when(F.col("to_split"), cigar_spans(F.col("begin_pos"), F.col("__ops"), o.min_sv_size, o.min_clip_size, o.compat_double_deletion)))
+    spans = [F.col(f"__s.{x}").alias(x) for x in ("ref_end", "q_begin", "q_end", "deletions")]
+    end = (F.col("begin_pos") + ref_length(F.col("__ops"))).cast("long").alias("end_pos")
     bases = F.when(F.col("to_clip"), F.col("seq")).alias("seq") if o.use_clips else F.lit(None).cast("string").alias("seq")
-    return rows.select(F.col("rid").alias("template_id"), "begin_pos", end, *kept.values(), bases, "to_split", "to_clip", "to_pair", F.lit(limit).cast("double").alias("max_insert"))
+    return rows.select(F.col("rid").alias("template_id"), "begin_pos", end, *kept.values(), *spans, bases, "to_split", "to_clip", "to_pair", F.lit(limit).cast("double").alias("max_insert"))
 
 
 def exact_evidence(routed: DataFrame, o: CallOptions) -> DataFrame:
     """Split reads and deletions within reads: (template_id, right_template, orientation, kind, left_pos, right_pos, left_reverse, right_reverse, weight)."""
-    span = cigar_spans(F.col("begin_pos"), cigar_ops("cigar"), o.min_sv_size, o.min_clip_size, o.compat_double_deletion)
-    parts = routed.where("to_split").withColumn("read_id", read_end_name("qname", "flag")).withColumn("s", span)
-    parts = parts.select("read_id", "template_id", F.col("ordinal").alias("seg_no"), F.col("begin_pos").cast("long").alias("ref_begin"), F.col("s.ref_end").alias("ref_end"), has_flag("flag", REVERSE).alias("is_reverse"), F.col("s.q_begin").alias("q_begin"), F.col("s.q_end").alias("q_end"), "map_q", "s.deletions")
+    rows = routed.where("to_split").withColumn("is_reverse", has_flag("flag", REVERSE))
+    parts = rows.select(read_end_name("qname", "flag").alias("read_id"), "template_id", F.col("ordinal").alias("seg_no"), F.col("begin_pos").cast("long").alias("ref_begin"), "ref_end", "is_reverse", "q_begin", "q_end", "map_q")
     split = reads.split_evidence(parts, o).withColumnRenamed("left_template", "template_id").withColumn("kind", F.lit(0))
-    gone = parts.where(F.col("map_q") >= o.min_map_q).select("template_id", "is_reverse", F.inline("deletions").alias("left_pos", "right_pos"))
+    gone = rows.where(F.col("map_q") >= o.min_map_q).select("template_id", "is_reverse", F.inline("deletions").alias("left_pos", "right_pos"))
     gone = gone.select("template_id", F.col("template_id").alias("right_template"), F.lit(0).alias("orientation"), F.lit(0).alias("kind"), "left_pos", "right_pos", F.col("is_reverse").alias("left_reverse"), F.col("is_reverse").alias("right_reverse"))
     return split.select(*gone.columns).unionByName(gone).withColumn("weight", F.lit(1).cast("long"))
 
@@ -67,12 +70,12 @@ def merged_breakpoints(routed: DataFrame, o: CallOptions = CallOptions(), chunks
     their regions meet; those that meet none are imprecise breakpoints. Clipped
     sequences need ``chunks``, the reference.
     """
-    exact = settled(exact_evidence(routed, o))
+    exact = settled(cluster.evidence_places(exact_evidence(routed, o), ["template_id", "right_template", "orientation"]))
     pairs = settled(pair_evidence(routed, o)) if o.use_pairs else None
     placed = None
     if o.use_clips and chunks is not None:
         placed = settled(clip_places(routed, exact, pairs, chunks, chunk_size, o))
-        exact = exact.unionByName(placed.select(exact.columns))
+        exact = exact.unionByName(placed.withColumn("n", F.lit(1).cast("long")).select(exact.columns))
     return settled(cluster.with_pairs(exact, pairs, o)), placed
 
 
@@ -86,6 +89,7 @@ def call(alignments: DataFrame, contigs: DataFrame, o: CallOptions = CallOptions
     once, after a first look at insert sizes that stops early if ``file_order``
     says that partitions follow each other in the file.
     """
+    contigs = settled(contigs)
     routed = stored(routed_reads(alignments, o, file_order), "reads")
     bps, placed = merged_breakpoints(routed, o, chunks, chunk_size)
 

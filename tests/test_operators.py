@@ -6,6 +6,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strandweave.operators import calls, cluster, depth, intervals, merge, seqsearch
+from strandweave.options import CallOptions
+from strandweave.plans import call as command
 
 
 def test_bin_join_matches_brute_force(spark):
@@ -252,3 +254,38 @@ def test_a_pile_up_of_many_batches_hands_on_few_small_rows(spark):
         assert written() - before < 300_000
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_deep_evidence_is_clustered_by_place(spark, monkeypatch):
+    # 4,000 rows at 8 places in three clusters; medians count rows, not places
+    rng = random.Random(3)
+    spots = [(0, 100, 300), (0, 120, 310), (0, 121, 311), (1, 150, 330), (0, 5000, 7000), (0, 5050, 7050), (1, 9000, 9100), (1, 9049, 9140)]
+    made = [(1, 0, *rng.choices(spots, [9, 1, 4, 2, 1, 1, 3, 3])[0]) for _ in range(4000)]
+    sizes = []
+    real = cluster.settled
+
+    def seen(df):
+        out = real(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(cluster, "settled", seen)
+    df = spark.createDataFrame(made, "template_id int, orientation int, kind int, left_pos long, right_pos long")
+    got = {r["min_left"]: r for r in cluster.breakpoints(df, 50).collect()}
+    assert max(sizes) <= len(spots) and set(got) == {100, 5000, 9000}
+    for low, r in got.items():
+        mine = [x for x in made if low <= x[3] <= low + 100]
+        exact = [x for x in mine if x[2] != 1]
+        assert (r["supp"], r["se"], r["pe"]) == (len(mine), len(exact), len(mine) - len(exact))
+        want = tuple(sorted(x[k] for x in exact)[len(exact) // 2] for k in (3, 4)) if exact else (min(x[3] for x in mine), max(x[4] for x in mine))
+        assert (r["final_left"], r["final_right"], r["imprecise"]) == (*want, not exact)
+
+
+def test_operations_are_taken_apart_once(spark):
+    cols = "ordinal long, qname string, rid int, begin_pos int, flag int, next_rid int, next_pos int, tlen long, map_q int, cigar string, seq string, tags map<string,string>"
+    rows = [(1, "a", 0, 100, 65, 0, 900, 0, 60, "60M40S", "", {"SA": "x"}), (2, "a", 0, 900, 2113, 0, 100, 0, 60, "60S40M", "", {}), (3, "b", 0, 500, 99, 0, 700, 300, 60, "30M80D30M", "", {}), (4, "c", 0, 500, 99, 0, 700, 300, 60, None, "", {})]
+    o = CallOptions(use_depth=False)
+    routed = command.routed_reads(spark.createDataFrame(rows, cols), o).localCheckpoint()
+    exact = command.exact_evidence(routed, o)
+    assert sorted((r["left_pos"], r["right_pos"]) for r in exact.collect()) == [(160, 899), (530, 610)]
+    assert "regexp_extract_all" not in exact._jdf.queryExecution().optimizedPlan().toString()
