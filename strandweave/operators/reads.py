@@ -164,8 +164,8 @@ def split_evidence(segments: DataFrame, o: CallOptions) -> DataFrame:
 
 def cigar_evidence(reads: DataFrame, o: CallOptions) -> DataFrame:
     """(read_id, template_id, what, left_pos, right_pos): deletions and clips within single alignments."""
-    spans = cigar_spans(F.col("begin_pos"), cigar_ops("cigar"), o.min_sv_size, o.min_clip_size, o.compat_double_deletion)
-    rows = reads.select("read_id", "template_id", spans.alias("s"))
+    spans = cigar_spans(F.col("begin_pos"), F.col("__ops"), o.min_sv_size, o.min_clip_size, o.compat_double_deletion)
+    rows = with_ops(reads).select("read_id", "template_id", spans.alias("s"))
     gone = rows.select("read_id", "template_id", F.lit("deletion").alias("what"), F.inline("s.deletions").alias("left_pos", "right_pos"))
     clip = rows.select("read_id", "template_id", F.lit("clip").alias("what"), F.inline("s.clips").alias("left_pos", "right_pos"))
     return gone.unionByName(clip)

@@ -30,8 +30,8 @@ def routed_reads(alignments: DataFrame, o: CallOptions, file_order: bool = False
     rows = reads.routed(reads.with_ops(alignments.where("rid is not null and rid >= 0")), o, float("inf") if limit is None else limit)
     some = F.col("to_split") | F.col("to_clip") | F.col("to_pair")
     kept = {c: F.when(F.col("to_clip") if c == "cigar" else some, F.col(c)).alias(c) for c in ("ordinal", "qname", "cigar", "flag", "map_q", "tlen", "next_rid")}
-    rows = rows.withColumn("__s", F.when(F.col("to_split"), cigar_spans(F.col("begin_pos"), F.col("__ops"), o.min_sv_size, o.min_clip_size, o.compat_double_deletion)))
-    spans = [F.col(f"__s.{x}").alias(x) for x in ("ref_end", "q_begin", "q_end", "deletions")]
+    every = cigar_spans(F.col("begin_pos"), F.col("__ops"), o.min_sv_size, o.min_clip_size, o.compat_double_deletion)
+    spans = [F.when(F.col("to_split"), every[x]).alias(x) for x in ("ref_end", "q_begin", "q_end", "deletions")]
     end = (F.col("begin_pos") + ref_length(F.col("__ops"))).cast("long").alias("end_pos")
     bases = F.when(F.col("to_clip"), F.col("seq")).alias("seq") if o.use_clips else F.lit(None).cast("string").alias("seq")
     return rows.select(F.col("rid").alias("template_id"), "begin_pos", end, *kept.values(), *spans, bases, "to_split", "to_clip", "to_pair", F.lit(limit).cast("double").alias("max_insert"))

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -289,3 +290,28 @@ def test_operations_are_taken_apart_once(spark):
     exact = command.exact_evidence(routed, o)
     assert sorted((r["left_pos"], r["right_pos"]) for r in exact.collect()) == [(160, 899), (530, 610)]
     assert "regexp_extract_all" not in exact._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_the_spans_asked_for_are_found_and_as_one_fold_finds_them(spark):
+    rng = random.Random(5)
+    texts = ["", "*", "60D", "30H60N", "5H10S50M", "80D30S40M", "30S", *["".join(f"{rng.choice([5, 19, 20, 49, 50, 90])}{rng.choice('MIDNSHP=X')}" for _ in range(rng.randint(1, 6))) for _ in range(150)]]
+    cols = "ordinal long, qname string, rid int, begin_pos int, flag int, next_rid int, next_pos int, tlen long, map_q int, cigar string, seq string, tags map<string,string>"
+    rows = [(i, str(i), 0, 7 * i, 65, 0, 900, 0, 60, t, "", {"SA": "x"}) for i, t in enumerate([*texts, None])]
+    for double in (False, True):
+        routed = command.routed_reads(spark.createDataFrame(rows, cols), CallOptions(use_depth=False, compat_double_deletion=double))
+        got = {r["ordinal"]: (r["ref_end"], r["q_begin"], r["q_end"], [tuple(x) for x in r["deletions"]]) for r in routed.collect() if r["cigar"] is None and r["ordinal"] < len(texts)}
+        for i, text in enumerate(texts):
+            end, first, last, gone = 7 * i, None, None, []
+            for n, op in re.findall(r"(\d+)([MIDNSHP=X])", text):
+                n = int(n)
+                if op in "MIP=X":
+                    first, last = first or 0, (last or 0) + n
+                elif op in "SH" and first is None:
+                    first = last = n
+                if op in "DN" and n >= 50:
+                    gone.append((end, end + n))
+                end += n * (op in "M=XDN") + n * (double and op in "DN" and n >= 50)
+            assert got[i] == (end, first, last, gone), text
+        # sizes and clips, which nothing reads, are left out
+        plan = routed._jdf.queryExecution().optimizedPlan().toString()
+        assert "q_size" not in plan and "clips" not in plan
