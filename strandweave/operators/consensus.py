@@ -1,7 +1,9 @@
-"""Consensus of noisy sequences of one place, by partial-order alignment in bounded groups."""
+"""Consensus of noisy sequences of one place, by alignment to a draft and votes, in bounded groups."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,145 +12,213 @@ from pyspark.sql import functions as F
 from strandweave.operators.skew import join_unique
 from strandweave.session import settled, ship
 
-#: Distinct sequences that one task aligns to a graph, on average.
+#: Distinct sequences of a group, on average.
 FAN = 48
 _MATCH, _MISMATCH, _GAP, _OVER = 2, -2, -6, -3
+#: Rounds of votes at most, and steps of alignments that are held at once.
+_ROUNDS, _CELLS = 8, 1 << 24
+#: Letters of the groups that a task takes together.
+_LETTERS = 1 << 20
 
 
-class Graph:
-    """Sequences as paths of a graph of letters; letters aligned to each other share a column.
+def _aligned(drafts: np.ndarray, texts: np.ndarray, long: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text's letters the letter of its draft that each stands at, or -1, as a row, and the score; drafts and texts are columns.
 
-    Columns are in order, and every step leads to a later column, so each
-    letter comes after those before it, whatever was added when.
+    All begin at one place; a draft that goes on costs nothing, a text that
+    hangs over a little more than letters that differ. Cells of a diagonal are
+    free of each other, so all pairs take one diagonal after another.
     """
+    (rows, n), m = drafts.shape, len(texts)
+    kind = np.int16 if -_GAP * (rows + m) < 30_000 else np.int32
+    back = texts[::-1]
+    before, last, step = np.zeros((rows + 1, n), kind), np.zeros((rows + 1, n), kind), np.zeros((rows + m + 1, rows + 1, n), np.uint8)
+    last[:2] = _GAP
+    low = np.iinfo(kind).min
+    # the best end at the last letter of the text, and that of a text that hangs over
+    top, where = np.full(n, low, np.int32), np.zeros(n, np.int64)
+    over, hung = (long * _GAP + size * _OVER).astype(np.int32), np.zeros(n, np.int64)
+    for d in range(1, rows + m + 1):
+        if d > 1:
+            now = np.empty((rows + 1, n), kind)
+            a, b = max(1, d - m), min(rows, d - 1)
+            now[0], now[min(d, rows)] = d * _GAP, d * _GAP
+            straight = np.multiply((drafts[a - 1 : b] == back[m - d + a : m - d + b + 1]).view(np.int8), kind(_MATCH - _MISMATCH), dtype=kind)
+            straight += before[a - 1 : b]
+            straight += kind(_MISMATCH)
+            best = now[a : b + 1]
+            np.maximum(last[a - 1 : b], last[a : b + 1], out=best)
+            best += kind(_GAP)
+            np.maximum(best, straight, out=best)
+            # 1 if not straight, 2 if the draft's letter isn't left out either
+            gap = (best != straight).view(np.uint8)
+            np.add(gap, gap & (best != last[a - 1 : b] + kind(_GAP)).view(np.uint8), out=step[d, a : b + 1])
+            before, last = last, now
+        i = d - size
+        k = np.flatnonzero((i >= 1) & (i <= long))
+        k = k[last[i[k], k] > top[k]]
+        top[k], where[k] = last[i[k], k], i[k]
+        j = d - long
+        k = np.flatnonzero((j >= 0) & (j <= size))
+        value = last[long[k], k] + _OVER * (size[k] - j[k])
+        k, value = k[value > over[k]], value[value > over[k]]
+        over[k], hung[k] = value, j[k]
+    i, j = np.where(over > top, long, where), np.where(over > top, hung, size)
+    # where no gap is as good as the best, none is taken
+    same = (drafts[: min(rows, m)] == texts[: min(rows, m)]).sum(axis=0)
+    plain = (i == size) & (j == size) & ((_MATCH - _MISMATCH) * same + _MISMATCH * size == np.maximum(top, over))
+    out = np.where(plain[:, None] & (np.arange(m) < size[:, None]), np.arange(m), -1).astype(np.int32)
+    at = np.flatnonzero(~plain)
+    while len(at):
+        at = at[(i[at] > 0) & (j[at] > 0)]
+        came = step[i[at] + j[at], i[at], at]
+        met = at[came == 0]
+        out[met, j[met] - 1] = i[met] - 1
+        i[at] -= came != 2
+        j[at] -= came != 1
+    return out, np.maximum(top, over)
 
-    def __init__(self) -> None:
-        self.letter: list[str] = []
-        self.column: list[int] = []
-        self.weight: list[int] = []
-        self.before: list[dict[int, int]] = []  # predecessors, with the weight of each step
-        self.followed: set[int] = set()  # letters from which a step leads on
-        self.members: list[dict[str, int]] = []  # of each column, its letters
-        self.columns: list[int] = []  # numbers of columns in order
-
-    def _new(self, letter: str, column: int) -> int:
-        n = len(self.letter)
-        self.letter.append(letter)
-        self.column.append(column)
-        self.weight.append(0)
-        self.before.append({})
-        self.members[column][letter] = n
-        return n
-
-    def order(self) -> list[int]:
-        """Numbers of letters, column by column."""
-        return [v for c in self.columns for v in self.members[c].values()]
-
-    def align(self, seq: str) -> list[int | None]:
-        """For each letter of ``seq`` the graph's letter that it stands at, or none if it is inserted.
-
-        All begin at one place; a graph that goes on costs nothing, a sequence
-        that hangs over a little more than letters that differ.
-        """
-        m, order = len(seq), self.order()
-        rank = {v: i for i, v in enumerate(order, 1)}
-        text = np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)
-        steps = {c: np.where(text == ord(c), _MATCH, _MISMATCH).astype(np.int32) for c in set(self.letter)}
-        score = np.zeros((len(order) + 1, m + 1), np.int32)
-        across = np.arange(m + 1, dtype=np.int32) * _GAP
-        score[0] = across
-        came = [[0]]  # rows before each
-        for i, v in enumerate(order, 1):
-            rows = [rank[p] for p in self.before[v]] or [0]
-            came.append(rows)
-            step, best = steps[self.letter[v]], score[i]
-            np.add(score[rows[0]], _GAP, out=best)
-            np.maximum(best[1:], score[rows[0], :-1] + step, out=best[1:])
-            for r in rows[1:]:
-                np.maximum(best, score[r] + _GAP, out=best)
-                np.maximum(best[1:], score[r, :-1] + step, out=best[1:])
-            # letters of the sequence left out: a running maximum along the row
-            best -= across
-            np.maximum.accumulate(best, out=best)
-            best += across
-        i = int(score[1:, m].argmax()) + 1
-        top, j = int(score[i, m]), m
-        hang = _OVER * np.arange(m, -1, -1, dtype=np.int32)
-        for k in sorted(rank[v] for v in order if v not in self.followed):
-            over = score[k] + hang
-            if (int(over.max()), -k) > (top, -i):
-                top, i, j = int(over.max()), k, int(over.argmax())
-        out: list[int | None] = [None] * m
-        while i and j:
-            here, v = int(score[i, j]), order[i - 1]
-            step = int(steps[self.letter[v]][j - 1])
-            for r in came[i]:
-                if score[r, j - 1] + step == here:
-                    out[j - 1] = v
-                    i, j = r, j - 1
-                    break
-                if score[r, j] + _GAP == here:
-                    i = r
-                    break
-            else:
-                j -= 1
-        return out
-
-    def add(self, seq: str, weight: int) -> None:
-        at = self.align(seq) if self.letter else [None] * len(seq)
-        # letters before the first aligned one stand in columns before it
-        first = next((v for v in at if v is not None), None)
-        place = self.columns.index(self.column[first]) if first is not None else len(self.columns)
-        last = None
-        for letter, v in zip(seq, at, strict=True):
-            if v is None:
-                column = len(self.members)
-                self.members.append({})
-                self.columns.insert(place, column)
-                place += 1
-            else:
-                column = self.column[v]
-                place = self.columns.index(column) + 1
-            n = self.members[column].get(letter)
-            n = self._new(letter, column) if n is None else n
-            self.weight[n] += weight
-            if last is not None:
-                self.before[n][last] = self.before[n].get(last, 0) + weight
-                self.followed.add(last)
-            last = n
-
-    def heaviest(self, least: int) -> str:
-        """The path that takes the heaviest step into each letter, without ends lighter than ``least``."""
-        total: dict[int, int] = {}
-        back: dict[int, int | None] = {}
-        for v in self.order():
-            p = max(self.before[v], key=lambda u: (self.before[v][u], total[u]), default=None)
-            back[v] = p
-            total[v] = (total[p] + self.before[v][p]) if p is not None else 0
-        v = max(total, key=lambda u: (total[u], self.weight[u]))
-        path = []
-        while v is not None:
-            path.append(v)
-            v = back[v]
-        path.reverse()
-        heavy = [i for i, v in enumerate(path) if sum(self.weight[u] for u in self.members[self.column[v]].values()) >= least]
-        return "".join(self.letter[v] for v in path[heavy[0] : heavy[-1] + 1]) if heavy else ""
 
+def _columns(rows: list[np.ndarray], fill: int) -> np.ndarray:
+    out = np.full((max(map(len, rows)), len(rows)), fill, np.uint32)
+    for k, row in enumerate(rows):
+        out[: len(row), k] = row
+    return out
 
-def consensus(seqs: list[str], weights: list[int]) -> str:
-    """The consensus of weighted sequences; of fewer than three, the longest.
 
-    The heaviest come first (then the longest, then by letters), so the result
-    doesn't depend on the order given. Ends that fewer than a quarter reach are cut.
+def _voted(draft: np.ndarray, texts: list[np.ndarray], weights: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The draft that aligned texts vote for, and the weight of the letters at each letter of the one given.
+
+    No letter is a vote too, of those that go on: a letter of the draft stays
+    unless more leave it out than have the best one, and one is put in if more
+    have it than pass without; at the end, if ``least`` go on. Of equal votes
+    the draft's own letter counts, then the smaller one.
+    """
+    n = len(draft)
+    letters, own = np.unique(np.concatenate([draft, *texts]), return_inverse=True)
+    own, text = own[:n], own[n:]
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    place = np.concatenate([a[: len(t)] for a, t in zip(at, texts, strict=True)]).astype(np.int64)
+    weight, met = weights[owner], place >= 0
+    votes = np.bincount(place[met] * len(letters) + text[met], weight[met], n * len(letters)).reshape(n, len(letters))
+    reach = at.max(axis=1) + 1  # letters of the draft up to the last that each meets
+    spans = np.cumsum(np.bincount(reach, weights, n + 1)[::-1])[::-1]  # weight of those that reach so far
+    held = votes.sum(axis=1)
+    votes[np.arange(n), own] += 0.5
+    best, kept = votes.argmax(axis=1), votes.max(axis=1) >= spans[1:] - held
+    put: dict[tuple[int, int], dict[int, float]] = {}
+    if not met.all():
+        inside = np.flatnonzero(~met)
+        slot = np.maximum.accumulate(np.where(met, place + 1, 0) + owner * (n + 1)) - owner * (n + 1)
+        for k in inside.tolist():
+            s = int(slot[k])
+            if s == n or s < reach[owner[k]]:
+                nth = k - int(np.searchsorted(owner, owner[k])) if s == 0 else 0
+                while s and not met[k - nth - 1]:
+                    nth += 1
+                one = put.setdefault((s, nth), {})
+                one[int(text[k])] = one.get(int(text[k]), 0) + float(weight[k])
+    more: dict[int, list[int]] = {}
+    for (s, nth), one in sorted(put.items()):
+        total = sum(one.values())
+        letter = max(one, key=lambda x: (one[x], -x))
+        if (total >= least if s == n else one[letter] > spans[s + 1] - total) and nth == len(more.get(s, [])):
+            more.setdefault(s, []).append(letter)
+    if kept.all() and not more:
+        return letters[best], held
+    made: list[int] = []
+    for i in range(n + 1):
+        made += more.get(i, [])
+        if i < n and kept[i]:
+            made.append(int(best[i]))
+    return letters[np.array(made, np.int64)], held
+
+
+def _stacked(texts: list[np.ndarray], weights: np.ndarray, least: int) -> np.ndarray:
+    """The letters that the texts vote for at each place from the begin, as far as ``least`` reach."""
+    letters, own = np.unique(np.concatenate(texts), return_inverse=True)
+    size = np.array([len(t) for t in texts])
+    place = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+    n = int(size.max())
+    votes = np.bincount(place * len(letters) + own, np.repeat(weights, size), n * len(letters)).reshape(n, len(letters))
+    return letters[votes.argmax(axis=1)[votes.sum(axis=1) >= least]]
+
+
+def consensuses(groups: list[tuple[list[str], list[int]]]) -> list[str]:
+    """The consensus of each group of weighted sequences; of fewer than three, the longest.
+
+    The heaviest sequence (then the longest, then by letters) and the letters
+    that most have at each place, without gaps, are the first drafts; that to
+    which all align better counts. All vote, letter by letter, for the next
+    draft, until it stays as it is; so the result doesn't depend on the order
+    given, and a few that align elsewhere in a run of equal letters change
+    nothing. Ends that fewer than a quarter reach are cut. Pairs of all groups
+    are aligned together, a bounded number of cells at once.
     """
-    order = sorted(zip(seqs, weights, strict=True), key=lambda s: (-s[1], -len(s[0]), s[0]))
-    total = sum(weights)
-    if total < 3 or len(order) == 1:
-        return max(order, key=lambda s: (len(s[0]), s[1], s[0]))[0]
-    graph = Graph()
-    for seq, weight in order:
-        graph.add(seq, weight)
-    return graph.heaviest(max(2, total // 4)) or order[0][0]
+    out, open_ = [""] * len(groups), []
+    for g, (seqs, weights) in enumerate(groups):
+        order = sorted(zip(seqs, weights, strict=True), key=lambda s: (-s[1], -len(s[0]), s[0]))
+        if sum(weights) < 3 or len(order) == 1:
+            out[g] = max(order, key=lambda s: (len(s[0]), s[1], s[0]))[0]
+        else:
+            codes, weight = [_codes(s) for s, _ in order], np.array([w for _, w in order], np.int64)
+            drafts = [d for d in (codes[0], _stacked(codes, weight, _least(weight))) if len(d)]
+            open_.append((g, drafts, codes, weight))
+    for left in range(_ROUNDS - 1, -1, -1):
+        going = []
+        for block in _blocks(open_):
+            pairs = [(d, t) for _, drafts, texts, _ in block for d in drafts for t in texts]
+            longest = max(len(x) for pair in pairs for x in pair) + 1
+            at, score = np.full((len(pairs), longest), -1, np.int32), np.empty(len(pairs), np.int64)
+            # a group of long sequences takes more than one turn
+            turn = max(1, _CELLS // (2 * longest * longest))
+            for k in range(0, len(pairs), turn):
+                some = pairs[k : k + turn]
+                found, score[k : k + turn] = _aligned(_columns([d for d, _ in some], 0), _columns([t for _, t in some], 1 << 31), *np.array([[len(d), len(t)] for d, t in some]).T)
+                at[k : k + turn, : found.shape[1]] = found
+            begin = 0
+            for g, drafts, texts, weights in block:
+                parts = [slice(begin + k * len(texts), begin + (k + 1) * len(texts)) for k in range(len(drafts))]
+                begin = parts[-1].stop
+                k = max(range(len(drafts)), key=lambda k: (int(score[parts[k]] @ weights), k))
+                draft = drafts[k]
+                made, held = _voted(draft, texts, weights, at[parts[k]], _least(weights))
+                if left and len(made) and not np.array_equal(made, draft):
+                    going.append((g, [made], texts, weights))
+                    continue
+                heavy = np.flatnonzero(held >= _least(weights))
+                chosen = draft[heavy[0] : heavy[-1] + 1] if len(heavy) else texts[0]
+                out[g] = chosen.tobytes().decode("utf-32-le", "surrogatepass")
+        open_ = going
+    return out
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _least(weights: np.ndarray) -> int:
+    return max(2, int(weights.sum()) // 4)
+
+
+def _blocks(groups: list[tuple]) -> Iterator[list[tuple]]:
+    """Groups of like lengths together, as many as keep the cells of their alignments bounded."""
+    size = lambda g: max(len(x) for x in (*g[1], *g[2]))
+    block: list[tuple] = []
+    pairs = 0
+    for g in sorted(groups, key=size):
+        n, more = size(g) + 1, len(g[1]) * len(g[2])
+        if block and (pairs + more) * 2 * n * n > _CELLS:
+            yield block
+            block, pairs = [], 0
+        block.append(g)
+        pairs += more
+    if block:
+        yield block
+
+
+def consensus(seqs: list[str], weights: list[int]) -> str:
+    """The consensus of one group; see :func:`consensuses`."""
+    return consensuses([(seqs, weights)])[0]
 
 
 def assembled(rows: DataFrame, key: str, seq: str = "seq", fan: int = FAN) -> DataFrame:
@@ -156,17 +226,37 @@ def assembled(rows: DataFrame, key: str, seq: str = "seq", fan: int = FAN) -> Da
 
     Equal sequences are counted first. The rest is dealt by hash to groups of
     about ``fan``, each becomes one sequence with the weight of its members,
-    and these are dealt again until a key has one; so no task holds more than
-    a group, however many sequences a key has. Null and empty sequences are
-    left out, and a key without others too.
+    and these are dealt again until a key has one; so a task holds no more than
+    a few hundred groups at once, however many sequences a key has. Null and
+    empty sequences are left out, and a key without others too.
     """
     ship(rows.sparkSession)
     kind, number = rows.schema[key].dataType.simpleString(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def one(table: pa.Table) -> pa.Table:
-        weights = table["weight"].to_pylist()
-        made = consensus(table["seq"].to_pylist(), weights)
-        return pa.table({key: table[key].combine_chunks().slice(0, 1), "seq": pa.array([made]), "weight": pa.array([sum(weights)], pa.int64())})
+    def made(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list = []
+        groups: list[tuple[list[str], list[int]]] = []
+        place, letters, typed = None, 0, None
+
+        def told() -> pa.RecordBatch:
+            columns = [pa.array(keys, typed), pa.array(consensuses(groups), pa.string()), pa.array([sum(w) for _, w in groups], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=[key, "seq", "weight"])
+
+        for rb in it:
+            typed = rb.column(0).type
+            for k, part, text, weight in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+                if not groups or place != (k, part):
+                    if letters > _LETTERS:
+                        yield told()
+                        keys, groups, letters = [], [], 0
+                    place = (k, part)
+                    keys.append(k)
+                    groups.append(([], []))
+                groups[-1][0].append(text)
+                groups[-1][1].append(weight)
+                letters += len(text)
+        if groups:
+            yield told()
 
     now = rows.where(F.length(seq) > 0).groupBy(key, F.col(seq).alias("seq")).agg(F.count("*").alias("weight"))
     while True:
@@ -177,4 +267,5 @@ def assembled(rows: DataFrame, key: str, seq: str = "seq", fan: int = FAN) -> Da
             return now.select(key, "seq")
         dealt = join_unique(now, sizes, [key], "__n", now.count()).withColumn("__part", F.pmod(F.xxhash64("seq"), F.ceil(F.col("__n") / fan)).cast("int"))
         # by number: few bytes are much work, so adaptive execution must not put these partitions together
-        now = dealt.select(key, "__part", "seq", "weight").repartition(number, key, "__part").groupBy(key, "__part").applyInArrow(one, f"`{key}` {kind}, seq string, weight long")
+        dealt = dealt.select(key, "__part", "seq", "weight").repartition(number, key, "__part").sortWithinPartitions(key, "__part")
+        now = dealt.mapInArrow(made, f"`{key}` {kind}, seq string, weight long")

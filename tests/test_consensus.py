@@ -57,6 +57,15 @@ def test_few_sequences_and_weights():
     assert consensus(["AAAA", "CCCC", "GGGG"], [1, 1, 1]) in ("AAAA", "CCCC", "GGGG")
 
 
+def test_runs_of_one_or_two_letters_keep_their_length():
+    # letters that differ, moved against each other along a run, once cost more than a gap
+    rng = random.Random(6)
+    for k in range(60):
+        truth = (rng.choice(["A", "C", "G", "T", "AC", "TG", "GA"]) * 60)[:60]
+        seqs = sorted({"".join(c if rng.random() > 0.05 else c.translate(str.maketrans("ACGT", "CGTA")) for c in truth) for _ in range(20)})
+        assert consensus(seqs, [1] * len(seqs)) == truth, k
+
+
 def test_groups_of_any_size(spark):
     rng = random.Random(3)
     truth = {k: "".join(rng.choice("ACGT") for _ in range(60)) for k in range(3)}
