@@ -2,8 +2,13 @@
 
 import random
 
+import pytest
+
+from strandweave import catalog
+from strandweave.operators import consensus as module
+from strandweave.operators import seqsearch
 from strandweave.operators.clips import clip_clusters
-from strandweave.operators.consensus import assembled, consensus
+from strandweave.operators.consensus import assembled, consensus, consensuses
 
 
 def _noisy(seq, rng, rate=0.05):
@@ -86,3 +91,24 @@ def test_clusters_with_their_consensus(spark):
     made = {r["is_left"]: r for r in clip_clusters(clips, 50, assemble=True).collect()}
     assert plain[False]["seq"] == rows[0][4] and made[False]["seq"] == truth
     assert made[True]["seq"] == "ACGTACGTACGTACGTACGT" and made[False]["supp"] == 15 and made[False]["clip_id"] == plain[False]["clip_id"]
+
+
+@pytest.mark.parametrize("cells", [1 << 24, 1 << 15])
+def test_groups_together_and_in_turns_give_what_each_gives(monkeypatch, cells):
+    rng, groups = random.Random(8), []
+    for n in (1, 2, 5, 20, 40):
+        truth = "".join(rng.choice("ACGT\u0416") for _ in range(rng.randrange(30, 140)))
+        groups.append(([_noisy(truth, rng, 0.1) for _ in range(n)], [rng.randrange(1, 4) for _ in range(n)]))
+    alone = [consensus(*g) for g in groups]
+    monkeypatch.setattr(module, "_CELLS", cells)
+    assert consensuses(groups) == alone
+
+
+def test_only_what_does_not_stand_there_is_searched_with_errors(spark, tmp_path, monkeypatch):
+    rng, asked, real = random.Random(9), [], seqsearch.searched
+    texts = ["".join(rng.choice("acgt") for _ in range(300)) for _ in range(20)] + ["a" * 70, "ac" * 40, "acgt", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(seqsearch, "searched", lambda pairs, error: asked.append(pairs.count()) or real(pairs, error))
+    got = catalog.clip_consensus(spark, str(tmp_path)).collect()
+    assert sorted(r["clip_id"] for r in got) == list(range(22)) and all(r["close"] and r["found"] for r in got)
+    assert asked == [0]
