@@ -217,6 +217,16 @@ def _shared_kmers(targets: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return targets.where(F.length("seq") >= k).select("seq_id", "seq").mapInArrow(kept, f"tid {kind}, tp int, kmer string")
 
 
+def _dealt(q: DataFrame, t: DataFrame, hot: int, *by: str) -> tuple[DataFrame, DataFrame]:
+    """Both with ``part``: rows of ``t`` of a k-mer with more than ``hot`` of them are dealt to several parts, those of ``q`` copied to each."""
+    counts = settled(t.groupBy("kmer").agg(F.count("*").alias("n")))
+    limit = max(hot, (counts.agg(F.sum("n")).first()[0] or 0) // 1000)
+    # fewer than a thousand k-mers by the limit
+    many = F.broadcast(counts.where(F.col("n") > limit).select("kmer", F.ceil(F.col("n") / limit).cast("int").alias("parts")))
+    t = t.join(many, "kmer", "left").withColumn("part", F.pmod(F.xxhash64(*by), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    return q.join(many, "kmer", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts"), t
+
+
 def seeded(queries: DataFrame, targets: DataFrame, k: int, hot: int = HOT) -> DataFrame:
     """(qid, tid, diagonal, seeds): shared k-mers per diagonal, by an equi-join of k-mers.
 
@@ -227,12 +237,7 @@ def seeded(queries: DataFrame, targets: DataFrame, k: int, hot: int = HOT) -> Da
     """
     q = kmers(queries, k).select(F.col("seq_id").alias("qid"), F.col("pos").alias("qp"), "kmer")
     t = settled(_shared_kmers(targets, queries, k))
-    counts = settled(t.groupBy("kmer").agg(F.count("*").alias("n")))
-    limit = max(hot, (counts.agg(F.sum("n")).first()[0] or 0) // 1000)
-    # fewer than a thousand k-mers by the limit
-    many = F.broadcast(counts.where(F.col("n") > limit).select("kmer", F.ceil(F.col("n") / limit).cast("int").alias("parts")))
-    t = t.join(many, "kmer", "left").withColumn("part", F.pmod(F.xxhash64("tid", "tp"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    q = q.join(many, "kmer", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    q, t = _dealt(q, t, hot, "tid", "tp")
     return q.join(t, ["kmer", "part"]).groupBy("qid", "tid", (F.col("tp") - F.col("qp")).alias("diagonal")).agg(F.count("*").alias("seeds"))
 
 
@@ -277,43 +282,105 @@ def locally_aligned(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, "qid long, rid long, score long, hit_begin long, hit_end long")
 
 
-def extended(queries: DataFrame, targets: DataFrame, k: int, least: int) -> DataFrame:
+#: Ids of one text that are a row, and places of shared k-mers that are looked at together.
+PACK, SPOTS = 64, 1 << 20
+
+
+def extended(queries: DataFrame, targets: DataFrame, k: int, least: int, hot: int = HOT, pack: int = PACK) -> DataFrame:
     """(qid, tid, diagonal, seeds, hit_begin, hit_end, edits): seeded diagonals extended to the whole query without gaps.
 
     Only diagonals of at least ``least`` seeds on which the query lies within
-    the target are extended; edits are the letters that differ. What is
-    shuffled is pairs that share a k-mer, each once; their diagonals, of which
-    a text of one letter has as many as letters, are found beside the texts.
+    the target are extended; edits are the letters that differ. Equal texts are
+    one, until pairs are given with all their ids. What is shuffled is pairs of
+    texts that may have so many seeds: those in which so many places of the
+    query hold a k-mer of the target. Their diagonals, of which a text of one
+    letter has as many as letters, are found beside the target, for all its
+    queries at once. Nothing is shuffled after that.
     """
-    q = queries.select(F.col("seq_id").alias("qid"), F.col("seq").alias("__q"))
-    t = targets.select(F.col("seq_id").alias("tid"), F.col("seq").alias("__t"))
-    asked = kmers(queries, k).select(F.col("seq_id").alias("qid"), "kmer").distinct()
-    pairs = asked.join(_shared_kmers(targets, queries, k).select("tid", "kmer").distinct(), "kmer").select("qid", "tid").distinct()
+    ship(targets.sparkSession)
+    number = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one_q, one_t = (settled(d.where(F.length("seq") >= k).groupBy("seq").agg(F.min("seq_id").alias("rep"), F.collect_list("seq_id").alias("ids"))) for d in (queries, targets))
+    q, t = (d.select(F.col("rep").alias("seq_id"), "seq") for d in (one_q, one_t))
+    asked = kmers(q, k).groupBy(F.col("seq_id").alias("qid"), "kmer").agg(F.count("*").alias("n"))
+    held = settled(_shared_kmers(t, q, k).select("tid", "kmer").distinct())
+    asked, held = _dealt(asked, held, hot, "tid")
+    pairs = asked.join(held, ["kmer", "part"]).groupBy("qid", "tid").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("qid", "tid")
     kinds = [d.schema["seq_id"].dataType.simpleString() for d in (queries, targets)]
 
+    parts = F.ceil(F.size("ids") / pack).cast("int")
+
+    def packs(one: DataFrame) -> DataFrame:
+        each = one.select("rep", "seq", "ids", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        return each.select("rep", "part", "seq", F.slice("ids", F.col("part") * pack + 1, F.lit(pack)).alias("ids"))
+
+    # a text with many ids is a target for each pack of them; it comes before its queries
+    many = F.broadcast(one_t.where(parts > 1).select(F.col("rep").alias("tid"), parts.alias("parts")))
+    met = pairs.join(packs(one_q).drop("part").withColumnRenamed("rep", "qid"), "qid").join(many, "tid", "left")
+    met = met.select("tid", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "qid", "seq", "ids")
+    own = packs(one_t).select(F.col("rep").alias("tid"), "part", F.lit(None).cast(kinds[0]).alias("qid"), "seq", F.col("ids").alias("own"))
+    # by number, since a pair is few bytes and much work
+    rows = met.unionByName(own, allowMissingColumns=True).repartition(number, "tid", "part").sortWithinPartitions("tid", "part", "qid")
+    hits = rows.select("qid", "seq", "ids", "own").mapInArrow(_extender(k, least), f"qids array<{kinds[0]}>, tids array<{kinds[1]}>, diagonal int, seeds long, hit_begin long, hit_end long, edits int")
+    hits = hits.withColumn("qid", F.explode("qids")).withColumn("tid", F.explode("tids"))
+    return hits.select("qid", "tid", "diagonal", "seeds", "hit_begin", "hit_end", "edits")
+
+
+def _extender(k: int, least: int):  # noqa: ANN202
+    """Rows (qid, seq, ids, own), a target's without qid before those of its queries, to the extended diagonals with the ids of both."""
+
+    def diagonals(order: np.ndarray, hashes: np.ndarray, size: int, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, diagonal) with at least ``least`` equal hashes, where the query lies within the target."""
+        text, at, h = _hashed(texts, k)
+        low = np.searchsorted(hashes, h)
+        n = np.searchsorted(hashes, h, "right") - low
+        whole = np.cumsum(np.bincount(text, n, len(texts)))
+        length = np.array([len(t) for t in texts])
+        # so many queries at once as have SPOTS places together
+        ends = np.unique(np.append(np.searchsorted(whole, np.arange(SPOTS, whole[-1] + SPOTS, SPOTS), "right"), len(texts)))
+        begin = 0
+        for end in ends[ends > 0].tolist():
+            i, j = np.searchsorted(text, [begin, end])
+            begin = end
+            own = np.repeat(np.arange(i, j), n[i:j])
+            spot = order[low[own] + np.arange(len(own)) - np.repeat(np.cumsum(n[i:j]) - n[i:j], n[i:j])] - at[own]
+            fits = (spot >= 0) & (spot + length[text[own]] <= size)
+            cells, seeds = np.unique(text[own][fits] * (size + 1) + spot[fits], return_counts=True)
+            cells = cells[seeds >= least]
+            yield cells // (size + 1), cells % (size + 1)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = codes = order = hashes = ids = None
         for rb in it:
-            for i, (a, b) in enumerate(zip(rb.column(2).to_pylist(), rb.column(3).to_pylist(), strict=True)):
-                x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (a, b))
-                if len(y) < len(x):
+            qids, seqs = (rb.column(i).to_pylist() for i in (0, 1))
+            alone = [i for i, x in enumerate(qids) if x is None]
+            for begin, end in zip([0, *alone], [*alone, len(qids)], strict=True):
+                if begin < end and qids[begin] is None:
+                    target, order, ids = seqs[begin], None, rb.column(3).slice(begin, 1)
+                    begin += 1
+                if begin == end:
                     continue
-                windows = np.lib.stride_tricks.sliding_window_view(y, len(x))
-                for base in range(0, len(windows), 1 << 14):
-                    same = windows[base : base + (1 << 14)] == x
-                    matches = same.sum(axis=1)
-                    at = np.flatnonzero(matches >= k)
-                    runs = np.cumsum(np.pad(same[at], ((0, 0), (1, 0))), axis=1, dtype=np.int32)
-                    seeds = (runs[:, k:] - runs[:, :-k] == k).sum(axis=1)
-                    at, seeds = at[seeds >= least], seeds[seeds >= least]
-                    if len(at):
-                        one = pa.array(np.full(len(at), i))
-                        begin = at + base
-                        yield pa.RecordBatch.from_arrays([rb.column(0).take(one), rb.column(1).take(one), pa.array(begin.astype(np.int32)), pa.array(seeds), pa.array(begin), pa.array(begin + len(x)), pa.array((len(x) - matches[at]).astype(np.int32))], names=["qid", "tid", "diagonal", "seeds", "hit_begin", "hit_end", "edits"])
-
-    # by number: a pair is few bytes and much work
-    number = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = pairs.join(q, "qid").repartition(number, "tid").join(t, "tid").select("qid", "tid", "__q", "__t")
-    return both.mapInArrow(run, f"qid {kinds[0]}, tid {kinds[1]}, diagonal int, seeds long, hit_begin long, hit_end long, edits int")
+                if order is None:
+                    hashes = _hashed([target], k)[2]
+                    order = np.argsort(hashes, kind="stable")
+                    hashes, codes = hashes[order], np.frombuffer(target.encode("utf-32-le", "surrogatepass"), np.uint32)
+                texts = seqs[begin:end]
+                own = [np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in texts]
+                for query, at in diagonals(order, hashes, len(codes), texts):
+                    sizes = np.array([len(own[i]) for i in query.tolist()], np.int64)
+                    for m in np.unique(sizes).tolist():
+                        like = np.flatnonzero(sizes == m)
+                        for part in (like[c : c + (1 << 14)] for c in range(0, len(like), 1 << 14)):
+                            same = np.lib.stride_tricks.sliding_window_view(codes, m)[at[part]] == np.stack([own[i] for i in query[part].tolist()])
+                            runs = np.cumsum(np.pad(same, ((0, 0), (1, 0))), axis=1, dtype=np.int32)
+                            # seeds letter by letter: equal hashes were only a first look
+                            seeds = (runs[:, k:] - runs[:, :-k] == k).sum(axis=1)
+                            good = seeds >= least
+                            if good.any():
+                                hit = at[part][good]
+                                asked, own_ids = rb.column(2).take(pa.array(begin + query[part][good])), ids.take(pa.array(np.zeros(len(hit), np.int64)))
+                                yield pa.RecordBatch.from_arrays([asked, own_ids, pa.array(hit.astype(np.int32)), pa.array(seeds[good]), pa.array(hit), pa.array(hit + m), pa.array((m - same[good].sum(axis=1)).astype(np.int32))], names=["qids", "tids", "diagonal", "seeds", "hit_begin", "hit_end", "edits"])
+
+    return run
 
 
 #: Positions of the reference whose counts are added up together, as a power of two: a row of counts is some KB, a batch of them some 100 MB.

@@ -221,6 +221,39 @@ def test_diagonals_of_one_letter_are_not_shuffled(spark):
     assert written() - before < 1e6
 
 
+def test_equal_texts_are_extended_once_and_given_with_all_ids(spark, monkeypatch):
+    rng, looked = random.Random(11), spark.sparkContext.accumulator(0)
+    texts = ["".join(rng.choice("ACGT") for _ in range(90)) for _ in range(3)] + ["AC" * 50, "T" * 80, "ACG"]
+    a = [(1000 + i, texts[i % 5][7 : 7 + 30 + i % 2]) for i in range(15)]
+    b = [(i, texts[i % 6]) for i in range(30)] + [(99, texts[0][:40] + "G" + texts[0][40:])]
+    want = []
+    for q, x in a:
+        for t, y in b:
+            for d in range(len(y) - len(x) + 1):
+                same = [c == y[d + i] for i, c in enumerate(x)]
+                seeds = sum(all(same[i : i + 12]) for i in range(len(x) - 11))
+                if seeds >= 3:
+                    want.append((q, t, d, seeds, d, d + len(x), same.count(False)))
+    inner = seqsearch._extender
+
+    def counted(k, least):
+        run = inner(k, least)
+
+        def each(it):
+            for rb in it:
+                looked.add(rb.column(0).null_count)
+                yield rb
+
+        return lambda it: run(each(it))
+
+    monkeypatch.setattr(seqsearch, "_extender", counted)
+    left, right = spark.createDataFrame(a, "seq_id long, seq string"), spark.createDataFrame(b, "seq_id long, seq string")
+    for pack, targets in ((64, 6), (2, 1 + 5 * 3)):  # distinct targets of at least 12 letters, and packs of their ids
+        looked.value = 0
+        got = seqsearch.extended(left, right, 12, 3, hot=5, pack=pack).collect()
+        assert sorted(map(tuple, got)) == sorted(want) and looked.value == targets
+
+
 def test_near_points_match_brute_force(spark):
     rng = random.Random(8)
     a = [(i, rng.choice([1, 2, None]), rng.randrange(-40, 400), rng.randrange(400)) for i in range(150)]
