@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -6,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from strandweave import catalog
 from strandweave.operators import calls, cluster, depth, intervals, merge, seqsearch
 from strandweave.options import CallOptions
 from strandweave.plans import call as command
@@ -254,6 +256,34 @@ def test_equal_texts_are_extended_once_and_given_with_all_ids(spark, monkeypatch
         assert sorted(map(tuple, got)) == sorted(want) and looked.value == targets
 
 
+def test_adjacent_intervals_are_counted_without_pairs(spark):
+    rng = random.Random(12)
+    a = [(i, rng.choice([1, 2, 3, None]), b := rng.randrange(-60, 500), b + rng.randrange(-3, 60)) for i in range(150)]
+    b = [(rng.choice([1, 2, None]), p := rng.randrange(-60, 500), p + rng.choice([0, 30, 200, -1])) for _ in range(90)]
+    left, right = spark.createDataFrame(a, "i int, k int, b1 long, e1 long"), spark.createDataFrame(b, "k int, b2 long, e2 long")
+    got = {r["i"]: r["n"] for r in intervals.adjacent_counts(left, right, ["k"], ("b1", "e1"), ("b2", "e2"), 20, "n", coarse=64).collect()}
+    near = {i: sum(k == k2 and b2 <= e2 and not (b1 <= e2 and b2 <= e1) and max(b1, b2) - min(e1, e2) <= 20 for k2, b2, e2 in b) for i, k, b1, e1 in a if k and b1 <= e1}
+    assert got == {i: n for i, n in near.items() if n} and len(got) > 30
+    # 90,000 times as many pairs as rows
+    n = 300_000
+    many = spark.range(n).select(F.col("id").alias("i"), F.lit(1).alias("k"), F.lit(0).cast("long").alias("b1"), F.lit(9).cast("long").alias("e1"))
+    others = spark.range(n).select(F.lit(1).alias("k"), F.lit(20).cast("long").alias("b2"), F.lit(30).cast("long").alias("e2"))
+    assert intervals.adjacent_counts(many, others, ["k"], ("b1", "e1"), ("b2", "e2"), 20, "n").where(f"n = {n}").count() == n
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_reads_that_end_before_they_begin_count_as_sql_has_them(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("events", "orders"):
+        df = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+        df = df.withColumn("value", F.when(F.col("event_id") % 3 == 0, -F.col("value")).when(F.col("event_id") % 3 == 1, -F.col("event_id") % 60.0).otherwise(F.col("value"))) if t == "events" else df
+        df.coalesce(1).write.parquet(str(tmp_path / f"{t}.parquet"))
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(con.execute(catalog.oracle_sql()["interval_adjacent_join"]).fetchall())
+    assert sorted(map(tuple, catalog.interval_adjacent_join(spark, str(tmp_path)).select("read_id", "near").collect())) == want and want
+
+
 def test_near_points_match_brute_force(spark):
     rng = random.Random(8)
     a = [(i, rng.choice([1, 2, None]), rng.randrange(-40, 400), rng.randrange(400)) for i in range(150)]
