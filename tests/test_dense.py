@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandweave import catalog
 from strandweave.operators import intervals
 from strandweave.session import settled
 
@@ -49,3 +50,12 @@ def test_rows_of_a_pile_up_are_copied_by_the_root_of_its_parts(spark):
     # 10,000 parts: each row goes to 100 of them; copied to all, one side alone would be 10 million rows
     assert intervals.dense_join(a, b, ["k"], ("lb", "le"), ("rb", "re"), crowd=100).count() == n * n
     assert written() - before < 20e6
+
+
+def test_pairs_of_many_bins_are_made_by_many_tasks(spark, tmp_path):
+    # some KB of orders, all kinds at some 1,000 places
+    rows = spark.range(6000).selectExpr("id as o_orderkey", "(id div 2) * 7 as o_custkey", "case when id % 2 = 0 then 'F' else 'O' end as o_orderstatus")
+    rows.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    got = catalog.two_sided_match(spark, str(tmp_path))
+    tasks = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(tasks) > 2 and sum(r["count"] for r in tasks) == got.distinct().count() > 1000
